@@ -187,3 +187,183 @@ def breakdown_summary(source: str, dims: list[str], measure: str | None) -> str:
 SELECT dim_order, "column", kind, measure, categories, total, others, leader,
        leader_value, leader_share_pct, coverage_pct
 FROM ({breakdowns(source, dims, measure)}) WHERE rank = 1"""
+
+
+# ------------------------------------------------------------------ schema
+# Column kinds of the driver tables (numeric / datetime / categorical / other).
+SCHEMA: dict[str, list[tuple[str, str, bool]]] = {}
+
+
+def _schema(table: str, spec: str) -> None:
+    cols = []
+    for item in spec.split():
+        name, t = item.split(":")
+        kind = {"i": "numeric", "l": "numeric", "d": "numeric", "t": "datetime",
+                "s": "categorical", "a": "other"}[t]
+        cols.append((name, kind, t in ("i", "l")))
+    SCHEMA[table] = cols
+
+
+_schema("region", "r_regionkey:i r_name:s")
+_schema("nation", "n_nationkey:i n_name:s n_regionkey:i")
+_schema("customer", "c_custkey:l c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s")
+_schema("supplier", "s_suppkey:l s_name:s s_nationkey:i s_acctbal:d")
+_schema("part", "p_partkey:l p_name:s p_brand:s p_type:s p_size:i p_retailprice:d")
+_schema("orders", "o_orderkey:l o_custkey:l o_orderstatus:s o_totalprice:d o_orderdate:t "
+                  "o_orderpriority:s")
+_schema("lineitem", "l_orderkey:l l_partkey:l l_suppkey:l l_linenumber:i l_quantity:d "
+                    "l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s "
+                    "l_shipdate:t")
+_schema("events", "event_id:l ts:t user_id:l event_type:s value:d props:s")
+_schema("documents", "doc_id:l text:s lang:s source:s n_chars:l")
+_schema("embeddings", "vec_id:l embedding:a label:i")
+_schema("pages", "page_id:l url:s html:s")
+_schema("benchmark", "item_id:l text:s")
+_schema("labels", "doc_id:l quality:i toxic:i")
+_schema("conversations", "conv_id:l turn:l role:s text:s")
+
+
+# ----------------------------------------------------------------- profile
+def overview(source: str, cols: list[str]) -> str:
+    nulls = " + ".join(f"sum(CASE WHEN {ident(c)} IS NULL THEN 1 ELSE 0 END)" for c in cols)
+    n = len(cols)
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST({n} AS BIGINT) AS cols,
+       round(100 * ({nulls}) / greatest(count(*) * {n}, 1), 2) AS missing_pct,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source})) AS BIGINT)
+         AS duplicate_rows
+FROM {source}"""
+
+
+def profile_columns(table: str) -> str:
+    parts = [f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", '{k}' AS kind, "
+             f"count(*) - count({ident(c)}) AS nulls, "
+             f"{'count(DISTINCT ' + ident(c) + ')' if k != 'other' else '0'} AS distinct "
+             f"FROM {table}"
+             for i, (c, k, _) in enumerate(SCHEMA[table])]
+    return "\nUNION ALL\n".join(parts)
+
+
+def profile_numeric(table: str) -> str:
+    parts = []
+    for i, (c, k, _) in enumerate(SCHEMA[table]):
+        if k != "numeric":
+            continue
+        v = f"CAST({ident(c)} AS DOUBLE)"
+        parts.append(f"""
+SELECT {i} AS ordinal, {lit(c)} AS "column", round(avg({v}), 4) AS mean,
+       round(stddev_samp({v}), 4) AS std, round(min({v}), 4) AS min, round(max({v}), 4) AS max,
+       round(quantile_cont({v}, 0.5), 4) AS median, round(quantile_cont({v}, 0.25), 4) AS q1,
+       round(quantile_cont({v}, 0.75), 4) AS q3,
+       (SELECT CAST(count(*) AS BIGINT) FROM {table}, (
+          SELECT quantile_cont({v}, 0.25) AS a, quantile_cont({v}, 0.75) AS b FROM {table}) qq
+        WHERE {v} < a - 1.5 * (b - a) OR {v} > b + 1.5 * (b - a)) AS outliers
+FROM {table}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def profile_datetime(table: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", "
+        f"strftime(min({ident(c)}), '%Y-%m-%d') AS min, "
+        f"strftime(max({ident(c)}), '%Y-%m-%d') AS max FROM {table}"
+        for i, (c, k, _) in enumerate(SCHEMA[table]) if k == "datetime")
+
+
+def top_values(table: str, k: int = W.PROFILE_TOP_VALUES, bars_only: bool = False) -> str:
+    counts = "\n  UNION ALL ".join(
+        f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", CAST({ident(c)} AS VARCHAR) AS value,"
+        f" count(*) AS n FROM {table} WHERE {ident(c)} IS NOT NULL GROUP BY {ident(c)}"
+        for i, (c, kind, _) in enumerate(SCHEMA[table]) if kind == "categorical")
+    extra = ""
+    if bars_only:
+        extra = (f" AND ordinal IN (SELECT ordinal FROM counts GROUP BY ordinal "
+                 f"HAVING count(*) > 1 AND count(*) <= {W.PROFILE_BAR_MAX_DISTINCT})")
+    return f"""
+WITH counts AS (
+  {counts}),
+r AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, value ASC) AS rank
+      FROM counts)
+SELECT ordinal, "column", CAST(rank AS INTEGER) AS rank, value, CAST(n AS BIGINT) AS count
+FROM r WHERE rank <= {k}{extra}"""
+
+
+def profile_identifiers(table: str) -> str:
+    parts = []
+    for i, (c, k, _) in enumerate(SCHEMA[table]):
+        low = c.lower()
+        by_name = (low == "id" or low.endswith("_id") or low.endswith("-id")
+                   or low.startswith("id_"))
+        uniq = (f"(count(*) > 0 AND count(DISTINCT {ident(c)}) = count(*))"
+                if k == "numeric" else "(count(*) < 0)")
+        parts.append(f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", "
+                     f"({'true' if by_name else 'false'} OR {uniq}) AS is_identifier FROM {table}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def correlations(source: str, nums: list[str], cut: float = W.CORRELATION_CUT) -> str:
+    parts = []
+    for i in range(len(nums)):
+        for j in range(i + 1, len(nums)):
+            a, b = f"CAST({ident(nums[i])} AS DOUBLE)", f"CAST({ident(nums[j])} AS DOUBLE)"
+            parts.append(f"SELECT {lit(nums[i])} AS a, {lit(nums[j])} AS b, corr({a}, {b}) AS r "
+                         f"FROM {source}")
+    return (f"SELECT a, b, round(r, 3) AS r FROM ({' UNION ALL '.join(parts)}) "
+            f"WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) >= {cut}")
+
+
+def series(source: str, date_col: str, measure: str) -> str:
+    return f"""
+WITH d AS (SELECT CAST(CAST({ident(date_col)} AS TIMESTAMP) AS DATE) AS day,
+                  CAST({ident(measure)} AS DOUBLE) AS m
+           FROM {source} WHERE {ident(date_col)} IS NOT NULL),
+b AS (SELECT min(day) AS mn, max(day) AS mx,
+             CASE WHEN datediff('month', date_trunc('month', min(day)),
+                                date_trunc('month', max(day))) + 1 >= 3
+                  THEN 'month' ELSE 'day' END AS granularity FROM d),
+spine AS (
+  SELECT granularity, CASE WHEN granularity = 'month' THEN last_day(CAST(g AS DATE))
+                           ELSE CAST(g AS DATE) END AS bin
+  FROM (SELECT granularity, unnest(CASE WHEN granularity = 'month'
+          THEN generate_series(CAST(date_trunc('month', mn) AS TIMESTAMP),
+                               CAST(date_trunc('month', mx) AS TIMESTAMP), INTERVAL 1 MONTH)
+          ELSE generate_series(CAST(mn AS TIMESTAMP), CAST(mx AS TIMESTAMP), INTERVAL 1 DAY)
+          END) AS g FROM b)),
+binned AS (
+  SELECT CASE WHEN granularity = 'month' THEN last_day(day) ELSE day END AS bin, sum(m) AS s
+  FROM d, b GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY spine.bin) - 1 AS INTEGER) AS position,
+       strftime(spine.bin, '%Y-%m-%d') AS label, granularity,
+       round(coalesce(s, 0.0), 4) AS value
+FROM spine LEFT JOIN binned ON spine.bin = binned.bin"""
+
+
+def histogram(source: str, column: str) -> str:
+    v = f"CAST({ident(column)} AS DOUBLE)"
+    return f"""
+WITH vals AS (SELECT {v} AS v FROM {source} WHERE {v} IS NOT NULL),
+b AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n,
+             least({W.HISTOGRAM_MAX_BINS}, greatest({W.HISTOGRAM_MIN_BINS},
+                   CAST(floor(sqrt(count(*))) AS INTEGER))) AS bins FROM vals),
+c AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS INTEGER) AS bin,
+             count(*) AS count FROM vals, b GROUP BY 1),
+e AS (SELECT lo, hi, bins, CAST(unnest(generate_series(0, bins - 1)) AS INTEGER) AS bin FROM b)
+SELECT {lit(column)} AS "column", e.bin,
+       round(lo + (hi - lo) / bins * e.bin, 4) AS lo,
+       round(CASE WHEN e.bin = bins - 1 THEN hi ELSE lo + (hi - lo) / bins * (e.bin + 1) END, 4)
+         AS hi,
+       CAST(coalesce(count, 0) AS BIGINT) AS count
+FROM e LEFT JOIN c ON e.bin = c.bin"""
+
+
+def multi_overview(tables: list[str], relationships: int) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT rows, missing_pct FROM ({overview(t, [c for c, _, _ in SCHEMA[t]])})"
+        for t in tables)
+    cols = sum(len(SCHEMA[t]) for t in tables)
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS tables, CAST(sum(rows) AS BIGINT) AS rows,
+       CAST({cols} AS BIGINT) AS cols,
+       round(coalesce(sum(missing_pct * rows) / sum(rows), 0.0), 2) AS missing_pct,
+       CAST({relationships} AS BIGINT) AS relationships
+FROM ({parts})"""

@@ -187,3 +187,122 @@ def analyze_orders(spark, sf_dir):
                                        ["l_linestatus", "l_returnflag"]))
 def metrics_long_lineitem(spark, sf_dir):
     return metrics_long(analyze(load_table(spark, sf_dir, "lineitem")))
+
+
+# ---------------------------------------------------------------- profile
+from ..operators import profile as P  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+_DOCS_LABELED = ("(SELECT d.text, d.lang, l.quality, l.toxic FROM documents d "
+                 "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+
+
+def _docs_labeled(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    lab = load_table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left").select("text", "lang", "quality", "toxic")
+
+
+@register("profile_overview", O.overview(_DOCS_LABELED, ["text", "lang", "quality", "toxic"]))
+def profile_overview(spark, sf_dir):
+    return P.overview(_docs_labeled(spark, sf_dir))
+
+
+@register("profile_columns", O.profile_columns("orders"))
+def profile_columns(spark, sf_dir):
+    return P.columns(ST.column_stats(load_table(spark, sf_dir, "orders")))
+
+
+@register("profile_columns_lineitem", O.profile_columns("lineitem"))
+def profile_columns_lineitem(spark, sf_dir):
+    return P.columns(ST.column_stats(load_table(spark, sf_dir, "lineitem")))
+
+
+@register("profile_numeric", O.profile_numeric("lineitem"))
+def profile_numeric(spark, sf_dir):
+    return P.numeric(load_table(spark, sf_dir, "lineitem"))
+
+
+@register("profile_outliers", "SELECT \"column\", q1, q3, outliers FROM ("
+          + O.profile_numeric("events") + ")")
+def profile_outliers(spark, sf_dir):
+    return P.numeric(load_table(spark, sf_dir, "events")).select("column", "q1", "q3",
+                                                                   "outliers")
+
+
+@register("profile_outliers_documents", "SELECT \"column\", q1, q3, outliers FROM ("
+          + O.profile_numeric("documents") + ")")
+def profile_outliers_documents(spark, sf_dir):
+    return P.numeric(load_table(spark, sf_dir, "documents")).select("column", "q1", "q3",
+                                                                      "outliers")
+
+
+@register("profile_datetime", O.profile_datetime("orders"))
+def profile_datetime(spark, sf_dir):
+    return P.datetimes(ST.column_stats(load_table(spark, sf_dir, "orders"),
+                                       approx_distinct=True))
+
+
+@register("profile_top_values", O.top_values("part"))
+def profile_top_values(spark, sf_dir):
+    return P.top_values(load_table(spark, sf_dir, "part"))
+
+
+@register("profile_bars", O.top_values("events", bars_only=True))
+def profile_bars(spark, sf_dir):
+    return P.bars(load_table(spark, sf_dir, "events"))
+
+
+@register("profile_identifiers", O.profile_identifiers("supplier"))
+def profile_identifiers(spark, sf_dir):
+    return P.identifiers(ST.column_stats(load_table(spark, sf_dir, "supplier")))
+
+
+_LINEITEM_NUMS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                  "l_extendedprice", "l_discount", "l_tax", "price2"]
+
+
+@register("profile_correlations", O.correlations(
+    "(SELECT *, l_extendedprice * 2 + 1 AS price2 FROM lineitem)", _LINEITEM_NUMS))
+def profile_correlations(spark, sf_dir):
+    df = load_table(spark, sf_dir, "lineitem").withColumn(
+        "price2", F.col("l_extendedprice") * 2 + 1)
+    return P.correlations(df)
+
+
+@register("profile_correlations_part", O.correlations(
+    "part", ["p_partkey", "p_size", "p_retailprice"]))
+def profile_correlations_part(spark, sf_dir):
+    return P.correlations(load_table(spark, sf_dir, "part"))
+
+
+@register("profile_series", O.series("events", "ts", "value"))
+def profile_series(spark, sf_dir):
+    df = load_table(spark, sf_dir, "events")
+    return P.series_auto(df, ST.column_stats(df))
+
+
+@register("profile_series_orders", O.series("orders", "o_orderdate", "o_custkey"))
+def profile_series_orders(spark, sf_dir):
+    df = load_table(spark, sf_dir, "orders")
+    return P.series_auto(df, ST.column_stats(df))
+
+
+@register("profile_histogram", O.histogram("orders", "o_totalprice"))
+def profile_histogram(spark, sf_dir):
+    return P.histogram(load_table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@register("profile_histogram_events", O.histogram("events", "value"))
+def profile_histogram_events(spark, sf_dir):
+    return P.histogram(load_table(spark, sf_dir, "events"), "value")
+
+
+_STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+
+
+@register("multi_overview", O.multi_overview(_STAR, 7))
+def multi_overview(spark, sf_dir):
+    from ..operators.catalog import DRIVER_EDGES, edges_within
+    frames = {t: load_table(spark, sf_dir, t) for t in _STAR}
+    return P.multi_overview(frames, len(edges_within(DRIVER_EDGES, list(frames))))
