@@ -367,3 +367,64 @@ SELECT CAST(count(*) AS BIGINT) AS tables, CAST(sum(rows) AS BIGINT) AS rows,
        round(coalesce(sum(missing_pct * rows) / sum(rows), 0.0), 2) AS missing_pct,
        CAST({relationships} AS BIGINT) AS relationships
 FROM ({parts})"""
+
+
+# --------------------------------------------------------------- semantics
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(lit(v) for v in values) + "]"
+
+
+def semantics(table: str) -> str:
+    parts = []
+    for i, (c, k, is_int) in enumerate(SCHEMA[table]):
+        col = ident(c)
+        if k == "numeric":
+            flag = f"coalesce(bool_and(CAST({col} AS DOUBLE) IN (0, 1)), false)"
+        else:
+            flag = "(count(*) < 0)"
+        distinct = f"count(DISTINCT {col})" if k != "other" else "0"
+        parts.append(
+            f"SELECT {i} AS ordinal, {lit(c)} AS \"column\", '{k}' AS kind, "
+            f"{'true' if is_int else 'false'} AS is_integer, count(*) AS rows, "
+            f"count({col}) AS nonnull, {distinct} AS ndist, {flag} AS flag_values "
+            f"FROM {table}")
+    stats = "\n  UNION ALL ".join(parts)
+    low = 'lower("column")'
+    return f"""
+WITH s AS (
+  {stats}),
+t AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(trim("column")), '[\\s_\\-.]+'),
+                        lambda x: length(x) > 0) AS toks FROM s),
+f AS (
+  SELECT *,
+    kind = 'numeric' AND ((len(toks) > 0 AND (list_contains({_list(W.ID_TOKENS)}, toks[1])
+                                              OR list_contains({_list(W.ID_TOKENS)}, toks[-1])))
+      OR coalesce(is_integer AND rows >= {W.MIN_ROWS_FOR_RATIO}
+                  AND ndist / rows >= {W.NEAR_UNIQUE_RATIO}, false)) AS is_identifier,
+    kind = 'numeric' AND nonnull > 0 AND flag_values AS is_flag,
+    {_hints_sql(low, W.RATE_HINTS)} AS is_rate,
+    (CASE WHEN {_hints_sql(low, W.MEASURE_HINTS)} THEN 2 ELSE 0 END
+     + CASE WHEN {_hints_sql(low, W.COUNT_HINTS)} THEN 1 ELSE 0 END
+     + CASE WHEN {_hints_sql(low, W.AGGREGATE_HINTS)} THEN 2 ELSE 0 END
+     - CASE WHEN {_hints_sql(low, W.RATE_HINTS)} THEN 3 ELSE 0 END) AS m_score,
+    CASE WHEN {_hints_sql(low, W.DIM_HINTS)} THEN 1 ELSE 0 END AS d_score,
+    kind = 'categorical' AND NOT {_hints_sql(low, W.NON_DIM_HINTS)}
+      AND ndist > 1 AND ndist <= {W.MAX_DIM_CATEGORIES}
+      AND coalesce(nonnull < {W.MIN_ROWS_FOR_RATIO}
+                   OR ndist / nonnull <= {W.REPETITIVE_RATIO}, false) AS dim_ok
+  FROM t),
+g AS (
+  SELECT *, CASE WHEN kind = 'datetime' THEN 'date'
+                 WHEN kind = 'numeric' AND NOT is_identifier AND NOT is_flag THEN 'measure'
+                 WHEN dim_ok THEN 'dimension' ELSE 'none' END AS role
+  FROM f),
+h AS (
+  SELECT *, CASE WHEN role = 'measure' THEN m_score WHEN role = 'dimension' THEN d_score
+                 ELSE 0 END AS score FROM g)
+SELECT ordinal, "column", role, CAST(score AS INTEGER) AS score, is_identifier, is_flag,
+       is_rate,
+       CAST(row_number() OVER (PARTITION BY role ORDER BY score DESC,
+            CASE WHEN role = 'dimension' THEN ndist ELSE 0 END, ordinal) AS INTEGER)
+         AS role_rank
+FROM h"""

@@ -306,3 +306,33 @@ def multi_overview(spark, sf_dir):
     from ..operators.catalog import DRIVER_EDGES, edges_within
     frames = {t: load_table(spark, sf_dir, t) for t in _STAR}
     return P.multi_overview(frames, len(edges_within(DRIVER_EDGES, list(frames))))
+
+
+# --------------------------------------------------------------- semantics
+_ROLE_COLS = ["ordinal", "column", "role", "score", "is_identifier", "is_flag", "is_rate",
+              "role_rank"]
+
+
+def _roles(spark, sf_dir, table):
+    return S.semantics(load_table(spark, sf_dir, table)).select(
+        *_ROLE_COLS[:3], F.col("score").cast("int").alias("score"), *_ROLE_COLS[4:7],
+        F.col("role_rank").cast("int").alias("role_rank"))
+
+
+@register("semantics_measures",
+          f"SELECT * FROM ({O.semantics('lineitem')}) WHERE role = 'measure'")
+def semantics_measures(spark, sf_dir):
+    return _roles(spark, sf_dir, "lineitem").where(F.col("role") == "measure")
+
+
+@register("semantics_dimensions",
+          f"SELECT * FROM ({O.semantics('part')}) WHERE role = 'dimension'")
+def semantics_dimensions(spark, sf_dir):
+    return _roles(spark, sf_dir, "part").where(F.col("role") == "dimension")
+
+
+for _t in ("orders", "customer", "supplier", "events", "documents", "labels",
+           "conversations", "embeddings"):
+    def _make(t):
+        return lambda spark, sf_dir: _roles(spark, sf_dir, t)
+    register(f"semantics_{_t}", O.semantics(_t))(_make(_t))
