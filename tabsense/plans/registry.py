@@ -336,3 +336,201 @@ for _t in ("orders", "customer", "supplier", "events", "documents", "labels",
     def _make(t):
         return lambda spark, sf_dir: _roles(spark, sf_dir, t)
     register(f"semantics_{_t}", O.semantics(_t))(_make(_t))
+
+
+# ------------------------------------------------------------- guarded SQL
+from . import guarded_sql as G  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..session import ALL_TABLES  # noqa: E402
+
+
+def register_views(spark, sf_dir):
+    for t in ALL_TABLES:
+        load_table(spark, sf_dir, t).createOrReplaceTempView(t)
+
+
+def _pass_through(name: str, spark_sql: str, duck_sql: str | None = None,
+                  oracle_limit: bool = False):
+    sql = duck_sql or spark_sql
+    if oracle_limit:
+        sql = f"{sql} LIMIT 500"
+
+    def run(spark, sf_dir):
+        register_views(spark, sf_dir)
+        return G.guarded_sql(spark, spark_sql).df
+    register(name, sql)(run)
+
+
+_pass_through("sql_auto_limit",
+              "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey",
+              oracle_limit=True)
+_pass_through("sql_cte_read", """
+WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
+SELECT c.c_mktsegment, count(*) AS customers, round(sum(s.total), 2) AS spend
+FROM spend s JOIN customer c ON s.o_custkey = c.c_custkey
+GROUP BY c.c_mktsegment""")
+_pass_through("sql_join_star", """
+SELECT r.r_name, count(*) AS lines,
+       round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM lineitem l
+JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+GROUP BY r.r_name""")
+_pass_through("sql_semi_anti", """
+SELECT (SELECT count(*) FROM customer c
+        WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)) AS with_orders,
+       (SELECT count(*) FROM customer c
+        WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey))
+         AS without_orders,
+       (SELECT count(*) FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS unlabeled""")
+_pass_through("sql_rollup", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+_pass_through("sql_window_rank", """
+SELECT * FROM (
+  SELECT c_nationkey, c_custkey, c_acctbal,
+         CAST(row_number() OVER (PARTITION BY c_nationkey
+                                 ORDER BY c_acctbal DESC, c_custkey) AS INT) AS rk
+  FROM customer) t
+WHERE rk <= 3""")
+_pass_through("sql_set_ops", """
+(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)
+EXCEPT (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
+_pass_through("sql_top_k", """
+SELECT p_partkey, p_name, p_retailprice FROM part
+ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")
+_pass_through("sql_scalar_mix", """
+SELECT event_type, count(*) AS n, CAST(min(year(ts)) AS INT) AS first_year,
+       upper(substr(event_type, 1, 3)) AS code, round(avg(length(props)), 2) AS avg_props_len,
+       round(max(abs(value)), 2) AS max_abs,
+       CAST(sum(CAST(get_json_object(props, '$.k') AS INT)) AS BIGINT) AS k_sum,
+       min(date_format(ts, 'yyyy-MM-dd')) AS first_day
+FROM events GROUP BY event_type""", """
+SELECT event_type, count(*) AS n, CAST(min(year(ts)) AS INT) AS first_year,
+       upper(substr(event_type, 1, 3)) AS code, round(avg(length(props)), 2) AS avg_props_len,
+       round(max(abs(value)), 2) AS max_abs,
+       CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS k_sum,
+       min(strftime(ts, '%Y-%m-%d')) AS first_day
+FROM events GROUP BY event_type""")
+
+
+# ------------------------------------------------------------ text queries
+_SQL_REPLY = ("concat('Here is the query:\\n```sql\\nSELECT count(*) FROM documents "
+              "WHERE lang = ''', role, ''';\\n-- generated\\n\\n```\\n', text)")
+
+
+def _sql_replies(spark, sf_dir):
+    conv = load_table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", F.when(
+        F.col("role") == "assistant", F.expr(_SQL_REPLY)).otherwise(F.col("text")).alias("reply"))
+
+
+_DUCK_WS = "'^\\s+|\\s+$'"
+_DUCK_LB = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+
+
+def _duck_nl(spark_expr: str) -> str:
+    """Spark SQL literals read ``\\n`` as a newline; DuckDB needs ``chr(10)``."""
+    return spark_expr.replace("\\n", "' || chr(10) || '")
+
+
+def _duck_strip(x: str) -> str:
+    return f"regexp_replace({x}, {_DUCK_WS}, '', 'g')"
+
+
+@register("extract_sql", f"""
+WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN {_duck_nl(_SQL_REPLY)}
+                ELSE text END AS reply FROM conversations),
+b AS (SELECT conv_id, turn, reply,
+             regexp_extract(reply, '(?is)```(?:sql)?\\s*(.+?)```', 1) AS fenced FROM r)
+SELECT conv_id, turn,
+       regexp_replace({_duck_strip("array_to_string(list_filter(string_split_regex("
+                                   "CASE WHEN fenced = '' THEN reply ELSE fenced END, "
+                                   + _DUCK_LB + "), lambda l: " + _duck_strip('l')
+                                   + " <> '' AND NOT starts_with(" + _duck_strip('l')
+                                   + ", '--')), chr(10))")}, ';+$', '') AS sql
+FROM b""")
+def extract_sql_query(spark, sf_dir):
+    return _sql_replies(spark, sf_dir).select("conv_id", "turn",
+                                              T.extract_sql(F.col("reply")).alias("sql"))
+
+
+_REPORT_REPLY = ("concat('## SUMMARY\\n', text, '\\n## FINDINGS\\n- ', "
+                 "replace(text, '\\n', '\\n- '), '\\n## RECOMMENDATIONS\\n- Review [', role, "
+                 "'] **now**\\n* check ', CAST(turn AS STRING))")
+
+
+def _duck_humanize(x: str) -> str:
+    return _duck_strip(f"replace(regexp_replace({x}, '\\[([^\\[\\]]{{1,60}})\\]', '\\1', 'g'), "
+                       f"'**', '')")
+
+
+def _duck_section(x: str, name: str) -> str:
+    return _duck_strip(f"regexp_extract({x}, '(?is)##\\s*{name}\\s*\\n(.*?)(?:\\n##\\s|$)', 1)")
+
+
+def _duck_bullets(block: str) -> str:
+    trimmed = f"list_transform(string_split_regex({block}, {_DUCK_LB}), lambda l: {_duck_strip('l')})"
+    marked = f"list_filter({trimmed}, lambda l: regexp_matches(l, '^[-*•]'))"
+    cleaned = (f"list_transform({marked}, lambda l: regexp_replace("
+               f"{_duck_strip(chr(114) + 'egexp_replace(l, ' + chr(39) + '^[-*• ]+' + chr(39) + ', ' + chr(39) + chr(39) + ')')}"
+               f", '^\\*+|\\*+$', '', 'g'))")
+    return f"list_filter({cleaned}, lambda l: l <> '')"
+
+
+@register("parse_sections", f"""
+WITH r AS (SELECT conv_id, turn, {_duck_nl(_REPORT_REPLY).replace('AS STRING', 'AS VARCHAR')} AS reply
+           FROM conversations),
+p AS (SELECT conv_id, turn, reply,
+             {_duck_humanize(_duck_section('reply', 'SUMMARY'))} AS summary,
+             list_transform({_duck_bullets(_duck_section('reply', 'FINDINGS'))},
+                            lambda f: {_duck_humanize('f')}) AS findings,
+             list_transform({_duck_bullets(_duck_section('reply', 'RECOMMENDATIONS'))},
+                            lambda f: {_duck_humanize('f')}) AS recs
+      FROM r)
+SELECT conv_id, turn,
+       CASE WHEN summary = '' AND len(findings) = 0 THEN {_duck_humanize('reply')}
+            ELSE summary END AS summary,
+       CAST(len(findings) AS INTEGER) AS n_findings,
+       array_to_string(findings, ' | ') AS findings,
+       array_to_string(recs, ' | ') AS recommendations
+FROM p""")
+def parse_sections_query(spark, sf_dir):
+    conv = load_table(spark, sf_dir, "conversations")
+    p = T.parse_sections(F.expr(_REPORT_REPLY))
+    return conv.select("conv_id", "turn", p.alias("p")).select(
+        "conv_id", "turn", F.col("p.summary").alias("summary"),
+        F.size("p.findings").alias("n_findings"),
+        F.array_join("p.findings", " | ").alias("findings"),
+        F.array_join("p.recommendations", " | ").alias("recommendations"))
+
+
+@register("detect_language", """
+SELECT doc_id, lang,
+       CAST(length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g')) AS INTEGER) AS arabic,
+       CAST(length(array_to_string(regexp_extract_all(text, '[A-Za-z]{3,}'), '')) AS INTEGER)
+         AS latin,
+       CASE WHEN length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g'))
+                 > length(array_to_string(regexp_extract_all(text, '[A-Za-z]{3,}'), ''))
+            THEN 'ar' ELSE 'en' END AS detected
+FROM documents""")
+def detect_language_query(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", T.arabic_letters(F.col("text")).alias("arabic"),
+                    T.latin_letters(F.col("text")).alias("latin"),
+                    T.detect_language(F.col("text")).alias("detected"))
+
+
+@register("extract_numbers", """
+SELECT doc_id, num FROM (
+  SELECT doc_id, unnest(list_distinct(list_filter(list_transform(
+           regexp_extract_all(text, '[0-9][0-9,]*\\.?[0-9]*'),
+           lambda x: regexp_replace(replace(x, ',', ''), '\\.$', '')), lambda x: x <> '')))
+         AS num
+  FROM documents)""")
+def extract_numbers_query(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(T.numbers(F.col("text"))).alias("num"))
