@@ -55,3 +55,47 @@ def edges_within(edges: list[Edge], selected: list[str]) -> list[Edge]:
     """CAT-2: edges whose both ends are in the selection."""
     chosen = set(selected)
     return [e for e in edges if e.from_table in chosen and e.to_table in chosen]
+
+
+def inventory(frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None
+              ) -> DataFrame:
+    """CAT-1: ``table, n_columns, primary_keys, row_count`` (exact counts)."""
+    keys = keys or {}
+    out = None
+    for name, df in frames.items():
+        one = df.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select(
+            F.lit(name).alias("table"), F.lit(len(df.columns)).alias("n_columns"),
+            F.lit(",".join(keys.get(name, []))).alias("primary_keys"), "row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def column_inventory(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """CAT-1 columns: ``table, ordinal, column, type, nullable`` (schema metadata)."""
+    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable)
+            for t, df in frames.items() for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(
+        rows, "table string, ordinal int, column string, type string, nullable boolean")
+
+
+def edge_check(frames: dict[str, DataFrame], edges: list[Edge]) -> DataFrame:
+    """CAT-2/3: per declared edge inside the selection — child rows and orphans
+    (child rows whose non-null key has no parent row)."""
+    out = None
+    for e in edges_within(edges, list(frames)):
+        child = frames[e.from_table].select(
+            *[q(c).alias(f"k{i}") for i, c in enumerate(e.from_cols)])
+        parent = frames[e.to_table].select(
+            *[q(c).alias(f"k{i}") for i, c in enumerate(e.to_cols)]).distinct()
+        keys = [f"k{i}" for i in range(len(e.from_cols))]
+        nonnull = child.dropna(subset=keys)
+        orphans = nonnull.join(parent, keys, "left_anti")
+        one = (child.agg(F.count(F.lit(1)).cast("long").alias("child_rows"))
+               .crossJoin(orphans.agg(F.count(F.lit(1)).cast("long").alias("orphans")))
+               .select(F.lit(e.from_table).alias("from_table"),
+                       F.lit(",".join(e.from_cols)).alias("from_cols"),
+                       F.lit(e.to_table).alias("to_table"),
+                       F.lit(",".join(e.to_cols)).alias("to_cols"),
+                       "child_rows", "orphans"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -428,3 +428,78 @@ SELECT ordinal, "column", role, CAST(score AS INTEGER) AS score, is_identifier,
             CASE WHEN role = 'dimension' THEN ndist ELSE 0 END, ordinal) AS INTEGER)
          AS role_rank
 FROM h"""
+
+
+# ------------------------------------------------------------ labels/format
+def _map(pairs: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in pairs.items()) + "}"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def humanize(expr: str, language: str = "en") -> str:
+    from ..functions.labels import DICTIONARY, PHRASES
+    idx = 0 if language == "ar" else 1
+    word = _map({k: v[idx] for k, v in DICTIONARY.items()})
+    phrase = _map({k: v[idx] for k, v in PHRASES.items()})
+    raw = strip_ws(expr)
+    w = (f"list_transform(list_filter(regexp_split_to_array(regexp_replace({raw}, "
+         f"'([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[\\s_\\-.]+'), lambda p: p <> ''), "
+         f"lambda p: lower(p))")
+    n = f"len({w})"
+    id_core = f"({n} > 1 AND {w}[-1] = 'id')"
+    core = f"(CASE WHEN {id_core} THEN {w}[1:{n} - 1] ELSE {w} END)"
+    known = f"list_transform({core}, lambda x: {word}[x])"
+    pretty = f"array_to_string({core}, ' ')"
+    return f"""(CASE
+  WHEN regexp_matches({raw}, '[\\x{{0600}}-\\x{{06FF}}]') THEN {raw}
+  WHEN {n} = 0 THEN {raw}
+  WHEN {phrase}[array_to_string({w}, ' ')] IS NOT NULL THEN {phrase}[array_to_string({w}, ' ')]
+  WHEN {id_core} AND {phrase}[array_to_string({core}, ' ')] IS NOT NULL
+    THEN {phrase}[array_to_string({core}, ' ')]
+  WHEN list_bool_and(list_transform({known}, lambda x: x IS NOT NULL))
+    THEN array_to_string({known}, ' ')
+  ELSE upper(substr({pretty}, 1, 1)) || substr({pretty}, 2) END)"""
+
+
+def fmt_number(x: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL THEN '—' ELSE regexp_replace(regexp_replace("
+            f"format('{{:,.2f}}', CAST({x} AS DOUBLE)), '0+$', ''), '\\.$', '') END)")
+
+
+def fmt_compact(x: str) -> str:
+    d = f"CAST({x} AS DOUBLE)"
+
+    def strip(s):
+        return f"regexp_replace(regexp_replace({s}, '0+$', ''), '\\.$', '')"
+    return (f"(CASE WHEN {x} IS NULL THEN '—' "
+            f"WHEN abs({d}) >= 1e9 THEN {strip(f'format(' + chr(39) + '{:,.2f}' + chr(39) + f', {d} / 1e9)')} || 'B' "
+            f"WHEN abs({d}) >= 1e6 THEN {strip(f'format(' + chr(39) + '{:,.2f}' + chr(39) + f', {d} / 1e6)')} || 'M' "
+            f"WHEN abs({d}) >= 1000 THEN format('{{:,.0f}}', {d}) "
+            f"ELSE {fmt_number(x)} END)")
+
+
+def py_number(x: str, integral: str = "false") -> str:
+    flt = f"regexp_replace(format('{{:.2f}}', CAST({x} AS DOUBLE)), '(\\.[0-9])0$', '\\1')"
+    intg = f"format('{{:.0f}}', CAST({x} AS DOUBLE))"
+    return (f"(CASE WHEN {x} IS NULL THEN 'None' WHEN {integral} THEN {intg} "
+            f"ELSE {flt} END)")
+
+
+def num_text(x: str, integral: str = "false") -> str:
+    return f"(CASE WHEN {x} = 0 THEN '0' ELSE {py_number(x, integral)} END)"
+
+
+def clean_title(x: str, fallback: str = "'report'") -> str:
+    t = f"regexp_replace({strip_ws(x)}, '(?i)\\.(csv|xlsx?|json)(-\\d+)?$', '')"
+    t = f"regexp_replace({t}, '\\s*\\(\\d+\\)$', '')"
+    t = f"regexp_replace({t}, '^[ \\-_·]+|[ \\-_·]+$', '', 'g')"
+    return f"(CASE WHEN {t} = '' THEN {fallback} ELSE {t} END)"
+
+
+def numbers(x: str) -> str:
+    return (f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, "
+            f"'[0-9][0-9,]*\\.?[0-9]*'), lambda t: regexp_replace(replace(t, ',', ''), "
+            f"'\\.$', '')), lambda t: t <> ''))")

@@ -534,3 +534,259 @@ SELECT doc_id, num FROM (
 def extract_numbers_query(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents")
     return d.select("doc_id", F.explode(T.numbers(F.col("text"))).alias("num"))
+
+
+# ------------------------------------------------------- ranking tables
+from ..operators import ranking as R  # noqa: E402
+
+
+@register("rank_table", f"""
+WITH bd AS ({O.breakdowns('documents', ['source'], 'n_chars')}),
+shown AS (SELECT dim_order, count(*) AS shown FROM bd GROUP BY dim_order)
+SELECT dim_order, "column", rank, label, value, value_pct AS pct FROM bd
+UNION ALL
+SELECT bd.dim_order, "column", CAST(NULL AS INTEGER),
+       printf('Others (%d %s)', categories - shown,
+              CASE WHEN categories - shown = 1 THEN 'category' ELSE 'categories' END),
+       others, CASE WHEN total <> 0 THEN round(100 * others / total, 1) END
+FROM bd JOIN shown ON bd.dim_order = shown.dim_order
+WHERE rank = 1 AND others IS NOT NULL""")
+def rank_table(spark, sf_dir):
+    df = load_table(spark, sf_dir, "documents")
+    return R.rank_table(B.breakdown(df, "source", "n_chars"))
+
+
+@register("leader_gap", f"""
+WITH bd AS ({O.breakdowns('documents', ['lang', 'source'], 'n_chars')}),
+two AS (SELECT *, count(*) OVER (PARTITION BY dim_order) AS shown FROM bd)
+SELECT dim_order, "column", max(CASE WHEN rank = 1 THEN label END) AS leader,
+       max(CASE WHEN rank = 2 THEN label END) AS runner_up,
+       round(max(CASE WHEN rank = 1 THEN value END) - max(CASE WHEN rank = 2 THEN value END), 2)
+         AS gap,
+       max(leader_share_pct) AS share
+FROM two WHERE shown >= 2 GROUP BY dim_order, "column\"""")
+def leader_gap(spark, sf_dir):
+    df = load_table(spark, sf_dir, "documents")
+    return R.leader_gap(B.breakdowns(df, ["lang", "source"], "n_chars"))
+
+
+@register("concentration", f"""
+WITH bd AS ({O.breakdowns('documents', ['source', 'lang'], 'n_chars')})
+SELECT "column", leader, leader_share_pct AS pct,
+       printf('''%s'' holds %s%% of %s', leader, {O.fmt_number('leader_share_pct')},
+              {O.humanize('coalesce(measure, "column")')}) AS text,
+       coverage_pct < 95 AS partial
+FROM bd WHERE rank = 1 AND leader_share_pct >= 50
+ORDER BY leader_share_pct DESC, dim_order LIMIT 1""")
+def concentration(spark, sf_dir):
+    df = load_table(spark, sf_dir, "documents")
+    return R.concentration(B.breakdowns(df, ["source", "lang"], "n_chars"))
+
+
+# --------------------------------------------------------------- catalog
+from ..operators import catalog as C  # noqa: E402
+
+
+@register("table_inventory", "\nUNION ALL\n".join(
+    f"SELECT {O.lit(t)} AS \"table\", {len(O.SCHEMA[t])} AS n_columns, "
+    f"{O.lit(','.join(C.DRIVER_KEYS[t]))} AS primary_keys, count(*) AS row_count FROM {t}"
+    for t in ALL_TABLES))
+def table_inventory(spark, sf_dir):
+    frames = {t: load_table(spark, sf_dir, t) for t in ALL_TABLES}
+    return C.inventory(frames, C.DRIVER_KEYS)
+
+
+def _edge_sql(edges, selected):
+    parts = []
+    for e in C.edges_within(edges, selected):
+        on = " AND ".join(f"c.{O.ident(a)} = p.{O.ident(b)}"
+                          for a, b in zip(e.from_cols, e.to_cols))
+        nn = " AND ".join(f"c.{O.ident(a)} IS NOT NULL" for a in e.from_cols)
+        parts.append(
+            f"SELECT {O.lit(e.from_table)} AS from_table, {O.lit(','.join(e.from_cols))} "
+            f"AS from_cols, {O.lit(e.to_table)} AS to_table, {O.lit(','.join(e.to_cols))} "
+            f"AS to_cols, (SELECT count(*) FROM {e.from_table}) AS child_rows, "
+            f"(SELECT count(*) FROM {e.from_table} c WHERE {nn} AND NOT EXISTS "
+            f"(SELECT 1 FROM {e.to_table} p WHERE {on})) AS orphans")
+    return "\nUNION ALL\n".join(parts)
+
+
+_REL_TABLES = list(_STAR) + ["labels", "documents"]
+
+
+@register("relationships", _edge_sql(C.DRIVER_EDGES, _REL_TABLES))
+def relationships(spark, sf_dir):
+    frames = {t: load_table(spark, sf_dir, t) for t in _REL_TABLES}
+    return C.edge_check(frames, C.DRIVER_EDGES)
+
+
+_REVERSE = [C.Edge("documents", ("doc_id",), "labels", ("doc_id",)),
+            C.Edge("orders", ("o_orderkey",), "lineitem", ("l_orderkey",))]
+
+
+@register("fk_orphans", _edge_sql(_REVERSE, ["documents", "labels", "orders", "lineitem"]))
+def fk_orphans(spark, sf_dir):
+    frames = {t: load_table(spark, sf_dir, t) for t in ["documents", "labels", "orders",
+                                                         "lineitem"]}
+    return C.edge_check(frames, _REVERSE)
+
+
+# --------------------------------------------------------------- changes
+from ..operators import changes as CH  # noqa: E402
+
+_ORDER_COLS = [c for c, _, _ in O.SCHEMA["orders"]]
+
+
+def _batch(spark, sf_dir):
+    """A change batch derived from the tables (attribute rules, no sampling).
+
+    seq 1: urgent orders get status 'F'; seq 2: delete status 'P';
+    seq 3: high-priority prices doubled; seq 4: one new order per AUTOMOBILE
+    customer (negative keys never collide); seq 5: new orders of nation 0
+    customers deleted again (insert then delete).
+    """
+    o = load_table(spark, sf_dir, "orders")
+    c = load_table(spark, sf_dir, "customer")
+    nul = {n: F.lit(None).cast(o.schema[n].dataType) for n in _ORDER_COLS}
+
+    def rows(df, seq, op, set_cols, **vals):
+        cols = [vals.get(n, F.col(n) if n in df.columns else nul[n]).alias(n)
+                for n in _ORDER_COLS]
+        return df.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"),
+                         F.array(*[F.lit(s) for s in set_cols]).cast("array<string>")
+                         .alias("set_cols"), *cols)
+    new = c.where(F.col("c_mktsegment") == "AUTOMOBILE")
+    new_cols = dict(o_orderkey=-(F.col("c_custkey") + 1), o_custkey=F.col("c_custkey"),
+                    o_orderstatus=F.lit("O"), o_totalprice=F.col("c_acctbal"),
+                    o_orderdate=F.lit("2001-08-01").cast("timestamp_ntz"),
+                    o_orderpriority=F.lit("3-MEDIUM"))
+    return (rows(o.where(F.col("o_orderpriority") == "1-URGENT"), 1, "update",
+                 ["o_orderstatus"], o_orderstatus=F.lit("F"))
+            .unionByName(rows(o.where(F.col("o_orderstatus") == "P"), 2, "delete", []))
+            .unionByName(rows(o.where(F.col("o_orderpriority") == "2-HIGH"), 3, "update",
+                              ["o_totalprice"], o_totalprice=F.col("o_totalprice") * 2))
+            .unionByName(rows(new, 4, "insert", [], **new_cols))
+            .unionByName(rows(new.where(F.col("c_nationkey") == 0), 5, "delete", [],
+                              o_orderkey=-(F.col("c_custkey") + 1))))
+
+
+_APPLY_SQL = """
+WITH base AS (SELECT * FROM orders),
+upd AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+del AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'),
+dbl AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'),
+kept AS (
+  SELECT o_orderkey, o_custkey,
+         CASE WHEN o_orderkey IN (SELECT o_orderkey FROM upd) THEN 'F' ELSE o_orderstatus END
+           AS o_orderstatus,
+         CASE WHEN o_orderkey IN (SELECT o_orderkey FROM dbl) THEN o_totalprice * 2
+              ELSE o_totalprice END AS o_totalprice,
+         o_orderdate, o_orderpriority
+  FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM del)),
+ins AS (
+  SELECT -(c_custkey + 1) AS o_orderkey, c_custkey AS o_custkey, 'O' AS o_orderstatus,
+         c_acctbal AS o_totalprice, TIMESTAMP '2001-08-01 00:00:00' AS o_orderdate,
+         '3-MEDIUM' AS o_orderpriority
+  FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_nationkey <> 0)
+SELECT * FROM kept UNION ALL SELECT * FROM ins"""
+
+
+@register("apply_changes", _APPLY_SQL)
+def apply_changes(spark, sf_dir):
+    return CH.apply_changes(load_table(spark, sf_dir, "orders"), _batch(spark, sf_dir),
+                            ["o_orderkey"])
+
+
+@register("apply_change_counts", """
+SELECT CAST((SELECT count(*) FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+             AND c_nationkey <> 0) AS BIGINT) AS inserted,
+       CAST((SELECT count(*) FROM orders WHERE o_orderstatus <> 'P'
+             AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS updated,
+       CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS BIGINT) AS deleted""")
+def apply_change_counts(spark, sf_dir):
+    return CH.change_counts(load_table(spark, sf_dir, "orders"), _batch(spark, sf_dir),
+                            ["o_orderkey"])
+
+
+@register("apply_inserts", """
+SELECT * FROM orders UNION ALL
+SELECT -(c_custkey + 1), c_custkey, 'O', c_acctbal, CAST(NULL AS TIMESTAMP), '3-MEDIUM'
+FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
+def apply_inserts(spark, sf_dir):
+    c = load_table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "AUTOMOBILE")
+    rows = c.select((-(F.col("c_custkey") + 1)).alias("o_orderkey"),
+                    F.col("c_custkey").alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+                    F.col("c_acctbal").alias("o_totalprice"),
+                    F.lit("3-MEDIUM").alias("o_orderpriority"))
+    return CH.insert_rows(load_table(spark, sf_dir, "orders"), rows)
+
+
+@register("apply_updates", """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 100
+            ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority
+FROM orders""")
+def apply_updates(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    upd = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        "o_orderkey", F.lit("F").alias("o_orderstatus"),
+        (F.col("o_totalprice") + 100).alias("o_totalprice"))
+    return CH.update_rows(o, ["o_orderkey"], upd)
+
+
+@register("apply_deletes", """
+SELECT * FROM orders o WHERE NOT EXISTS (
+  SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING')""")
+def apply_deletes(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    c = load_table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    gone = o.join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return CH.delete_rows(o, ["o_orderkey"], gone.select("o_orderkey"))
+
+
+@register("apply_affected", """
+SELECT CAST(count(*) AS BIGINT) AS affected FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def apply_affected(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    return CH.affected(o, ["o_orderkey"], o.where(F.col("o_orderpriority") == "1-URGENT"))
+
+
+# ------------------------------------------------------------- query log
+from ..operators import oplog as LG  # noqa: E402
+
+_LOG_SQL = """(SELECT event_id AS id, event_type AS request, props AS sql,
+  'read' AS sql_class, 'editor' AS source, CAST(NULL AS VARCHAR) AS model,
+  user_id AS rows, true AS success, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at,
+  event_type = 'purchase' AS favorite FROM events)"""
+
+
+def _log(spark, sf_dir):
+    e = load_table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("request"),
+                    F.col("props").alias("sql"), F.lit("read").alias("sql_class"),
+                    F.lit("editor").alias("source"), F.lit(None).cast("string").alias("model"),
+                    F.col("user_id").alias("rows"), F.lit(True).alias("success"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                    (F.col("event_type") == "purchase").alias("favorite"))
+
+
+@register("log_retention", f"""
+SELECT * FROM {_LOG_SQL} l WHERE favorite
+UNION ALL
+SELECT * FROM (SELECT * FROM {_LOG_SQL} l WHERE NOT favorite ORDER BY id DESC LIMIT 500)""")
+def log_retention(spark, sf_dir):
+    return LG.retain(_log(spark, sf_dir))
+
+
+@register("log_recent", f"""
+SELECT * FROM {_LOG_SQL} l WHERE favorite ORDER BY id DESC LIMIT 50""")
+def log_recent(spark, sf_dir):
+    return LG.recent(_log(spark, sf_dir), 50, favorites_only=True)
+
+
+@register("log_clear", f"""
+SELECT CAST(count(*) FILTER (WHERE NOT favorite) AS BIGINT) AS deleted FROM {_LOG_SQL} l""")
+def log_clear(spark, sf_dir):
+    return LG.cleared_count(_log(spark, sf_dir))
