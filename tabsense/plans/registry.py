@@ -790,3 +790,240 @@ def log_recent(spark, sf_dir):
 SELECT CAST(count(*) FILTER (WHERE NOT favorite) AS BIGINT) AS deleted FROM {_LOG_SQL} l""")
 def log_clear(spark, sf_dir):
     return LG.cleared_count(_log(spark, sf_dir))
+
+
+# ------------------------------------------------------ labels and formats
+from ..functions import labels as L  # noqa: E402
+
+
+def _names_sql():
+    rows = []
+    for t in ALL_TABLES:
+        rows.append(f"SELECT {O.lit(t)} AS \"table\", -1 AS ordinal, {O.lit(t)} AS name")
+        for i, (c, _, _) in enumerate(O.SCHEMA[t]):
+            rows.append(f"SELECT {O.lit(t)}, {i}, {O.lit(c)}")
+    extra = ["total_amount", "customer_id", "unitPrice", "order-date", "is_active",
+             "shipping address", "رقم المرجع", "created_at", "first_name", "order_items_id"]
+    for i, c in enumerate(extra):
+        rows.append(f"SELECT 'examples', {i}, {O.lit(c)}")
+    return " UNION ALL ".join(rows)
+
+
+def _names(spark, sf_dir):
+    """Column and table names of the driver tables (read from their schemas)
+    plus naming-style examples."""
+    frames = {t: load_table(spark, sf_dir, t) for t in ALL_TABLES}
+    inv = C.column_inventory(spark, frames).select(
+        "table", "ordinal", F.col("column").alias("name"))
+    tables = spark.createDataFrame([(t, -1, t) for t in ALL_TABLES],
+                                   "table string, ordinal int, name string")
+    extra = ["total_amount", "customer_id", "unitPrice", "order-date", "is_active",
+             "shipping address", "رقم المرجع", "created_at", "first_name", "order_items_id"]
+    ex = spark.createDataFrame([("examples", i, c) for i, c in enumerate(extra)],
+                               "table string, ordinal int, name string")
+    return tables.unionByName(inv).unionByName(ex)
+
+
+@register("column_labels", f"""
+SELECT "table", ordinal, name, {O.humanize('name', 'en')} AS label_en,
+       {O.humanize('name', 'ar')} AS label_ar
+FROM ({_names_sql()})""")
+def column_labels(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    return n.select("table", "ordinal", "name", L.humanize(F.col("name"), "en").alias("label_en"),
+                    L.humanize(F.col("name"), "ar").alias("label_ar"))
+
+
+@register("format_numbers", f"""
+SELECT o_orderkey, {O.fmt_number('o_totalprice')} AS plain,
+       {O.fmt_compact('o_totalprice * 1000')} AS compact_k,
+       {O.fmt_compact('o_totalprice * 10')} AS compact,
+       {O.fmt_number('o_totalprice / 1000')} AS small
+FROM orders""")
+def format_numbers(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", L.fmt_number(F.col("o_totalprice")).alias("plain"),
+                    L.fmt_compact(F.col("o_totalprice") * 1000).alias("compact_k"),
+                    L.fmt_compact(F.col("o_totalprice") * 10).alias("compact"),
+                    L.fmt_number(F.col("o_totalprice") / 1000).alias("small"))
+
+
+_TITLE = "concat('- ', regexp_extract(url, '://([^./]+)', 1), ' (', CAST(length(url) AS {t}), ').CSV')"
+_TITLE2 = "concat(regexp_extract(url, '://([^./]+)', 1), '.xlsx-', CAST(page_id AS {t}))"
+
+
+@register("clean_titles", f"""
+SELECT page_id, {O.clean_title(_TITLE.format(t='VARCHAR'))} AS title,
+       {O.clean_title(_TITLE2.format(t='VARCHAR'))} AS title2,
+       {O.clean_title("'  (2).json'", "'report'")} AS empty_title
+FROM pages""")
+def clean_titles(spark, sf_dir):
+    p = load_table(spark, sf_dir, "pages")
+    return p.select("page_id", L.clean_title(F.expr(_TITLE.format(t="STRING"))).alias("title"),
+                    L.clean_title(F.expr(_TITLE2.format(t="STRING"))).alias("title2"),
+                    L.clean_title(F.lit("  (2).json")).alias("empty_title"))
+
+
+# ------------------------------------------- facts, narrative, grounding
+from . import facts as FA  # noqa: E402
+
+
+def _facts_sql(source, measure, date_col, dims, integral, table=None):
+    prefix = f"[{table}] " if table else ""
+    p = O.lit(prefix)
+    kp = O.kpis(source, measure)
+    int_m = "true" if integral else "false"
+    val = O.py_number("value", f"(key = 'records' OR (key <> 'average' AND {int_m}))")
+    name = (f"CASE WHEN key = 'records' THEN 'records' WHEN key = 'total' THEN "
+            f"'total of ' || coalesce(\"column\", '') WHEN key = 'average' THEN 'average of ' "
+            f"|| coalesce(\"column\", '') ELSE 'highest of ' || coalesce(\"column\", '') END")
+    parts = [f"SELECT seq, {p} || {name} || ' = ' || {val} AS text FROM ({kp})"]
+    int_t = "true" if (integral or measure is None) else "false"
+    if date_col:
+        ts = O.trend_summary(source, date_col, measure)
+        parts += [
+            f"SELECT 10, {p} || 'period from ' || period_start || ' to ' || period_end FROM ({ts})",
+            f"SELECT 11, {p} || 'first value = ' || {O.num_text('first', int_t)} || ', last = ' "
+            f"|| {O.num_text('last', int_t)} || CASE WHEN change_pct IS NOT NULL THEN "
+            f"', change = ' || {O.py_number('change_pct')} || '%' ELSE '' END FROM ({ts})",
+            f"SELECT 12, {p} || 'peak at ' || peak_label || ' = ' || "
+            f"{O.num_text('peak_value', int_t)} FROM ({ts})"]
+    if dims:
+        bd = O.breakdowns(source, dims, measure)
+        int_b = f"(kind = 'count' OR (kind = 'sum' AND {int_m}))"
+        parts += [
+            f"SELECT 20 + 2 * dim_order, {p} || 'by ' || \"column\" || ': ' || categories || "
+            f"' categories, top is ''' || leader || ''' = ' || {O.num_text('leader_value', int_b)}"
+            f" || CASE WHEN leader_share_pct IS NOT NULL THEN ' (' || "
+            f"{O.py_number('leader_share_pct')} || '% of total)' ELSE '' END || CASE WHEN "
+            f"coverage_pct >= 95 THEN '' ELSE ' (computed on the ' || "
+            f"{O.py_number('coverage_pct')} || '% of rows that have a value)' END "
+            f"FROM ({bd}) WHERE rank = 1",
+            f"SELECT 21 + 2 * dim_order, {p} || 'top ' || \"column\" || ' values: ' || "
+            f"string_agg(label || '=' || {O.num_text('value', int_b)}, ', ' ORDER BY rank) "
+            f"FROM ({bd}) WHERE rank <= 5 GROUP BY dim_order, \"column\" "
+            f"HAVING max(categories) > 2"]
+    return (f"SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS seq, text FROM ("
+            + " UNION ALL ".join(parts) + ")")
+
+
+def _analysis(spark, sf_dir, table, overrides=None):
+    df = load_table(spark, sf_dir, table)
+    return df, analyze(df, overrides)
+
+
+@register("facts_list", _facts_sql("orders", "o_totalprice", "o_orderdate",
+                                   ["o_orderstatus", "o_orderpriority"], False, "orders"))
+def facts_list(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "orders")
+    return FA.facts(a, df.schema, table="orders")
+
+
+@register("facts_documents", _facts_sql("documents", "n_chars", None, ["lang", "source"], True))
+def facts_documents(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "documents")
+    return FA.facts(a, df.schema)
+
+
+@register("facts_lineitem", _facts_sql("lineitem", "l_quantity", "l_shipdate",
+                                       ["l_linestatus", "l_returnflag"], False))
+def facts_lineitem(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "lineitem")
+    return FA.facts(a, df.schema)
+
+
+@register("narrative_findings")
+def narrative_findings(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "orders")
+    return FA.narrative(a, subject="orders")
+
+
+@register("narrative_events")
+def narrative_events(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "events")
+    return FA.narrative(a, subject="events", language="ar")
+
+
+def _grounding_sql(kind: str) -> str:
+    facts = _facts_sql("documents", "n_chars", None, ["lang", "source"], True)
+    return f"""
+WITH f AS (SELECT DISTINCT unnest({O.numbers('text')}) AS token FROM ({facts})),
+fv AS (SELECT token, TRY_CAST(token AS DOUBLE) AS v FROM f),
+said AS (SELECT doc_id, token, TRY_CAST(token AS DOUBLE) AS v
+         FROM (SELECT doc_id, unnest({O.numbers('text')}) AS token FROM documents)),
+bad AS (
+  SELECT doc_id, token FROM said s
+  WHERE v IS NOT NULL AND v > 12
+    AND NOT EXISTS (SELECT 1 FROM fv WHERE fv.token = s.token)
+    AND NOT EXISTS (SELECT 1 FROM fv WHERE abs(s.v - fv.v) <= greatest(1.0, abs(fv.v) * 0.01)))
+""" + ("SELECT doc_id, token FROM bad" if kind == "bad" else
+       "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
+
+
+@register("ungrounded_numbers", _grounding_sql("bad"))
+def ungrounded_numbers(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "documents")
+    return FA.ungrounded(df.select("doc_id", "text"), FA.facts(a, df.schema), ["doc_id"])
+
+
+@register("grounded_claims", _grounding_sql("kept"))
+def grounded_claims(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "documents")
+    return FA.strip_ungrounded(df.select("doc_id", "lang", "text"), FA.facts(a, df.schema),
+                               ["doc_id"]).select("doc_id", "lang")
+
+
+@register("fallback_fill")
+def fallback_fill(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "orders")
+    nar = FA.narrative(a, subject="orders")
+    fb = nar.groupBy().agg(
+        F.max(F.when(F.col("section") == "summary", F.col("text"))).alias("summary"),
+        F.transform(F.array_sort(F.collect_list(F.when(
+            F.col("section") == "findings", F.struct("seq", "text")))),
+            lambda x: x["text"]).alias("findings"),
+        F.transform(F.array_sort(F.collect_list(F.when(
+            F.col("section") == "recommendations", F.struct("seq", "text")))),
+            lambda x: x["text"]).alias("recommendations"))
+    conv = load_table(spark, sf_dir, "conversations")
+    parsed = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"),
+                         T.parse_sections(F.expr(_REPORT_REPLY)).alias("p")).select(
+        "reply_id", "p.*")
+    out = FA.fallback_fill(parsed, fb, "en")
+    return out.select("reply_id", "summary", F.size("findings").alias("n_findings"),
+                      F.size("recommendations").alias("n_recommendations"),
+                      "used_fallback", "language_ok")
+
+
+# -------------------------------------------------------- browse and charts
+from ..operators import browse as BR  # noqa: E402
+
+
+@register("browse_page", """
+SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey, o_custkey,
+  o_orderstatus, o_orderdate, o_orderpriority LIMIT 50 OFFSET 100""")
+def browse_page(spark, sf_dir):
+    return BR.page(load_table(spark, sf_dir, "orders"), limit=50, offset=100,
+                   order_by="o_totalprice", direction="desc")
+
+
+@register("browse_total", "SELECT CAST(count(*) AS BIGINT) AS total FROM part")
+def browse_total(spark, sf_dir):
+    return BR.total(load_table(spark, sf_dir, "part"))
+
+
+@register("sample_rows", "SELECT * FROM part ORDER BY p_partkey LIMIT 10")
+def sample_rows(spark, sf_dir):
+    return P.sample_rows(load_table(spark, sf_dir, "part"), ["p_partkey"])
+
+
+@register("chart_series", """
+SELECT coalesce(CAST(c_mktsegment AS VARCHAR), '—') AS x, CAST(customers AS DOUBLE) AS y
+FROM (SELECT c_mktsegment, count(*) AS customers, round(sum(c_acctbal), 2) AS bal
+      FROM customer GROUP BY c_mktsegment) ORDER BY c_mktsegment LIMIT 40""")
+def chart_series(spark, sf_dir):
+    register_views(spark, sf_dir)
+    res = G.guarded_sql(spark, "SELECT c_mktsegment, count(*) AS customers, "
+                               "round(sum(c_acctbal), 2) AS bal FROM customer "
+                               "GROUP BY c_mktsegment").df
+    return BR.chart_series(res, ["c_mktsegment"])
