@@ -1027,3 +1027,102 @@ def chart_series(spark, sf_dir):
                                "round(sum(c_acctbal), 2) AS bal FROM customer "
                                "GROUP BY c_mktsegment").df
     return BR.chart_series(res, ["c_mktsegment"])
+
+
+# ---------------------------------------------------------------- cleaning
+from ..operators import clean as CL  # noqa: E402
+
+
+def _dirty_orders(spark, sf_dir):
+    """Orders with an empty column, an unnamed column, a messy header and
+    all-null rows (one per 'P' order), as a workbook upload would have."""
+    o = load_table(spark, sf_dir, "orders")
+    wide = (o.withColumn("empty_col", F.lit(None).cast("string"))
+            .withColumn("Unnamed: 7", F.lit(None).cast("string"))
+            .withColumn("  Order \t  Total ", F.col("o_totalprice")))
+    blanks = o.where(F.col("o_orderstatus") == "P").select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema.fields])
+    return wide.unionByName(blanks)
+
+
+@register("clean_frame", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+       o_totalprice AS "Order Total" FROM orders""")
+def clean_frame(spark, sf_dir):
+    return CL.clean_frame(_dirty_orders(spark, sf_dir))
+
+
+def _text_dates(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day_text"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("dmy_text"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(""))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("ts_text"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" x")).alias("not_date"),
+        "o_orderpriority")
+
+
+@register("text_date_promotion", """
+WITH t AS (
+  SELECT strftime(o_orderdate, '%Y-%m-%d') AS day_text,
+         strftime(o_orderdate, '%d/%m/%Y') AS dmy_text,
+         CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+         END AS ts_text,
+         strftime(o_orderdate, '%Y-%m-%d') || ' x' AS not_date, o_orderpriority FROM orders),
+u AS (
+  SELECT 'day_text' AS "column", nullif(trim(day_text), '') AS v FROM t UNION ALL
+  SELECT 'dmy_text', nullif(trim(dmy_text), '') FROM t UNION ALL
+  SELECT 'ts_text', nullif(trim(ts_text), '') FROM t UNION ALL
+  SELECT 'not_date', nullif(trim(not_date), '') FROM t UNION ALL
+  SELECT 'o_orderpriority', nullif(trim(o_orderpriority), '') FROM t)
+SELECT "column", count(v) AS nonempty,
+       count(coalesce(try_strptime(v, '%Y-%m-%d %H:%M:%S'), try_strptime(v, '%Y-%m-%dT%H:%M:%S'),
+                      try_strptime(v, '%Y-%m-%d %H:%M'), try_strptime(v, '%Y-%m-%d'),
+                      try_strptime(v, '%Y/%m/%d'), try_strptime(v, '%d/%m/%Y'))) AS parsed,
+       count(v) > 0 AND count(v) = count(coalesce(
+           try_strptime(v, '%Y-%m-%d %H:%M:%S'), try_strptime(v, '%Y-%m-%dT%H:%M:%S'),
+           try_strptime(v, '%Y-%m-%d %H:%M'), try_strptime(v, '%Y-%m-%d'),
+           try_strptime(v, '%Y/%m/%d'), try_strptime(v, '%d/%m/%Y'))) AS promoted
+FROM u GROUP BY "column\"""")
+def text_date_promotion(spark, sf_dir):
+    return CL.date_candidates(_text_dates(spark, sf_dir))
+
+
+@register("text_date_values", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text_date,
+       strftime(o_orderdate, '%Y-%m-%d') AS dmy_text_date FROM orders""")
+def text_date_values(spark, sf_dir):
+    p = CL.promote_text_dates(_text_dates(spark, sf_dir))
+    return p.select("o_orderkey",
+                    F.date_format("day_text", "yyyy-MM-dd").alias("day_text_date"),
+                    F.date_format("dmy_text", "yyyy-MM-dd").alias("dmy_text_date"))
+
+
+@register("data_dictionary", f"""
+WITH c AS ({O.profile_columns('orders')}),
+r AS (
+  SELECT 'o_orderkey' AS "column", {O.fmt_number('min(o_orderkey)')} || ' – ' ||
+         {O.fmt_number('max(o_orderkey)')} AS range FROM orders UNION ALL
+  SELECT 'o_custkey', {O.fmt_number('min(o_custkey)')} || ' – ' || {O.fmt_number('max(o_custkey)')}
+  FROM orders UNION ALL
+  SELECT 'o_totalprice', {O.fmt_number('min(o_totalprice)')} || ' – ' ||
+         {O.fmt_number('max(o_totalprice)')} FROM orders UNION ALL
+  SELECT 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d') || ' – ' ||
+         strftime(max(o_orderdate), '%Y-%m-%d') FROM orders)
+SELECT c.ordinal, c."column" AS name, {O.humanize('c."column"')} AS label, kind,
+       round(100 * nulls / (SELECT count(*) FROM orders), 1) AS nulls_pct,
+       c."distinct" AS "unique", coalesce(r.range, '') AS range
+FROM c LEFT JOIN r ON c."column" = r."column\"""")
+def data_dictionary(spark, sf_dir):
+    st = ST.column_stats(load_table(spark, sf_dir, "orders"))
+    num = F.concat(L.fmt_number(F.col("min_num")), F.lit(" – "), L.fmt_number(F.col("max_num")))
+    dts = F.concat(F.col("min_text"), F.lit(" – "), F.col("max_text"))
+    rng = (F.when(F.col("kind") == "numeric", F.when(F.col("min_num").isNotNull(), num))
+           .when(F.col("kind") == "datetime", F.when(F.col("min_text").isNotNull(), dts)))
+    return st.select(
+        "ordinal", F.col("column").alias("name"), L.humanize(F.col("column")).alias("label"),
+        "kind", F.round(100 * (F.col("rows") - F.col("nonnull")) /
+                        F.greatest(F.col("rows"), F.lit(1)), 1).alias("nulls_pct"),
+        F.col("distinct").alias("unique"), F.coalesce(rng, F.lit("")).alias("range"))
