@@ -72,8 +72,16 @@ def numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     ``[q1 - 1.5*iqr, q3 + 1.5*iqr]`` with linear-interpolated quartiles.
     """
     nums = [c for _, c, k, _ in S.columns_by_kind(df) if k == "numeric"]
-    stats = S.column_stats(df, approx_distinct=True).where(F.col("kind") == "numeric")
-    qs = S.quantiles(df, nums, [0.25, 0.5, 0.75], exact=exact)
+    spark = df.sparkSession
+    # one stats pass, kept as a small local table (one row per numeric column)
+    rows = (S.column_stats(df, distinct_for=[]).where(F.col("kind") == "numeric")
+            .select("ordinal", "column", "nonnull", "min_num", "max_num", "mean", "std")
+            .collect())
+    stats = spark.createDataFrame(
+        rows, "ordinal int, column string, nonnull long, min_num double, max_num double, "
+              "mean double, std double")
+    bounds = {r["column"]: (r["nonnull"], r["min_num"], r["max_num"]) for r in rows}
+    qs = S.quantiles(df, nums, [0.25, 0.5, 0.75], exact=exact, bounds=bounds)
     wide = (qs.groupBy("column")
             .agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
                  F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
@@ -144,8 +152,12 @@ def identifiers(stats: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
     """PRF-8: Pearson r of every numeric pair, pairwise complete, ``|r| >= cut``.
 
-    One aggregate for all pairs.  ``try_divide`` turns a constant column
-    into a null r instead of a division error.
+    Two passes of plain sums (codegen-friendly, partially aggregated): the
+    first gives each column's mean and null count (one row to the driver);
+    the second sums products of values centred on those means, which keeps
+    the result numerically stable.  For a pair with nulls the sums run over
+    rows where both are present and are re-centred with the pair's own
+    means.  A constant column gives a null r (``try_divide``), never an error.
     """
     nums = [c for _, c, k, _ in S.columns_by_kind(df) if k == "numeric"]
     pairs = [(i, j) for i in range(len(nums)) for j in range(i + 1, len(nums))]
@@ -153,17 +165,37 @@ def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
     if not pairs:
         return spark.createDataFrame([], "a string, b string, r double")
     vals = [as_number(q(c)) for c in nums]
+    first = df.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.avg(v).alias(f"m{i}") for i, v in enumerate(vals)],
+                   *[F.count(v).alias(f"c{i}") for i, v in enumerate(vals)]).first()
+    means = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(nums))]
+    full = [first[f"c{i}"] == first["n"] for i in range(len(nums))]
+    d = [(v - F.lit(float(m))) for v, m in zip(vals, means)]
     aggs = []
+    for i in range(len(nums)):
+        if full[i]:
+            aggs.append(F.sum(d[i] * d[i]).alias(f"s{i}_{i}"))
+    rs = []
     for i, j in pairs:
-        a, b = vals[i], vals[j]
-        both = a.isNotNull() & b.isNotNull()
-        aa, bb = F.when(both, a), F.when(both, b)
-        aggs.append(F.try_divide(F.covar_pop(aa, bb),
-                                 F.stddev_pop(aa) * F.stddev_pop(bb)).alias(f"r{i}_{j}"))
+        aggs.append(F.sum(d[i] * d[j]).alias(f"x{i}_{j}"))
+        if full[i] and full[j]:
+            sxx, syy, sxy = F.col(f"s{i}_{i}"), F.col(f"s{j}_{j}"), F.col(f"x{i}_{j}")
+        else:
+            both = vals[i].isNotNull() & vals[j].isNotNull()
+            aggs += [F.sum(F.when(both, 1).otherwise(0)).alias(f"n{i}_{j}"),
+                     F.sum(F.when(both, d[i])).alias(f"a{i}_{j}"),
+                     F.sum(F.when(both, d[j])).alias(f"b{i}_{j}"),
+                     F.sum(F.when(both, d[i] * d[i])).alias(f"p{i}_{j}"),
+                     F.sum(F.when(both, d[j] * d[j])).alias(f"q{i}_{j}")]
+            nb = F.col(f"n{i}_{j}")
+            a, b = F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
+            sxy = F.col(f"x{i}_{j}") - F.try_divide(a * b, nb)
+            sxx = F.col(f"p{i}_{j}") - F.try_divide(a * a, nb)
+            syy = F.col(f"q{i}_{j}") - F.try_divide(b * b, nb)
+        rs.append(F.struct(F.lit(nums[i]).alias("a"), F.lit(nums[j]).alias("b"),
+                           F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r")))
     one = df.agg(*aggs)
-    structs = [F.struct(F.lit(nums[i]).alias("a"), F.lit(nums[j]).alias("b"),
-                        F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]
-    return (one.select(F.inline(F.array(*structs)))
+    return (one.select(F.inline(F.array(*rs)))
             .where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= cut))
             .select("a", "b", F.round("r", 3).alias("r")))
 

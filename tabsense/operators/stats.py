@@ -74,11 +74,15 @@ _STAT_SCHEMA = ("ordinal int, column string, kind string, spark_type string, "
                 "flag_values boolean, approx_distinct long")
 
 
-def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def column_stats(df: DataFrame, approx_distinct: bool = False,
+                 distinct_for: list[str] | None = None,
+                 hashed_for: list[str] | None = None) -> DataFrame:
     """One row per column: counts, min/max, mean, sample std, 0/1 test.
 
     Adds ``rows`` (all rows) and ``distinct`` (exact, from ``value_counts``
-    unless ``approx_distinct``).  Columns of kind ``other`` only get counts.
+    unless ``approx_distinct``).  ``distinct_for`` limits the exact distinct
+    count to the named columns (others get null).  Columns of kind
+    ``other`` only get counts.
     """
     aggs = [F.count(F.lit(1)).alias("__rows")]
     structs = []
@@ -105,11 +109,7 @@ def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         else:
             mn, mx, av, sd, fl = null_d, null_d, null_d, null_d, F.lit(False)
             mnt, mxt = null_s, null_s
-        if approx_distinct and kind != "other":
-            aggs.append(F.approx_count_distinct(v).alias(f"ad{i}"))
-            ad = F.col(f"ad{i}")
-        else:
-            ad = F.lit(None).cast("long")
+        ad = F.lit(None).cast("long")
         structs.append(F.struct(
             F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
             F.lit(kind).alias("kind"),
@@ -120,38 +120,62 @@ def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             ad.alias("approx_distinct")))
     one = df.agg(*aggs)
     stats = one.select(F.col("__rows").alias("rows"),
-                       F.inline(F.array(*structs)))
+                       F.inline(F.array(*structs))).drop("approx_distinct")
     if approx_distinct:
-        return stats.withColumnRenamed("approx_distinct", "distinct")
-    distinct = (value_counts(df).groupBy("ordinal")
+        # HLL is an imperative aggregate: kept out of the codegen'd one above
+        kinds = columns_by_kind(df)
+        hll = df.agg(*[F.approx_count_distinct(
+            as_number(q(name)) if kind == "numeric" else q(name)).alias(f"ad{i}")
+            for i, name, kind, _ in kinds if kind != "other"] or [F.lit(0).alias("none")])
+        dist = hll.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("ordinal"), F.col(f"ad{i}").alias("distinct"))
+            for i, name, kind, _ in kinds if kind != "other"] or [
+            F.struct(F.lit(-1).alias("ordinal"), F.lit(0).cast("long").alias("distinct"))])))
+        return (stats.join(F.broadcast(dist), "ordinal", "left")
+                .withColumn("distinct", F.col("distinct").cast("long")))
+    distinct = (value_counts(df, distinct_for, hashed_for).groupBy("ordinal")
                 .agg(F.count(F.lit(1)).alias("distinct")))
-    return (stats.drop("approx_distinct")
-            .join(distinct, "ordinal", "left")
-            .withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("long")))
+    out = stats.join(distinct, "ordinal", "left")
+    if distinct_for is None:
+        return out.withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("long"))
+    counted = list(distinct_for) + list(hashed_for or [])
+    wanted = F.col("column").isin(*counted) if counted else F.lit(False)
+    return out.withColumn("distinct", F.when(wanted, F.coalesce("distinct", F.lit(0)))
+                          .cast("long"))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None,
+                 hashed: list[str] | None = None) -> DataFrame:
     """``(ordinal, column, value, n)``: count of every non-null value per column.
 
     Values are compared as text (numbers after NaN->null).  One scan, one
-    shuffle of partially aggregated ``(column, value)`` pairs.
+    shuffle of partially aggregated ``(column, value)`` pairs.  Columns in
+    ``hashed`` are counted by their 64-bit hash instead of their text (the
+    shuffle moves 8 bytes instead of, say, whole documents); the number of
+    distinct hashes is a lower bound of the number of distinct values.
     """
+    hashed_set = set(hashed or [])
     wanted = set(columns) if columns is not None else None
-    structs = []
+    structs, names = [], []
     for i, name, kind, _ in columns_by_kind(df):
-        if kind == "other" or (wanted is not None and name not in wanted):
+        if kind == "other" or (wanted is not None and name not in wanted
+                               and name not in hashed_set):
             continue
         c = q(name)
         v = as_number(c) if kind == "numeric" else c
-        structs.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
-                                v.cast("string").alias("value")))
+        if name in hashed_set:
+            v = F.when(v.isNotNull(), F.xxhash64(v))
+        structs.append(F.struct(F.lit(i).alias("ordinal"), v.cast("string").alias("value")))
+        names.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column")))
     if not structs:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, column string, value string, n long")
-    return (df.select(F.inline(F.array(*structs)))
-            .where(F.col("value").isNotNull())
-            .groupBy("ordinal", "column", "value")
-            .agg(F.count(F.lit(1)).alias("n")))
+    counts = (df.select(F.inline(F.array(*structs)))
+              .where(F.col("value").isNotNull())
+              .groupBy("ordinal", "value")
+              .agg(F.count(F.lit(1)).alias("n")))
+    labels = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return counts.join(F.broadcast(labels), "ordinal").select("ordinal", "column", "value", "n")
 
 
 def top_values(counts: DataFrame, k: int) -> DataFrame:
@@ -171,7 +195,8 @@ def _stack_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     bins: int = 4096, final_size: int = 2_000_000,
-                    max_rounds: int = 8) -> DataFrame:
+                    max_rounds: int = 8,
+                    bounds: dict[str, tuple[int, float, float]] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: ``(column, prob, value, ordinal)``.
 
     Same definition as pandas ``quantile`` / SQL ``percentile_cont``: the
@@ -191,9 +216,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if not columns:
         return spark.createDataFrame([], out_schema)
     vals = _stack_numbers(df, columns).select("k", "v")
-    base = {r["k"]: r for r in vals.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-        F.max("v").alias("hi")).collect()}
+    if bounds is not None:   # (non-null count, min, max) already known per column
+        base = {k: {"n": bounds[c][0], "lo": bounds[c][1], "hi": bounds[c][2]}
+                for k, c in enumerate(columns) if bounds[c][0]}
+    else:
+        base = {r["k"]: r for r in vals.groupBy("k").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+            F.max("v").alias("hi")).collect()}
 
     def ranks(n: int, p: float) -> tuple[float, int, int]:
         h = (n - 1) * p
@@ -216,11 +245,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             break
         ranges = sorted({(k, st[0], st[1]) for (k, _), st in open_.items()})
         rid = {rg: i for i, rg in enumerate(ranges)}
-        rdf = F.broadcast(spark.createDataFrame(
-            [(i, k, float(lo), float(hi)) for (k, lo, hi), i in rid.items()],
-            "rid int, k int, lo double, hi double"))
-        inside = (vals.join(rdf, "k")
-                  .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
+        if len({k for k, _, _ in ranges}) == len(ranges):
+            # one open range per column: bounds as literal arrays, no join
+            per_k = {k: (i, lo, hi) for (k, lo, hi), i in rid.items()}
+            arr = lambda j: F.array(*[F.lit(float(per_k[k][j]) if k in per_k else None)
+                                      .cast("double") if j else
+                                      F.lit(per_k[k][0] if k in per_k else None).cast("int")
+                                      for k in range(len(columns))])
+            at = lambda a: F.element_at(a, F.col("k") + 1)
+            inside = (vals.select("k", "v", at(arr(0)).alias("rid"), at(arr(1)).alias("lo"),
+                                  at(arr(2)).alias("hi"))
+                      .where(F.col("rid").isNotNull() & (F.col("v") >= F.col("lo")) &
+                             (F.col("v") <= F.col("hi"))))
+        else:
+            rdf = F.broadcast(spark.createDataFrame(
+                [(i, k, float(lo), float(hi)) for (k, lo, hi), i in rid.items()],
+                "rid int, k int, lo double, hi double"))
+            inside = (vals.join(rdf, "k")
+                      .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
         if round_no == max_rounds or all(st[3] <= final_size for st in open_.values()):
             _finish_by_distinct(inside, open_, rid, found)
             break
@@ -285,6 +327,6 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              exact: bool = True) -> DataFrame:
-    return (exact_quantiles(df, columns, probs) if exact
+              exact: bool = True, bounds: dict | None = None) -> DataFrame:
+    return (exact_quantiles(df, columns, probs, bounds=bounds) if exact
             else approx_quantiles(df, columns, probs))
