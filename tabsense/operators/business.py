@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from .semantics import is_rate
-from .stats import q, try_number
+from .stats import q, top_k_per_group, try_number
 
 
 def _all():
@@ -194,11 +194,14 @@ def breakdowns(df: DataFrame, dims: list[str], measure: str | None = None,
     g = grouped.select("dim_order", "column", "label", raw.alias("raw")).where(
         F.col("raw").isNotNull())
     wd = Window.partitionBy("dim_order")
-    g = (g.withColumn("rank", F.row_number().over(wd.orderBy(F.desc("raw"), "label")))
-         .withColumn("categories", F.count(F.lit(1)).over(wd))
-         .withColumn("total_raw", F.sum("raw").over(wd)))
+    # categories and total by aggregation; ranking by a two-stage top-k, so a
+    # high-cardinality (override) dimension is never sorted in one task
+    per_dim = g.groupBy("dim_order").agg(F.count(F.lit(1)).alias("categories"),
+                                         F.sum("raw").alias("total_raw"))
+    ranked = top_k_per_group(g, ["dim_order"], [F.desc("raw"), F.asc("label")],
+                             W.TOP_N + 1, "label")
     shown_n = F.when(F.col("categories") == W.TOP_N + 1, W.TOP_N + 1).otherwise(W.TOP_N)
-    top = (g.where(F.col("rank") <= shown_n)
+    top = (ranked.join(F.broadcast(per_dim), "dim_order").where(F.col("rank") <= shown_n)
            .withColumn("value", F.round("raw", 2)))
     top = (top.withColumn("shown_sum", F.sum("value").over(wd))
            .withColumn("lead_raw", F.max(F.when(F.col("rank") == 1, F.col("raw"))).over(wd))

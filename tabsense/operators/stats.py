@@ -178,11 +178,26 @@ def value_counts(df: DataFrame, columns: list[str] | None = None,
     return counts.join(F.broadcast(labels), "ordinal").select("ordinal", "column", "value", "n")
 
 
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
+                    salt_col: str, buckets: int = 256) -> DataFrame:
+    """Rows ranked ``1..k`` (column ``rank``) inside each group by ``order``.
+
+    Two stages, so a group holding millions of rows is never sorted in one
+    task: the top ``k`` inside each of ``buckets`` hash slices of the group
+    (sliced by ``salt_col``, unique within the group), then the top ``k`` of
+    those ``buckets*k`` candidates.  ``order`` must be a total order.
+    """
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(buckets))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    cand = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
+            .where(F.col("_r") <= k).drop("_salt", "_r"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
 def top_values(counts: DataFrame, k: int) -> DataFrame:
     """Top ``k`` values per column, ordered by count desc then value asc."""
-    w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("value"))
-    return (counts.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+    return top_k_per_group(counts, ["ordinal"], [F.desc("n"), F.asc("value")], k, "value")
 
 
 def _stack_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
