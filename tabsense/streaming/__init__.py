@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed application has no streaming operator (no watermark, window,
+state or late-data handling), so none is provided here.  Every operator in
+this package is a batch DataFrame plan and can run unchanged inside a
+Structured Streaming ``foreachBatch`` sink if a caller wants micro-batches.
+"""
