@@ -143,6 +143,14 @@ def semantics(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         for r in rows:
             if r["column"] in small:
                 r["distinct"] = exact.get(r["ordinal"], 0)
-    stats = df.sparkSession.createDataFrame(
-        [tuple(r[f.split()[0]] for f in STATS_SCHEMA.split(", ")) for r in rows], STATS_SCHEMA)
-    return classify(stats)
+    spark = df.sparkSession
+    stats = S.local_frame(
+        spark, [tuple(r[f.split()[0]] for f in STATS_SCHEMA.split(", ")) for r in rows],
+        STATS_SCHEMA)
+    # classify once on the <= one-row-per-column table and keep the result
+    # on the driver: ``choose`` and the role queries then read a local
+    # relation instead of re-running the rules in a job each time
+    roles = classify(stats)
+    names = roles.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in roles.schema.fields)
+    return S.local_frame(spark, [tuple(r[n] for n in names) for r in roles.collect()], schema)
