@@ -77,9 +77,10 @@ def numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     rows = (S.column_stats(df, distinct_for=[]).where(F.col("kind") == "numeric")
             .select("ordinal", "column", "nonnull", "min_num", "max_num", "mean", "std")
             .collect())
-    stats = spark.createDataFrame(
-        rows, "ordinal int, column string, nonnull long, min_num double, max_num double, "
-              "mean double, std double")
+    stats = S.local_frame(
+        spark, [tuple(r) for r in rows],
+        "ordinal int, column string, nonnull long, min_num double, max_num double, "
+        "mean double, std double")
     bounds = {r["column"]: (r["nonnull"], r["min_num"], r["max_num"]) for r in rows}
     qs = S.quantiles(df, nums, [0.25, 0.5, 0.75], exact=exact, bounds=bounds)
     wide = (qs.groupBy("column")

@@ -269,7 +269,7 @@ def _stack_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     bins: int = 4096, final_size: int = 2_000_000,
-                    max_rounds: int = 8,
+                    max_rounds: int = 8, direct_size: int = 50_000,
                     bounds: dict[str, tuple[int, float, float]] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: ``(column, prob, value, ordinal)``.
 
@@ -283,7 +283,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     table (``ranges x bins`` rows at most) reaches the driver, which narrows
     each wanted rank to one bucket.  A bucket holding one value resolves at
     once; buckets of at most ``final_size`` rows are finished by counting
-    their distinct values and a cumulative sum over them.
+    their distinct values and a cumulative sum over them.  A whole column
+    is finished directly only when it holds at most ``direct_size`` values:
+    otherwise one bucket round (parallel, partially aggregated) comes
+    first, so the finishing sort never holds a whole column in one task.
     """
     spark = df.sparkSession
     out_schema = "column string, prob double, value double, ordinal int"
@@ -337,7 +340,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 "rid int, k int, lo double, hi double"))
             inside = (vals.join(rdf, "k")
                       .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-        if round_no == max_rounds or all(st[3] <= final_size for st in open_.values()):
+        limit = final_size if round_no else direct_size
+        if round_no == max_rounds or all(st[3] <= limit for st in open_.values()):
             _finish_by_distinct(inside, open_, rid, found)
             break
         pos = ((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
@@ -363,7 +367,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             h, lo_rank, hi_rank = ranks(r["n"], p)
             vlo, vhi = found[(k, lo_rank)], found[(k, hi_rank)]
             rows.append((columns[k], float(p), vlo + (h - lo_rank) * (vhi - vlo), k))
-    return spark.createDataFrame(rows, out_schema)
+    return local_frame(spark, rows, out_schema)
 
 
 def _finish_by_distinct(inside: DataFrame, open_, rid, found) -> None:

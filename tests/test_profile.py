@@ -56,7 +56,8 @@ def test_exact_quantiles_with_hot_value(spark):
     vals = [5.0] * 400 + [float(i) for i in range(800)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = {r["prob"]: r["value"] for r in S.exact_quantiles(df, ["v"], [0.1, 0.5, 0.9],
-                                                              bins=16, final_size=50).collect()}
+                                                              bins=16, final_size=50,
+                                                              direct_size=0).collect()}
     srt, n = sorted(vals), len(vals)
     for p in (0.1, 0.5, 0.9):
         h = (n - 1) * p
@@ -65,6 +66,27 @@ def test_exact_quantiles_with_hot_value(spark):
         assert got[p] == pytest.approx(exp)
 
 
+def test_exact_quantiles_bucket_rounds_match_numpy(spark):
+    # direct_size=0 forces bucket rounds (several open ranges per column,
+    # the broadcast range-table path) before the distinct-value finish
+    import random
+    rnd = random.Random(7)
+    rows = [(rnd.gauss(0, 1) * 1e6, float(rnd.randint(0, 9)),
+             None if i % 7 == 0 else float(i % 97) ** 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in S.exact_quantiles(
+        df, ["a", "b", "c"], probs, bins=8, final_size=40, direct_size=0).collect()}
+    for j, col in enumerate("abc"):
+        vals = sorted(r[j] for r in rows if r[j] is not None)
+        n = len(vals)
+        for p in probs:
+            h = (n - 1) * p
+            lo = int(h)
+            exp = vals[lo] + (h - lo) * (vals[min(lo + 1, n - 1)] - vals[lo])
+            assert got[(col, p)] == pytest.approx(exp, rel=1e-12, abs=1e-9)
+
+
 def test_top_values_and_identifiers(frame):
     top = P.top_values(frame).where(F.col("column") == "status").orderBy("rank").collect()
     assert top[0]["value"] == "done"
