@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..functions import words as W
+from ..operators import stats as S
 from ..operators.stats import INTEGRAL_TYPES
 from .analyze import Analysis
 
@@ -299,23 +300,89 @@ def fact_numbers(fact_texts: DataFrame, text_col: str = "text") -> DataFrame:
             .distinct().withColumn("v", F.col("token").try_cast("double")))
 
 
+# Fact numbers of one report are few by construction (KPIs, three trend
+# sentences, a handful of breakdown pairs); above this many the band test
+# switches from a broadcast to the grid join below.
+MAX_BROADCAST_FACT_NUMBERS = 10_000
+
+
+def _within_band(v: Column, f: Column) -> Column:
+    """Tolerance of GRD-2: ``|v - f| <= max(1, 1% of |f|)``."""
+    return F.abs(v - f) <= F.greatest(F.lit(1.0), F.abs(f) * 0.01)
+
+
+def _magnitude(v: Column) -> Column:
+    return F.floor(F.log2(F.greatest(F.abs(v), F.lit(1.0)))).cast("int")
+
+
+def _cell_width(k: Column) -> Column:
+    # a quarter of max(1, 2% of 2^k): at most half the band of any fact in class k
+    return F.greatest(F.lit(1.0), F.pow(F.lit(2.0), k) * 0.02) / 4
+
+
+def band_unsupported(said: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``said`` (numbers ``v``) with no fact ``v`` within its band.
+
+    Exact, without a broadcast and without emitting pairs: facts of
+    magnitude class ``k`` (``|f|`` in ``[2^k, 2^k+1)``) are laid on a grid of
+    cells narrower than half their band.  A fact lies in one cell and its
+    band touches at most a dozen; each touched cell keeps only three
+    aggregates — whether a fact lies inside it (then it supports every
+    number in the cell), the largest fact left of it and the smallest right
+    of it (the only candidates, since both band ends grow with ``f``).  A
+    number probes its cell in classes ``k-1..k+1``: three equi-join rows.
+    """
+    f = facts.select(F.col("v").alias("f")).where(F.col("f").isNotNull()).distinct()
+    k = _magnitude(F.col("f"))
+    w = F.greatest(F.lit(1.0), F.abs(F.col("f")) * 0.01)
+    cells = (f.select("f", k.alias("k"))
+             .withColumn("s", _cell_width(F.col("k")))
+             .withColumn("cell", F.explode(F.sequence(
+                 F.floor((F.col("f") - w) / F.col("s")) - 1,
+                 F.floor((F.col("f") + w) / F.col("s")) + 1)))
+             .withColumn("a", F.col("cell") * F.col("s")))
+    grid = (cells.groupBy("k", "cell")
+            .agg(F.max((F.floor(F.col("f") / F.col("s")) == F.col("cell")).cast("int"))
+                 .alias("inside"),
+                 F.max(F.when(F.col("f") < F.col("a"), F.col("f"))).alias("left"),
+                 F.min(F.when(F.col("f") >= F.col("a") + F.col("s"), F.col("f")))
+                 .alias("right")))
+    kv = _magnitude(F.col("v"))
+    probe = (said.withColumn("k", F.explode(F.sequence(kv - 1, kv + 1)))
+             .withColumn("cell", F.floor(F.col("v") / _cell_width(F.col("k")))))
+    ok = (probe.join(grid, ["k", "cell"])
+          .where((F.col("inside") == 1) | _within_band(F.col("v"), F.col("left")) |
+                 _within_band(F.col("v"), F.col("right")))
+          .select(*keys).distinct())
+    return said.join(ok, keys, "left_anti")
+
+
 def ungrounded(claims: DataFrame, fact_texts: DataFrame, id_cols: list[str],
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text",
+               max_broadcast: int = MAX_BROADCAST_FACT_NUMBERS) -> DataFrame:
     """GRD-2: numbers in claims that no fact supports: ``(*id_cols, token)``.
 
     A number is supported when it equals a fact token, is <= 12, or lies
-    within ``max(1, 1% of |fact|)`` of a fact number.  Exact tokens are
-    removed with an equi anti join first; the band test runs against the
-    broadcast fact numbers.
+    within ``max(1, 1% of |fact|)`` of a fact number.  The fact numbers are
+    computed once and checked against ``max_broadcast``: within it they
+    become a local table (exact tokens removed by an equi anti join, the
+    band test against the broadcast numbers); beyond it the band test is
+    the grid join of ``band_unsupported``.
     """
-    facts = F.broadcast(fact_numbers(fact_texts))
+    spark = claims.sparkSession
     said = claims.select(*id_cols, F.explode(T.numbers(F.col(text_col))).alias("token"))
     said = said.withColumn("v", F.col("token").try_cast("double"))
     said = said.where(F.col("v").isNotNull() & (F.col("v") > 12))
+    nums = fact_numbers(fact_texts)
+    got = nums.limit(max_broadcast + 1).collect()
+    if len(got) > max_broadcast:
+        said = said.join(nums.select("token"), "token", "left_anti")
+        return band_unsupported(said, nums, [*id_cols, "token"]).select(*id_cols, "token")
+    facts = F.broadcast(S.local_frame(spark, [(r["token"], r["v"]) for r in got],
+                                      "token string, v double"))
     said = said.join(facts.select("token"), "token", "left_anti")
-    band = (F.abs(said["v"] - facts["v"]) <=
-            F.greatest(F.lit(1.0), F.abs(facts["v"]) * 0.01))
-    return said.join(facts, band, "left_anti").select(*id_cols, "token")
+    return (said.join(facts, _within_band(said["v"], facts["v"]), "left_anti")
+            .select(*id_cols, "token"))
 
 
 def strip_ungrounded(claims: DataFrame, fact_texts: DataFrame, id_cols: list[str],

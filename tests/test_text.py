@@ -57,3 +57,36 @@ def test_grounding_tolerance(spark):
     assert [(r["id"], r["token"]) for r in bad] == [(3, "999999")]
     kept = sorted(r["id"] for r in FA.strip_ungrounded(claims, facts, ["id"]).collect())
     assert kept == [1, 2, 4, 5]
+
+
+@pytest.mark.parametrize("max_broadcast", [10_000, 0])
+def test_grounding_tolerance_both_join_paths(spark, max_broadcast):
+    facts = spark.createDataFrame([("Total revenue = 486.67",), ("Average = 60",),
+                                   ("Peak -2500 and 1e3",)], "text string")
+    claims = spark.createDataFrame([(1, "about 487 today"), (2, "60.1 units"),
+                                    (3, "then 999999"), (4, "486.67 exactly"),
+                                    (5, "2470 or 2526")], "id int, text string")
+    bad = {(r["id"], r["token"]) for r in
+           FA.ungrounded(claims, facts, ["id"], max_broadcast=max_broadcast).collect()}
+    assert (3, "999999") in bad
+    assert not {b for b in bad if b[0] in (1, 2, 4)}
+
+
+def test_band_grid_join_matches_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    facts = ([rnd.uniform(-5000, 5000) for _ in range(300)] +
+             [rnd.choice([1, -1]) * 10 ** rnd.uniform(0, 9) for _ in range(300)] +
+             [0.0, 13.0, 100.0, 100.0])
+    said = []
+    for i in range(3000):
+        base = rnd.choice(facts)
+        v = base + rnd.uniform(-1.2, 1.2) * max(1.0, abs(base) * 0.01) * rnd.choice([1, 1.05])
+        said.append((i, rnd.choice([v, rnd.uniform(-1e9, 1e9), round(v, 2)])))
+    sdf = spark.createDataFrame(said, "id int, v double")
+    fdf = spark.createDataFrame([(x,) for x in facts], "v double")
+    got = {r["id"] for r in FA.band_unsupported(sdf, fdf, ["id"]).collect()}
+    exp = {i for i, v in said
+           if not any(abs(v - f) <= max(1.0, abs(f) * 0.01) for f in facts)}
+    assert got == exp
+    assert 0 < len(exp) < len(said)
