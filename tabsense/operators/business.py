@@ -25,22 +25,63 @@ def _round2(c: Column) -> Column:
     return F.round(c, 2)
 
 
+# ----------------------------------------------------------------- one pass
+def partials(df: DataFrame, date_col: str | None, measure: str | None,
+             dims: list[str]) -> DataFrame:
+    """Everything a report needs from the base rows, in one scan and one shuffle.
+
+    Each row is stacked once per block — grand total (``part`` 0), its day
+    (``part`` 1, rows with a date) and each dimension label (``part`` 2,
+    non-null labels) — and grouped, partially aggregated map-side:
+    ``c`` rows, ``nn`` numeric measure values, ``s`` sum, ``x`` max,
+    ``t0``/``t1`` first/last timestamp.  The result has 1 + days + groups
+    rows; KPIs, trend, trend summary and breakdowns all derive from it.
+    """
+    m = try_number(q(measure)) if measure else F.lit(None).cast("double")
+    ts = q(date_col).cast("timestamp_ntz") if date_col else F.lit(None).cast("timestamp_ntz")
+    null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def block(part, j, col, label, day):
+        return F.struct(F.lit(part).alias("part"), j.alias("dim_order"), col.alias("column"),
+                        label.alias("label"), day.alias("day"))
+    blocks = [block(0, null_i, null_s, null_s, F.lit(None).cast("date"))]
+    if date_col:
+        blocks.append(block(1, null_i, null_s, null_s, F.to_date(ts)))
+    blocks += [block(2, F.lit(j), F.lit(d), q(d).cast("string"), F.lit(None).cast("date"))
+               for j, d in enumerate(dims)]
+    keep = ((F.col("part") == 0) | ((F.col("part") == 1) & F.col("day").isNotNull()) |
+            ((F.col("part") == 2) & F.col("label").isNotNull()))
+    return (df.select(m.alias("m"), ts.alias("ts"), F.inline(F.array(*blocks))).where(keep)
+            .groupBy("part", "dim_order", "column", "label", "day")
+            .agg(F.count(F.lit(1)).alias("c"), F.count("m").alias("nn"),
+                 F.sum("m").alias("s"), F.max("m").alias("x"),
+                 F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+
+
 # --------------------------------------------------------------------- KPIs
-def kpis(df: DataFrame, measure: str | None) -> DataFrame:
+def kpis(df: DataFrame, measure: str | None, pre: DataFrame | None = None) -> DataFrame:
     """KPI-1: ``(seq, key, value, column)``.
 
     ``records`` always; for the measure coerced to a number (null when it
     does not parse): ``total`` (not for rates), ``average``, ``highest`` —
     only when at least one value parses.  Values rounded to 2 dp.
     """
+    if pre is not None:   # from ``partials``: the grand-total block
+        one = (pre.where(F.col("part") == 0)
+               .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+                    F.coalesce(F.sum("nn"), F.lit(0)).alias("nn"),
+                    F.sum("s").alias("s"), F.max("x").alias("x"))
+               .withColumn("a", F.try_divide(F.col("s"), F.col("nn").cast("double"))))
     if measure is None:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(
+        base = one if pre is not None else df.agg(F.count(F.lit(1)).alias("n"))
+        return base.select(
             F.lit(0).alias("seq"), F.lit("records").alias("key"),
             F.col("n").cast("double").alias("value"),
             F.lit(None).cast("string").alias("column"))
-    m = try_number(q(measure))
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.count(m).alias("nn"),
-                 F.sum(m).alias("s"), F.avg(m).alias("a"), F.max(m).alias("x"))
+    if pre is None:
+        m = try_number(q(measure))
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.count(m).alias("nn"),
+                     F.sum(m).alias("s"), F.avg(m).alias("a"), F.max(m).alias("x"))
     entries = [(0, "records", F.col("n").cast("double"), F.lit(None).cast("string"),
                 F.lit(True))]
     has = F.col("nn") > 0
@@ -57,8 +98,11 @@ def kpis(df: DataFrame, measure: str | None) -> DataFrame:
 
 
 # -------------------------------------------------------------------- trend
-def _daily(df: DataFrame, date_col: str, measure: str | None) -> DataFrame:
+def _daily(df: DataFrame, date_col: str, measure: str | None,
+           pre: DataFrame | None = None) -> DataFrame:
     """Per-day partial result: the only pass over base rows for a trend."""
+    if pre is not None:
+        return pre.where(F.col("part") == 1).select("day", "s", "c", "t0", "t1")
     ts = q(date_col).cast("timestamp_ntz")
     m = try_number(q(measure)) if measure else F.lit(None).cast("double")
     return (df.select(ts.alias("ts"), m.alias("m"))
@@ -69,7 +113,7 @@ def _daily(df: DataFrame, date_col: str, measure: str | None) -> DataFrame:
 
 
 def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
-               tail: int = W.MAX_TREND_POINTS) -> DataFrame:
+               tail: int = W.MAX_TREND_POINTS, pre: DataFrame | None = None) -> DataFrame:
     """TRD-1..3: the last ``tail`` bins with a ``kept`` flag after trimming.
 
     Columns: ``idx`` (0-based), ``bin`` (date: month end or day), ``label``,
@@ -77,7 +121,7 @@ def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
     is no measure; empty bins 0; rounded 2 dp), ``records``, ``t0``/``t1``
     (first/last timestamp in the bin), ``kept``.
     """
-    daily = _daily(df, date_col, measure)
+    daily = _daily(df, date_col, measure, pre)
     bounds = daily.agg(F.min("t0").alias("mn"), F.max("t1").alias("mx"))
     bounds = bounds.select(
         "mn", "mx",
@@ -121,15 +165,17 @@ def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
                        "granularity", "value", "records", "t0", "t1", "kept", "n")
 
 
-def trend(df: DataFrame, date_col: str, measure: str | None = None) -> DataFrame:
+def trend(df: DataFrame, date_col: str, measure: str | None = None,
+          pre: DataFrame | None = None) -> DataFrame:
     """Kept bins only, renumbered: ``(position, label, value, records, granularity)``."""
-    kept = trend_bins(df, date_col, measure).where("kept")
+    kept = trend_bins(df, date_col, measure, pre=pre).where("kept")
     w = Window.partitionBy(F.lit(0)).orderBy("idx")
     return kept.select((F.row_number().over(w) - 1).alias("position"), "label", "value",
                        "records", "granularity")
 
 
-def trend_summary(df: DataFrame, date_col: str, measure: str | None = None) -> DataFrame:
+def trend_summary(df: DataFrame, date_col: str, measure: str | None = None,
+                  pre: DataFrame | None = None) -> DataFrame:
     """TRD-4: one row, or none when fewer than two bins survive trimming.
 
     ``first``, ``last``, ``change_pct`` (from the rounded values; null when
@@ -137,7 +183,7 @@ def trend_summary(df: DataFrame, date_col: str, measure: str | None = None) -> D
     maximum), ``period_start``/``period_end`` (true min/max date of rows in
     kept bins), ``trimmed_periods``, ``granularity``, ``bins``.
     """
-    b = trend_bins(df, date_col, measure)
+    b = trend_bins(df, date_col, measure, pre=pre)
     kept = b.where("kept")
     s = kept.agg(
         F.count(F.lit(1)).alias("bins"),
@@ -166,7 +212,7 @@ def breakdown_kind(measure: str | None) -> str:
 
 
 def breakdowns(df: DataFrame, dims: list[str], measure: str | None = None,
-               dedup: bool = True) -> DataFrame:
+               dedup: bool = True, pre: DataFrame | None = None) -> DataFrame:
     """BRK-1..5 for several dimensions in one scan.
 
     One row per shown group: ``dim_order, column, kind, rank, label, value,
@@ -178,18 +224,25 @@ def breakdowns(df: DataFrame, dims: list[str], measure: str | None = None,
     as an earlier one is removed.
     """
     kind = breakdown_kind(measure)
-    m = try_number(q(measure)) if measure else F.lit(None).cast("double")
-    structs = [F.struct(F.lit(j).alias("dim_order"), F.lit(d).alias("column"),
-                        q(d).cast("string").alias("label"))
-               for j, d in enumerate(dims)]
-    stacked = (df.select(m.alias("m"), F.inline(F.array(*structs)))
-               .where(F.col("label").isNotNull()))
-    grouped = (stacked.groupBy("dim_order", "column", "label")
-               .agg(F.sum("m").alias("s"), F.avg("m").alias("a"),
-                    F.count(F.lit(1)).alias("c")))
+    if pre is not None:   # from ``partials``: the dimension blocks and the grand total
+        grouped = (pre.where(F.col("part") == 2)
+                   .select("dim_order", "column", "label", "s", "c",
+                           F.try_divide(F.col("s"), F.col("nn").cast("double")).alias("a")))
+        rows_all = pre.where(F.col("part") == 0).agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("rows_all"))
+    else:
+        m = try_number(q(measure)) if measure else F.lit(None).cast("double")
+        structs = [F.struct(F.lit(j).alias("dim_order"), F.lit(d).alias("column"),
+                            q(d).cast("string").alias("label"))
+                   for j, d in enumerate(dims)]
+        stacked = (df.select(m.alias("m"), F.inline(F.array(*structs)))
+                   .where(F.col("label").isNotNull()))
+        grouped = (stacked.groupBy("dim_order", "column", "label")
+                   .agg(F.sum("m").alias("s"), F.avg("m").alias("a"),
+                        F.count(F.lit(1)).alias("c")))
+        rows_all = df.agg(F.count(F.lit(1)).alias("rows_all"))
     raw = {"sum": F.coalesce(F.col("s"), F.lit(0.0)), "avg": F.col("a"),
            "count": F.col("c").cast("double")}[kind]
-    rows_all = df.agg(F.count(F.lit(1)).alias("rows_all"))
     per_dim_cov = grouped.groupBy("dim_order").agg(F.sum("c").alias("rows_dim"))
     g = grouped.select("dim_order", "column", "label", raw.alias("raw")).where(
         F.col("raw").isNotNull())

@@ -1,8 +1,13 @@
 """Full analysis of one table (BIZ-1) and the long metrics table (SNK-2).
 
 ``analyze`` runs one statistics job (one row per column reaches the
-driver), chooses measure / date / dimensions, and returns lazy DataFrames
-for KPIs, trend, trend summary and breakdowns.  Nothing else is collected.
+driver), chooses measure / date / dimensions, then makes one more pass over
+the base rows: ``business.partials`` (grand total, per day, per dimension
+label) in a single scan and shuffle.  That small table is checkpointed into
+the session's shared checkpoint folder (lineage cut, safe against executor
+loss) and KPIs, trend, trend summary and breakdowns — and every fact and
+narrative sentence built on them — read it instead of rescanning the base
+table once per block.  Nothing else is collected.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import business as B
 from ..operators import semantics as S
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -30,13 +36,15 @@ def analyze(df: DataFrame, overrides: dict | None = None,
             approx_distinct: bool = False) -> Analysis:
     roles = S.semantics(df, approx_distinct=approx_distinct)
     choice = S.choose(roles, overrides)
+    ensure_checkpoint_dir(df.sparkSession)
+    pre = B.partials(df, choice.date, choice.measure, choice.dimensions).checkpoint()
     trend = summary = bds = None
     if choice.date:
-        trend = B.trend(df, choice.date, choice.measure)
-        summary = B.trend_summary(df, choice.date, choice.measure)
+        trend = B.trend(df, choice.date, choice.measure, pre=pre)
+        summary = B.trend_summary(df, choice.date, choice.measure, pre=pre)
     if choice.dimensions:
-        bds = B.breakdowns(df, choice.dimensions, choice.measure)
-    return Analysis(roles, choice, B.kpis(df, choice.measure), trend, summary, bds)
+        bds = B.breakdowns(df, choice.dimensions, choice.measure, pre=pre)
+    return Analysis(roles, choice, B.kpis(df, choice.measure, pre=pre), trend, summary, bds)
 
 
 def metrics_long(a: Analysis) -> DataFrame:

@@ -48,3 +48,34 @@ def test_windows_only_after_aggregation(orders):
     for i, ln in enumerate(lines):
         if "Window" in ln:
             assert any("HashAggregate" in x for x in lines[i:]), p
+
+
+def test_analysis_reads_base_table_once(orders):
+    # after the one-pass partials (checkpointed), report blocks read no parquet
+    from tabsense.plans.analyze import analyze, metrics_long
+    from tabsense.plans import facts as FA
+    a = analyze(orders)
+    for df in (metrics_long(a), FA.facts(a, orders.schema)):
+        assert "FileScan parquet" not in plan(df)
+    one = B.partials(orders, "o_orderdate", "o_totalprice", ["o_orderstatus"])
+    assert plan(one).count("FileScan parquet") == 1
+
+
+def _rows(df, order):
+    return [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+@pytest.mark.parametrize("measure", ["o_totalprice", None, "o_comment_missing"])
+def test_partials_path_equals_direct_path(spark, orders, measure):
+    df = orders
+    if measure == "o_comment_missing":   # a measure with no numeric value at all
+        df = orders.withColumn(measure, F.lit("n/a"))
+    dims = ["o_orderstatus", "o_orderpriority"]
+    for frame in (df, df.limit(0)):
+        pre = B.partials(frame, "o_orderdate", measure, dims)
+        assert _rows(B.kpis(frame, measure, pre=pre), ["seq"]) == \
+            _rows(B.kpis(frame, measure), ["seq"])
+        assert _rows(B.trend_bins(frame, "o_orderdate", measure, pre=pre), ["idx"]) == \
+            _rows(B.trend_bins(frame, "o_orderdate", measure), ["idx"])
+        assert _rows(B.breakdowns(frame, dims, measure, pre=pre), ["dim_order", "rank"]) == \
+            _rows(B.breakdowns(frame, dims, measure), ["dim_order", "rank"])
