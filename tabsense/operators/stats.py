@@ -105,8 +105,8 @@ def column_stats(df: DataFrame, approx_distinct: bool = False,
                  hashed_for: list[str] | None = None) -> DataFrame:
     """One row per column: counts, min/max, mean, sample std, 0/1 test.
 
-    Adds ``rows`` (all rows) and ``distinct`` (exact, from ``value_counts``
-    unless ``approx_distinct``).  ``distinct_for`` limits the exact distinct
+    Adds ``rows`` (all rows) and ``distinct`` (exact, from
+    ``distinct_counts`` unless ``approx_distinct``).  ``distinct_for`` limits the exact distinct
     count to the named columns (others get null).  Columns of kind
     ``other`` only get counts.
     """
@@ -159,12 +159,7 @@ def column_stats(df: DataFrame, approx_distinct: bool = False,
             F.struct(F.lit(-1).alias("ordinal"), F.lit(0).cast("long").alias("distinct"))])))
         return (stats.join(F.broadcast(dist), "ordinal", "left")
                 .withColumn("distinct", F.col("distinct").cast("long")))
-    integral = {n for _, n, k, is_int in columns_by_kind(df) if k == "numeric" and is_int}
-    if distinct_for is not None and set(distinct_for) <= integral:
-        distinct = distinct_counts(df, distinct_for, hashed_for)
-    else:
-        distinct = (value_counts(df, distinct_for, hashed_for).groupBy("ordinal")
-                    .agg(F.count(F.lit(1)).alias("distinct")))
+    distinct = distinct_counts(df, distinct_for, hashed_for)
     out = stats.join(distinct, "ordinal", "left")
     if distinct_for is None:
         return out.withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("long"))
@@ -208,32 +203,55 @@ def value_counts(df: DataFrame, columns: list[str] | None = None,
     return counts.join(F.broadcast(labels), "ordinal").select("ordinal", "column", "value", "n")
 
 
-def distinct_counts(df: DataFrame, integral: list[str],
+def distinct_counts(df: DataFrame, columns: list[str] | None = None,
                     hashed: list[str] | None = None) -> DataFrame:
-    """``(ordinal, distinct)``: exact distinct counts of integer columns and
-    64-bit-hash distinct counts (a lower bound) of the ``hashed`` columns.
-
-    Every value travels as an 8-byte ``long`` key — the integer itself or
-    the hash — so the unpivoted ``(ordinal, key)`` pairs are fixed-width
-    rows: the partial aggregate runs on the fast fixed-width hash map and
-    the shuffle carries 12 bytes per distinct pair instead of a decimal
-    text rendering.  Same scan/shuffle shape as ``value_counts``.
+    """``(ordinal, distinct)``: exact distinct non-null values of ``columns``
+    (all columns of a known kind when ``None``) and 64-bit-hash distinct
+    counts (a lower bound) of the ``hashed`` columns.
+
+    Values are unpivoted on typed keys — integers as ``long``, other numbers
+    as ``double`` (NaN is missing), hashed columns as their ``xxhash64``,
+    text and dates as text — so numbers are never rendered to text and a
+    table of only integer / hashed columns groups on fixed-width rows (12
+    bytes per distinct pair in the shuffle).  One scan, one partially
+    aggregated shuffle: a value holding a third of all rows folds map-side.
     """
-    want, hashed_set = set(integral), set(hashed or [])
+    want = set(columns) if columns is not None else None
+    hashed_set = set(hashed or [])
     structs = []
     for i, name, kind, is_int in columns_by_kind(df):
-        if name in want and kind == "numeric" and is_int:
-            key = q(name).cast("long")
-        elif name in hashed_set and kind != "other":
-            key = F.when(q(name).isNotNull(), F.xxhash64(q(name)))
-        else:
+        c = q(name)
+        lk, dk, sk = (F.lit(None).cast("long"), F.lit(None).cast("double"),
+                      F.lit(None).cast("string"))
+        if kind == "other":
             continue
-        structs.append(F.struct(F.lit(i).alias("ordinal"), key.alias("key")))
+        if name in hashed_set:
+            lk = F.when(c.isNotNull(), F.xxhash64(c))
+        elif want is not None and name not in want:
+            continue
+        elif kind == "numeric" and is_int:
+            lk = c.cast("long")
+        elif kind == "numeric":
+            dk = as_number(c)
+        else:
+            sk = c.cast("string")
+        structs.append(F.struct(F.lit(i).alias("ordinal"), lk.alias("lk"), dk.alias("dk"),
+                                sk.alias("sk")))
     if not structs:
         return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
-    return (df.select(F.inline(F.array(*structs)))
-            .where(F.col("key").isNotNull())
-            .distinct()
+    present = F.col("lk").isNotNull() | F.col("dk").isNotNull() | F.col("sk").isNotNull()
+    flat = df.select(F.inline(F.array(*structs))).where(present)
+    # drop key columns no column uses, so an all-integer unpivot stays fixed-width
+    kinds = {(name in hashed_set, kind, is_int) for _, name, kind, is_int in columns_by_kind(df)
+             if kind != "other" and (name in hashed_set or want is None or name in want)}
+    used = ["ordinal"]
+    if any(h or (k == "numeric" and i) for h, k, i in kinds):
+        used.append("lk")
+    if any(not h and k == "numeric" and not i for h, k, i in kinds):
+        used.append("dk")
+    if any(not h and k != "numeric" for h, k, i in kinds):
+        used.append("sk")
+    return (flat.select(*used).distinct()
             .groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct")))
 
 
