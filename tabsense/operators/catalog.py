@@ -80,18 +80,30 @@ def column_inventory(spark: SparkSession, frames: dict[str, DataFrame]) -> DataF
 
 def edge_check(frames: dict[str, DataFrame], edges: list[Edge]) -> DataFrame:
     """CAT-2/3: per declared edge inside the selection — child rows and orphans
-    (child rows whose non-null key has no parent row)."""
+    (child rows whose non-null key has no parent row).
+
+    The child is grouped by its key first (one scan; a key holding a third
+    of all rows folds map-side), the parent's keys are deduplicated, and the
+    two meet in one left join on the key — both sides already hash
+    partitioned on it by their aggregates — then one global sum gives both
+    counts.
+    """
     out = None
     for e in edges_within(edges, list(frames)):
-        child = frames[e.from_table].select(
-            *[q(c).alias(f"k{i}") for i, c in enumerate(e.from_cols)])
-        parent = frames[e.to_table].select(
-            *[q(c).alias(f"k{i}") for i, c in enumerate(e.to_cols)]).distinct()
         keys = [f"k{i}" for i in range(len(e.from_cols))]
-        nonnull = child.dropna(subset=keys)
-        orphans = nonnull.join(parent, keys, "left_anti")
-        one = (child.agg(F.count(F.lit(1)).cast("long").alias("child_rows"))
-               .crossJoin(orphans.agg(F.count(F.lit(1)).cast("long").alias("orphans")))
+        child = (frames[e.from_table]
+                 .select(*[q(c).alias(k) for k, c in zip(keys, e.from_cols)])
+                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+        parent = (frames[e.to_table]
+                  .select(*[q(c).alias(k) for k, c in zip(keys, e.to_cols)])
+                  .dropna().distinct().withColumn("hit", F.lit(True)))
+        key_ok = F.lit(True)
+        for k in keys:
+            key_ok = key_ok & F.col(k).isNotNull()
+        one = (child.join(parent, keys, "left")
+               .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("child_rows"),
+                    F.coalesce(F.sum(F.when(key_ok & F.col("hit").isNull(), F.col("n"))),
+                               F.lit(0)).cast("long").alias("orphans"))
                .select(F.lit(e.from_table).alias("from_table"),
                        F.lit(",".join(e.from_cols)).alias("from_cols"),
                        F.lit(e.to_table).alias("to_table"),

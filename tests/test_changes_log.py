@@ -86,3 +86,14 @@ def test_log_entry_errors(log):
         LG.delete_entry(log, 99)
     fav = LG.set_favorite(log, 3, True)
     assert fav.where(F.col("favorite")).count() == 3
+
+
+def test_edge_check_counts_orphans_with_hot_and_null_keys(spark):
+    from tabsense.operators import catalog as C
+    # key 1 holds a third of the child rows; nulls are never orphans
+    child = spark.createDataFrame([(1, "a")] * 40 + [(i, "b") for i in range(2, 82)] +
+                                  [(None, "c")] * 5, "pk int, x string")
+    parent = spark.createDataFrame([(i,) for i in range(1, 60)] + [(1,), (3,)], "id int")
+    got = C.edge_check({"c": child, "p": parent},
+                       [C.Edge("c", ("pk",), "p", ("id",))]).collect()
+    assert [(r["child_rows"], r["orphans"]) for r in got] == [(125, 22)]
