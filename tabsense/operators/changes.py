@@ -65,42 +65,63 @@ def fold_changes(changes: DataFrame, keys: list[str], value_cols: list[str]) ->
     return changes.groupBy(*[q(k) for k in keys]).agg(*aggs)
 
 
+def _touched_keys(base: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the batch that exist in ``base`` (at most one row per batch key).
+
+    ``base`` is the streamed side of a left-semi join against the folded
+    batch: when the batch is small (AQE measures it after its aggregate)
+    this is a broadcast hash join and the base table is never shuffled.
+    """
+    return (base.select(*[q(k) for k in keys])
+            .join(folded.select(*[q(k) for k in keys]), keys, "left_semi")
+            .distinct().withColumn("_in_base", F.lit(True)))
+
+
+def _value(c: str, changes: DataFrame, base_value) -> object:
+    """Value of column ``c`` after the batch (sequential semantics)."""
+    reset = F.col("_reset_op")
+    start = F.when(reset == INSERT, F.col(f"_ins_{c}") if c in changes.columns
+                   else F.lit(None)).otherwise(base_value)
+    if c not in changes.columns:
+        return start
+    later = F.col(f"_useq_{c}") > F.coalesce(F.col("_reset_seq"), F.lit(-(2 ** 62)))
+    return F.when(later, F.col(f"_uval_{c}")).otherwise(start)
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """CHG-4: the snapshot after applying the batch in ``seq`` order.
 
     An update of a key that does not exist is a no-op; an insert of an
     existing key replaces the row; a delete of a missing key is a no-op.
+
+    Plan: rows of ``base`` meet the folded batch (one row per key) in a
+    left join — base streams past a broadcast batch when the batch is small,
+    a shuffled join otherwise — and new keys are the batch's inserts minus
+    the touched keys (a semi join that also streams ``base``).  No full
+    outer join, so a small batch never shuffles the base table.
     """
     check_keys(keys, [k for k in keys if k in changes.columns])
     value_cols = [c for c in base.columns if c not in keys]
     folded = fold_changes(changes, keys, [c for c in value_cols if c in changes.columns])
-    joined = base.withColumn("_in_base", F.lit(True)).join(folded, keys, "full_outer")
-    exists_before = F.coalesce(F.col("_in_base"), F.lit(False))
     reset = F.col("_reset_op")
-    exists_after = (F.when(reset == DELETE, F.lit(False))
-                    .when(reset == INSERT, F.lit(True)).otherwise(exists_before))
-    out = []
-    for c in base.columns:
-        if c in keys:
-            out.append(q(c))
-            continue
-        start = F.when(reset == INSERT, F.col(f"_ins_{c}") if c in changes.columns
-                       else F.lit(None)).otherwise(q(c))
-        if c in changes.columns:
-            later = F.col(f"_useq_{c}") > F.coalesce(F.col("_reset_seq"), F.lit(-(2 ** 62)))
-            val = F.when(later, F.col(f"_uval_{c}")).otherwise(start)
-        else:
-            val = start
-        out.append(val.cast(base.schema[c].dataType).alias(c))
-    return joined.where(exists_after).select(*out)
+    old = (base.join(folded, keys, "left")
+           .where(F.coalesce(reset != DELETE, F.lit(True)))
+           .select(*[q(c) if c in keys else
+                     _value(c, changes, q(c)).cast(base.schema[c].dataType).alias(c)
+                     for c in base.columns]))
+    new = (folded.where(reset == INSERT)
+           .join(_touched_keys(base, folded, keys), keys, "left_anti")
+           .select(*[q(c).cast(base.schema[c].dataType).alias(c) if c in keys else
+                     _value(c, changes, F.lit(None)).cast(base.schema[c].dataType).alias(c)
+                     for c in base.columns]))
+    return old.unionByName(new)
 
 
 def change_counts(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Affected rows of a batch: ``inserted, updated, deleted``."""
     value_cols = [c for c in base.columns if c not in keys and c in changes.columns]
     folded = fold_changes(changes, keys, value_cols)
-    j = base.select(*[q(k) for k in keys]).withColumn("_in_base", F.lit(True)).join(
-        folded, keys, "right")
+    j = folded.join(_touched_keys(base, folded, keys), keys, "left")
     exists_before = F.coalesce(F.col("_in_base"), F.lit(False))
     any_update = F.lit(False)
     for c in value_cols:
