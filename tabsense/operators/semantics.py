@@ -151,6 +151,4 @@ def semantics(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     # on the driver: ``choose`` and the role queries then read a local
     # relation instead of re-running the rules in a job each time
     roles = classify(stats)
-    names = roles.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in roles.schema.fields)
-    return S.local_frame(spark, [tuple(r[n] for n in names) for r in roles.collect()], schema)
+    return S.local_frame(spark, [tuple(r) for r in roles.collect()], roles.schema)

@@ -62,7 +62,7 @@ def try_number(c: Column) -> Column:
     return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
-def local_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
+def local_frame(spark, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A small driver-side table as a ``LocalRelation`` (an inline ``VALUES``).
 
     Used for results that are already on the driver and bounded by
@@ -72,7 +72,10 @@ def local_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     ``LocalRelation`` are folded by the optimizer and collecting it runs no
     job.  Values travel as bound parameters, never as SQL text.
     """
-    fields = [f.strip().split(None, 1) for f in schema.split(",")]
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    fields = [("`" + f.name.replace("`", "``") + "`", f.dataType.simpleString())
+              for f in schema.fields]
     if not rows:
         return spark.createDataFrame([], schema)
     args, tuples = {}, []
@@ -83,7 +86,7 @@ def local_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
             marks.append(f":p{i}_{j}")
         tuples.append("(" + ", ".join(marks) + ")")
     cols = ", ".join(f"c{j}" for j in range(len(fields)))
-    casts = ", ".join(f"CAST(c{j} AS {t}) AS `{n}`" for j, (n, t) in enumerate(fields))
+    casts = ", ".join(f"CAST(c{j} AS {t}) AS {n}" for j, (n, t) in enumerate(fields))
     return spark.sql(f"SELECT {casts} FROM VALUES {', '.join(tuples)} AS t({cols})",
                      args=args)
 
