@@ -22,6 +22,7 @@ Scale notes
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -368,17 +369,26 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                    .groupBy("rid", "b")
                    .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
                         F.max("v").alias("mx"))
+                   .select("rid", "b", "c", "mn", "mx")
                    .collect())
+        # per range: buckets in order with the running count of rows before each
         by_range: dict[int, list] = {}
-        for row in buckets:
-            by_range.setdefault(row["rid"], []).append(row)
+        for r_id, b, c, mn, mx in (tuple(row) for row in buckets):
+            by_range.setdefault(r_id, []).append((b, c, mn, mx))
+        cum: dict[int, tuple[list, list]] = {}
+        for r_id, lst in by_range.items():
+            lst.sort()
+            upto, run = [], 0
+            for _, c, _, _ in lst:
+                run += c
+                upto.append(run)
+            cum[r_id] = (lst, upto)
         for key, (lo, hi, below, _) in list(open_.items()):
-            acc = below
-            for row in sorted(by_range.get(rid[(key[0], lo, hi)], []), key=lambda x: x["b"]):
-                if key[1] < acc + row["c"]:
-                    open_[key] = (row["mn"], row["mx"], acc, row["c"])
-                    break
-                acc += row["c"]
+            lst, upto = cum.get(rid[(key[0], lo, hi)], ([], []))
+            j = bisect.bisect_right(upto, key[1] - below)   # first bucket holding the rank
+            if j < len(lst):
+                _, c, mn, mx = lst[j]
+                open_[key] = (mn, mx, below + upto[j] - c, c)
     rows = []
     for k, r in sorted(base.items()):
         for p in probs:

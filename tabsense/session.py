@@ -55,6 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not str(sc.master).startswith("local"):
+            # executors must read each other's checkpoint files: a folder on
+            # the driver's disk would break on the first executor loss
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         conf = tempfile.mkdtemp(prefix="tabsense-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
