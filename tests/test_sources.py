@@ -116,3 +116,15 @@ def test_sinks_and_registry(spark, tmp_path):
     reg.delete("r1")
     assert [r["report_id"] for r in reg.list().collect()] == ["r2"]
     assert reg.output("r2", "metrics").count() == m.count()
+
+
+@pytest.mark.parametrize("offset,limit", [(0, 7), (37, 25), (180, 50), (499, 10), (600, 5)])
+def test_deep_page_equals_top_k_page(spark, offset, limit):
+    from tabsense.operators import browse as BR
+    rows = [(i % 13, f"v{(i * 7919) % 500}", None if i % 11 == 0 else i * 0.5)
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(6)
+    for order_by, direction in [("a", "desc"), ("c", "asc"), (None, "asc")]:
+        shallow = BR.page(df, limit, offset, order_by, direction)
+        deep = BR.page(df, limit, offset, order_by, direction, deep_offset=-1)
+        assert [tuple(r) for r in deep.collect()] == [tuple(r) for r in shallow.collect()]
