@@ -354,8 +354,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                       .where(F.col("rid").isNotNull() & (F.col("v") >= F.col("lo")) &
                              (F.col("v") <= F.col("hi"))))
         else:
-            rdf = F.broadcast(spark.createDataFrame(
-                [(i, k, float(lo), float(hi)) for (k, lo, hi), i in rid.items()],
+            rdf = F.broadcast(local_frame(
+                spark, [(i, k, float(lo), float(hi)) for (k, lo, hi), i in rid.items()],
                 "rid int, k int, lo double, hi double"))
             inside = (vals.join(rdf, "k")
                       .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
@@ -401,8 +401,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def _finish_by_distinct(inside: DataFrame, open_, rid, found) -> None:
     """Resolve ranks inside small ranges from their distinct values."""
     spark = inside.sparkSession
-    targets = F.broadcast(spark.createDataFrame(
-        [(rid[(k, st[0], st[1])], int(rank - st[2])) for (k, rank), st in open_.items()],
+    targets = F.broadcast(local_frame(
+        spark, [(rid[(k, st[0], st[1])], int(rank - st[2])) for (k, rank), st in open_.items()],
         "rid int, local long"))
     w = Window.partitionBy("rid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     dist = (inside.groupBy("rid", "v").agg(F.count(F.lit(1)).alias("c"))
