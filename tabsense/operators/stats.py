@@ -104,6 +104,9 @@ _STAT_SCHEMA = ("ordinal int, column string, kind string, spark_type string, "
                 "flag_values boolean, approx_distinct long")
 
 
+STATS_CHUNK = 64
+
+
 def column_stats(df: DataFrame, approx_distinct: bool = False,
                  distinct_for: list[str] | None = None,
                  hashed_for: list[str] | None = None) -> DataFrame:
@@ -114,13 +117,12 @@ def column_stats(df: DataFrame, approx_distinct: bool = False,
     count to the named columns (others get null).  Columns of kind
     ``other`` only get counts.
     """
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    structs = []
+    per_col: list[tuple[list[Column], Column]] = []   # (aggregates, output struct)
     for i, name, kind, is_int in columns_by_kind(df):
         c = q(name)
         v = as_number(c) if kind == "numeric" else c
         nn = F.count(v)
-        aggs.append(nn.alias(f"nn{i}"))
+        aggs = [nn.alias(f"nn{i}")]
         null_d = F.lit(None).cast("double")
         null_s = F.lit(None).cast("string")
         if kind == "numeric":
@@ -140,17 +142,26 @@ def column_stats(df: DataFrame, approx_distinct: bool = False,
             mn, mx, av, sd, fl = null_d, null_d, null_d, null_d, F.lit(False)
             mnt, mxt = null_s, null_s
         ad = F.lit(None).cast("long")
-        structs.append(F.struct(
+        per_col.append((aggs, F.struct(
             F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
             F.lit(kind).alias("kind"),
             F.lit(df.schema.fields[i].dataType.simpleString()).alias("spark_type"),
             F.lit(is_int).alias("is_integer"), F.col(f"nn{i}").alias("nonnull"),
             mn.alias("min_num"), mx.alias("max_num"), av.alias("mean"), sd.alias("std"),
             mnt.alias("min_text"), mxt.alias("max_text"), fl.alias("flag_values"),
-            ad.alias("approx_distinct")))
-    one = df.agg(*aggs)
-    stats = one.select(F.col("__rows").alias("rows"),
-                       F.inline(F.array(*structs))).drop("approx_distinct")
+            ad.alias("approx_distinct"))))
+    # one aggregate per group of STATS_CHUNK columns: a single aggregate over
+    # hundreds of columns outgrows the JIT method limit and loses codegen;
+    # each group's scan reads only its own columns
+    stats = None
+    for j in range(0, max(len(per_col), 1), STATS_CHUNK):
+        chunk = per_col[j:j + STATS_CHUNK]
+        one = df.agg(F.count(F.lit(1)).alias("__rows"), *[a for aggs, _ in chunk for a in aggs])
+        part = (one.select(F.col("__rows").alias("rows"),
+                           F.inline(F.array(*[st for _, st in chunk])))
+                if chunk else one.select(F.col("__rows").alias("rows")).where(F.lit(False)))
+        stats = part if stats is None else stats.unionByName(part)
+    stats = stats.drop("approx_distinct") if per_col else stats
     if approx_distinct:
         # HLL is an imperative aggregate: kept out of the codegen'd one above
         kinds = columns_by_kind(df)

@@ -116,3 +116,11 @@ def test_histogram_counts_sum(frame):
 def test_series_daily_fallback(frame):
     s = P.series(frame, "order_date", "amount").collect()
     assert s[0]["granularity"] == "month" and len(s) == 7
+
+
+def test_column_stats_chunked_equals_single_aggregate(frame, monkeypatch):
+    full = sorted(tuple(r) for r in S.column_stats(frame).collect())
+    monkeypatch.setattr(S, "STATS_CHUNK", 2)
+    chunked = S.column_stats(frame)
+    assert sorted(tuple(r) for r in chunked.collect()) == full
+    assert chunked.columns == S.column_stats(frame).columns
