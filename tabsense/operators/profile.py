@@ -150,6 +150,9 @@ def identifiers(stats: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ PRF-8
+PAIR_CHUNK = 128
+
+
 def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
     """PRF-8: Pearson r of every numeric pair, pairwise complete, ``|r| >= cut``.
 
@@ -172,14 +175,12 @@ def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
     means = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(nums))]
     full = [first[f"c{i}"] == first["n"] for i in range(len(nums))]
     d = [(v - F.lit(float(m))) for v, m in zip(vals, means)]
-    aggs = []
-    for i in range(len(nums)):
-        if full[i]:
-            aggs.append(F.sum(d[i] * d[i]).alias(f"s{i}_{i}"))
-    rs = []
+    per_pair = []   # (aggregates, full columns needing a square sum, output struct)
     for i, j in pairs:
-        aggs.append(F.sum(d[i] * d[j]).alias(f"x{i}_{j}"))
+        aggs = [F.sum(d[i] * d[j]).alias(f"x{i}_{j}")]
+        diag = []
         if full[i] and full[j]:
+            diag = [i, j]
             sxx, syy, sxy = F.col(f"s{i}_{i}"), F.col(f"s{j}_{j}"), F.col(f"x{i}_{j}")
         else:
             both = vals[i].isNotNull() & vals[j].isNotNull()
@@ -193,11 +194,20 @@ def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
             sxy = F.col(f"x{i}_{j}") - F.try_divide(a * b, nb)
             sxx = F.col(f"p{i}_{j}") - F.try_divide(a * a, nb)
             syy = F.col(f"q{i}_{j}") - F.try_divide(b * b, nb)
-        rs.append(F.struct(F.lit(nums[i]).alias("a"), F.lit(nums[j]).alias("b"),
-                           F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r")))
-    one = df.agg(*aggs)
-    return (one.select(F.inline(F.array(*rs)))
-            .where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= cut))
+        per_pair.append((aggs, diag, F.struct(
+            F.lit(nums[i]).alias("a"), F.lit(nums[j]).alias("b"),
+            F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r"))))
+    # one aggregate per group of PAIR_CHUNK pairs (pairs grow quadratically;
+    # a huge aggregate loses codegen), each scan reading only its columns
+    out = None
+    for k in range(0, len(per_pair), PAIR_CHUNK):
+        chunk = per_pair[k:k + PAIR_CHUNK]
+        diag = sorted({i for _, dg, _ in chunk for i in dg})
+        one = df.agg(*[F.sum(d[i] * d[i]).alias(f"s{i}_{i}") for i in diag],
+                     *[a for aggs, _, _ in chunk for a in aggs])
+        part = one.select(F.inline(F.array(*[st for _, _, st in chunk])))
+        out = part if out is None else out.unionByName(part)
+    return (out.where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= cut))
             .select("a", "b", F.round("r", 3).alias("r")))
 
 

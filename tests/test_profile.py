@@ -124,3 +124,18 @@ def test_column_stats_chunked_equals_single_aggregate(frame, monkeypatch):
     chunked = S.column_stats(frame)
     assert sorted(tuple(r) for r in chunked.collect()) == full
     assert chunked.columns == S.column_stats(frame).columns
+
+
+def test_correlations_chunked_equals_single_aggregate(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        x = rnd.gauss(0, 1)
+        rows.append((x, 2 * x + rnd.gauss(0, 0.1), None if i % 5 == 0 else -x + rnd.gauss(0, 0.3),
+                     float(i % 7), rnd.random()))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    full = sorted(tuple(r) for r in P.correlations(df, cut=0.0).collect())
+    monkeypatch.setattr(P, "PAIR_CHUNK", 3)
+    assert sorted(tuple(r) for r in P.correlations(df, cut=0.0).collect()) == full
+    assert len(full) == 10
