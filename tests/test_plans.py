@@ -79,3 +79,14 @@ def test_partials_path_equals_direct_path(spark, orders, measure):
             _rows(B.trend_bins(frame, "o_orderdate", measure), ["idx"])
         assert _rows(B.breakdowns(frame, dims, measure, pre=pre), ["dim_order", "rank"]) == \
             _rows(B.breakdowns(frame, dims, measure), ["dim_order", "rank"])
+
+
+def test_change_batch_plans_no_full_outer_join(spark, orders):
+    from tabsense.operators import changes as CH
+    batch = (orders.where(F.col("o_orderstatus") == "P")
+             .select(F.lit(1).cast("long").alias("seq"), F.lit("delete").alias("op"),
+                     "o_orderkey"))
+    for df in (CH.apply_changes(orders, batch, ["o_orderkey"]),
+               CH.change_counts(orders, batch, ["o_orderkey"])):
+        p = plan(df)
+        assert "FullOuter" not in p
