@@ -10,12 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import decontaminate, mixing, prob_minhash, sharding
-from tabsense.llm.common import stored, table
+from tabsense.llm import decontaminate, mixing, prob_minhash, sharding, toxic_grammar
+from tabsense.llm.common import fresh_name, stored, table
 
 SHARDS = 40
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, fitted on all labels, calls toxic go."""
+    model = toxic_grammar.fit(docs, table(spark, sf_dir, "labels"))
+    score = fresh_name(docs, "score")
+    scored = toxic_grammar.predict(docs, model, docs.columns, out=score)
+    return scored.where(F.col(score) < 0.5).drop(score)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class (the smallest id) stays."""
     return prob_minhash.representatives(docs)
@@ -37,6 +45,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("source_mix", source_mix),

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsense.session import ensure_checkpoint_dir
@@ -60,6 +60,32 @@ def unit_hash(*parts: Column | str) -> Column:
             / F.lit(float(1 << 52)))
 
 
+def held_out(id_: Column, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls into the fold that is kept from training."""
+    return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(folds))
+                      == fold, F.lit(False))
+
+
+def bounded_sample(keys: DataFrame, docs: DataFrame, id_col: str, per_label: int) -> DataFrame:
+    """``docs`` restricted to a sample of ``keys`` (id, label), with (sample_label, sample_h).
+
+    At most ``per_label`` ids of each label, those with the smallest hash of
+    the id, so the choice does not depend on partitioning.  They are thinned
+    inside 64 slices first: no task sorts a whole label.  Only ids are
+    shuffled, and the chosen ones are few by the bound.
+    """
+    keys = (keys.where("label is not null and id is not null").distinct()
+            .withColumn("h", F.xxhash64(F.lit("sample"), "id"))
+            .withColumn("slice", F.pmod("h", F.lit(64))))
+    in_slice = F.row_number().over(Window.partitionBy("label", "slice").orderBy("h", "id"))
+    in_label = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    chosen = (keys.withColumn("nth", in_slice).where(F.col("nth") <= per_label)
+              .withColumn("nth", in_label).where(F.col("nth") <= per_label)
+              .select(F.col("id").alias("sample_id"), F.col("label").alias("sample_label"),
+                      F.col("h").alias("sample_h")))
+    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id")).drop("sample_id")
+
+
 # --- byte-level words (numpy, inside tasks) ---------------------------------
 
 _b = np.arange(256)

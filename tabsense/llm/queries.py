@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import decontaminate, mixing, prob_minhash, sharding
-from tabsense.llm.common import table
+from tabsense.llm import (decontaminate, gru_langid, mixing, prob_minhash, sharding,
+                          toxic_grammar)
+from tabsense.llm.common import held_out, table
 
 SHARDS = 40
 
@@ -42,5 +43,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network trained on two folds of three."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", held_out(F.col("doc_id"), 3, 1))
+    net = gru_langid.fit(docs.where("not held_out"))
+    return gru_langid.predict(docs, net, ["doc_id", "held_out"])
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", held_out(F.col("doc_id"), 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    model = toxic_grammar.fit(docs, labels)
+    return toxic_grammar.predict(docs, model, ["doc_id", "held_out"]).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_prob_minhash, op5_mixing, op6_decontamination)}
+    op1_sharding, op2_prob_minhash, op5_mixing, op6_decontamination, op8_language,
+    op9_toxicity)}
