@@ -73,4 +73,113 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-ORACLE = {"op5_mixing": OP5, "op6_decontamination": OP6}
+# Levels by walking up from the calls without dependencies.
+OP7 = """
+WITH RECURSIVE call AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+         len(string_split(text, ' ')) AS words, min(text) AS prompt
+  FROM conversations WHERE role = 'user' GROUP BY ALL),
+one AS (
+  SELECT conv_id, call_id, min({'t': turn, 'p': prompt, 'w': words}) AS c
+  FROM call GROUP BY conv_id, call_id),
+dep AS (
+  SELECT DISTINCT conv_id, call_id, dep FROM (
+    SELECT conv_id, call_id, unnest(CASE
+        WHEN c.t % 8 = 6 THEN [conv_id || ':' || (c.t - 2), conv_id || ':0']
+        WHEN c.t >= 2 THEN [conv_id || ':' || (c.t - 2)] ELSE [] END) AS dep FROM one)),
+edge AS (
+  SELECT d.* FROM dep d JOIN one o ON o.conv_id = d.conv_id AND o.call_id = d.dep),
+walk(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM one
+  UNION
+  SELECT e.conv_id, e.call_id, w.level + 1 FROM walk w
+  JOIN edge e ON e.conv_id = w.conv_id AND e.dep = w.call_id),
+lev AS (SELECT conv_id, call_id, max(level) AS level FROM walk GROUP BY ALL),
+asked AS (SELECT conv_id, call_id, count(*) AS n FROM dep GROUP BY ALL),
+found AS (SELECT conv_id, call_id, count(*) AS n FROM edge GROUP BY ALL),
+res AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min({'t': turn, 'x': text}) AS r,
+         count(*) - 1 AS extra
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(o.conv_id, r.conv_id) AS conv_id, coalesce(o.call_id, r.call_id) AS call_id,
+       coalesce(o.c.t, r.r.t) AS turn, CASE WHEN o.c IS NOT NULL THEN 'answer' END AS name,
+       l.level::BIGINT AS level,
+       CASE WHEN o.c IS NOT NULL THEN coalesce(a.n, 0) - coalesce(f.n, 0) END AS dangling,
+       CASE WHEN o.c IS NULL THEN 'noCall' WHEN r.r IS NULL THEN 'noResult'
+            ELSE 'linked' END AS status,
+       coalesce(r.extra, 0) AS extra_results,
+       CASE WHEN o.c IS NOT NULL THEN '' END AS errors,
+       CASE WHEN o.c IS NOT NULL THEN
+         '{"arguments":{"prompt":' || to_json(o.c.p) || ',"turn":' || o.c.t || ',"words":'
+         || o.c.w || '},"id":' || to_json(o.call_id) || ',"level":' || l.level
+         || ',"name":"answer"' || coalesce(',"result":' || to_json(r.r.x), '') || '}'
+       END AS record
+FROM one o FULL JOIN res r ON o.conv_id = r.conv_id AND o.call_id = r.call_id
+LEFT JOIN lev l ON l.conv_id = o.conv_id AND l.call_id = o.call_id
+LEFT JOIN asked a ON a.conv_id = o.conv_id AND a.call_id = o.call_id
+LEFT JOIN found f ON f.conv_id = o.conv_id AND f.call_id = o.call_id
+"""
+
+# Runs along diagonals as gaps and islands instead of array scans.
+OP10 = """
+WITH doc AS (
+  SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+key AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k, * FROM doc),
+raw AS (
+  SELECT k, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM key),
+ln AS (
+  SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS pos,
+         ('0x' || substr(md5(trim(line)), 1, 15))::BIGINT AS h,
+         len(string_split(trim(line), ' ')) >= 50 AS long
+  FROM raw WHERE trim(line) <> ''),
+gram AS (
+  SELECT k, pos, ('0x' || substr(md5(h || '|' || nxt), 1, 15))::BIGINT AS g,
+         max(pos) OVER (PARTITION BY k) AS top
+  FROM (SELECT *, lead(h) OVER (PARTITION BY k ORDER BY pos) AS nxt FROM ln)
+  WHERE nxt IS NOT NULL),
+win AS (
+  SELECT k, w, arg_min({'pos': pos, 'g': g}, {'g': g, 'at': -pos}) AS x
+  FROM (SELECT *, unnest(range(greatest(pos - 1, 0),
+                               greatest(least(pos, top - 1), 0) + 1)) AS w FROM gram)
+  GROUP BY k, w),
+place AS (
+  SELECT DISTINCT k, x.pos AS pos, 2 AS n, x.g AS fp FROM win
+  UNION ALL SELECT k, pos, 1, h FROM ln WHERE long),
+fst AS (
+  SELECT n, fp, min({'k': k, 'pos': pos}) AS f FROM place GROUP BY n, fp HAVING count(*) > 1),
+hit AS (
+  SELECT DISTINCT p.k, p.pos, f.f.k AS k0, f.f.pos - p.pos AS shift
+  FROM place p JOIN fst f USING (n, fp) WHERE (p.k, p.pos) <> (f.f.k, f.f.pos)),
+diag AS (
+  SELECT DISTINCT k, k0, shift FROM hit),
+same AS (
+  SELECT d.k, d.k0, d.shift, a.pos,
+         a.pos - row_number() OVER (PARTITION BY d.k, d.k0, d.shift ORDER BY a.pos) AS island
+  FROM diag d JOIN ln a ON a.k = d.k
+  JOIN ln b ON b.k = d.k0 AND b.pos = a.pos + d.shift AND b.h = a.h),
+run AS (
+  SELECT DISTINCT s.k, s.k0, s.shift, s.island FROM same s
+  JOIN hit h ON h.k = s.k AND h.k0 = s.k0 AND h.shift = s.shift AND h.pos = s.pos),
+span AS (
+  SELECT s.k, min(l.i) AS lo, max(l.i) AS hi FROM same s
+  JOIN run r USING (k, k0, shift, island) JOIN ln l ON l.k = s.k AND l.pos = s.pos
+  GROUP BY s.k, s.k0, s.shift, s.island),
+kept AS (
+  SELECT k, array_to_string(list(line ORDER BY i), chr(10)) AS text,
+         count(*) FILTER (trim(line) <> '') AS n
+  FROM raw WHERE NOT EXISTS (
+    SELECT 1 FROM span s WHERE s.k = raw.k AND raw.i BETWEEN s.lo AND s.hi) GROUP BY k),
+cnt AS (SELECT k, count(*) AS n FROM ln GROUP BY k)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines,
+       (coalesce(c.n, 0) - CASE WHEN k.k IS NULL THEN 0 ELSE coalesce(e.n, 0) END)::BIGINT
+         AS n_removed,
+       strlen(CASE WHEN k.k IS NULL THEN NULL ELSE coalesce(e.text, '') END)::BIGINT
+         AS kept_bytes,
+       md5(CASE WHEN k.k IS NULL THEN NULL ELSE coalesce(e.text, '') END) AS kept_md5
+FROM documents d LEFT JOIN key k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text
+LEFT JOIN cnt c ON c.k = k.k LEFT JOIN kept e ON e.k = k.k
+"""
+
+ORACLE = {"op7_tool_calls": OP7, "op10_winnowing": OP10, "op5_mixing": OP5, "op6_decontamination": OP6}

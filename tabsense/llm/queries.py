@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsense.llm import (decontaminate, gru_langid, mixing, prob_minhash, sharding,
-                          toxic_grammar)
+                          tool_calls, toxic_grammar, winnow)
 from tabsense.llm.common import held_out, table
 
 SHARDS = 40
@@ -43,6 +43,36 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
+TOOLS = {"answer": {"prompt": ("string", True), "turn": ("integer", True),
+                    "words": ("integer", False), "system": ("string", False)}}
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls of an ``answer`` tool, linked with what was answered.
+
+    Every user turn is a call; it depends on the user turn before, and every
+    fourth one on the conversation's first turn as well.  The turn after it,
+    when an assistant's, is its result.
+    """
+    turns = table(spark, sf_dir, "conversations")
+
+    def call_id(turn):
+        return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+
+    turn = F.col("turn")
+    deps = F.when(turn % 8 == 6, F.array(call_id(turn - 2), call_id(F.lit(0)))).when(
+        turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", call_id(turn).alias("call_id"), F.lit("answer").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("prompt"),
+                           F.size(F.split("text", " ", -1)).alias("words"))).alias("arguments"),
+        deps.alias("depends_on"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = tool_calls.link(calls, results, TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a network trained on two folds of three."""
     docs = table(spark, sf_dir, "documents").withColumn(
@@ -61,6 +91,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier run, and what is left of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = winnow.deduplicate_lines(docs, out_col="kept_text")
+    return left.select("doc_id", "n_lines", "n_removed",
+                       F.octet_length("kept_text").cast("long").alias("kept_bytes"),
+                       F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_prob_minhash, op5_mixing, op6_decontamination, op8_language,
-    op9_toxicity)}
+    op1_sharding, op2_prob_minhash, op5_mixing, op6_decontamination, op7_tool_calls,
+    op8_language, op9_toxicity, op10_winnowing)}
