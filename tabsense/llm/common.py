@@ -140,20 +140,25 @@ def spans_of(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of the first word of each document + total)."""
-    starts, ends = spans_of(IS_WORD[data], offsets)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+               fold: bool = True) -> np.ndarray:
+    """64-bit hash of the bytes of every (non-empty) span; ``fold`` ignores the case of A-Z."""
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
     powers = np.multiply.accumulate(
         np.full(int(lengths.max()) + 1, _BASE, dtype=np.uint64))
-    chars = LOWER[data[np.repeat(starts, lengths) + inside]].astype(np.uint64) + np.uint64(1)
-    hashes = mix64(np.add.reduceat(chars * powers[inside], heads)
-                   + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    chars = data[np.repeat(starts, lengths) + inside]
+    chars = (LOWER[chars] if fold else chars).astype(np.uint64) + np.uint64(1)
+    return mix64(np.add.reduceat(chars * powers[inside], heads) + lengths.astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of the first word of each document + total)."""
+    starts, ends = spans_of(IS_WORD[data], offsets)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def blocks(offsets: np.ndarray, most: int):

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import (decontaminate, gru_langid, mixing, prob_minhash, sharding,
-                          tool_calls, toxic_grammar, winnow)
+from tabsense.llm import (decontaminate, gru_langid, line_crf, mixing, ordinal, prob_minhash,
+                          sharding, tool_calls, toxic_grammar, winnow)
 from tabsense.llm.common import held_out, table
 
 SHARDS = 40
@@ -30,6 +30,30 @@ def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), "class_id", "is_representative")
 
 
+def op3_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document, learned from four folds of five.
+
+    Grades from the labels: 0 poor quality, 1 good but toxic, 2 good.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", held_out(F.col("doc_id"), 5, 0))
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(
+        (F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    ratings = (table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+               .select("doc_id", grade.alias("grade")))
+    model = ordinal.fit(docs, ratings)
+    rated = ordinal.predict(docs, model, ["doc_id", "held_out"])
+    return rated.select("doc_id", "held_out", "expected_grade",
+                        F.get("tails", 0).alias("p_good"), F.get("tails", 1).alias("p_best"),
+                        (F.get("tails", 0) >= 0.5).alias("selected"))
+
+
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and line counts of every document, its content share, and whether it is kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return line_crf.judge(docs, line_crf.fit(docs, labels), ["doc_id"])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that every source weighs the same, in random order."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -101,5 +125,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_prob_minhash, op5_mixing, op6_decontamination, op7_tool_calls,
+    op1_sharding, op2_prob_minhash, op3_ordinal, op4_line_crf, op5_mixing, op6_decontamination, op7_tool_calls,
     op8_language, op9_toxicity, op10_winnowing)}
