@@ -2,10 +2,15 @@
 
 Statements are classified by walking the *unresolved* logical plan that
 Spark's own parser returns — nothing is executed to classify, and a write
-hidden inside a CTE is still seen.  Reads whose root is not already a
-``LIMIT`` get an interactive row cap as a plan node (``limit``), so the
-optimizer turns ``ORDER BY … LIMIT`` into a distributed top-k.  Writes and
-DDL run only with ``confirm_write=True``.
+hidden inside a CTE is still seen.  The default is to deny: a statement is a
+read only if every node of its plan is a known query node and no expression
+calls into the JVM by reflection; whatever is not known is ``ddl``.  Writes
+and DDL run only with ``confirm_write=True``.
+
+Results are whole unless the caller asks for ``row_limit``: then a plain
+SELECT without its own ``LIMIT`` gets the cap as a plan node, so that
+``ORDER BY … LIMIT`` becomes a distributed top-k.  Set operations are left
+whole.
 
 Uses ``spark._jsparkSession`` (classic mode, not Spark Connect).
 """
@@ -21,13 +26,25 @@ from ..functions import words as W
 
 READ, WRITE, DDL = "read", "write", "ddl"
 
-# Unresolved-plan node classes that change table contents.
-WRITE_NODES = {"InsertIntoStatement", "UpdateTable", "DeleteFromTable", "MergeIntoTable",
-               "AppendData", "OverwriteByExpression", "OverwritePartitionsDynamic",
-               "ReplaceData", "WriteDelta"}
+# Unresolved-plan node classes that change table contents or files.
+WRITE_NODES = {"InsertIntoStatement", "InsertIntoDir", "UpdateTable", "DeleteFromTable",
+               "MergeIntoTable", "AppendData", "OverwriteByExpression",
+               "OverwritePartitionsDynamic", "ReplaceData", "WriteDelta"}
+# All that a query may consist of; any other node makes a statement ddl.
+QUERY_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset",
+               "Tail", "Distinct", "Union", "Intersect", "Except", "Join", "LateralJoin",
+               "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving",
+               "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "OneRowRelation",
+               "Generate", "Pivot", "Unpivot", "Window", "WithWindowDefinition", "Sample",
+               "UnresolvedHint", "Repartition", "RepartitionByExpression", "LocalRelation",
+               "RelationTimeTravel", "UnresolvedTableValuedFunction",
+               "UnresolvedTVFAliases", "UnresolvedTableValuedFunctionAliases"}
+# Functions that call arbitrary code.
+REFLECTIVE = {"java_method", "reflect", "try_reflect"}
 # Commands that only read (listing, describing, explaining).
 READ_COMMAND_PREFIXES = ("Show", "Describe", "Explain")
 LIMIT_ROOTS = {"GlobalLimit", "LocalLimit", "Tail"}
+SET_ROOTS = {"Union", "Intersect", "Except"}
 _COMMAND = "org.apache.spark.sql.catalyst.plans.logical.Command"
 
 
@@ -99,6 +116,24 @@ def _node_class(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def _items(seq) -> list:
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _calls_reflection(node) -> bool:
+    stack = _items(node.expressions())
+    while stack:
+        e = stack.pop()
+        if _node_class(e) == "UnresolvedFunction" and str(
+                _items(e.nameParts())[-1]).lower() in REFLECTIVE:
+            return True
+        stack.extend(_items(e.children()))
+    return False
+
+
 def classify_plan(spark: SparkSession, plan) -> str:
     cmd = spark._jvm.java.lang.Class.forName(_COMMAND)
     stack, worst = [plan], READ
@@ -106,8 +141,16 @@ def classify_plan(spark: SparkSession, plan) -> str:
         node = stack.pop()
         name = _node_class(node)
         if name in WRITE_NODES:
-            worst = WRITE if worst == READ else worst
-        elif cmd.isInstance(node) and not name.startswith(READ_COMMAND_PREFIXES):
+            worst = WRITE
+        elif cmd.isInstance(node):
+            if not name.startswith(READ_COMMAND_PREFIXES):
+                return DDL
+            if not name.startswith("Explain"):
+                continue                       # names of tables and namespaces below
+        elif name not in QUERY_NODES and not (name.startswith("Unresolved")
+                                              and worst != READ):
+            return DDL
+        if _calls_reflection(node):
             return DDL
         stack.extend(_children(node))
     return worst
@@ -119,7 +162,7 @@ def classify(spark: SparkSession, sql: str) -> str:
 
 
 def needs_limit(spark: SparkSession, sql: str) -> bool:
-    """SQL-2: a read whose root (through ``WITH``) is not already a limit."""
+    """SQL-2: a read whose root (through ``WITH``) is a SELECT without a limit."""
     plan = _parse(spark, sql)
     if classify_plan(spark, plan) != READ:
         return False
@@ -127,9 +170,11 @@ def needs_limit(spark: SparkSession, sql: str) -> bool:
     while _node_class(node) == "UnresolvedWith":
         node = node.child()
     name = _node_class(node)
-    if name.startswith(READ_COMMAND_PREFIXES):
+    if name.startswith(READ_COMMAND_PREFIXES) or name in LIMIT_ROOTS:
         return False
-    return name not in LIMIT_ROOTS
+    while _node_class(node) in ("Sort", "Distinct"):
+        node = node.child()
+    return _node_class(node) not in SET_ROOTS
 
 
 @dataclass
@@ -137,13 +182,23 @@ class GuardedResult:
     sql_class: str
     limited: bool
     df: DataFrame | None
+    affected: int | None = None
+
+
+def _affected(df: DataFrame) -> int | None:
+    """Rows a write changed, from the finished command's metrics (None if it reports none)."""
+    try:
+        metrics = df._jdf.queryExecution().executedPlan().commandPhysicalPlan().metrics()
+        found = metrics.get("numOutputRows")
+        return int(found.get().value()) if found.isDefined() else None
+    except Exception:  # noqa: BLE001  a command without a physical plan has no metrics
+        return None
 
 
 def guarded_sql(spark: SparkSession, sql: str, confirm_write: bool = False,
-                row_limit: int | None = W.BROWSE_ROW_LIMIT) -> GuardedResult:
-    """SQL-3: classify, block unconfirmed writes, cap unbounded reads.
+                row_limit: int | None = None) -> GuardedResult:
+    """SQL-3: classify, block unconfirmed writes, cap a SELECT where asked.
 
-    ``row_limit=None`` keeps whole results (analysis and export paths).
     A blocked statement raises ``WriteBlocked`` and is not executed.
     """
     sql_class = classify(spark, sql)
@@ -154,4 +209,5 @@ def guarded_sql(spark: SparkSession, sql: str, confirm_write: bool = False,
         df = spark.sql(text)
         limited = row_limit is not None and needs_limit(spark, sql)
         return GuardedResult(READ, limited, df.limit(row_limit) if limited else df)
-    return GuardedResult(sql_class, False, spark.sql(text))
+    df = spark.sql(text)
+    return GuardedResult(sql_class, False, df, _affected(df))

@@ -357,7 +357,7 @@ def _pass_through(name: str, spark_sql: str, duck_sql: str | None = None,
 
     def run(spark, sf_dir):
         register_views(spark, sf_dir)
-        return G.guarded_sql(spark, spark_sql).df
+        return G.guarded_sql(spark, spark_sql, row_limit=500 if oracle_limit else None).df
     register(name, sql)(run)
 
 
@@ -399,6 +399,9 @@ WHERE rk <= 3""")
 _pass_through("sql_set_ops", """
 (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)
 EXCEPT (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
+_pass_through("sql_set_ops_whole", """
+SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer
+UNION SELECT l_partkey FROM lineitem""")
 _pass_through("sql_top_k", """
 SELECT p_partkey, p_name, p_retailprice FROM part
 ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")
@@ -1017,6 +1020,18 @@ def sample_rows(spark, sf_dir):
     return P.sample_rows(load_table(spark, sf_dir, "part"), ["p_partkey"])
 
 
+@register("chart_series_many", """
+SELECT coalesce(CAST(l_partkey AS VARCHAR), '—') AS x, CAST(lines AS DOUBLE) AS y
+FROM (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY l_partkey)
+ORDER BY l_partkey LIMIT 40""")
+def chart_series_many(spark, sf_dir):
+    """Far more groups than points: ordered first, then cut to the chart's 40."""
+    register_views(spark, sf_dir)
+    res = G.guarded_sql(spark, "SELECT l_partkey, count(*) AS lines FROM lineitem "
+                               "GROUP BY l_partkey").df
+    return BR.chart_series(res, ["l_partkey"])
+
+
 @register("chart_series", """
 SELECT coalesce(CAST(c_mktsegment AS VARCHAR), '—') AS x, CAST(customers AS DOUBLE) AS y
 FROM (SELECT c_mktsegment, count(*) AS customers, round(sum(c_acctbal), 2) AS bal
