@@ -216,9 +216,10 @@ def narrative(a: Analysis, subject: str = "", language: str = "en") -> DataFrame
             t["peak"], label=F.col("peak_label"),
             value=L.fmt_number(F.col("peak_value"))).alias("text"))))
     if a.breakdowns is not None:
-        bd = a.breakdowns.where((F.col("rank") == 1) & (F.col("dim_order") < 2))
+        # one row per remaining dimension: the first two are told, whatever was merged
         dense = Window.partitionBy(F.lit(0)).orderBy("dim_order")
-        bd = bd.withColumn("pos", F.row_number().over(dense))
+        bd = (a.breakdowns.where(F.col("rank") == 1)
+              .withColumn("pos", F.row_number().over(dense)).where("pos <= 2"))
         scope = F.when(F.col("coverage_pct") >= W.COVERAGE_FULL_PCT, F.lit("")).otherwise(
             template(t["scopeNote"], pct=L.fmt_number(F.col("coverage_pct"))))
         lead = F.when(F.col("leader_share_pct").isNotNull(), template(
@@ -300,12 +301,6 @@ def fact_numbers(fact_texts: DataFrame, text_col: str = "text") -> DataFrame:
             .distinct().withColumn("v", F.col("token").try_cast("double")))
 
 
-# Fact numbers of one report are few by construction (KPIs, three trend
-# sentences, a handful of breakdown pairs); above this many the band test
-# switches from a broadcast to the grid join below.
-MAX_BROADCAST_FACT_NUMBERS = 10_000
-
-
 def _within_band(v: Column, f: Column) -> Column:
     """Tolerance of GRD-2: ``|v - f| <= max(1, 1% of |f|)``."""
     return F.abs(v - f) <= F.greatest(F.lit(1.0), F.abs(f) * 0.01)
@@ -357,71 +352,141 @@ def band_unsupported(said: DataFrame, facts: DataFrame, keys: list[str]) -> Data
     return said.join(ok, keys, "left_anti")
 
 
-def ungrounded(claims: DataFrame, fact_texts: DataFrame, id_cols: list[str],
-               text_col: str = "text",
-               max_broadcast: int = MAX_BROADCAST_FACT_NUMBERS) -> DataFrame:
-    """GRD-2: numbers in claims that no fact supports: ``(*id_cols, token)``.
+def report_numbers(fact_texts: DataFrame) -> Column:
+    """The numbers of one report's facts as a literal ``struct(tokens, values)``.
+
+    A report states a handful of figures per KPI, trend and breakdown, so the
+    list is bounded by the fact templates, not by the data.
+    """
+    got = sorted((r["token"], r["v"]) for r in fact_numbers(fact_texts).collect()
+                 if r["v"] is not None)
+    tokens = F.array(*[F.lit(t) for t, _ in got]).cast("array<string>")
+    values = F.array(*[F.lit(v) for _, v in got]).cast("array<double>")
+    return F.struct(tokens.alias("tokens"), values.alias("values"))
+
+
+def unsupported(text: Column, numbers: Column) -> Column:
+    """GRD-2 inside the row: the number tokens of ``text`` that no fact supports.
 
     A number is supported when it equals a fact token, is <= 12, or lies
-    within ``max(1, 1% of |fact|)`` of a fact number.  The fact numbers are
-    computed once and checked against ``max_broadcast``: within it they
-    become a local table (exact tokens removed by an equi anti join, the
-    band test against the broadcast numbers); beyond it the band test is
-    the grid join of ``band_unsupported``.
+    within ``max(1, 1% of |fact|)`` of a fact number.
     """
-    spark = claims.sparkSession
+    def bad(token):
+        v = token.try_cast("double")
+        return ((v > 12) & ~F.array_contains(numbers["tokens"], token)
+                & ~F.exists(numbers["values"], lambda f: _within_band(v, f)))
+    return F.filter(T.numbers(text), bad)
+
+
+def ungrounded(claims: DataFrame, fact_texts: DataFrame, id_cols: list[str],
+               text_col: str = "text") -> DataFrame:
+    """GRD-2: numbers in claims that no fact of a report supports: ``(*id_cols, token)``.
+
+    The test runs inside the claim's row, without a join.
+    """
+    numbers = report_numbers(fact_texts)
+    return claims.select(*id_cols, F.explode(unsupported(F.col(text_col), numbers))
+                         .alias("token"))
+
+
+def ungrounded_by_table(claims: DataFrame, facts: DataFrame, id_cols: list[str],
+                        text_col: str = "text") -> DataFrame:
+    """GRD-2 against a table of fact texts of any size: the grid join of ``band_unsupported``."""
     said = claims.select(*id_cols, F.explode(T.numbers(F.col(text_col))).alias("token"))
-    said = said.withColumn("v", F.col("token").try_cast("double"))
-    said = said.where(F.col("v").isNotNull() & (F.col("v") > 12))
-    nums = fact_numbers(fact_texts)
-    got = nums.limit(max_broadcast + 1).collect()
-    if len(got) > max_broadcast:
-        said = said.join(nums.select("token"), "token", "left_anti")
-        return band_unsupported(said, nums, [*id_cols, "token"]).select(*id_cols, "token")
-    facts = F.broadcast(S.local_frame(spark, [(r["token"], r["v"]) for r in got],
-                                      "token string, v double"))
-    said = said.join(facts.select("token"), "token", "left_anti")
-    return (said.join(facts, _within_band(said["v"], facts["v"]), "left_anti")
-            .select(*id_cols, "token"))
+    said = said.withColumn("v", F.col("token").try_cast("double")).where("v > 12")
+    nums = fact_numbers(facts)
+    said = said.join(nums.select("token"), "token", "left_anti")
+    return band_unsupported(said, nums, [*id_cols, "token"]).select(*id_cols, "token")
 
 
 def strip_ungrounded(claims: DataFrame, fact_texts: DataFrame, id_cols: list[str],
                      text_col: str = "text") -> DataFrame:
-    """GRD-3: claims without unsupported numbers (the others are dropped)."""
-    bad = ungrounded(claims, fact_texts, id_cols, text_col).select(*id_cols).distinct()
-    return claims.join(bad, id_cols, "left_anti")
+    """GRD-3 on single claims: those with an unsupported number are dropped."""
+    return claims.where(F.size(unsupported(F.col(text_col), report_numbers(fact_texts))) == 0)
+
+
+def strip_reply(parsed: DataFrame, numbers: Column) -> DataFrame:
+    """GRD-3 on parsed replies: items with a number that is unsupported anywhere in
+    the reply go, a summary with one is blanked; ``dropped_claims`` counts both."""
+    every = F.concat_ws(" ", F.col("summary"), F.array_join("findings", " "),
+                        F.array_join("recommendations", " "))
+    bad = unsupported(every, numbers)
+
+    def clean(x):
+        return ~F.arrays_overlap(T.numbers(x), F.col("bad_numbers"))
+    out = parsed.withColumn("bad_numbers", bad)
+    kept = {c: F.filter(F.col(c), clean) for c in ("findings", "recommendations")}
+    lost = F.arrays_overlap(T.numbers(F.col("summary")), F.col("bad_numbers"))
+    dropped = sum((F.size(c) - F.size(k) for c, k in kept.items()), F.lit(0))
+    return (out.withColumn("dropped_claims", (dropped + lost.cast("int")).cast("long"))
+            .withColumn("summary", F.when(lost, F.lit("")).otherwise(F.col("summary")))
+            .withColumns(kept).drop("bad_numbers"))
 
 
 # ------------------------------------------------------------------ TXT-4
-def fallback_fill(parsed: DataFrame, fallback: DataFrame, language: str = "en",
-                  sections: tuple[str, ...] = ("summary", "findings", "recommendations")
-                  ) -> DataFrame:
+SECTIONS = ("summary", "findings", "recommendations")
+
+
+def _blank(name: str) -> Column:
+    return F.lit("") if name == "summary" else F.array().cast("array<string>")
+
+
+def _is_blank(c: Column, name: str) -> Column:
+    return F.coalesce((c == "") if name == "summary" else (F.size(c) == 0), F.lit(True))
+
+
+def _body(columns: dict[str, Column]) -> Column:
+    return F.concat_ws(" ", columns["summary"], F.array_join(columns["findings"], " "),
+                       F.array_join(columns["recommendations"], " "))
+
+
+def fallback_fill(parsed: DataFrame, fallback: dict[str, str | list[str]] | None,
+                  language: str = "en", sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """TXT-4: complete parsed replies from a narrative fallback.
 
-    ``parsed``: ``reply_id, summary, findings array, recommendations array``.
-    ``fallback``: one row with the same three columns.  A reply in the wrong
-    language is replaced by the fallback; otherwise only empty sections are
-    filled; sections not wanted are blanked.
+    ``parsed`` has ``summary, findings array, recommendations array`` and any
+    other columns, which stay.  ``fallback`` holds the same three parts (see
+    ``fallback_of``).  A reply in the wrong language is replaced by the
+    fallback; otherwise only empty sections that the fallback has are filled;
+    sections not wanted are blanked.  ``language_ok`` tells the state of what
+    is returned, ``used_fallback`` whether anything was taken.
+    """
+    now = {c: F.col(c) for c in SECTIONS}
+    out, used = now, F.lit(False)
+    if fallback:
+        alt = {c: (F.lit(fallback.get(c) or "") if c == "summary" else
+                   F.array(*[F.lit(x) for x in fallback.get(c) or []]).cast("array<string>"))
+               for c in SECTIONS}
+        ok = T.language_matches(_body(now), language)
+        fills = {c: _is_blank(now[c], c) & F.lit(bool(fallback.get(c))) for c in sections}
+        out = {c: F.when(~ok | fills[c], alt[c]).otherwise(now[c]) if c in sections
+               else _blank(c) for c in SECTIONS}
+        used = ~ok
+        for c in sections:
+            used = used | fills[c]
+    out = {c: out[c] if c in sections else _blank(c) for c in SECTIONS}
+    rest = [c for c in parsed.columns if c not in SECTIONS]
+    return parsed.select(*rest, *[out[c].alias(c) for c in SECTIONS],
+                         used.alias("used_fallback"),
+                         T.language_matches(_body(out), language).alias("language_ok"))
+
+
+def fallback_of(told: DataFrame) -> dict[str, str | list[str]]:
+    """A narrative (one summary, at most 8 findings and 4 recommendations) as a fallback."""
+    rows = sorted((r["section"], r["seq"], r["text"]) for r in told.collect())
+    parts = {c: [t for s, _, t in rows if s == c] for c in SECTIONS}
+    return {**parts, "summary": " ".join(parts["summary"])}
+
+
+def reply_pipeline(replies: DataFrame, fact_texts: DataFrame, text_col: str = "text",
+                   language: str = "en", fallback: dict | None = None,
+                   sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """The chain after a reply: parse, strip ungrounded claims, fall back, blank the unwanted.
+
+    Everything happens inside the reply's row.
     """
-    fb = F.broadcast(fallback.select(*[F.col(c).alias(f"fb_{c}")
-                                       for c in ("summary", "findings", "recommendations")]))
-    body = F.concat_ws(" ", F.col("summary"), F.array_join("findings", " "),
-                       F.array_join("recommendations", " "))
-    j = parsed.crossJoin(fb).withColumn("ok", T.language_matches(body, language))
-
-    def pick(name, empty):
-        if name not in sections:
-            return empty.alias(name)
-        cur, alt = F.col(name), F.col(f"fb_{name}")
-        is_empty = (cur == "") if name == "summary" else (F.size(cur) == 0)
-        return (F.when(~F.col("ok"), alt).when(is_empty, alt).otherwise(cur)).alias(name)
-    used = (~F.col("ok"))
-    for name in sections:
-        cur = F.col(name)
-        is_empty = (cur == "") if name == "summary" else (F.size(cur) == 0)
-        used = used | is_empty
-    return j.select("reply_id",
-                    pick("summary", F.lit("")),
-                    pick("findings", F.array().cast("array<string>")),
-                    pick("recommendations", F.array().cast("array<string>")),
-                    used.alias("used_fallback"), F.col("ok").alias("language_ok"))
+    rest = [c for c in replies.columns if c != text_col]
+    parsed = replies.select(*rest, T.parse_sections(F.col(text_col)).alias("p")).select(
+        *rest, "p.*")
+    return fallback_fill(strip_reply(parsed, report_numbers(fact_texts)), fallback, language,
+                         sections)

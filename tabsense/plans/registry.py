@@ -935,13 +935,102 @@ def facts_lineitem(spark, sf_dir):
     return FA.facts(a, df.schema)
 
 
-@register("narrative_findings")
+def _told(t: str, **parts: str) -> str:
+    """A sentence template as a SQL concatenation."""
+    out, rest = [], t
+    while "{" in rest:
+        pre, tail = rest.split("{", 1)
+        key, rest = tail.split("}", 1)
+        out += [O.lit(pre)] * bool(pre) + [f"({parts[key]})"]
+    return " || ".join(out + [O.lit(rest)] * bool(rest))
+
+
+def _narrative_sql(source, measure, phrase, date_col, dims, subject, language):
+    """(section, seq, text) of the narrative, from the KPI, trend and breakdown SQL."""
+    t = FA.NARRATIVE_WORDS[language]
+    n, kp = O.fmt_number, O.kpis(source, measure)
+    k = f"""(SELECT max(value) FILTER (key = 'records') AS records,
+      max(value) FILTER (key = 'total') AS total, max(value) FILTER (key = 'average') AS average,
+      max(value) FILTER (key = 'highest') AS highest FROM ({kp}))"""
+    m_or = O.lit(measure or t["of"])
+    total = _told(t["total"], measure=O.lit(phrase), total=n("total"), average=n("average"),
+                  highest=n("highest"))
+    finds, recs = [], []
+    bits = []
+    if measure:
+        finds.append(f"SELECT 0 AS o, {total} AS text FROM {k} WHERE total IS NOT NULL")
+        bits.append(f"SELECT 0 AS o, {total} AS text FROM {k} WHERE total IS NOT NULL")
+    if date_col:
+        ts = f"({O.trend_summary(source, date_col, measure)})"
+        steady = "(change_pct IS NULL OR abs(change_pct) < 1)"
+        moved = {w: _told(t[w], measure=m_or, first=n("first"), last=n("last"),
+                          pct=n("abs(change_pct)")) for w in ("rose", "fell")}
+        finds += [f"SELECT 1, CASE WHEN {steady} THEN "
+                  f"{_told(t['steady'], measure=m_or, last=n('last'))} WHEN change_pct > 0 THEN "
+                  f"{moved['rose']} ELSE {moved['fell']} END FROM {ts}",
+                  f"SELECT 2, {_told(t['peak'], label='peak_label', value=n('peak_value'))} "
+                  f"FROM {ts}"]
+        recs.append(f"SELECT 1 AS o, {_told(t['recTrend'], measure=m_or, pct=n('abs(change_pct)'))}"
+                    f" AS text FROM {ts} WHERE NOT {steady}")
+        bits.append(f"SELECT 1, {_told(t['period'], start='period_start', end='period_end')} "
+                    f"FROM {ts}")
+    if dims:
+        bd = (f"(SELECT *, row_number() OVER (ORDER BY dim_order) AS pos FROM "
+              f"({O.breakdowns(source, dims, measure)}) WHERE rank = 1)")
+        scope = (f"CASE WHEN coverage_pct >= 95 THEN '' ELSE "
+                 f"{_told(t['scopeNote'], pct=n('coverage_pct'))} END")
+        lead = (f"CASE WHEN leader_share_pct IS NULL THEN "
+                + _told(t["leaderNoPct"], leader="leader", dim='"column"',
+                        value=n("leader_value")) + " ELSE "
+                + _told(t["leader"], leader="leader", dim='"column"', value=n("leader_value"),
+                        pct=n("leader_share_pct"), scope=scope) + " END")
+        plural = ("CASE WHEN categories BETWEEN 3 AND 10 THEN 'فئات' ELSE 'فئة' END"
+                  if language == "ar" else
+                  "CASE WHEN categories = 1 THEN 'category' ELSE 'categories' END")
+        finds += [f"SELECT 10 + 2 * pos, {lead} FROM {bd} WHERE pos <= 2",
+                  f"SELECT 11 + 2 * pos, "
+                  + _told(t["spread"], count="categories", dim='"column"', plural=plural)
+                  + f" FROM {bd} WHERE pos <= 2 AND categories > 3"]
+        if measure:
+            recs.append("SELECT 10 + pos AS o, " + _told(
+                t["recConcentration"], pct=n("leader_share_pct"), measure=O.lit(measure),
+                leader="leader") + f" AS text FROM {bd} WHERE pos <= 2 AND leader_share_pct >= 50")
+    covers = _told(t["covers"], records=n("records"), subject=O.lit(subject or t["of"]))
+    tail = ([f"SELECT 900 AS o, {O.lit(_told_plain(t['recMonitor'], measure=measure))} AS text"]
+            if measure else [])
+    none = "SELECT 0 AS o, '' AS text WHERE false"
+    return f"""
+WITH f AS ({' UNION ALL '.join(finds) or none}),
+r AS ({' UNION ALL '.join(recs) or none}),
+r2 AS (SELECT * FROM r UNION ALL
+       SELECT 800, {O.lit(t['recDetail'])} WHERE (SELECT count(*) FROM r) = 0
+       {' UNION ALL ' + tail[0] if tail else ''}),
+b AS ({' UNION ALL '.join(bits) or none})
+SELECT 'summary' AS section, 1::INTEGER AS seq,
+       concat_ws(' ', (SELECT {covers} FROM {k}), (SELECT string_agg(text, ' ' ORDER BY o) FROM b))
+         AS text
+UNION ALL SELECT 'findings', row_number() OVER (ORDER BY o)::INTEGER, text FROM f
+  QUALIFY row_number() OVER (ORDER BY o) <= 8
+UNION ALL SELECT 'recommendations', row_number() OVER (ORDER BY o)::INTEGER, text FROM r2
+  QUALIFY row_number() OVER (ORDER BY o) <= 4"""
+
+
+def _told_plain(t: str, **parts) -> str:
+    return t.format(**parts)
+
+
+_ORDERS_STORY = ("orders", "o_totalprice", "o_totalprice", "o_orderdate",
+                 ["o_orderstatus", "o_orderpriority"], "orders", "en")
+
+
+@register("narrative_findings", _narrative_sql(*_ORDERS_STORY))
 def narrative_findings(spark, sf_dir):
     df, a = _analysis(spark, sf_dir, "orders")
     return FA.narrative(a, subject="orders")
 
 
-@register("narrative_events")
+@register("narrative_events", _narrative_sql("events", "value", "value", "ts", ["event_type"],
+                                             "events", "ar"))
 def narrative_events(spark, sf_dir):
     df, a = _analysis(spark, sf_dir, "events")
     return FA.narrative(a, subject="events", language="ar")
@@ -976,26 +1065,113 @@ def grounded_claims(spark, sf_dir):
                                ["doc_id"]).select("doc_id", "lang")
 
 
-@register("fallback_fill")
+# Replies cut from conversation turns: all sections; figures true and invented; empty
+# sections; another language.
+_REPLY = f"""CASE WHEN turn % 4 = 0 THEN {_REPORT_REPLY}
+ WHEN turn % 4 = 1 THEN concat('## SUMMARY\\nTotal about 3758439620 over ', CAST(conv_id * 7 AS STRING),
+   ' talks\\n## FINDINGS\\n- Records are 15,000\\n- Invented 987654 here\\n- ', role,
+   '\\n## RECOMMENDATIONS\\n- Ask for ', CAST(conv_id * 13 AS STRING), ' more')
+ WHEN turn % 4 = 2 THEN concat('## SUMMARY\\n', text, '\\n## FINDINGS\\n')
+ ELSE 'مرحبا بكم في هذا التقرير الطويل عن المبيعات والعملاء' END"""
+
+
+def _parsed_sql() -> str:
+    """conv_id, turn, summary, findings, recommendations of every reply."""
+    reply = _duck_nl(_REPLY).replace("AS STRING", "AS VARCHAR")
+    return f"""
+SELECT conv_id, turn, findings, recommendations,
+       CASE WHEN s = '' AND len(findings) = 0 THEN {_duck_humanize('reply')} ELSE s END AS summary
+FROM (SELECT conv_id, turn, reply, {_duck_humanize(_duck_section('reply', 'SUMMARY'))} AS s,
+        list_transform({_duck_bullets(_duck_section('reply', 'FINDINGS'))},
+                       lambda f: {_duck_humanize('f')}) AS findings,
+        list_transform({_duck_bullets(_duck_section('reply', 'RECOMMENDATIONS'))},
+                       lambda f: {_duck_humanize('f')}) AS recommendations
+      FROM (SELECT conv_id, turn, {reply} AS reply FROM conversations))"""
+
+
+def _english_sql(body: str) -> str:
+    """Whether a body is English or too short to judge."""
+    return (f"(length({_duck_strip(body)}) < 30 OR "
+            f"length(regexp_replace({body}, '[^\\x{{0600}}-\\x{{06FF}}]', '', 'g')) <= "
+            f"length(array_to_string(regexp_extract_all({body}, '[A-Za-z]{{3,}}'), '')))")
+
+
+_BODY = ("concat_ws(' ', summary, array_to_string(findings, ' '), "
+         "array_to_string(recommendations, ' '))")
+
+
+def _reply_sql(stripped: bool) -> str:
+    """The reply chain restated, with or without the grounding step."""
+    facts = _facts_sql("orders", "o_totalprice", "o_orderdate",
+                       ["o_orderstatus", "o_orderpriority"], False)
+
+    def clean(c):
+        return f"list_filter({c}, lambda x: NOT list_has_any({O.numbers('x')}, bad))"
+    said = f"""
+said AS (SELECT *, unnest({O.numbers(_BODY)}) AS n FROM p),
+wrong AS (SELECT conv_id, turn, list(n) AS bad FROM said
+          WHERE TRY_CAST(n AS DOUBLE) > 12 AND NOT EXISTS (
+            SELECT 1 FROM fv WHERE token = n OR abs(TRY_CAST(n AS DOUBLE) - v)
+                   <= greatest(1.0, abs(v) * 0.01)) GROUP BY conv_id, turn),
+w AS (SELECT p.*, coalesce(bad, []) AS bad FROM p LEFT JOIN wrong USING (conv_id, turn)),
+c AS (SELECT conv_id, turn,
+        CASE WHEN list_has_any({O.numbers('summary')}, bad) THEN '' ELSE summary END AS summary,
+        {clean('findings')} AS findings, {clean('recommendations')} AS recommendations,
+        len(findings) - len({clean('findings')}) + len(recommendations)
+          - len({clean('recommendations')})
+          + CASE WHEN list_has_any({O.numbers('summary')}, bad) THEN 1 ELSE 0 END
+          AS dropped_claims FROM w),""" if stripped else """
+c AS (SELECT conv_id, turn, summary, findings, recommendations, 0 AS dropped_claims FROM p),"""
+    return f"""
+WITH fv AS (SELECT token, TRY_CAST(token AS DOUBLE) AS v FROM (
+  SELECT DISTINCT unnest({O.numbers('text')}) AS token FROM ({facts}))),
+told AS ({_narrative_sql(*_ORDERS_STORY)}),
+fb AS (SELECT max(text) FILTER (section = 'summary') AS fs,
+              list(text ORDER BY seq) FILTER (section = 'findings') AS ff,
+              list(text ORDER BY seq) FILTER (section = 'recommendations') AS fr FROM told),
+p AS ({_parsed_sql()}),{said}
+e AS (SELECT *, {_english_sql(_BODY)} AS ok FROM c, fb),
+o AS (SELECT conv_id, turn, dropped_claims,
+        CASE WHEN NOT ok OR summary = '' THEN fs ELSE summary END AS summary,
+        CASE WHEN NOT ok OR len(findings) = 0 THEN ff ELSE findings END AS findings,
+        CASE WHEN NOT ok OR len(recommendations) = 0 THEN fr ELSE recommendations END
+          AS recommendations,
+        (NOT ok OR (summary = '' AND fs <> '') OR (len(findings) = 0 AND len(ff) > 0)
+         OR (len(recommendations) = 0 AND len(fr) > 0)) AS used_fallback FROM e)
+SELECT conv_id, turn, summary, array_to_string(findings, ' | ') AS findings,
+       array_to_string(recommendations, ' | ') AS recommendations, used_fallback,
+       {_english_sql(_BODY)} AS language_ok{', CAST(dropped_claims AS BIGINT) AS dropped_claims' if stripped else ''}
+FROM o"""
+
+
+def _shown(out: DataFrame, *more: str) -> DataFrame:
+    return out.select("conv_id", "turn", "summary",
+                      F.array_join("findings", " | ").alias("findings"),
+                      F.array_join("recommendations", " | ").alias("recommendations"),
+                      "used_fallback", "language_ok", *more)
+
+
+def _replies(spark, sf_dir) -> DataFrame:
+    conv = load_table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", F.expr(_REPLY).alias("text"))
+
+
+@register("fallback_fill", _reply_sql(False))
 def fallback_fill(spark, sf_dir):
     df, a = _analysis(spark, sf_dir, "orders")
-    nar = FA.narrative(a, subject="orders")
-    fb = nar.groupBy().agg(
-        F.max(F.when(F.col("section") == "summary", F.col("text"))).alias("summary"),
-        F.transform(F.array_sort(F.collect_list(F.when(
-            F.col("section") == "findings", F.struct("seq", "text")))),
-            lambda x: x["text"]).alias("findings"),
-        F.transform(F.array_sort(F.collect_list(F.when(
-            F.col("section") == "recommendations", F.struct("seq", "text")))),
-            lambda x: x["text"]).alias("recommendations"))
-    conv = load_table(spark, sf_dir, "conversations")
-    parsed = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"),
-                         T.parse_sections(F.expr(_REPORT_REPLY)).alias("p")).select(
-        "reply_id", "p.*")
-    out = FA.fallback_fill(parsed, fb, "en")
-    return out.select("reply_id", "summary", F.size("findings").alias("n_findings"),
-                      F.size("recommendations").alias("n_recommendations"),
-                      "used_fallback", "language_ok")
+    fb = FA.fallback_of(FA.narrative(a, subject="orders"))
+    parsed = _replies(spark, sf_dir).select(
+        "conv_id", "turn", T.parse_sections(F.col("text")).alias("p")).select(
+        "conv_id", "turn", "p.*")
+    return _shown(FA.fallback_fill(parsed, fb, "en"))
+
+
+@register("reply_pipeline", _reply_sql(True))
+def reply_pipeline(spark, sf_dir):
+    df, a = _analysis(spark, sf_dir, "orders")
+    fb = FA.fallback_of(FA.narrative(a, subject="orders"))
+    return _shown(FA.reply_pipeline(_replies(spark, sf_dir), FA.facts(a, df.schema),
+                                    fallback=fb), "dropped_claims")
 
 
 # -------------------------------------------------------- browse and charts

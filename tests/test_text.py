@@ -59,19 +59,66 @@ def test_grounding_tolerance(spark):
     assert kept == [1, 2, 4, 5]
 
 
-@pytest.mark.parametrize("max_broadcast", [10_000, 0])
-def test_grounding_tolerance_both_join_paths(spark, max_broadcast):
+@pytest.mark.parametrize("judge", [FA.ungrounded, FA.ungrounded_by_table])
+def test_grounding_tolerance_in_row_and_by_table(spark, judge):
     facts = spark.createDataFrame([("Total revenue = 486.67",), ("Average = 60",),
                                    ("Peak -2500 and 1e3",)], "text string")
     claims = spark.createDataFrame([(1, "about 487 today"), (2, "60.1 units"),
                                     (3, "then 999999"), (4, "486.67 exactly"),
                                     (5, "2470 or 2526")], "id int, text string")
-    bad = {(r["id"], r["token"]) for r in
-           FA.ungrounded(claims, facts, ["id"], max_broadcast=max_broadcast).collect()}
+    bad = {(r["id"], r["token"]) for r in judge(claims, facts, ["id"]).collect()}
     assert (3, "999999") in bad
     assert not {b for b in bad if b[0] in (1, 2, 4)}
 
 
+def test_in_row_grounding_has_no_shuffle(spark):
+    facts = spark.createDataFrame([("Total = 486.67",)], "text string")
+    claims = spark.createDataFrame([(1, "487")], "id int, text string")
+    plan = FA.ungrounded(claims, facts, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_reply_chain(spark):
+    facts = spark.createDataFrame([("records = 120",), ("total = 58400",)], "text string")
+    replies = spark.createDataFrame([
+        (1, "## SUMMARY\nAll 120 records sum to 58,400\n## FINDINGS\n- Good 120\n- Bad 777777\n"
+            "## RECOMMENDATIONS\n- Keep going with it"),
+        (2, "## SUMMARY\nInvented 888888 figures\n## FINDINGS\n- Fine words\n"
+            "## RECOMMENDATIONS\n- Nothing to say here"),
+        (3, "نص عربي طويل بما يكفي ليحكم عليه بأنه عربي تماما"),
+    ], "id int, text string")
+    fb = {"summary": "Fallback summary in plain English words", "findings": ["f1"],
+          "recommendations": []}
+    out = {r["id"]: r for r in FA.reply_pipeline(replies, facts, fallback=fb).collect()}
+    assert out[1]["findings"] == ["Good 120"] and out[1]["dropped_claims"] == 1
+    assert not out[1]["used_fallback"] and out[1]["language_ok"]
+    assert out[2]["summary"] == fb["summary"] and out[2]["dropped_claims"] == 1
+    assert out[2]["used_fallback"]
+    # replaced as a whole, and judged again after the replacement
+    assert out[3]["findings"] == ["f1"] and out[3]["used_fallback"] and out[3]["language_ok"]
+    only = FA.reply_pipeline(replies, facts, fallback=fb, sections=("findings",)).collect()
+    assert all(r["summary"] == "" and r["recommendations"] == [] for r in only)
+
+
+def test_an_empty_fallback_part_is_not_counted_as_used(spark):
+    parsed = spark.createDataFrame([(1, "An English summary that is long enough", ["a"], [])],
+                                   "id int, summary string, findings array<string>, "
+                                   "recommendations array<string>")
+    fb = {"summary": "s", "findings": ["f"], "recommendations": []}
+    row = FA.fallback_fill(parsed, fb).first()
+    assert not row["used_fallback"] and row["recommendations"] == []
+
+
+def test_narrative_tells_the_first_two_remaining_dimensions(spark):
+    from tabsense.plans.analyze import analyze
+    rows = [("open" if i % 3 else "shut", "open" if i % 3 else "shut", f"b{i % 4}", 10.0 + i)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "status string, state string, branch string, amount double")
+    told = " ".join(r["text"] for r in FA.narrative(analyze(df)).collect()
+                    if r["section"] == "findings")
+    assert "branch" in told and ("status" in told) != ("state" in told)
+
+
 def test_band_grid_join_matches_brute_force(spark):
     import random
     rnd = random.Random(11)
