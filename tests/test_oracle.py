@@ -9,10 +9,11 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from tabsense.plans.registry import ORACLE, QUERIES
 from tests.oracle_check import compare, duck
 
 SF_DIR = os.environ.get("TABSENSE_ORACLE_SF", "/root/testdata/sf0.001")
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF_DIR)
+    ok, msg = compare(spark, con, name, QUERIES[name], ORACLE.get(name), SF_DIR)
     assert ok, msg
 
 
