@@ -133,11 +133,6 @@ def fmt_number(v: Column) -> Column:
         F.regexp_replace(F.regexp_replace(two, "0+$", ""), "\\.$", ""))
 
 
-def fmt_int(v: Column) -> Column:
-    """Integer with thousands separators."""
-    return F.when(v.isNull(), F.lit("—")).otherwise(F.format_number(v.cast("double"), 0))
-
-
 def fmt_compact(v: Column) -> Column:
     """FMT-2: 1.49M / 2.5B with 2 decimals, >= 1000 without decimals."""
     d = v.cast("double")

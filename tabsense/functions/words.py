@@ -14,8 +14,6 @@ AGGREGATE_HINTS = ("اجمالي", "إجمالي", "مجموع", "total", "sum",
 RATE_HINTS = ("في الساعة", "بالساعة", "لكل", "معدل", "نسبة", "متوسط", "سعر",
               " per ", "per_", "_per", "rate", "ratio", "percent", "price",
               "avg", "average")
-FLAG_HINTS = ("is_", "has_", "active", "enabled", "deleted", "flag",
-              "نشط", "مفعل", "محذوف")
 DIM_HINTS = ("city", "country", "region", "category", "type", "status", "state",
              "name", "product", "customer", "branch", "department", "gender",
              "مدينة", "دولة", "منطقة", "فئة", "نوع", "حالة", "اسم", "قسم", "فرع")
@@ -44,6 +42,5 @@ SAMPLE_ROWS = 10
 BROWSE_ROW_LIMIT = 500       # interactive page cap and SQL auto-limit
 LOG_MAX_ENTRIES = 500        # non-favourite query-log entries kept
 HEADER_SCAN_ROWS = 6         # rows scanned for a workbook header
-MAX_DATASETS = 20            # tables per multi-table report
 COVERAGE_FULL_PCT = 95       # below this a breakdown is flagged as partial
 CONCENTRATION_PCT = 50       # leader share that counts as concentration

@@ -1,8 +1,7 @@
 """Interactive reads: browse pages, sample, instant chart series (PRJ-1..6).
 
-Pages are a distributed top-k: ``orderBy(...).offset(n).limit(k)`` plans as
-``TakeOrderedAndProject``-style operators, never a full sort to the driver.
-The order always ends with every other column so paging is stable.
+Pages are a distributed top-k; the order always ends with every other column
+so paging is stable.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import types as T
 
 from ..errors import NotFound, TabsenseError
 from ..functions import words as W
-from ..session import ensure_checkpoint_dir
 from .stats import NUMERIC_TYPES, q
 
 CHART_ROWS = 40
@@ -25,66 +23,53 @@ def check_table(tables: dict[str, DataFrame], name: str) -> DataFrame:
     return tables[name]
 
 
-# Offsets up to this many rows page with a distributed top-k (each task keeps
-# offset + limit rows); deeper pages rank rows in a global sort instead.
-DEEP_OFFSET = 100_000
-
-
-def page(df: DataFrame, limit: int = 50, offset: int = 0, order_by: str | None = None,
-         direction: str = "asc", row_limit: int = W.BROWSE_ROW_LIMIT,
-         deep_offset: int = DEEP_OFFSET) -> DataFrame:
-    """PRJ-1/5: one page; limit capped at ``row_limit``, negative offset 0."""
+def _order(df: DataFrame, order_by: str | None, direction: str) -> list[tuple[str, bool]]:
+    """Columns of the total order and whether each runs downwards."""
     if order_by is not None and order_by not in df.columns:
         raise TabsenseError("unknownSortColumn", column=order_by)
     if direction not in ("asc", "desc"):
         raise TabsenseError("badSortDirection")
-    first = []
-    if order_by is not None:
-        c = q(order_by)
-        first = [c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last()]
-    rest = [q(c).asc_nulls_first() for c in df.columns if c != order_by
-            and not isinstance(df.schema[c].dataType, (T.MapType,))]
-    n = max(0, min(limit, row_limit))
-    off = max(offset, 0)
-    if off > deep_offset:
-        return _deep_page(df, first + rest, off, n)
-    out = df.orderBy(*(first + rest))
-    if off:
-        out = out.offset(off)
-    return out.limit(n)
-
-
-def _deep_page(df: DataFrame, order: list, off: int, n: int) -> DataFrame:
-    """Rows ``off .. off+n-1`` of the total order without a top-k of ``off`` rows.
-
-    The table is sorted once (range partitioned, so every task sorts one
-    key range) and each row takes its position inside its partition from
-    ``monotonically_increasing_id`` (partition index in the high bits); a
-    reliable checkpoint fixes those positions against recomputation.  The
-    row count of every partition (one row per partition reaches the driver)
-    gives each partition's first global rank, and the page is a filter on
-    ``first rank + position``.
+    first = [] if order_by is None else [(order_by, direction == "desc")]
+    return first + [(c, False) for c in df.columns if c != order_by
+                    and not isinstance(df.schema[c].dataType, T.MapType)]
+
+
+def _sorted(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    return df.orderBy(*[q(c).desc_nulls_last() if down else q(c).asc_nulls_first()
+                        for c, down in order])
+
+
+def page(df: DataFrame, limit: int = 50, offset: int = 0, order_by: str | None = None,
+         direction: str = "asc", row_limit: int = W.BROWSE_ROW_LIMIT) -> DataFrame:
+    """PRJ-1/5: one page; limit capped at ``row_limit``, negative offset 0.
+
+    An offset reads past the rows before it; to go on from a page at any
+    depth use :func:`page_after`.
+    """
+    out = _sorted(df, _order(df, order_by, direction))
+    if offset > 0:
+        out = out.offset(offset)
+    return out.limit(max(0, min(limit, row_limit)))
+
+
+def page_after(df: DataFrame, last: dict, limit: int = 50, order_by: str | None = None,
+               direction: str = "asc", row_limit: int = W.BROWSE_ROW_LIMIT) -> DataFrame:
+    """PRJ-1 by key: the page after the row ``last`` in the same order as :func:`page`.
+
+    A filter and a top-k, whatever the depth: each task keeps ``limit`` rows.
+    Rows equal to ``last`` in every column count as seen.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cols = df.columns
-    ranked = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = sorted((r["p"], r["c"]) for r in ranked.groupBy(part.alias("p"))
-                    .agg(F.count(F.lit(1)).alias("c")).collect())
-    starts, run = [], 0
-    for p, c in counts:
-        if run + c > off and run < off + n:      # partitions the page overlaps
-            starts += [F.lit(p), F.lit(run)]
-        run += c
-    if not starts:
-        return df.limit(0)
-    rank = (F.element_at(F.create_map(*starts), part) +
-            F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    return (ranked.withColumn("_rank", rank)
-            .where(F.col("_rank").isNotNull() & (F.col("_rank") >= off) &
-                   (F.col("_rank") < off + n))
-            .orderBy("_rank").select(*[q(c) for c in cols]))
+    order = _order(df, order_by, direction)
+    after, same = F.lit(False), F.lit(True)
+    for c, down in order:
+        v, here = F.lit(last[c]).cast(df.schema[c].dataType), q(c)
+        if down:          # nulls last: behind every value
+            beyond = F.coalesce(here < v, here.isNull() & v.isNotNull())
+        else:             # nulls first
+            beyond = F.coalesce(here > v, here.isNotNull() & v.isNull())
+        after = after | (same & beyond)
+        same = same & here.eqNullSafe(v)
+    return _sorted(df.where(after), order).limit(max(0, min(limit, row_limit)))
 
 
 def total(df: DataFrame) -> DataFrame:

@@ -167,8 +167,12 @@ def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
 
 def trend(df: DataFrame, date_col: str, measure: str | None = None,
           pre: DataFrame | None = None) -> DataFrame:
-    """Kept bins only, renumbered: ``(position, label, value, records, granularity)``."""
-    kept = trend_bins(df, date_col, measure, pre=pre).where("kept")
+    """Kept bins only, renumbered: ``(position, label, value, records, granularity)``.
+
+    A single bin is no trend: no rows then.
+    """
+    kept = (trend_bins(df, date_col, measure, pre=pre).where("kept")
+            .withColumn("bins", F.count(F.lit(1)).over(_all())).where("bins >= 2"))
     w = Window.partitionBy(F.lit(0)).orderBy("idx")
     return kept.select((F.row_number().over(w) - 1).alias("position"), "label", "value",
                        "records", "granularity")

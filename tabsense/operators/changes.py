@@ -138,10 +138,16 @@ def change_counts(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
 
 
 def update_rows(base: DataFrame, keys: list[str], updates: DataFrame) -> DataFrame:
-    """CHG-2: set the given columns on rows matched by the full key."""
+    """CHG-2: set the given columns on rows matched by the full key.
+
+    A key given twice has no order to decide by: ``duplicateKeys``.
+    """
     check_keys(keys, [k for k in updates.columns if k in keys])
     values = [c for c in updates.columns if c not in keys]
     check_columns(base, values)
+    twice = updates.groupBy(*[q(k) for k in keys]).count().where("count > 1")
+    if not twice.isEmpty():
+        raise TabsenseError("duplicateKeys")
     batch = updates.select(F.lit(0).cast("long").alias("seq"), F.lit(UPDATE).alias("op"),
                            F.array(*[F.lit(c) for c in values]).alias("set_cols"), "*")
     return apply_changes(base, batch, keys)

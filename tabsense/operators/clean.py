@@ -16,12 +16,15 @@ from ..functions import words as W
 from .stats import kind_of, q
 
 _WS = re.compile(r"\s+")
-# A detached Arabic article "ال " followed by an Arabic letter is re-attached.
+# FIXED VALUE: a detached Arabic article "ال " followed by an Arabic letter is re-attached.
 _DANGLING_AL = re.compile(r"(?<![\w؀-ۿ])ال\s+(?=[؀-ۿ])")
 
 # FIXED VALUES: text-date formats tried in order (Spark datetime patterns).
+# Ambiguous slashed dates are read month first; a month above 12 makes it day first.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
-                "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy")
+                "yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy")
+# A longer text is no date; it is not even tried.
+LONGEST_DATE = 32
 
 
 def clean_header(name: str) -> str:
@@ -43,7 +46,14 @@ def clean_frame(df: DataFrame) -> DataFrame:
     """CLN-2..4: drop empty columns/rows, normalise headers, drop ``unnamed*``
     columns unless none would remain."""
     out = drop_empty(df)
-    renamed = [clean_header(c) for c in out.columns]
+    renamed, seen = [], set()
+    for c in out.columns:
+        name, n = clean_header(c), 1
+        # headers that clean to one name stay apart: name, name_2, name_3
+        while (name if n == 1 else f"{name}_{n}").lower() in seen:
+            n += 1
+        renamed.append(name if n == 1 else f"{name}_{n}")
+        seen.add(renamed[-1].lower())
     out = out.toDF(*renamed)
     keep = [c for c in renamed if not c.lower().startswith("unnamed")]
     return out.select(*[q(c) for c in keep]) if keep else out
@@ -52,6 +62,7 @@ def clean_frame(df: DataFrame) -> DataFrame:
 def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """First format that parses, as ``timestamp_ntz``; null if none does."""
     text = F.nullif(F.trim(c.cast("string")), F.lit(""))
+    text = F.when(F.length(text) <= LONGEST_DATE, text)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast(
         "timestamp_ntz")
 

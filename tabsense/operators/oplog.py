@@ -28,8 +28,9 @@ def append(log_path: str, records: DataFrame) -> None:
 
 def retain(log: DataFrame, keep: int = W.LOG_MAX_ENTRIES) -> DataFrame:
     """LOG-2: favourites plus the newest ``keep`` non-favourites."""
-    fav = log.where(F.col("favorite"))
-    recent = log.where(~F.col("favorite")).orderBy(F.desc("id")).limit(keep)
+    marked = F.coalesce(F.col("favorite"), F.lit(False))       # not marked: not a favourite
+    fav = log.where(marked)
+    recent = log.where(~marked).orderBy(F.desc("id")).limit(keep)
     return fav.unionByName(recent)
 
 
@@ -45,7 +46,7 @@ def clear(log: DataFrame, keep_favorites: bool = True) -> DataFrame:
 
 
 def cleared_count(log: DataFrame, keep_favorites: bool = True) -> DataFrame:
-    cond = ~F.col("favorite") if keep_favorites else F.lit(True)
+    cond = ~F.coalesce(F.col("favorite"), F.lit(False)) if keep_favorites else F.lit(True)
     return log.agg(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias("deleted"))
 
 

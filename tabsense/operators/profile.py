@@ -25,7 +25,9 @@ def _num_or_raw(df: DataFrame, name: str) -> Column:
 # ------------------------------------------------------------------ PRF-1
 def row_fingerprint(df: DataFrame) -> list[Column]:
     """128-bit fingerprint of a whole row (nulls marked, so positions count)."""
-    cols = [_num_or_raw(df, c) for c in df.columns]
+    # maps cannot be hashed: their entries, sorted by key, stand for them
+    cols = [F.sort_array(F.map_entries(q(c))) if df.schema[c].dataType.typeName() == "map"
+            else _num_or_raw(df, c) for c in df.columns]
     nulls = F.array(*[c.isNull() for c in cols])
     return [F.xxhash64(nulls, *cols).alias("fp1"),
             F.xxhash64(F.lit("tabsense"), nulls, *cols).alias("fp2")]
@@ -278,11 +280,10 @@ def histogram_columns(stats: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- PRF-12
 def multi_overview(frames: dict[str, DataFrame], relationships: int = 0) -> DataFrame:
-    """PRF-12: over at most 20 tables — tables, rows, cols, row-weighted
+    """PRF-12: over all given tables — tables, rows, cols, row-weighted
     missing %, relationships."""
-    items = list(frames.items())[:W.MAX_DATASETS]
     rows = None
-    for name, df in items:
+    for name, df in frames.items():
         one = overview(df).select(F.lit(name).alias("table"), "rows", "cols", "missing_pct")
         rows = one if rows is None else rows.unionByName(one)
     return rows.agg(
@@ -298,10 +299,6 @@ def sample_rows(df: DataFrame, order_by: list[str], n: int = W.SAMPLE_ROWS) -> D
     return df.orderBy(*[q(c).asc_nulls_first() for c in order_by]).limit(n)
 
 
-def histogram_bins(n: int) -> int:
-    return min(W.HISTOGRAM_MAX_BINS, max(W.HISTOGRAM_MIN_BINS, int(math.sqrt(n))))
-
-
 def series_auto(df: DataFrame, stats: DataFrame) -> DataFrame | None:
     """PRF-9 column choice: first datetime column x first numeric non-identifier."""
     ids = identifiers(stats)

@@ -1,6 +1,7 @@
 """Full analysis of one table (BIZ-1) and the long metrics table (SNK-2).
 
-``analyze`` runs one statistics job (one row per column reaches the
+``analyze`` first turns text columns that hold only dates into timestamps (one
+aggregate over the text columns), runs one statistics job (one row per column reaches the
 driver), chooses measure / date / dimensions, then makes one more pass over
 the base rows: ``business.partials`` (grand total, per day, per dimension
 label) in a single scan and shuffle.  That small table is checkpointed into
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import business as B
 from ..operators import semantics as S
+from ..operators.clean import promote_text_dates
 from ..session import ensure_checkpoint_dir
 
 
@@ -34,6 +36,7 @@ class Analysis:
 
 def analyze(df: DataFrame, overrides: dict | None = None,
             approx_distinct: bool = False) -> Analysis:
+    df = promote_text_dates(df)
     roles = S.semantics(df, approx_distinct=approx_distinct)
     choice = S.choose(roles, overrides)
     ensure_checkpoint_dir(df.sparkSession)

@@ -103,7 +103,8 @@ def trend(source: str, date_col: str, measure: str | None) -> str:
     return f"""
 SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS position, label, value,
        records, granularity
-FROM ({trend_bins(source, date_col, measure)}) WHERE kept"""
+FROM ({trend_bins(source, date_col, measure)}) WHERE kept
+QUALIFY count(*) OVER () >= 2"""
 
 
 def trend_summary(source: str, date_col: str, measure: str | None) -> str:

@@ -7,17 +7,53 @@ data twice); the option exists for ad-hoc uploads.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import NotFound, TabsenseError
-from ..functions import words as W
 from ..operators.clean import clean_frame
+from ..operators.stats import q
+
+
+# FIXED VALUES: words that stand for a missing value in uploaded files.
+MISSING_WORDS = ("NA", "N/A", "n/a", "nan", "NaN", "NULL", "null", "None", "<NA>", "#N/A")
+
+
+def _csv_words(options):
+    return options.option("quote", '"').option("escape", '"')
+
+
+def without_missing_words(df: DataFrame) -> DataFrame:
+    """Text columns with the usual words for a missing value turned into nulls."""
+    return df.select(*[
+        F.when(~F.trim(q(c)).isin(*MISSING_WORDS), q(c)).alias(c) if t == "string" else q(c)
+        for c, t in df.dtypes])
+
+
+def read_file(spark: SparkSession, path: str, schema: StructType | str | None = None
+              ) -> DataFrame:
+    """SRC-1..3 by extension: csv, json; ``unsupportedFormat`` and ``emptyFile`` otherwise.
+
+    A workbook has several tables: see ``workbook.read_sheets``.
+    """
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if kind not in ("csv", "json"):
+        raise TabsenseError("unsupportedFormat", path=path)
+    df = (read_csv if kind == "csv" else read_json_records)(spark, path, schema, clean=False)
+    if not df.columns or df.isEmpty():
+        raise TabsenseError("emptyFile", path=path)
+    return clean_frame(without_missing_words(df))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             clean: bool = True) -> DataFrame:
-    """SRC-1: CSV with a header row; inferred types unless a schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+             clean: bool = True, multi_line: bool = True) -> DataFrame:
+    """SRC-1: CSV with a header row; inferred types unless a schema is given.
+
+    Doubled quotes inside quotes and quoted line breaks are read as the value
+    they stand for; with ``multi_line`` off a file can be split, but a quoted
+    line break then ends the row.
+    """
+    reader = _csv_words(spark.read.option("header", True).option("multiLine", multi_line))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return clean_frame(df) if clean else df
@@ -52,14 +88,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return reader.load()
 
 
-def select_sources(tables: dict[str, DataFrame], wanted: list[str] | None = None
-                   ) -> dict[str, DataFrame]:
+def select_sources(tables: dict[str, DataFrame], wanted: list[str] | None = None,
+                   most: int | None = None) -> dict[str, DataFrame]:
     """SRC-5: empty selection = all tables; unknown name = ``tableMissing``;
-    at most ``MAX_DATASETS`` tables."""
+    more tables than ``most`` (when given) = ``tooManyTables``."""
     names = list(wanted or tables)
     if not names:
         raise TabsenseError("noTablesToAnalyze")
     for n in names:
         if n not in tables:
             raise NotFound("tableMissing", table=n)
-    return {n: tables[n] for n in names[:W.MAX_DATASETS]}
+    if most is not None and len(names) > most:
+        raise TabsenseError("tooManyTables", tables=len(names), most=most)
+    return {n: tables[n] for n in names}

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, TabsenseError
@@ -17,7 +18,8 @@ from ..errors import NotFound, TabsenseError
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """SNK-1: header row, one part file per partition (no byte-order mark)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .csv(path))
 
 
 def export_metrics(metrics: DataFrame, path: str, fmt: str = "parquet",
@@ -44,8 +46,10 @@ def import_table(spark: SparkSession, df: DataFrame, table: str, mode: str) -> D
         raise TabsenseError("tableExists", table=table)
     if mode == "append" and not exists:
         raise TabsenseError("tableMissingForAppend", table=table)
-    df.write.mode("errorifexists" if mode == "create" else "append").saveAsTable(table)
-    return df.agg(F.count(F.lit(1)).cast("long").alias("rows"))
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("rows"))
+     .write.mode("errorifexists" if mode == "create" else "append").saveAsTable(table))
+    return spark.createDataFrame([(seen.get["rows"],)], "rows long")
 
 
 class ReportRegistry:
@@ -62,6 +66,7 @@ class ReportRegistry:
         self.spark, self.root = spark, root.rstrip("/")
 
     def save(self, report_id: str, meta: dict, outputs: dict[str, DataFrame]) -> None:
+        self._check(report_id, *outputs)
         for name, df in outputs.items():
             df.write.mode("overwrite").parquet(f"{self.root}/out/{report_id}/{name}")
         row = (report_id, meta.get("title", ""), meta.get("template", ""),
@@ -80,12 +85,23 @@ class ReportRegistry:
         fs, p = self._fs(f"{self.root}/meta")
         if not fs.exists(p):
             return self.spark.createDataFrame([], self.META)
-        return self.spark.read.parquet(f"{self.root}/meta").orderBy(F.desc("created_at"))
+        # a given schema: ids stay text, and an empty registry has no files to infer from
+        return (self.spark.read.schema(self.META).parquet(f"{self.root}/meta")
+                .orderBy(F.desc("created_at")))
+
+    @staticmethod
+    def _check(*names: str) -> None:
+        """Ids and output names become folder names: no separators, no parent folders."""
+        for name in names:
+            if not re.fullmatch(r"[\w][\w.-]*", name) or ".." in name:
+                raise TabsenseError("badReportId", id=name)
 
     def output(self, report_id: str, name: str) -> DataFrame:
+        self._check(report_id, name)
         return self.spark.read.parquet(f"{self.root}/out/{report_id}/{name}")
 
     def delete(self, report_id: str) -> None:
+        self._check(report_id)
         fs, meta = self._fs(f"{self.root}/meta/report_id={report_id}")
         if not fs.exists(meta):
             raise NotFound("reportMissing", report_id=report_id)

@@ -97,3 +97,29 @@ def test_edge_check_counts_orphans_with_hot_and_null_keys(spark):
     got = C.edge_check({"c": child, "p": parent},
                        [C.Edge("c", ("pk",), "p", ("id",))]).collect()
     assert [(r["child_rows"], r["orphans"]) for r in got] == [(125, 22)]
+
+
+def test_unmarked_favourites_survive_retention(spark):
+    log = spark.createDataFrame([(1, None), (2, True), (3, False)], "id long, favorite boolean")
+    from tabsense.operators import oplog
+    assert {r["id"] for r in oplog.retain(log, 5).collect()} == {1, 2, 3}
+    assert oplog.cleared_count(log).first()["deleted"] == 2
+
+
+def test_an_update_key_given_twice_is_rejected(spark):
+    import pytest
+    from tabsense.errors import TabsenseError
+    from tabsense.operators import changes
+    base = spark.createDataFrame([(1, "a")], "id int, v string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "id int, v string")
+    with pytest.raises(TabsenseError) as e:
+        changes.update_rows(base, ["id"], twice)
+    assert e.value.code == "duplicateKeys"
+
+
+def test_overview_of_a_map_column(spark):
+    from tabsense.operators import profile
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1) "
+                   "UNION ALL SELECT map('a', 3)")
+    row = profile.overview(df).first()
+    assert row["rows"] == 3 and row["duplicate_rows"] == 1

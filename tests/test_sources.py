@@ -118,13 +118,89 @@ def test_sinks_and_registry(spark, tmp_path):
     assert reg.output("r2", "metrics").count() == m.count()
 
 
-@pytest.mark.parametrize("offset,limit", [(0, 7), (37, 25), (180, 50), (499, 10), (600, 5)])
-def test_deep_page_equals_top_k_page(spark, offset, limit):
+def test_pages_by_key_continue_pages_by_offset(spark):
     from tabsense.operators import browse as BR
     rows = [(i % 13, f"v{(i * 7919) % 500}", None if i % 11 == 0 else i * 0.5)
             for i in range(500)]
     df = spark.createDataFrame(rows, "a int, b string, c double").repartition(6)
-    for order_by, direction in [("a", "desc"), ("c", "asc"), (None, "asc")]:
-        shallow = BR.page(df, limit, offset, order_by, direction)
-        deep = BR.page(df, limit, offset, order_by, direction, deep_offset=-1)
-        assert [tuple(r) for r in deep.collect()] == [tuple(r) for r in shallow.collect()]
+    for order_by, direction in [("a", "desc"), ("c", "asc"), ("c", "desc"), (None, "asc")]:
+        whole = [tuple(r) for r in BR.page(df, 500, 0, order_by, direction).collect()]
+        for at in (0, 36, 453, 498):
+            last = dict(zip(df.columns, whole[at]))
+            got = BR.page_after(df, last, 25, order_by, direction).collect()
+            assert [tuple(r) for r in got] == whole[at + 1:at + 26]
+        assert [tuple(r) for r in BR.page(df, 7, 100, order_by, direction).collect()] \
+            == whole[100:107]
+
+
+def test_csv_round_trip_of_quotes_and_line_breaks(spark, tmp_path):
+    rows = [('a "b" c, d', 1), ("two\nlines", 2), ("plain", 3), ('"', 4), ("back\\slash", 5)]
+    df = spark.createDataFrame(rows, "s string, n int")
+    SK.export_csv(df, str(tmp_path / "q"))
+    back = SF.read_csv(spark, str(tmp_path / "q"), "s string, n int")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == rows
+
+
+def test_read_file_by_kind(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("city,amount\nNA,1\nRome,n/a\n")
+    got = [tuple(r) for r in SF.read_file(spark, str(tmp_path / "t.csv")).collect()]
+    assert sorted(got, key=str) == [("Rome", None), (None, "1")]
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "t.txt").write_text("x")
+    for name, code in (("e.csv", "emptyFile"), ("t.txt", "unsupportedFormat")):
+        with pytest.raises(TabsenseError) as e:
+            SF.read_file(spark, str(tmp_path / name))
+        assert e.value.code == code
+
+
+def test_registry_ids_stay_text_and_cannot_leave_the_folder(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    reg = SK.ReportRegistry(spark, str(tmp_path / "reports"))
+    for rid in ("0012", "12e3"):
+        reg.save(rid, {"title": rid}, {"m": df})
+    assert sorted(r["report_id"] for r in reg.list().collect()) == ["0012", "12e3"]
+    reg.delete("0012")
+    reg.delete("12e3")
+    assert reg.list().collect() == []
+    for bad in ("../x", "a/b", "", ".."):
+        with pytest.raises(TabsenseError):
+            reg.delete(bad)
+
+
+def test_too_many_tables_is_an_error_not_a_cut(spark):
+    tables = {f"t{i}": spark.range(1) for i in range(25)}
+    assert len(SF.select_sources(tables)) == 25
+    with pytest.raises(TabsenseError) as e:
+        SF.select_sources(tables, most=20)
+    assert e.value.code == "tooManyTables"
+
+
+def test_import_counts_what_it_wrote(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS imported_t")
+    try:
+        made = SK.import_table(spark, spark.range(7), "imported_t", "create")
+        assert made.first()["rows"] == 7 and spark.table("imported_t").count() == 7
+    finally:
+        spark.sql("DROP TABLE IF EXISTS imported_t")
+
+
+def test_headers_that_clean_to_one_name_and_ambiguous_dates(spark):
+    from tabsense.operators import clean as CL
+    df = spark.createDataFrame([("1", "2", "03/04/2025"), ("3", "4", "25/12/2024")],
+                               ["a  b", "a b", "day"])
+    out = CL.promote_text_dates(CL.clean_frame(df))
+    assert out.columns == ["a b", "a b_2", "day"]
+    assert [str(r["day"])[:10] for r in out.orderBy("a b").collect()] == ["2025-03-04", "2024-12-25"]
+
+
+def test_text_dates_make_a_trend(spark):
+    rows = [(f"2025-{1 + i % 6:02d}-{1 + i % 28:02d}", f"c{i % 3}", 10.0 + i) for i in range(120)]
+    a = analyze(spark.createDataFrame(rows, "order_day string, city string, amount double"))
+    assert a.choice.date == "order_day" and a.trend.count() >= 2
+
+
+def test_one_bin_is_no_trend(spark):
+    import datetime as dt
+    rows = [(dt.datetime(2025, 1, 1), 1.0), (dt.datetime(2025, 1, 1), 2.0)]
+    a = analyze(spark.createDataFrame(rows, "day timestamp, amount double"))
+    assert "trend" not in {r["metric"] for r in metrics_long(a).collect()}
