@@ -125,22 +125,27 @@ def datetimes(stats: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, k: int = W.PROFILE_TOP_VALUES) -> DataFrame:
     """PRF-6: the ``k`` most frequent values of each categorical column."""
     cats = [c for _, c, kind, _ in S.columns_by_kind(df) if kind == "categorical"]
-    return (S.top_values(S.value_counts(df, cats), k)
+    return (S.top_values(df, cats, k)
             .select("ordinal", "column", "rank", "value", F.col("n").alias("count")))
 
 
 def bars(df: DataFrame) -> DataFrame:
     """PRF-10: category bars for categoricals with 1 < distinct <= 30."""
     cats = [c for _, c, kind, _ in S.columns_by_kind(df) if kind == "categorical"]
-    counts = S.value_counts(df, cats)
-    distinct = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
-    ok = distinct.where((F.col("distinct") > 1) &
-                        (F.col("distinct") <= W.PROFILE_BAR_MAX_DISTINCT))
-    return (S.top_values(counts.join(ok, "ordinal", "left_semi"), W.PROFILE_TOP_VALUES)
+    counts = S.distinct_counts(df, cats) if cats else None
+    few = {r["ordinal"] for r in counts.collect()                # one row per column
+           if 1 < r["distinct"] <= W.PROFILE_BAR_MAX_DISTINCT} if cats else set()
+    return (S.top_values(df, [c for i, c, _, _ in S.columns_by_kind(df) if i in few],
+                         W.PROFILE_TOP_VALUES)
             .select("ordinal", "column", "rank", "value", F.col("n").alias("count")))
 
 
 # ------------------------------------------------------------------ PRF-7
+def numeric_names(df: DataFrame) -> list[str]:
+    """The columns whose distinct counts the identifier rule needs."""
+    return [c for _, c, kind, _ in S.columns_by_kind(df) if kind == "numeric"]
+
+
 def identifiers(stats: DataFrame) -> DataFrame:
     """PRF-7: identifier columns, profile flavour (name rule or all-unique numeric)."""
     low = F.lower(F.col("column"))
@@ -270,14 +275,6 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def histogram_columns(stats: DataFrame) -> DataFrame:
-    """Numeric, non-identifier columns with at least 5 distinct values."""
-    ids = identifiers(stats).where("is_identifier").select("ordinal")
-    return (stats.where((F.col("kind") == "numeric") &
-                        (F.col("distinct") >= W.HISTOGRAM_MIN_DISTINCT))
-            .join(ids, "ordinal", "left_anti").select("ordinal", "column"))
-
-
 # ----------------------------------------------------------------- PRF-12
 def multi_overview(frames: dict[str, DataFrame], relationships: int = 0) -> DataFrame:
     """PRF-12: over all given tables — tables, rows, cols, row-weighted

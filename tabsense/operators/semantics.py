@@ -120,29 +120,18 @@ STATS_SCHEMA = ("rows long, ordinal int, column string, kind string, spark_type
 def semantics(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Column roles of ``df`` (SEM-1..5).
 
-    Exact distinct counts matter only for the near-unique identifier test
-    (integer columns, counted exactly) and the dimension test on text and
-    boolean columns, which only needs the exact count when it is at most
-    30.  Text columns are first counted by 64-bit hash — a lower bound, so
-    "more than 30" is already exact — and only the columns that come out
-    small are recounted on their values (cheap: few distinct values).
-    One row per column reaches the driver between the two steps.
+    Distinct counts matter only for the near-unique identifier test (integer
+    columns) and the dimension test (text and boolean columns); both are
+    counted on keys no wider than a 128-bit hash.  One row per column
+    reaches the driver.
     """
     kinds = S.columns_by_kind(df)
     ints = [n for _, n, k, is_int in kinds if k == "numeric" and is_int]
     cats = [n for _, n, k, _ in kinds if k == "categorical"]
     if approx_distinct:
         return classify(S.column_stats(df, approx_distinct=True))
-    rows = [r.asDict() for r in S.column_stats(df, distinct_for=ints, hashed_for=cats)
+    rows = [r.asDict() for r in S.column_stats(df, distinct_for=[*ints, *cats])
             .select(*[f.split()[0] for f in STATS_SCHEMA.split(", ")]).collect()]
-    small = [r["column"] for r in rows
-             if r["column"] in cats and (r["distinct"] or 0) <= W.MAX_DIM_CATEGORIES]
-    if small:
-        exact = {r["ordinal"]: r["n"] for r in S.value_counts(df, small).groupBy("ordinal")
-                 .agg(F.count(F.lit(1)).alias("n")).collect()}
-        for r in rows:
-            if r["column"] in small:
-                r["distinct"] = exact.get(r["ordinal"], 0)
     spark = df.sparkSession
     stats = S.local_frame(
         spark, [tuple(r[f.split()[0]] for f in STATS_SCHEMA.split(", ")) for r in rows],

@@ -7,10 +7,10 @@ Scale notes
 -----------
 * ``column_stats`` is a single aggregate over the table (partial aggregation
   map-side, one tiny row out); wide tables stay one scan.
-* ``value_counts`` unpivots ``(column, value)`` and groups it: one shuffle of
-  partially aggregated pairs, which also gives exact distinct counts and top
-  values.  A hot value (a third of all rows) is folded by the map-side
-  partial aggregate before the shuffle.
+* ``value_counts`` unpivots ``(column, value)`` and groups it by a 128-bit
+  hash: one shuffle of partially aggregated rows of bounded width.  A hot
+  value (a third of all rows) is folded by the map-side partial aggregate
+  before the shuffle; whole texts are fetched for the top values only.
 * ``exact_quantiles`` never builds a value->count map in one task (what the
   built-in ``percentile`` does).  It is a distributed selection: equal-width
   buckets over the open value range are counted with a partially aggregated
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -108,8 +110,7 @@ STATS_CHUNK = 64
 
 
 def column_stats(df: DataFrame, approx_distinct: bool = False,
-                 distinct_for: list[str] | None = None,
-                 hashed_for: list[str] | None = None) -> DataFrame:
+                 distinct_for: list[str] | None = None) -> DataFrame:
     """One row per column: counts, min/max, mean, sample std, 0/1 test.
 
     Adds ``rows`` (all rows) and ``distinct`` (exact, from
@@ -174,76 +175,70 @@ def column_stats(df: DataFrame, approx_distinct: bool = False,
             F.struct(F.lit(-1).alias("ordinal"), F.lit(0).cast("long").alias("distinct"))])))
         return (stats.join(F.broadcast(dist), "ordinal", "left")
                 .withColumn("distinct", F.col("distinct").cast("long")))
-    distinct = distinct_counts(df, distinct_for, hashed_for)
+    distinct = distinct_counts(df, distinct_for)
     out = stats.join(distinct, "ordinal", "left")
     if distinct_for is None:
         return out.withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("long"))
-    counted = list(distinct_for) + list(hashed_for or [])
-    wanted = F.col("column").isin(*counted) if counted else F.lit(False)
+    wanted = F.col("column").isin(*distinct_for) if distinct_for else F.lit(False)
     return out.withColumn("distinct", F.when(wanted, F.coalesce("distinct", F.lit(0)))
                           .cast("long"))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None,
-                 hashed: list[str] | None = None) -> DataFrame:
-    """``(ordinal, column, value, n)``: count of every non-null value per column.
+def key128(v: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a value as a grouping or join key."""
+    return [F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("value"), v).alias("h2")]
 
-    Values are compared as text (numbers after NaN->null).  One scan, one
-    shuffle of partially aggregated ``(column, value)`` pairs.  Columns in
-    ``hashed`` are counted by their 64-bit hash instead of their text (the
-    shuffle moves 8 bytes instead of, say, whole documents); the number of
-    distinct hashes is a lower bound of the number of distinct values.
-    """
-    hashed_set = set(hashed or [])
-    wanted = set(columns) if columns is not None else None
-    structs, names = [], []
+
+def _stack_text(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """``(ordinal, column, value)``: every non-null value as text."""
+    want = set(columns) if columns is not None else None
+    structs = []
     for i, name, kind, _ in columns_by_kind(df):
-        if kind == "other" or (wanted is not None and name not in wanted
-                               and name not in hashed_set):
+        if kind == "other" or (want is not None and name not in want):
             continue
-        c = q(name)
-        v = as_number(c) if kind == "numeric" else c
-        if name in hashed_set:
-            v = F.when(v.isNotNull(), F.xxhash64(v))
-        structs.append(F.struct(F.lit(i).alias("ordinal"), v.cast("string").alias("value")))
-        names.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column")))
+        v = as_number(q(name)) if kind == "numeric" else q(name)
+        structs.append(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
+                                v.cast("string").alias("value")))
     if not structs:
-        return df.sparkSession.createDataFrame(
-            [], "ordinal int, column string, value string, n long")
-    counts = (df.select(F.inline(F.array(*structs)))
-              .where(F.col("value").isNotNull())
-              .groupBy("ordinal", "value")
-              .agg(F.count(F.lit(1)).alias("n")))
-    labels = df.sparkSession.range(1).select(F.inline(F.array(*names)))
-    return counts.join(F.broadcast(labels), "ordinal").select("ordinal", "column", "value", "n")
-
-
-def distinct_counts(df: DataFrame, columns: list[str] | None = None,
-                    hashed: list[str] | None = None) -> DataFrame:
-    """``(ordinal, distinct)``: exact distinct non-null values of ``columns``
-    (all columns of a known kind when ``None``) and 64-bit-hash distinct
-    counts (a lower bound) of the ``hashed`` columns.
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, value string")
+    return df.select(F.inline(F.array(*structs))).where(F.col("value").isNotNull())
+
+
+HEAD = 64
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(ordinal, column, h1, h2, head, n)``: count of every non-null value per column.
+
+    Values are compared as text (numbers after NaN->null) by a 128-bit key;
+    ``head`` is the value's first 64 characters.  One scan, one shuffle of
+    partially aggregated rows of bounded width, however long the texts are.
+    """
+    return (_stack_text(df, columns)
+            .select("ordinal", "column", *key128(F.col("value")),
+                    F.substring("value", 1, HEAD).alias("head"))
+            .groupBy("ordinal", "column", "h1", "h2")
+            .agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n")))
+
+
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(ordinal, distinct)``: distinct non-null values of ``columns`` (by
+    default of all columns of a known kind).
 
     Values are unpivoted on typed keys — integers as ``long``, other numbers
-    as ``double`` (NaN is missing), hashed columns as their ``xxhash64``,
-    text and dates as text — so numbers are never rendered to text.  Number
-    and hash keys go through their own unpivot of fixed-width rows (12-16
-    bytes per distinct pair, the fast fixed-width aggregation map); text
-    keys through a second one.  Each is one pruned scan and one partially
-    aggregated shuffle: a value holding a third of all rows folds map-side.
+    as ``double`` (NaN is missing), text and dates as a 128-bit hash — so
+    nothing is rendered to text and no shuffle row is wider than a hash.
+    Each unpivot is one pruned scan and one partially aggregated shuffle: a
+    value holding a third of all rows folds map-side.
     """
     want = set(columns) if columns is not None else None
-    hashed_set = set(hashed or [])
     fixed, text = [], []
     null_l, null_d = F.lit(None).cast("long"), F.lit(None).cast("double")
     for i, name, kind, is_int in columns_by_kind(df):
         c = q(name)
-        if kind == "other" or (name not in hashed_set and want is not None
-                               and name not in want):
+        if kind == "other" or (want is not None and name not in want):
             continue
-        if name in hashed_set:
-            fixed.append((i, F.when(c.isNotNull(), F.xxhash64(c)), null_d))
-        elif kind == "numeric" and is_int:
+        if kind == "numeric" and is_int:
             fixed.append((i, c.cast("long"), null_d))
         elif kind == "numeric":
             fixed.append((i, null_l, as_number(c)))
@@ -258,9 +253,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
                      .where(F.col("lk").isNotNull() | F.col("dk").isNotNull())
                      .select("ordinal", *cols).distinct())
     if text:
-        structs = [F.struct(F.lit(i).alias("ordinal"), v.alias("sk")) for i, v in text]
-        parts.append(df.select(F.inline(F.array(*structs)))
-                     .where(F.col("sk").isNotNull()).distinct())
+        structs = [F.struct(F.lit(i).alias("ordinal"), v.isNotNull().alias("some"),
+                            *key128(v)) for i, v in text]
+        parts.append(df.select(F.inline(F.array(*structs))).where("some")
+                     .select("ordinal", "h1", "h2").distinct())
     if not parts:
         return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
     counts = [p.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct")) for p in parts]
@@ -284,9 +280,34 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
 
 
-def top_values(counts: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` values per column, ordered by count desc then value asc."""
-    return top_k_per_group(counts, ["ordinal"], [F.desc("n"), F.asc("value")], k, "value")
+# Candidate values up to this many are looked up with a broadcast.
+_MOST_CANDIDATES = 100_000
+
+
+def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """``(ordinal, column, value, n, rank)``: top ``k`` values per column, ordered by count
+    desc then value asc.
+
+    Counting runs on hashes.  Values that can be among the first ``k`` are
+    those not behind the k-th by (count, first 64 characters), equal ones
+    included; only they are fetched as whole texts, in a second scan.
+    """
+    counts = value_counts(df, columns)
+    # the k-th by (count, head) of each column, then everything not behind it
+    kth = (top_k_per_group(counts, ["ordinal"], [F.desc("n"), F.asc("head"), F.asc("h1"),
+                                                 F.asc("h2")], k, "h1")
+           .groupBy("ordinal").agg(F.max(F.struct((-F.col("n")).alias("m"), "head"))
+                                   .alias("last")))
+    ensure_checkpoint_dir(df.sparkSession)
+    found = (counts.join(F.broadcast(kth), "ordinal")          # one row per column
+             .where(F.struct((-F.col("n")).alias("m"), "head") <= F.col("last"))
+             .select("ordinal", "h1", "h2", "n").checkpoint())
+    few = F.broadcast(found) if found.count() <= _MOST_CANDIDATES else found
+    named = (_stack_text(df, columns).select("*", *key128(F.col("value")))
+             .join(few, ["ordinal", "h1", "h2"])
+             .groupBy("ordinal", "column", "h1", "h2", "n").agg(F.min("value").alias("value")))
+    return top_k_per_group(named, ["ordinal"], [F.desc("n"), F.asc("value")], k,
+                           "h1").drop("h1", "h2")
 
 
 def _stack_numbers(df: DataFrame, columns: list[str]) -> DataFrame:

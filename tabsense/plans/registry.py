@@ -239,8 +239,17 @@ def profile_outliers_documents(spark, sf_dir):
 
 @register("profile_datetime", O.profile_datetime("orders"))
 def profile_datetime(spark, sf_dir):
-    return P.datetimes(ST.column_stats(load_table(spark, sf_dir, "orders"),
-                                       approx_distinct=True))
+    return P.datetimes(ST.column_stats(load_table(spark, sf_dir, "orders"), distinct_for=[]))
+
+
+@register("profile_columns_documents", O.profile_columns("documents"))
+def profile_columns_documents(spark, sf_dir):
+    return P.columns(ST.column_stats(load_table(spark, sf_dir, "documents")))
+
+
+@register("profile_top_values_documents", O.top_values("documents"))
+def profile_top_values_documents(spark, sf_dir):
+    return P.top_values(load_table(spark, sf_dir, "documents"))
 
 
 @register("profile_top_values", O.top_values("part"))
@@ -255,7 +264,8 @@ def profile_bars(spark, sf_dir):
 
 @register("profile_identifiers", O.profile_identifiers("supplier"))
 def profile_identifiers(spark, sf_dir):
-    return P.identifiers(ST.column_stats(load_table(spark, sf_dir, "supplier")))
+    df = load_table(spark, sf_dir, "supplier")
+    return P.identifiers(ST.column_stats(df, distinct_for=P.numeric_names(df)))
 
 
 _LINEITEM_NUMS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -279,13 +289,13 @@ def profile_correlations_part(spark, sf_dir):
 @register("profile_series", O.series("events", "ts", "value"))
 def profile_series(spark, sf_dir):
     df = load_table(spark, sf_dir, "events")
-    return P.series_auto(df, ST.column_stats(df))
+    return P.series_auto(df, ST.column_stats(df, distinct_for=P.numeric_names(df)))
 
 
 @register("profile_series_orders", O.series("orders", "o_orderdate", "o_custkey"))
 def profile_series_orders(spark, sf_dir):
     df = load_table(spark, sf_dir, "orders")
-    return P.series_auto(df, ST.column_stats(df))
+    return P.series_auto(df, ST.column_stats(df, distinct_for=P.numeric_names(df)))
 
 
 @register("profile_histogram", O.histogram("orders", "o_totalprice"))
@@ -1197,15 +1207,15 @@ def sample_rows(spark, sf_dir):
 
 
 @register("chart_series_many", """
-SELECT coalesce(CAST(l_partkey AS VARCHAR), '—') AS x, CAST(lines AS DOUBLE) AS y
-FROM (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY l_partkey)
-ORDER BY l_partkey LIMIT 40""")
+SELECT coalesce(part, '—') AS x, CAST(lines AS DOUBLE) AS y
+FROM (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS lines
+      FROM lineitem GROUP BY l_partkey) ORDER BY part LIMIT 40""")
 def chart_series_many(spark, sf_dir):
     """Far more groups than points: ordered first, then cut to the chart's 40."""
     register_views(spark, sf_dir)
-    res = G.guarded_sql(spark, "SELECT l_partkey, count(*) AS lines FROM lineitem "
-                               "GROUP BY l_partkey").df
-    return BR.chart_series(res, ["l_partkey"])
+    res = G.guarded_sql(spark, "SELECT CAST(l_partkey AS STRING) AS part, count(*) AS lines "
+                               "FROM lineitem GROUP BY l_partkey").df
+    return BR.chart_series(res, ["part"])
 
 
 @register("chart_series", """

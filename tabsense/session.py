@@ -7,6 +7,7 @@ shuffle partitions): the caller owns the session.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
-        if not str(sc.master).startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", str(sc.master)):
             # executors must read each other's checkpoint files: a folder on
             # the driver's disk would break on the first executor loss
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
