@@ -39,9 +39,10 @@ copies AS (
       WHERE c.source IS NOT DISTINCT FROM drawn.source AND c.cdf < u AND c.k < 64))::BIGINT
       AS n_copies
   FROM drawn GROUP BY doc_id, source)
-SELECT doc_id, source, n_copies, copy,
+SELECT doc_id, source, n_copies, copy, text_md5,
        md5('order-7|' || copy || '|' || coalesce(doc_id::VARCHAR, 'null')) AS shuffle_key
-FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM copies)
+FROM (SELECT c.*, md5(d.text) AS text_md5, unnest(range(1, c.n_copies + 1)) AS copy
+      FROM copies c JOIN documents d ON d.doc_id = c.doc_id)
 """
 
 OP6 = f"""

@@ -56,8 +56,9 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that every source weighs the same, in random order."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.select("doc_id", "source", "n_copies", "copy", "shuffle_key")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_copies", "copy", "shuffle_key",
+                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -375,7 +375,7 @@ def test_mixture_reaches_its_weights_in_random_order(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 10 else "small") for i in range(3000)]
     out = mixing.mix(frame(spark, rows), weights={"big": 1, "small": 1, "gone": 1}).collect()
     n = collections.Counter(r["source"] for r in out)
-    assert 900 < n["big"] < 1100 and 900 < n["small"] < 1100
+    assert 1350 < n["big"] < 1650 and 1350 < n["small"] < 1650
     keys = [r["shuffle_key"] for r in out]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
     copies = collections.Counter(r["doc_id"] for r in out)
