@@ -39,7 +39,7 @@ def _hash60(text: Column) -> Column:
 
 def _line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, line, long): the hashes of the non-blank lines, and which lines are long."""
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), F.trim),
+    lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)),
                      lambda x: x != "")
     kept = (docs.where(F.col(text_col).isNotNull())
             .select(*_identity(id_col, text_col), lines.alias("lines")))
