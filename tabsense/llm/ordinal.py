@@ -6,8 +6,9 @@ rising thresholds, all grades sharing the weights.  It gives the expected
 grade and the tail probabilities to select by.
 
 Features, hashed into 2**18 weights: blank-separated words, beginnings of
-words (five bytes) and word shapes (which kinds of bytes occur, the last
-byte); each counts once a text, scaled by the root of how many there are.
+words (five bytes), word shapes (which kinds of bytes occur, the last byte)
+and the share of words that do not repeat, in tenths; each counts once a
+text, scaled by the root of how many there are.
 
 Fitting takes at most ``docs_per_grade`` documents of each grade, chosen by a
 hash of their id.  Null and empty texts have no features and get the score of
@@ -61,8 +62,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS):
     kinds = np.bitwise_or.reduceat(_KIND[data], starts)   # blanks in between are kind 0
     shapes = mix64(kinds.astype(np.uint64) * np.uint64(256)
                    + data[ends - 1].astype(np.uint64) + np.uint64(2))
-    slot = np.concatenate([words, heads, shapes]) >> np.uint64(64 - bits)
-    pairs = np.unique(np.tile(doc, 3) << bits | slot.astype(np.int64))
+    # how much of the text repeats: the share of words that are new, in tenths
+    order = np.lexsort((words, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (words[order][1:] != words[order][:-1])
+    n = np.bincount(doc)
+    tenth = (10 * np.bincount(doc[order], new) // np.maximum(1, n)).astype(np.uint64)
+    some = np.flatnonzero(n)
+    fresh = mix64(tenth[some] * np.uint64(1024) + np.uint64(3))
+    slot = np.concatenate([words, heads, shapes, fresh]) >> np.uint64(64 - bits)
+    pairs = np.unique(np.concatenate([np.tile(doc, 3), some]) << bits | slot.astype(np.int64))
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
@@ -72,7 +81,7 @@ def _score(weights: np.ndarray, doc: np.ndarray, slot: np.ndarray, docs: int) ->
 
 
 def train(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS,
-          steps: int = 120, rate: float = 0.3, ridge: float = 1e-5) -> Ordinal:
+          steps: int = 120, rate: float = 0.3, ridge: float = 5e-5) -> Ordinal:
     """Maximum likelihood by full-batch Adam; thresholds as a first one and log gaps."""
     docs = len(grade)
     n = np.sqrt(np.maximum(1, np.bincount(doc, minlength=docs)))
