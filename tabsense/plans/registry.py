@@ -1291,9 +1291,25 @@ def text_date_promotion(spark, sf_dir):
     return CL.date_candidates(_text_dates(spark, sf_dir))
 
 
+@register("analyze_text_dates", """
+SELECT strftime(period_start::DATE, '%Y-%m-%d') AS period_start,
+       strftime(period_end::DATE, '%Y-%m-%d') AS period_end, bins, first, last, peak_label
+FROM (""" + O.trend_summary("orders", "o_orderdate", "o_totalprice") + ")")
+def analyze_text_dates(spark, sf_dir):
+    """The analysis of orders with the date as text: the same trend as with timestamps."""
+    o = load_table(spark, sf_dir, "orders")
+    text = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return analyze(text).trend_summary.select("period_start", "period_end", "bins", "first",
+                                              "last", "peak_label")
+
+
 @register("text_date_values", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text_date,
-       strftime(o_orderdate, '%Y-%m-%d') AS dmy_text_date FROM orders""")
+       -- a slashed date is read month first wherever that gives a date
+       strftime(CASE WHEN day(o_orderdate) <= 12
+                     THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))
+                     ELSE CAST(o_orderdate AS DATE) END, '%Y-%m-%d') AS dmy_text_date
+FROM orders""")
 def text_date_values(spark, sf_dir):
     p = CL.promote_text_dates(_text_dates(spark, sf_dir))
     return p.select("o_orderkey",
