@@ -13,14 +13,18 @@ over the common shingles ``i``; with equal weights it is the Jaccard index.
    its hash; each arrival names a random register, a register keeps its
    earliest arrival, and a shingle stops once its next arrival lies beyond
    the document's latest register.  Two registers agree with probability J_P.
-3. Bands of registers are bucketed.  Every member of a bucket is compared
-   with the bucket's leader (two leaders a document, those sharing most
-   bands); verified pairs give provisional classes.
-4. The rest, without a cap: in every bucket that still holds several classes
-   all pairs of members of different classes whose registers agree often
-   enough (four standard deviations below the threshold) are verified too.
-   A large group of copies has collapsed into a class by then, so that its
-   pairs are not walked.
+3. Bands of registers are bucketed.  Inside a bucket the registers of its
+   members are compared, and those that agree often enough (3.3 standard
+   deviations below the threshold) join a cluster.
+4. Inside a cluster the exact similarity decides; the classes are the
+   connected components of the pairs that reach the threshold.
+
+Steps 3 and 4 compare inside a task and give only a spanning forest of what
+they find: a member is compared with those it is not yet connected to, so a
+tight group costs little more than one round, and no list of pairs is ever
+made.  Buckets and clusters are cut into blocks of bounded size; those with
+several blocks are compared once more block against block, members of
+different parts only, so nothing is capped and nothing is lost.
 
 Null texts are in a class of their own each; texts without words only join
 equal texts.  Repeated rows (same id, same text) share a class.
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.llm.common import (blocks, cut, fresh_name, mix64, stored, text_bytes, text_key,
@@ -121,68 +125,150 @@ def _sketch(size: int, rows: int):
                 some[doc] = True
                 regs = prob_minhash(doc, item, weight, j - i, size)
                 keys = regs.reshape(j - i, size // rows, rows)
-                h = np.zeros(keys.shape[:2], np.uint64)
+                h = np.broadcast_to(np.arange(size // rows, dtype=np.uint64), keys.shape[:2])
                 for k in range(rows):
                     h = mix64(h * np.uint64(5) + keys[:, :, k] + np.uint64(1))
-                short = (regs >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-                def lists(values, arrow_type):
-                    ends = np.concatenate(([0], np.cumsum(some) * values.shape[1]))
-                    return pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()),
-                        pa.array(values[some].reshape(-1), arrow_type))
-
+                ends = np.concatenate(([0], np.cumsum(some) * keys.shape[1]))
+                short = (regs >> np.uint64(48)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(i, j - i) for c in ("uid", "id", "key")]
-                    + [lists(h.view(np.int64), pa.int64()), lists(short, pa.int32())],
-                    names=["uid", "id", "key", "bands", "sketch"])
+                    + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                pa.array(h[some].reshape(-1).view(np.int64))),
+                       pa.array([r.tobytes() if ok else None for r, ok in zip(short, some)],
+                                pa.binary())],
+                    names=["uid", "id", "key", "buckets", "sketch"])
     return run
 
 
-def _verify(threshold: float):
+def forest(part: np.ndarray, match) -> list[tuple[int, int]]:
+    """Edges that join parts of 0..n-1: ``match(i, js)`` says which of ``js`` go with ``i``.
+
+    Every pair of members is compared unless they are connected already.
+    """
+    part, edges = part.copy(), []
+    for i in range(len(part) - 1):
+        js = i + 1 + np.flatnonzero(part[i + 1:] != part[i])
+        if not len(js):
+            continue
+        found = js[match(i, js)]
+        if len(found):
+            parts, first = np.unique(part[found], return_index=True)
+            edges += [(i, int(found[k])) for k in first]
+            part[np.isin(part, parts)] = part[i]
+    return edges
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows again, each cell (cell, block) whole in one table."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        cell, block = (table.column(c).to_numpy() for c in ("cell", "block"))
+        if not len(cell):
+            continue
+        last = int(np.flatnonzero((cell != cell[-1]) | (block != block[-1]))[-1]) + 1 \
+            if (cell[0], block[0]) != (cell[-1], block[-1]) else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _forests(matcher):
+    """A task function: spanning forests of the sorted cells it gets, as (a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            both = [text_bytes(batch.column(c)) for c in ("ta", "tb")]
-            sim = np.zeros(n)
-            step = max(1, int(n * _BLOCK_BYTES / max(1, sum(len(d) for d, _ in both))))
-            for i in range(0, n, step):
-                j = min(n, i + step)
-                sets = []
-                for data, offsets in both:
-                    lo = offsets[i:j + 1]
-                    doc, item, weight = weighted_shingles(data[lo[0]:lo[-1]], lo - lo[0])
-                    sets.append((item, weight, np.searchsorted(doc, np.arange(j - i + 1))))
-                (ia, wa, aa), (ib, wb, ab) = sets
-                for k in range(j - i):
-                    sim[i + k] = probability_jaccard(
-                        (ia[aa[k]:aa[k + 1]], wa[aa[k]:aa[k + 1]]),
-                        (ib[ab[k]:ab[k + 1]], wb[ab[k]:ab[k + 1]]))
-            good = pa.array(sim >= threshold - 1e-12)
+        for table in _whole_cells(batches):
+            cell, block, uid, part = (table.column(c).to_numpy()
+                                      for c in ("cell", "block", "uid", "part"))
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
+            match = matcher(table.column("payload"))
+            a, b = [], []
+            for lo, hi in zip(np.append(0, new).tolist(), np.append(new, len(cell)).tolist()):
+                if hi - lo > 1:
+                    for i, j in forest(part[lo:hi], match(lo, hi)):
+                        a.append(uid[lo + i])
+                        b.append(uid[lo + j])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(good), batch.column("b").filter(good),
-                 pa.array(sim).filter(good)], names=["a", "b", "similarity"])
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame,
-              threshold: float) -> DataFrame:
-    """The pairs (a, b) of representatives whose exact similarity reaches the threshold."""
-    pairs = cut(pairs)
-    wanted = (pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-              .join(reps.select("uid", "id", "key"), "uid"))
-    # a row repeated in full gives its text more than once: one per representative
-    texts = stored(keyed.join(wanted, ["id", "key"])
-                   .groupBy("uid").agg(F.first("text").alias("text")))
-    with_a = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(with_b.select("a", "b", "ta", "tb").mapInArrow(
-        _verify(threshold), "a long, b long, similarity double"))
+def _sketch_matcher(size: int, least: int):
+    def matcher(payload):
+        rows = np.frombuffer(b"".join(payload.to_pylist()), np.uint16).reshape(-1, size)
+        return lambda lo, hi: lambda i, js: (
+            (rows[lo + js] == rows[lo + i]).sum(axis=1) >= least)
+    return matcher
+
+
+def _text_matcher(threshold: float):
+    def matcher(payload):
+        data, offsets = text_bytes(payload)
+
+        def cell(lo: int, hi: int):
+            at = offsets[lo:hi + 1]
+            doc, item, weight = weighted_shingles(data[at[0]:at[-1]], at - at[0])
+            _, item = np.unique(item, return_inverse=True)
+            ends = np.searchsorted(doc, np.arange(hi - lo + 1))
+            total = np.add.reduceat(np.append(weight, 0.0), ends[:-1])
+            plain = np.maximum.reduceat(np.append(weight, 0.0), ends[:-1]) == 1.0
+            mine = np.zeros(item.max() + 1 if len(item) else 1)
+
+            def match(i: int, js: np.ndarray) -> np.ndarray:
+                own = slice(ends[i], ends[i + 1])
+                mine[item[own]] = weight[own]
+                got = mine[item]
+                # J_P is at most the share of either side's weight that is common
+                theirs = np.add.reduceat(np.append(np.where(got > 0, weight, 0.0), 0.0),
+                                         ends[:-1])[js]
+                ours = np.add.reduceat(np.append(got, 0.0), ends[:-1])[js]
+                mine[item[own]] = 0.0
+                ok = (theirs >= threshold * total[js] - 1e-9) & (
+                    ours >= threshold * total[i] - 1e-9)
+                simple = plain[js] & plain[i]         # equal weights: the Jaccard index
+                ok &= ~simple | (ours >= threshold * (total[js] + total[i] - ours) - 1e-9)
+                for k in np.flatnonzero(ok & ~simple):
+                    other = slice(ends[js[k]], ends[js[k] + 1])
+                    a, b = np.argsort(item[own]), np.argsort(item[other])
+                    ok[k] = probability_jaccard(
+                        (item[own][a], weight[own][a]),
+                        (item[other][b], weight[other][b])) >= threshold - 1e-12
+                return ok
+            return match
+        return cell
+    return matcher
+
+
+def _linked(members: DataFrame, matcher) -> DataFrame:
+    """Links (a, b) that connect what matches inside each cell.
+
+    ``members`` has (cell, blocks, uid, payload); a cell is cut into ``blocks``
+    blocks by a hash of uid.
+    """
+    def run(rows: DataFrame) -> DataFrame:
+        return cut(rows.select("cell", "block", "uid", "part", "payload")
+                   .repartition("cell", "block").sortWithinPartitions("cell", "block", "uid")
+                   .mapInArrow(_forests(matcher), "a long, b long"))
+
+    members = members.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
+    links = run(members.withColumn("part", F.col("uid")))
+    wide = members.where("blocks > 1")
+    if wide.isEmpty():
+        return links
+    placed = (wide.join(connected(links).withColumnRenamed("node", "uid"), "uid", "left")
+              .withColumn("part", F.coalesce("component", "uid")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    across = (placed.withColumn("other", other).where("other <> block")
+              .withColumn("block", F.least("block", "other") * F.col("blocks")
+                          + F.greatest("block", "other")))
+    return links.union(run(across))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 threshold: float = THRESHOLD, bands: int = BANDS,
-                 rows: int = ROWS) -> DataFrame:
+                 threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+                 block_rows: int = 2048, block_bytes: int = 4 << 20) -> DataFrame:
     """(id, key, class_id, is_representative): one row per input row.
 
     ``class_id`` is the smallest id of the class, null for a null id.  One row
@@ -195,50 +281,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col(id_col).isNotNull(), text_key(F.col(text_col))).alias("key"))
     rows_ = stored(keyed.select(F.monotonically_increasing_id().alias("uid"), "id", "key", "text")
                    .mapInArrow(_sketch(size, rows),
-                               "uid long, id long, key binary, bands array<long>, "
-                               "sketch array<int>"))
+                               "uid long, id long, key binary, buckets array<long>, "
+                               "sketch binary"))
     # copies of a text meet as one partial row per task and key
     reps = cut(rows_.where("key is not null").groupBy("key")
                .agg(F.min(F.struct("id", "uid")).alias("m"))
                .select("key", F.col("m.id").alias("id"), F.col("m.uid").alias("uid")))
-    nodes = rows_.join(reps.select("uid"), "uid", "left_semi").where("size(bands) > 0")
-
-    banded = nodes.select("uid", F.posexplode("bands").alias("band", "bucket"))
-    shared = (banded.groupBy("band", "bucket")
-              .agg(F.count("*").alias("n"),
-                   F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("lead"))
-              .where("n > 1").select("band", "bucket", F.col("lead.uid").alias("leader")))
-    members = cut(banded.join(shared, ["band", "bucket"]))
-
-    stars = members.where("uid <> leader").groupBy("uid", "leader").agg(F.count("*").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "leader"))
-    first_links = _verified(stars.withColumn("nth", nth).where("nth <= 2")
-                            .select(F.col("uid").alias("a"), F.col("leader").alias("b")),
-                            keyed, reps, threshold)
-    provisional = connected(first_links)
-
-    placed = (members.join(provisional.withColumnRenamed("node", "uid"), "uid", "left")
-              .select("uid", "band", "bucket", "leader",
-                      F.coalesce("component", "uid").alias("part")))
-    split = (placed.groupBy("band", "bucket")
-             .agg(F.min("part").alias("lo"), F.max("part").alias("hi"),
-                  F.max(F.when(F.col("uid") == F.col("leader"), F.col("part"))).alias("main"))
-             .where("lo < hi").select("band", "bucket", "main"))
-    open_ = cut(placed.drop("leader").join(split, ["band", "bucket"])
-                .join(nodes.select("uid", "sketch"), "uid"))
-    least = int(size * threshold - 4 * (size * threshold * (1 - threshold)) ** 0.5)
-    agree = F.expr("aggregate(zip_with(q.sketch, m.sketch, (x, y) -> int(x = y)), 0, "
-                   "(s, x) -> s + x)")
-    rest = (open_.where("part <> main").alias("q")
-            .join(open_.alias("m"),
-                  (F.col("q.band") == F.col("m.band")) & (F.col("q.bucket") == F.col("m.bucket"))
-                  & (F.col("q.part") != F.col("m.part"))
-                  & ((F.col("m.part") == F.col("m.main")) | (F.col("q.uid") < F.col("m.uid")))
-                  & (agree >= least))
-            .select(F.least("q.uid", "m.uid").alias("a"), F.greatest("q.uid", "m.uid").alias("b"))
-            .distinct())
-    more = _verified(rest, keyed, reps, threshold)
-    classes = connected(first_links.select("a", "b").union(more.select("a", "b")))
+    nodes = rows_.join(reps.select("uid"), "uid", "left_semi").where("size(buckets) > 0")
+
+    bucketed = nodes.select("uid", F.explode("buckets").alias("cell"))
+    shared = (bucketed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+              .select("cell", F.ceil(F.col("n") / block_rows).alias("blocks")))
+    members = (bucketed.join(shared, "cell")
+               .join(nodes.select("uid", F.col("sketch").alias("payload")), "uid"))
+    least = int(size * threshold - 3.3 * (size * threshold * (1 - threshold)) ** 0.5)
+    clusters = connected(_linked(members, _sketch_matcher(size, least)))
+
+    wanted = clusters.withColumnRenamed("node", "uid").join(reps, "uid")
+    # a row repeated in full gives its text more than once: one per representative
+    texts = stored(keyed.join(wanted, ["id", "key"]).groupBy("uid").agg(
+        F.first("component").alias("cell"), F.first("text").alias("payload")))
+    sizes = texts.groupBy("cell").agg(F.greatest(
+        F.ceil(F.count("*") / block_rows),
+        F.ceil(F.sum(F.octet_length("payload")) / block_bytes)).alias("blocks"))
+    classes = connected(_linked(texts.join(sizes, "cell"), _text_matcher(threshold)))
 
     named = (reps.join(classes.withColumnRenamed("node", "uid"), "uid", "left")
              .select("key", "id", "uid", F.coalesce("component", "uid").alias("part")))
