@@ -2,11 +2,13 @@
 
 A document is the weighted set of its five-word shingles (the whole word
 sequence when it has fewer than five words, but some); a shingle that occurs
-``c`` times weighs ``1 + ln c``.  The similarity is the probability Jaccard
+``c`` times weighs ``1 + ln(c) / 4``.  The similarity is the probability Jaccard
 
     J_P(x, y) = sum_i 1 / sum_j max(x_j / x_i, y_j / y_i)
 
 over the common shingles ``i``; with equal weights it is the Jaccard index.
+Two texts are linked when it, or the Jaccard index of their plain shingle
+sets, reaches the threshold.
 
 1. Equal texts are folded into one representative (the smallest id).
 2. ProbMinHash: shingle ``d`` is a Poisson process of rate ``w(d)`` seeded by
@@ -68,7 +70,7 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     head = np.flatnonzero(new)
     times = np.diff(np.append(head, total))
-    return doc[head], h[head], 1.0 + np.log(times)
+    return doc[head], h[head], 1.0 + np.log(times) / 4
 
 
 def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, docs: int,
@@ -213,6 +215,7 @@ def _text_matcher(threshold: float):
             _, item = np.unique(item, return_inverse=True)
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
             total = np.add.reduceat(np.append(weight, 0.0), ends[:-1])
+            count = np.diff(ends)
             plain = np.maximum.reduceat(np.append(weight, 0.0), ends[:-1]) == 1.0
             mine = np.zeros(item.max() + 1 if len(item) else 1)
 
@@ -224,12 +227,13 @@ def _text_matcher(threshold: float):
                 theirs = np.add.reduceat(np.append(np.where(got > 0, weight, 0.0), 0.0),
                                          ends[:-1])[js]
                 ours = np.add.reduceat(np.append(got, 0.0), ends[:-1])[js]
+                both = np.add.reduceat(np.append(got > 0, 0), ends[:-1], dtype=np.int64)[js]
                 mine[item[own]] = 0.0
-                ok = (theirs >= threshold * total[js] - 1e-9) & (
-                    ours >= threshold * total[i] - 1e-9)
-                simple = plain[js] & plain[i]         # equal weights: the Jaccard index
-                ok &= ~simple | (ours >= threshold * (total[js] + total[i] - ours) - 1e-9)
-                for k in np.flatnonzero(ok & ~simple):
+                ok = both >= threshold * (count[js] + count[i] - both) - 1e-9
+                maybe = ((theirs >= threshold * total[js] - 1e-9)
+                         & (ours >= threshold * total[i] - 1e-9)
+                         & ~(plain[js] & plain[i]))   # equal weights: no other value
+                for k in np.flatnonzero(maybe & ~ok):
                     other = slice(ends[js[k]], ends[js[k] + 1])
                     a, b = np.argsort(item[own]), np.argsort(item[other])
                     ok[k] = probability_jaccard(
