@@ -121,7 +121,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with later repeated runs of lines cut out of ``out_col`` (default: the text).
 
     Adds the numbers of non-blank lines and of deleted ones; blank lines inside a
-    deleted run go with it.
+    deleted run go with it.  A column that already has one of these names is
+    replaced.
     """
     out_col = out_col or text_col
     key_id, key_h, runs = (fresh_name(docs, c) for c in ("key_id", "key_h", "runs"))
@@ -132,9 +133,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # places of the non-blank lines among all lines
     filled = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)),
                       lambda i: i.isNotNull())
-    at = F.transform(F.col(runs), lambda r: F.struct(
-        F.get(filled, r["lo"]).alias("lo"), F.get(filled, r["hi"]).alias("hi")))
     places, cuts = fresh_name(docs, "places"), fresh_name(docs, "cuts")
+    # from numbers among the non-blank lines to numbers among all lines
+    at = F.transform(F.col(runs), lambda r: F.struct(
+        F.get(F.col(places), r["lo"]).alias("lo"), F.get(F.col(places), r["hi"]).alias("hi")))
 
     def deleted(i: Column) -> Column:
         return F.exists(F.col(cuts), lambda r: i.between(r["lo"], r["hi"]))
