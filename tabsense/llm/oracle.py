@@ -74,9 +74,9 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-# Levels by walking up from the calls without dependencies.
+# All dependencies point back in the log here, so its order is the topological one.
 OP7 = """
-WITH RECURSIVE call AS (
+WITH call AS (
   SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
          len(string_split(text, ' ')) AS words, min(text) AS prompt
   FROM conversations WHERE role = 'user' GROUP BY ALL),
@@ -88,23 +88,20 @@ dep AS (
     SELECT conv_id, call_id, unnest(CASE
         WHEN c.t % 8 = 6 THEN [conv_id || ':' || (c.t - 2), conv_id || ':0']
         WHEN c.t >= 2 THEN [conv_id || ':' || (c.t - 2)] ELSE [] END) AS dep FROM one)),
-edge AS (
-  SELECT d.* FROM dep d JOIN one o ON o.conv_id = d.conv_id AND o.call_id = d.dep),
-walk(conv_id, call_id, level) AS (
-  SELECT conv_id, call_id, 0 FROM one
-  UNION
-  SELECT e.conv_id, e.call_id, w.level + 1 FROM walk w
-  JOIN edge e ON e.conv_id = w.conv_id AND e.dep = w.call_id),
-lev AS (SELECT conv_id, call_id, max(level) AS level FROM walk GROUP BY ALL),
+lev AS (
+  SELECT conv_id, call_id,
+         row_number() OVER (PARTITION BY conv_id ORDER BY c.t, call_id) - 1 AS position FROM one),
 asked AS (SELECT conv_id, call_id, count(*) AS n FROM dep GROUP BY ALL),
-found AS (SELECT conv_id, call_id, count(*) AS n FROM edge GROUP BY ALL),
+found AS (
+  SELECT d.conv_id, d.call_id, count(*) AS n FROM dep d
+  JOIN one o ON o.conv_id = d.conv_id AND o.call_id = d.dep GROUP BY ALL),
 res AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min({'t': turn, 'x': text}) AS r,
          count(*) - 1 AS extra
   FROM conversations WHERE role = 'assistant' GROUP BY ALL)
 SELECT coalesce(o.conv_id, r.conv_id) AS conv_id, coalesce(o.call_id, r.call_id) AS call_id,
        coalesce(o.c.t, r.r.t) AS turn, CASE WHEN o.c IS NOT NULL THEN 'answer' END AS name,
-       l.level::BIGINT AS level,
+       l.position::BIGINT AS position,
        CASE WHEN o.c IS NOT NULL THEN coalesce(a.n, 0) - coalesce(f.n, 0) END AS dangling,
        CASE WHEN o.c IS NULL THEN 'noCall' WHEN r.r IS NULL THEN 'noResult'
             ELSE 'linked' END AS status,
@@ -112,8 +109,8 @@ SELECT coalesce(o.conv_id, r.conv_id) AS conv_id, coalesce(o.call_id, r.call_id)
        CASE WHEN o.c IS NOT NULL THEN '' END AS errors,
        CASE WHEN o.c IS NOT NULL THEN
          '{"arguments":{"prompt":' || to_json(o.c.p) || ',"turn":' || o.c.t || ',"words":'
-         || o.c.w || '},"id":' || to_json(o.call_id) || ',"level":' || l.level
-         || ',"name":"answer"' || coalesce(',"result":' || to_json(r.r.x), '') || '}'
+         || o.c.w || '},"id":' || to_json(o.call_id) || ',"name":"answer","position":'
+         || l.position || coalesce(',"result":' || to_json(r.r.x), '') || '}'
        END AS record
 FROM one o FULL JOIN res r ON o.conv_id = r.conv_id AND o.call_id = r.call_id
 LEFT JOIN lev l ON l.conv_id = o.conv_id AND l.call_id = o.call_id

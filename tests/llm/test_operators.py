@@ -143,7 +143,11 @@ def jaccard_p(a, b):
 def weights(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     c = collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
-    return {k: 1 + math.log(n) for k, n in c.items()}
+    return {k: 1 + math.log(n) / 4 for k, n in c.items()}
+
+
+def linked(a, b):
+    return bool(a and b) and max(jaccard_p(a, b), len(set(a) & set(b)) / len(set(a) | set(b))) >= 0.8
 
 
 def brute_classes(rows):
@@ -159,7 +163,7 @@ def brute_classes(rows):
             ti, tj = rows[i][1], rows[j][1]
             if ti is not None and tj is not None and rows[i][0] is not None \
                     and rows[j][0] is not None and (
-                    ti == tj or (sets[i] and sets[j] and jaccard_p(sets[i], sets[j]) >= 0.8)):
+                    ti == tj or linked(sets[i], sets[j])):
                 a, b = sorted((top(i), top(j)))
                 name[b] = a
     groups = collections.defaultdict(list)
@@ -483,11 +487,11 @@ def test_tool_calls_link_order_validate_and_serialise(spark):
     msgs = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     out = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link(
         tool_calls.calls_of(msgs), tool_calls.results_of(msgs), SCHEMAS).collect()}
-    assert {k: r["level"] for k, r in out.items() if k[0] == 1} == {
+    assert {k: r["position"] for k, r in out.items() if k[0] == 1} == {
         (1, "c1"): 0, (1, "c2"): 1, (1, "c3"): 2, (1, "c4"): None, (1, "c5"): None,
-        (1, "c6"): None, (1, "c7"): 0, (1, "zz"): None}
+        (1, "c6"): None, (1, "c7"): 3, (1, "zz"): None}
     assert out[1, "c1"]["record"] == (
-        '{"arguments":{"a":1,"b":2.5},"id":"c1","level":0,"name":"add","result":"3 \\"ok\\""}')
+        '{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add","position":0,"result":"3 \\"ok\\""}')
     assert out[1, "c1"]["extra_results"] == 1 and out[1, "c2"]["status"] == "noResult"
     assert out[1, "zz"]["status"] == "noCall" and out[1, "c7"]["dangling"] == 1
     assert out[1, "c7"]["errors"] == ["type:a", "unknown:x"]
@@ -495,14 +499,25 @@ def test_tool_calls_link_order_validate_and_serialise(spark):
     assert out[2, "c3"]["errors"] == ["notAnObject"]
 
 
-def test_levels_of_long_chains_and_diamonds(spark):
-    rows = [(1, f"a{i}", [f"a{i - 1}"] if i else []) for i in range(300)]
-    rows += [(2, "r", []), (2, "x", ["r"]), (2, "y", ["x"]), (2, "z", ["r", "y"]),
-             (2, "t", ["z", "x", "z"])]
-    got = {(r[0], r[1]): r[2] for r in tool_calls.levels(spark.createDataFrame(
-        rows, "conv_id int, call_id string, depends_on array<string>")).collect()}
-    assert all(got[1, f"a{i}"] == i for i in range(300))
-    assert [got[2, k] for k in "rxyzt"] == [0, 1, 2, 3, 4]
+@pytest.mark.parametrize("block_turns", [1024, 7])
+def test_order_puts_every_call_after_what_it_depends_on(spark, block_turns):
+    rnd = random.Random(3)
+    rows = [(1, f"a{i:03d}", i, [f"a{i - 1:03d}"] if i else []) for i in range(300)]
+    for conv in (2, 3, 4):            # any order in the log, no cycle
+        order = list(range(40))
+        rnd.shuffle(order)
+        rows += [(conv, f"n{i:02d}", rnd.randrange(30), [f"n{j:02d}" for j in order[:k]
+                                                        if rnd.random() < 0.1])
+                 for k, i in enumerate(order)]
+    out = tool_calls.ordered(spark.createDataFrame(
+        rows, "conv_id int, call_id string, turn int, depends_on array<string>"),
+        block_turns).collect()
+    at = {(r[0], r[1]): r[2] for r in out}
+    for conv in (1, 2, 3, 4):
+        mine = sorted(p for (c, _), p in at.items() if c == conv)
+        assert mine == list(range(len(mine)))
+    assert all(at[c, d] < at[c, i] for c, i, _, deps in rows for d in deps)
+    assert all(at[1, f"a{i:03d}"] == i for i in range(300))
 
 
 def test_no_calls(spark):
