@@ -24,26 +24,37 @@ _PART = 8.0
 _MOST_BROADCAST = 10_000
 
 
-def poisson_count(rate: Column, seed: int, *identity: Column) -> Column:
-    """Inverse of the Poisson distribution at hashed uniforms; 0 for a rate of 0 or null."""
-    parts = F.ceil(rate / _PART)
-    mean = rate / parts
+def poisson_parts(rate: Column) -> Column:
+    """(parts, cdf): how many equal parts a rate is split into, and their distribution function."""
+    parts = F.when(rate > 0, F.ceil(rate / _PART)).otherwise(F.lit(0)).cast("long")
+    mean = rate / F.greatest(parts, F.lit(1))
+    start = F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("cdf"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * mean / i
+        return F.struct(term.alias("term"), F.array_append(
+            s["cdf"], F.element_at(s["cdf"], -1) + term).alias("cdf"))
     # terms of a mean of at most 8 are below 2**-53 from 64 on
+    cdf = F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step, lambda s: s["cdf"])
+    return F.struct(parts.alias("parts"), cdf.alias("cdf"))
+
+
+def poisson_draw(parts: Column, seed: int, *identity: Column) -> Column:
+    """Sum of one draw a part: the distribution function inverted at hashed uniforms."""
     def one(part: Column) -> Column:
         u = unit_hash(F.lit(str(seed)), part.cast("string"), *identity)
-        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"),
-                         F.lit(0).cast("long").alias("k"))
-
-        def step(s: Column, i: Column) -> Column:
-            term = s["term"] * mean / i
-            return F.when(s["cdf"] < u, F.struct(
-                term.alias("term"), (s["cdf"] + term).alias("cdf"),
-                i.cast("long").alias("k"))).otherwise(s)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["k"])
+        # bound by the outer lambda: hashed once, not once a term
+        return F.get(F.transform(F.array(u), lambda x: F.size(
+            F.filter(parts["cdf"], lambda c: c < x))), 0).cast("long")
 
-    draws = F.aggregate(F.sequence(F.lit(1).cast("long"), parts.cast("long")),
+    draws = F.aggregate(F.sequence(F.lit(1).cast("long"), parts["parts"]),
                         F.lit(0).cast("long"), lambda s, part: s + one(part))
-    return F.when(rate > 0, draws).otherwise(F.lit(0).cast("long"))
+    return F.when(parts["parts"] > 0, draws).otherwise(F.lit(0).cast("long"))
+
+
+def poisson_count(rate: Column, seed: int, *identity: Column) -> Column:
+    """A Poisson draw of mean ``rate``; 0 for a rate of 0 or null."""
+    return poisson_draw(poisson_parts(rate), seed, *identity)
 
 
 def source_rates(docs: DataFrame, source_col: str = "source",
@@ -51,8 +62,9 @@ def source_rates(docs: DataFrame, source_col: str = "source",
                  wanted_rows: int | None = None) -> DataFrame:
     """(source, n_docs, rate); null is a source like any other.
 
-    ``weights`` gives the mixture (sources it does not name get 0); by default
-    every source present weighs the same.  ``wanted_rows`` is the expected
+    ``weights`` gives the mixture (sources it does not name get 0, named ones
+    that are absent leave their share to the others); by default every source
+    present weighs the same.  ``wanted_rows`` is the expected
     size of the mixture, by default the size of ``docs``.
     """
     counts = cut(docs.groupBy(F.col(source_col).alias("source"))
@@ -75,9 +87,11 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                 seed: int = 7, weights: dict[str, float] | None = None,
                 wanted_rows: int | None = None, out: str = "n_copies") -> DataFrame:
     """``docs`` with its Poisson number of copies in column ``out``."""
-    rates = cut(source_rates(docs, source_col, weights, wanted_rows))
+    rates = source_rates(docs, source_col, weights, wanted_rows)
     rate, name = fresh_name(docs, "rate"), fresh_name(docs, "rate_source")
-    rates = rates.select(F.col("source").alias(name), F.col("rate").alias(rate))
+    # the distribution function is computed once a source, not once a document
+    rates = cut(rates.select(F.col("source").alias(name),
+                             poisson_parts(F.col("rate")).alias(rate)))
     if rates.count() <= _MOST_BROADCAST:
         rated = docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col(name)), "left")
     else:
@@ -90,7 +104,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
             F.col(source_col).eqNullSafe(F.col(name)) & (F.col(salt) == F.col(salt + "_s")),
             "left").drop(salt, salt + "_s")
     identity = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    return rated.withColumn(out, poisson_count(F.col(rate), seed, identity)).drop(rate, name)
+    return rated.withColumn(out, poisson_draw(F.col(rate), seed, identity)).drop(rate, name)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7,
@@ -100,7 +114,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
     """The mixture in random order: every document once per copy.
 
     Adds the number of copies, the copy (from 1) and the shuffle key; rows are
-    in the order of that key.  A document with 0 copies is left out (that is
+    in the order of that key.  A column that already has one of these names is
+    replaced.  A document with 0 copies is left out (that is
     the sampling the target weights ask for).
     """
     counted = with_counts(docs, id_col, source_col, seed, weights, wanted_rows, copies_col)
