@@ -4,7 +4,10 @@ The non-blank lines of a text (trimmed) are hashed.  Every two consecutive
 lines are a gram; of every ``window`` consecutive grams the one with the
 smallest hash (the rightmost of equal ones) is a fingerprint, so a run of
 ``window + 1`` lines that occurs elsewhere shares a fingerprint with it for
-certain.  A line of ``long_words`` words or more is a fingerprint in itself.
+certain.  A line of ``LONG_WORDS`` words or more is a fingerprint in itself, and
+so is every gram whose two lines hold that many together: a passage of so many
+words in whole lines is found however it is broken into lines.  Words are what
+stands between blanks of any kind (tabs, non-breaking and other Unicode blanks).
 
 The corpus is ordered by (id, text hash) and line.  Each place of a
 fingerprint is joined with the fingerprint's first place, the match is
@@ -38,14 +41,14 @@ def _hash60(text: Column) -> Column:
 
 
 def _line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, line, long): the hashes of the non-blank lines, and which lines are long."""
+    """(id, h, line, words): the hashes of the non-blank lines and their numbers of words."""
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)),
                      lambda x: x != "")
     kept = (docs.where(F.col(text_col).isNotNull())
             .select(*_identity(id_col, text_col), lines.alias("lines")))
     return (kept.select("id", "h", F.transform("lines", _hash60).alias("line"),
-                        F.transform("lines", lambda x: F.size(F.split(x, " ", -1)) >= LONG_WORDS)
-                        .alias("long"))
+                        F.transform("lines", lambda x: F.size(F.filter(
+                            F.split(x, r"(?U)\s+", -1), lambda w: w != ""))).alias("words"))
             .where("size(line) > 0").dropDuplicates(["id", "h"]))
 
 
@@ -55,7 +58,7 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def _fingerprints(arrays: DataFrame, window: int) -> DataFrame:
-    """(id, h, pos, fp): the winnowed grams and the long lines of every text."""
+    """(id, h, pos, n, fp): the winnowed grams, the long lines and the long grams of every text."""
     grams = arrays.withColumn("gram", F.when(F.size("line") > 1, F.transform(
         F.sequence(F.lit(0), F.size("line") - 2),
         lambda i: _hash60(F.concat_ws("|", F.get("line", i).cast("string"),
@@ -67,12 +70,17 @@ def _fingerprints(arrays: DataFrame, window: int) -> DataFrame:
         lambda i: F.array_min(F.transform(
             F.sequence(i, F.least(i + window, F.size("gram")) - 1),
             lambda j: F.struct(F.get("gram", j).alias("g"), (-j).alias("at")))))
-    chosen = F.when(F.size("gram") > 0, F.array_distinct(F.transform(
-        winners, lambda w: F.struct((-w["at"]).alias("pos"), F.lit(2).alias("n"),
-                                    w["g"].alias("fp")))))
+    # sequence(0, -1) counts down: a single line has no sum and falls out as null
+    heavy = F.filter(F.transform(
+        F.sequence(F.lit(0), F.size("gram") - 1),
+        lambda i: F.when(F.get("words", i) + F.get("words", i + 1) >= LONG_WORDS, i)),
+        lambda i: i.isNotNull())
+    chosen = F.when(F.size("gram") > 0, F.transform(
+        F.array_union(F.transform(winners, lambda w: -w["at"]), heavy),
+        lambda p: F.struct(p.alias("pos"), F.lit(2).alias("n"), F.get("gram", p).alias("fp"))))
     single = F.filter(F.transform(
         F.sequence(F.lit(0), F.size("line") - 1),
-        lambda i: F.when(F.get("long", i), F.struct(
+        lambda i: F.when(F.get("words", i) >= LONG_WORDS, F.struct(
             i.alias("pos"), F.lit(1).alias("n"), F.get("line", i).alias("fp")))),
         lambda s: s.isNotNull())
     return grams.select("id", "h", F.explode(F.concat(

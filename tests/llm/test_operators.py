@@ -686,6 +686,39 @@ def test_winnowing_against_brute_force(spark):
     assert sum(r["n_removed"] for r in out) > 20
 
 
+def left_lines(spark, texts):
+    """Lines left of every text, in the order given."""
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    out = winnow.deduplicate_lines(frame(spark, rows), out_col="left").collect()
+    return [[x for x in r["left"].split("\n") if x.strip()]
+            for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_repeats_of_fifty_words_are_cut_however_they_are_broken(spark):
+    rnd = random.Random(21)
+    texts, passages = [], []
+    for sizes in [(30, 30)] * 20 + [(5, 45), (45, 5), (20, 20, 20), (60,)] * 3:
+        lines = [prose(rnd, n) for n in sizes]
+        for _ in range(2):                  # the same passage between other lines
+            texts.append("\n".join([prose(rnd, 8), *lines, prose(rnd, 8)]))
+            passages.append(lines)
+    left = left_lines(spark, texts)
+    for i, lines in enumerate(passages):
+        if i % 2:
+            assert len(left[i]) == 2 and not set(lines) & set(left[i])
+        else:
+            assert len(left[i]) == len(lines) + 2
+
+
+def test_words_of_a_long_line_stand_between_any_blanks(spark):
+    rnd = random.Random(22)
+    for blank in ("\t", "\u00a0", "\u2003", " \t "):
+        line = prose(rnd, 60).replace(" ", blank)
+        first, later = left_lines(spark, [f"{prose(rnd, 6)}\n{line}\n{prose(rnd, 6)}"
+                                          for _ in range(2)])
+        assert len(first) == 3 and len(later) == 2
+
+
 def test_winnowing_odd_input(odd, none):
     out = winnow.deduplicate_lines(odd.withColumn("runs", F.lit(1)))
     assert out.columns[:5] == [*odd.columns, "runs"] and len(out.collect()) == len(ODD)
