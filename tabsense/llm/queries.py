@@ -95,7 +95,8 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select(
         "conv_id", "turn", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
     linked = tool_calls.link(calls, results, TOOLS)
-    return linked.withColumn("errors", F.array_join("errors", ","))
+    # the SQL of this query has the position only
+    return linked.drop("level").withColumn("errors", F.array_join("errors", ","))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,18 @@ into topological order of what they depend on, their arguments are checked
 against the schema of the tool they name, and each linked call is written as
 one canonical JSON record (keys sorted at every depth, no blanks).
 
-Order: a call that only depends on calls before it (by turn, then id) can keep
-its place, so the order of the log is topological unless a dependency points
+Order: the level of a call is the length of the longest chain of calls it
+depends on.  A call that only depends on calls before it (by turn, then id) can
+keep its place, so the order of the log is topological unless a dependency points
 forward in the log.  The round of a call is the largest number of such
 backward dependencies on any path to it; sorted by (round, turn, id) every
-call comes after all it depends on.  Rounds are relaxed only inside
-conversations that have a backward dependency, step by step with a reliable
-checkpoint each; more rounds than a conversation has backward dependencies
-mean a cycle, and calls on or behind one get no position.  Positions are
-gapless inside a conversation and counted in blocks of turns, so that a
-conversation of any length is spread over tasks.
+call comes after all it depends on, which gives its position.  Levels and rounds
+come from the same walk: chains of single dependencies are folded by pointer
+doubling (a chain of n calls takes log n joins), and calls with several
+dependencies are resolved step by step once all theirs are, with a reliable
+checkpoint each.  Calls on or behind a cycle get no level and no position.
+Positions are gapless inside a conversation and counted in blocks of turns, so
+that a conversation of any length is spread over tasks.
 
 Rules for odd input: the first result of a call (by turn, then text) counts
 and further ones are reported; a result without a call is a row of its own;
@@ -25,6 +27,8 @@ ignored; null ids link nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +67,10 @@ def results_of(messages: DataFrame) -> DataFrame:
 
 
 def ordered(calls: DataFrame, block_turns: int = 1024) -> DataFrame:
-    """(conv_id, call_id, position, dangling) of every call (conv_id, call_id, turn, depends_on)."""
+    """(conv_id, call_id, position, dangling, level) of every call.
+
+    ``calls`` has (conv_id, call_id, turn, depends_on).
+    """
     key = ["conv_id", "call_id"]
     nodes = calls.select(*key, "turn", F.array_distinct("depends_on").alias("deps"))
     wanted = nodes.select(*key, "turn", F.explode("deps").alias("dep"))
@@ -73,47 +80,72 @@ def ordered(calls: DataFrame, block_turns: int = 1024) -> DataFrame:
         *key, "dep", F.col("dep_turn").isNull().alias("dangling"),
         (F.struct("dep_turn", "dep") >= F.struct("turn", "call_id")).cast("long").alias("back")))
     missing = edges.groupBy(*key).agg(F.count_if("dangling").alias("dangling"))
-    rounds = _rounds(nodes.select(*key), edges.where("not dangling"))
-    placed = (nodes.join(rounds, key, "left").join(missing, key, "left")
-              .select(*key, "turn", F.coalesce("round", F.lit(0)).alias("round"),
+    walked = _levels(nodes.select(*key), edges.where("not dangling"))
+    placed = (nodes.join(walked, key, "left").join(missing, key, "left")
+              .select(*key, "turn", "level", "round",
                       F.coalesce("dangling", F.lit(0)).alias("dangling")))
     placed = cut(placed.withColumn("block", F.floor(F.col("turn") / block_turns)))
     block = ["conv_id", "round", "block"]
-    sizes = placed.where("round >= 0").groupBy(*block).agg(F.count("*").alias("n"))
+    sizes = placed.where("round is not null").groupBy(*block).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(
         Window.partitionBy("conv_id").orderBy("round", "block")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy(*block).orderBy("turn", "call_id"))
     return (placed.join(sizes.select(*block, before.alias("before")), block, "left")
-            .select(*key, F.when(F.col("round") >= 0, F.col("before") + inside - 1)
-                    .alias("position"), "dangling"))
+            .select(*key, F.when(F.col("round").isNotNull(), F.col("before") + inside - 1)
+                    .alias("position"), "dangling", "level"))
 
 
-def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, round) of calls in conversations with backward dependencies; -1: cycle."""
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, round): the longest chain of dependencies behind a call and
+    the most backward ones on any; null on or behind a cycle."""
     key = ["conv_id", "call_id"]
-    most = edges.where("back = 1").groupBy("conv_id").agg(F.sum("back").alias("most"))
-    now = cut(nodes.join(most, "conv_id").select(*key, "most", F.lit(0).cast("long")
-                                                 .alias("round")))
-    if now.isEmpty():
-        return now.drop("most")
-    inner = cut(edges.join(most.select("conv_id"), "conv_id", "left_semi"))
-    while True:
-        source = now.select("conv_id", F.col("call_id").alias("dep"),
-                            F.col("round").alias("from"))
-        # -1 marks a cycle and is handed on
-        least = (inner.join(source, ["conv_id", "dep"]).groupBy(*key).agg(
-            F.max(F.col("from") + F.col("back")).alias("least"),
-            F.min("from").alias("worst")))
-        moved = now.join(least, key, "left").select(
-            *key, "most", F.col("round").alias("old"),
-            F.when((F.col("round") < 0) | (F.col("worst") < 0)
-                   | (F.col("least") > F.col("most")), F.lit(-1))
-            .otherwise(F.greatest("round", F.coalesce("least", F.lit(0)))).alias("round"))
-        moved = cut(moved)
-        now = moved.drop("old")
-        if moved.where("old <> round").isEmpty():
-            return now.drop("most")
+    found = edges.groupBy(*key).agg(F.count("*").alias("found"), F.min("dep").alias("dep"),
+                                    F.min("back").alias("back"))
+    single = F.col("found") == 1
+    jump = cut(nodes.join(found, key, "left").select(
+        *key, F.coalesce("found", F.lit(0)).alias("found"),
+        F.when(single, F.col("dep")).otherwise(F.col("call_id")).alias("up"),
+        F.when(single, 1).otherwise(0).cast("long").alias("steps"),
+        F.when(single, F.col("back")).otherwise(0).cast("long").alias("backs")))
+    # doubling: after r rounds a pointer has walked 2**r single dependencies
+    chained = jump.where("found = 1").count()
+    for _ in range(math.ceil(math.log2(chained + 1)) + 1 if chained else 0):
+        far = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"),
+                          F.col("steps").alias("more"), F.col("backs").alias("more_backs"))
+        moved = cut(jump.join(far, ["conv_id", "up"]).select(
+            *key, "found", F.col("next").alias("up"),
+            (F.col("steps") + F.col("more")).alias("steps"),
+            (F.col("backs") + F.col("more_backs")).alias("backs"),
+            (F.col("more") > 0).alias("moved")))
+        jump = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    heads = jump.where("found <> 1")
+    none = F.lit(0).cast("long")
+    known = cut(heads.where("found = 0").select(
+        "conv_id", F.col("call_id").alias("up"), none.alias("base"), none.alias("base_backs")))
+    # calls with several dependencies: resolved once all their chains' heads are
+    several = heads.where("found > 1").select(*key, "found")
+    chains = cut(edges.join(several, key)
+                 .join(jump.select("conv_id", F.col("call_id").alias("dep"), "up", "steps",
+                                   "backs"), ["conv_id", "dep"]))
+    pending = several.count()
+    while pending:
+        ready = (chains.join(known, ["conv_id", "up"]).groupBy(*key, "found")
+                 .agg(F.count("*").alias("n"),
+                      F.max(F.col("steps") + F.col("base") + 1).alias("base"),
+                      F.max(F.col("back") + F.col("backs") + F.col("base_backs"))
+                      .alias("base_backs"))
+                 .where("n = found")
+                 .select("conv_id", F.col("call_id").alias("up"), "base", "base_backs"))
+        fresh = cut(ready.join(known.select("conv_id", "up"), ["conv_id", "up"], "left_anti"))
+        if (n := fresh.count()) == 0:
+            break                                # what is left depends on a cycle
+        known, pending = cut(known.union(fresh)), pending - n
+    return (jump.join(known, ["conv_id", "up"], "left")
+            .select(*key, (F.col("steps") + F.col("base")).alias("level"),
+                    (F.col("backs") + F.col("base_backs")).alias("round")))
 
 
 def argument_errors(arguments: Column, name: Column,
@@ -169,7 +201,7 @@ def link(calls: DataFrame, results: DataFrame,
         F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"),
         "name", "position", F.col("r.content").alias("result")))
     return joined.select(
-        "conv_id", "call_id", F.coalesce("turn", "r.turn").alias("turn"), "name", "position",
+        "conv_id", "call_id", F.coalesce("turn", "r.turn").alias("turn"), "name", "position", "level",
         F.when(called, F.coalesce("dangling", F.lit(0))).alias("dangling"),
         F.when(~called, F.lit("noCall")).when(F.col("r").isNull(), F.lit("noResult"))
         .otherwise(F.lit("linked")).alias("status"),

@@ -520,6 +520,34 @@ def test_order_puts_every_call_after_what_it_depends_on(spark, block_turns):
     assert all(at[1, f"a{i:03d}"] == i for i in range(300))
 
 
+def test_levels_of_chains_diamonds_and_forward_dependencies(spark):
+    # conversation 1 chains against the log, 2 is a diamond, 3 any order, 4 has a cycle
+    rows = [(1, f"a{i:03d}", 299 - i, [f"a{i - 1:03d}"] if i else []) for i in range(300)]
+    rows += [(2, c, i, d) for i, (c, d) in enumerate(
+        [("r", []), ("x", ["r"]), ("y", ["x"]), ("z", ["r", "y"]), ("t", ["z", "x", "z"])])]
+    rnd = random.Random(4)
+    order = list(range(30))
+    rnd.shuffle(order)
+    rows += [(3, f"n{i:02d}", i, [f"n{j:02d}" for j in order[:k] if rnd.random() < 0.2])
+             for k, i in enumerate(order)]
+    rows += [(4, "p", 0, ["q"]), (4, "q", 1, ["p"]), (4, "s", 2, ["q", "u"]), (4, "u", 3, [])]
+    deps = {(c, i): d for c, i, _, d in rows}
+
+    def level(c, i):
+        return 1 + max((level(c, d) for d in deps[c, i]), default=-1)
+
+    out = {(r["conv_id"], r["call_id"]): r for r in tool_calls.ordered(spark.createDataFrame(
+        rows, "conv_id int, call_id string, turn int, depends_on array<string>")).collect()}
+    assert [out[2, k]["level"] for k in "rxyzt"] == [0, 1, 2, 3, 4]
+    assert all(out[1, f"a{i:03d}"]["level"] == i == out[1, f"a{i:03d}"]["position"]
+               for i in range(300))
+    assert all(r["level"] == level(*k) for k, r in out.items() if k[0] == 3)
+    assert all(out[3, d]["position"] < out[k]["position"]
+               for k in deps if k[0] == 3 for d in deps[k])
+    assert [(out[4, k]["level"], out[4, k]["position"]) for k in "pqsu"] == [
+        (None, None), (None, None), (None, None), (0, 0)]
+
+
 def test_no_calls(spark):
     msgs = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
     assert tool_calls.link(tool_calls.calls_of(msgs), tool_calls.results_of(msgs), SCHEMAS
