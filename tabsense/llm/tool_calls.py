@@ -130,19 +130,20 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     chains = cut(edges.join(several, key)
                  .join(jump.select("conv_id", F.col("call_id").alias("dep"), "up", "steps",
                                    "backs"), ["conv_id", "dep"]))
-    pending = several.count()
-    while pending:
-        ready = (chains.join(known, ["conv_id", "up"]).groupBy(*key, "found")
-                 .agg(F.count("*").alias("n"),
-                      F.max(F.col("steps") + F.col("base") + 1).alias("base"),
-                      F.max(F.col("back") + F.col("backs") + F.col("base_backs"))
-                      .alias("base_backs"))
-                 .where("n = found")
-                 .select("conv_id", F.col("call_id").alias("up"), "base", "base_backs"))
-        fresh = cut(ready.join(known.select("conv_id", "up"), ["conv_id", "up"], "left_anti"))
-        if (n := fresh.count()) == 0:
-            break                                # what is left depends on a cycle
-        known, pending = cut(known.union(fresh)), pending - n
+    # every chain is joined once, when its head is resolved; counts of the rest are carried
+    fresh, part = known, None
+    while not fresh.isEmpty():
+        met = chains.join(fresh, ["conv_id", "up"]).select(
+            *key, "found", F.lit(1).cast("long").alias("n"),
+            (F.col("steps") + F.col("base") + 1).alias("base"),
+            (F.col("back") + F.col("backs") + F.col("base_backs")).alias("base_backs"))
+        part = cut((met if part is None else part.where("n < found").union(met))
+                   .groupBy(*key, "found").agg(
+                       F.sum("n").alias("n"), F.max("base").alias("base"),
+                       F.max("base_backs").alias("base_backs")))
+        fresh = part.where("n = found").select("conv_id", F.col("call_id").alias("up"),
+                                               "base", "base_backs")
+        known = known.union(fresh)               # what is never met depends on a cycle
     return (jump.join(known, ["conv_id", "up"], "left")
             .select(*key, (F.col("steps") + F.col("base")).alias("level"),
                     (F.col("backs") + F.col("base_backs")).alias("round")))
