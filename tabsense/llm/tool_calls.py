@@ -22,7 +22,8 @@ Rules for odd input: the first result of a call (by turn, then text) counts
 and further ones are reported; a result without a call is a row of its own;
 of repeated calls with one id the first (by turn, then name and arguments)
 counts; dependencies on calls that do not exist are counted and otherwise
-ignored; null ids link nothing.
+ignored.  Calls and results without conversation or id link nothing: each is a row
+of its own (noResult or noCall), without position.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def results_of(messages: DataFrame) -> DataFrame:
     """Results in tool messages whose text is JSON ``{"tool_call_id", "content"}``."""
     parsed = F.from_json("text", "tool_call_id string, content string")
     return (messages.where("role = 'tool'").select("conv_id", "turn", parsed.alias("r"))
-            .where("r.tool_call_id is not null")
+            .where("r.tool_call_id is not null or r.content is not null")
             .select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"),
                     F.col("r.content").alias("content")))
 
@@ -177,6 +178,17 @@ def argument_errors(arguments: Column, name: Column,
     return out
 
 
+def _loose_calls(loose: DataFrame, known: DataFrame) -> DataFrame:
+    """Calls without conversation or id as they are, with their dangling dependencies."""
+    marked = cut(loose.withColumn("uid", F.monotonically_increasing_id()))
+    there = known.select("conv_id", F.col("call_id").alias("dep"), F.lit(1).alias("there"))
+    missing = (marked.select("uid", "conv_id", F.explode(F.array_distinct("depends_on")).alias("dep"))
+               .join(there, ["conv_id", "dep"], "left").groupBy("uid")
+               .agg(F.count_if(F.col("there").isNull()).alias("dangling")))
+    return (marked.join(missing, "uid", "left").drop("uid", "depends_on")
+            .withColumn("called", F.lit(True)))
+
+
 def link(calls: DataFrame, results: DataFrame,
          schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """One row per call and per result without a call, with its canonical record.
@@ -184,20 +196,23 @@ def link(calls: DataFrame, results: DataFrame,
     ``status`` is linked, noResult or noCall; ``extra_results`` counts the
     results beyond the first.
     """
-    first_call = (calls.where("call_id is not null")
-                  .groupBy("conv_id", "call_id")
+    key = ["conv_id", "call_id"]
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first_call = (calls.where(keyed).groupBy(*key)
                   .agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"))
-                  .select("conv_id", "call_id", F.col("c.turn").alias("turn"), "c.name",
-                          "c.arguments", "c.depends_on"))
+                  .select(*key, F.col("c.turn").alias("turn"), "c.name", "c.arguments",
+                          "c.depends_on"))
     first_call = cut(first_call)
-    first_result = (results.where("call_id is not null")
-                    .groupBy("conv_id", "call_id")
+    first_result = (results.where(keyed).groupBy(*key)
                     .agg(F.min(F.struct("turn", "content")).alias("r"),
                          (F.count("*") - 1).alias("extra_results")))
-    placed = first_call.join(ordered(first_call), ["conv_id", "call_id"])
-    joined = placed.join(first_result, ["conv_id", "call_id"], "full")
+    placed = first_call.join(ordered(first_call), key, "left").withColumn("called", F.lit(True))
+    joined = (placed.join(first_result, key, "full")
+              .unionByName(_loose_calls(calls.where(~keyed), first_call), True)
+              .unionByName(results.where(~keyed).select(
+                  *key, F.struct("turn", "content").alias("r")), True))
     errors = argument_errors(F.col("arguments"), F.col("name"), schemas)
-    called = F.col("turn").isNotNull()
+    called = F.coalesce("called", F.lit(False))
     record = F.to_json(F.struct(
         F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"),
         "name", "position", F.col("r.content").alias("result")))

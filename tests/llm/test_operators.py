@@ -548,6 +548,25 @@ def test_levels_of_chains_diamonds_and_forward_dependencies(spark):
         (None, None), (None, None), (None, None), (0, 0)]
 
 
+def test_calls_and_results_without_keys_stay_rows(spark):
+    calls = spark.createDataFrame(
+        [(None, 0, "c1", "ping", "{}", []), (None, 1, "c1", "ping", "{}", ["c1"]),
+         (1, 0, None, "ping", "{}", ["c2", "c9"]), (1, 1, "c2", "ping", "{}", [])],
+        "conv_id int, turn int, call_id string, name string, arguments string, "
+        "depends_on array<string>")
+    results = spark.createDataFrame(
+        [(None, 2, "c1", "x"), (1, 3, None, "y"), (1, 4, None, "y"), (1, 5, "c2", "z")],
+        "conv_id int, turn int, call_id string, content string")
+    out = sorted(((r["conv_id"], r["call_id"], r["turn"], r["status"], r["position"],
+                   r["dangling"]) for r in tool_calls.link(calls, results, SCHEMAS).collect()),
+                 key=str)
+    assert out == sorted([
+        (None, "c1", 0, "noResult", None, 0), (None, "c1", 1, "noResult", None, 1),
+        (1, None, 0, "noResult", None, 1), (1, "c2", 1, "linked", 0, 0),
+        (None, "c1", 2, "noCall", None, None), (1, None, 3, "noCall", None, None),
+        (1, None, 4, "noCall", None, None)], key=str)
+
+
 def test_no_calls(spark):
     msgs = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
     assert tool_calls.link(tool_calls.calls_of(msgs), tool_calls.results_of(msgs), SCHEMAS
