@@ -15,8 +15,10 @@ sets, reaches the threshold.
    its hash; each arrival names a random register, a register keeps its
    earliest arrival, and a shingle stops once its next arrival lies beyond
    the document's latest register.  Two registers agree with probability J_P.
+   A text with repeated shingles is sketched once more with equal weights:
+   those registers agree with the probability of the plain Jaccard index.
 3. Bands of registers are bucketed.  Inside a bucket the registers of its
-   members are compared, and those that agree often enough (3.3 standard
+   members are compared, and those that agree often enough (4 standard
    deviations below the threshold) join a cluster.
 4. Inside a cluster the exact similarity decides; the classes are the
    connected components of the pairs that reach the threshold.
@@ -116,6 +118,19 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray],
     return float(np.sum(xs[both] / (above[cutoff] + rs[both] * below[cutoff])))
 
 
+def _bands(regs: np.ndarray, rows: int, some: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Bucket keys and short registers of the documents in ``some``; none for the others."""
+    keys = regs.reshape(len(regs), regs.shape[1] // rows, rows)
+    h = np.broadcast_to(np.arange(keys.shape[1], dtype=np.uint64), keys.shape[:2])
+    for k in range(rows):
+        h = mix64(h * np.uint64(5) + keys[:, :, k] + np.uint64(1))
+    ends = np.concatenate(([0], np.cumsum(some) * keys.shape[1]))
+    short = (regs >> np.uint64(48)).astype(np.uint16)
+    return (pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                     pa.array(h[some].reshape(-1).view(np.int64))),
+            pa.array([r.tobytes() if ok else None for r, ok in zip(short, some)], pa.binary()))
+
+
 def _sketch(size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,20 +140,17 @@ def _sketch(size: int, rows: int):
                 doc, item, weight = weighted_shingles(data[lo[0]:lo[-1]], lo - lo[0])
                 some = np.zeros(j - i, bool)
                 some[doc] = True
-                regs = prob_minhash(doc, item, weight, j - i, size)
-                keys = regs.reshape(j - i, size // rows, rows)
-                h = np.broadcast_to(np.arange(size // rows, dtype=np.uint64), keys.shape[:2])
-                for k in range(rows):
-                    h = mix64(h * np.uint64(5) + keys[:, :, k] + np.uint64(1))
-                ends = np.concatenate(([0], np.cumsum(some) * keys.shape[1]))
-                short = (regs >> np.uint64(48)).astype(np.uint16)
+                many = np.zeros(j - i, bool)       # documents with a repeated shingle
+                many[doc[weight > 1.0]] = True
+                also = many[doc]
+                buckets, sketch = _bands(prob_minhash(doc, item, weight, j - i, size), rows, some)
+                flat, flat_sketch = _bands(prob_minhash(
+                    doc[also], item[also], np.ones(int(also.sum())), j - i, size), rows, many)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(i, j - i) for c in ("uid", "id", "key")]
-                    + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                pa.array(h[some].reshape(-1).view(np.int64))),
-                       pa.array([r.tobytes() if ok else None for r, ok in zip(short, some)],
-                                pa.binary())],
-                    names=["uid", "id", "key", "buckets", "sketch"])
+                    + [buckets, sketch, flat, flat_sketch],
+                    names=["uid", "id", "key", "buckets", "sketch", "plain_buckets",
+                           "plain_sketch"])
     return run
 
 
@@ -286,19 +298,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_ = stored(keyed.select(F.monotonically_increasing_id().alias("uid"), "id", "key", "text")
                    .mapInArrow(_sketch(size, rows),
                                "uid long, id long, key binary, buckets array<long>, "
-                               "sketch binary"))
+                               "sketch binary, plain_buckets array<long>, plain_sketch binary"))
     # copies of a text meet as one partial row per task and key
     reps = cut(rows_.where("key is not null").groupBy("key")
                .agg(F.min(F.struct("id", "uid")).alias("m"))
                .select("key", F.col("m.id").alias("id"), F.col("m.uid").alias("uid")))
-    nodes = rows_.join(reps.select("uid"), "uid", "left_semi").where("size(buckets) > 0")
-
-    bucketed = nodes.select("uid", F.explode("buckets").alias("cell"))
-    shared = (bucketed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-              .select("cell", F.ceil(F.col("n") / block_rows).alias("blocks")))
+    # without repeated shingles the plain sketch is the weighted one
+    nodes = (rows_.join(reps.select("uid"), "uid", "left_semi")
+             .select("uid", F.posexplode(F.array(
+                 F.struct("buckets", F.col("sketch").alias("payload")),
+                 F.struct(F.col("plain_buckets").alias("buckets"),
+                          F.col("plain_sketch").alias("payload")))).alias("kind", "s"))
+             .select("uid", "kind", "s.buckets", "s.payload").where("size(buckets) > 0"))
+
+    bucketed = nodes.select("uid", "kind", F.explode("buckets").alias("cell"))
+    shared = (bucketed.groupBy("cell")
+              .agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b"))
+              .where("a < b").select("cell", F.ceil(F.col("n") / block_rows).alias("blocks")))
     members = (bucketed.join(shared, "cell")
-               .join(nodes.select("uid", F.col("sketch").alias("payload")), "uid"))
-    least = int(size * threshold - 3.3 * (size * threshold * (1 - threshold)) ** 0.5)
+               .join(nodes.select("uid", "kind", "payload"), ["uid", "kind"]))
+    least = int(size * threshold - 4 * (size * threshold * (1 - threshold)) ** 0.5)
     clusters = connected(_linked(members, _sketch_matcher(size, least)))
 
     wanted = clusters.withColumnRenamed("node", "uid").join(reps, "uid")

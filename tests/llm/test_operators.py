@@ -215,6 +215,19 @@ def test_near_classes_against_all_pairs(spark, seed):
     assert got == {rows[i][0]: c for i, c in want.items()}
 
 
+def test_copies_with_a_section_repeated_many_times(spark):
+    rnd = random.Random(31)
+    rows, pairs = [], 60
+    for i in range(pairs):
+        words = [f"v{i}x{j}" for j in range(240)]
+        once, often, more = words[:100], words[100:200], words[200:]
+        rows += [(2 * i, " ".join(once + often + more), "en", "a"),
+                 (2 * i + 1, " ".join(once + often * 30), "en", "a")]
+        assert linked(weights(rows[-2][1]), weights(rows[-1][1]))
+    out = prob_minhash.near_classes(frame(spark, rows)).collect()
+    assert {r["id"]: r["class_id"] for r in out} == {i: i - i % 2 for i in range(2 * pairs)}
+
+
 def test_near_odd_input(odd, none):
     got = prob_minhash.near_classes(odd).collect()
     assert len(got) == len(ODD)
