@@ -180,4 +180,91 @@ FROM documents d LEFT JOIN key k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d
 LEFT JOIN cnt c ON c.k = k.k LEFT JOIN kept e ON e.k = k.k
 """
 
-ORACLE = {"op7_tool_calls": OP7, "op10_winnowing": OP10, "op5_mixing": OP5, "op6_decontamination": OP6}
+# crc32 over the digits of the id, bit by bit; the levels as a recursive pivot of threes.
+OP11 = """
+WITH RECURSIVE cells AS (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+      lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+  FROM range(256) t(i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM cells),
+crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT)),
+      lambda c, b: xor((SELECT t FROM crc_table)[((xor(c, b) & 255) + 1)::BIGINT], c >> 8)) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+even AS (SELECT doc_id FROM crc WHERE xor(c, 4294967295::UBIGINT) % 2 = 0),
+rows_ AS (
+  SELECT d.doc_id, d.source,
+         coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-')
+         || coalesce(strlen(d.source) || ':' || d.source, '-')
+         || coalesce(strlen(d.lang) || ':' || d.lang, '-')
+         || coalesce(strlen(d.n_chars::VARCHAR) || ':' || d.n_chars, '-') AS head,
+         d.text, CASE WHEN e.doc_id IS NULL THEN d.text ELSE replace(d.text, chr(10), '') END
+         AS other
+  FROM documents d LEFT JOIN even e USING (doc_id)),
+leaf AS (
+  SELECT doc_id, source,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS claimed
+  FROM rows_),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER () AS row
+  FROM leaf),
+up AS (
+  SELECT 0 AS lev, tree, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lev + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY lev, tree, pos // 3, n),
+sub AS (SELECT tree, node AS subroot FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lev, tree AS pos, count(*) OVER () AS n, subroot AS node FROM sub
+  UNION ALL
+  SELECT lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY lev, pos // 3, n),
+climb AS (
+  SELECT row, tree, 0 AS lev, pos, n FROM placed
+  UNION ALL
+  SELECT row, tree, lev + 1, pos // 3, (n + 2) // 3 FROM climb WHERE n > 1),
+over AS (
+  SELECT tree, 0 AS lev, tree AS pos, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT tree, lev + 1, pos // 3, (n + 2) // 3 FROM over WHERE n > 1),
+sib AS (
+  SELECT c.row, c.lev, u.pos, u.pos < c.pos AS left_side, u.node FROM climb c
+  JOIN up u ON u.tree = c.tree AND u.lev = c.lev AND u.pos // 3 = c.pos // 3 AND u.pos <> c.pos
+  WHERE c.n > 1
+  UNION ALL
+  SELECT p.row, 1000 + o.lev, t.pos, t.pos < o.pos, t.node FROM placed p
+  JOIN over o ON o.tree = p.tree
+  JOIN top t ON t.lev = o.lev AND t.pos // 3 = o.pos // 3 AND t.pos <> o.pos
+  WHERE o.n > 1),
+proof AS (
+  SELECT row, sha256(string_agg(node, '' ORDER BY lev, pos)) AS proof FROM sib GROUP BY row),
+stair AS (
+  SELECT row, lev, row_number() OVER (PARTITION BY row ORDER BY lev) AS step FROM (
+    SELECT row, lev FROM climb WHERE n > 1
+    UNION ALL SELECT p.row, 1000 + o.lev FROM placed p JOIN over o USING (tree) WHERE o.n > 1)),
+around AS (
+  SELECT s.row, s.step,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.left_side), '') AS l,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (NOT b.left_side), '') AS r
+  FROM stair s LEFT JOIN sib b ON b.row = s.row AND b.lev = s.lev GROUP BY s.row, s.step),
+fold AS (
+  SELECT row, 0::BIGINT AS step, claimed AS node FROM placed
+  UNION ALL
+  SELECT f.row, a.step, sha256(a.l || f.node || a.r) FROM fold f
+  JOIN around a ON a.row = f.row AND a.step = f.step + 1)
+SELECT p.doc_id, p.leaf, s.subroot, t.node AS root,
+       coalesce(f.proof, sha256('')) AS proof_sha256, x.folded_root,
+       x.folded_root = t.node AS verified
+FROM placed p JOIN sub s USING (tree) JOIN top t ON t.n = 1
+LEFT JOIN proof f ON f.row = p.row
+JOIN (SELECT row, arg_max(node, step) AS folded_root FROM fold GROUP BY row) x ON x.row = p.row
+"""
+
+ORACLE = {
+    "op5_mixing": OP5, "op6_decontamination": OP6, "op7_tool_calls": OP7,
+    "op10_winnowing": OP10, "op11_merkle": OP11}

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import (decontaminate, gru_langid, line_crf, mixing, ordinal, prob_minhash,
-                          sharding, tool_calls, toxic_grammar, winnow)
+from tabsense.llm import (decontaminate, gru_langid, line_crf, merkle, mixing, ordinal,
+                          prob_minhash, sharding, tool_calls, toxic_grammar, winnow)
 from tabsense.llm.common import held_out, table
 
 SHARDS = 40
@@ -126,6 +126,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle proof of every document, and whether its row still folds to the root.
+
+    Rows whose crc32 is even come back with the line breaks of their text gone.
+    """
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    proofs = merkle.manifest(docs, {"text": F.when(even, F.replace(
+        "text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("claimed"), F.col("path")).alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_prob_minhash, op3_ordinal, op4_line_crf, op5_mixing, op6_decontamination, op7_tool_calls,
-    op8_language, op9_toxicity, op10_winnowing)}
+    op1_sharding, op2_prob_minhash, op3_ordinal, op4_line_crf, op5_mixing, op6_decontamination,
+    op7_tool_calls, op8_language, op9_toxicity, op10_winnowing, op11_merkle)}
