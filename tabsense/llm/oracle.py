@@ -190,8 +190,8 @@ crc_table AS (SELECT list(v ORDER BY i) AS t FROM cells),
 crc AS (
   SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT,
       list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT)),
-      lambda c, b: xor((SELECT t FROM crc_table)[((xor(c, b) & 255) + 1)::BIGINT], c >> 8)) AS c
-  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+      lambda c, b: xor(t[((xor(c, b) & 255) + 1)::BIGINT], c >> 8)) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
 even AS (SELECT doc_id FROM crc WHERE xor(c, 4294967295::UBIGINT) % 2 = 0),
 rows_ AS (
   SELECT d.doc_id, d.source,
