@@ -265,6 +265,28 @@ LEFT JOIN proof f ON f.row = p.row
 JOIN (SELECT row, arg_max(node, step) AS folded_root FROM fold GROUP BY row) x ON x.row = p.row
 """
 
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+         list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT a, b, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN s n ON n.a = p.a AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
 ORACLE = {
     "op5_mixing": OP5, "op6_decontamination": OP6, "op7_tool_calls": OP7,
-    "op10_winnowing": OP10, "op11_merkle": OP11}
+    "op10_winnowing": OP10, "op11_merkle": OP11, "op13_zone_negatives": OP13}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsense.llm import (decontaminate, gru_langid, line_crf, merkle, mixing, ordinal,
-                          prob_minhash, sharding, tool_calls, toxic_grammar, winnow)
+                          prob_minhash, sharding, tool_calls, toxic_grammar, winnow,
+                          zone_negatives)
 from tabsense.llm.common import held_out, table
 
 SHARDS = 40
@@ -142,6 +143,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, under each of its five nearest positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return zone_negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_prob_minhash, op3_ordinal, op4_line_crf, op5_mixing, op6_decontamination,
-    op7_tool_calls, op8_language, op9_toxicity, op10_winnowing, op11_merkle)}
+    op7_tool_calls, op8_language, op9_toxicity, op10_winnowing, op11_merkle,
+    op13_zone_negatives)}
