@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsense.llm import (decontaminate, gru_langid, line_crf, merkle, mixing, ordinal,
-                          prob_minhash, sharding, tool_calls, toxic_grammar, winnow,
-                          zone_negatives)
+                          prob_minhash, sharding, suffix_dedup, tool_calls, toxic_grammar,
+                          winnow, zone_negatives)
 from tabsense.llm.common import held_out, table
 
 SHARDS = 40
@@ -143,6 +143,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 100 bytes from earlier, and a digest of the rest."""
+    left = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth embedding, under each of its five nearest positives."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -152,4 +161,4 @@ def op13_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_prob_minhash, op3_ordinal, op4_line_crf, op5_mixing, op6_decontamination,
     op7_tool_calls, op8_language, op9_toxicity, op10_winnowing, op11_merkle,
-    op13_zone_negatives)}
+    op12_suffix_dedup, op13_zone_negatives)}
