@@ -30,8 +30,8 @@ def test_query_equals_its_sql(spark, con, name):
 def test_queries_without_sql_are_the_fitted_or_iterated_ones():
     assert set(QUERIES) - set(ORACLE) == {
         "op1_sharding", "op2_prob_minhash", "op3_ordinal", "op4_line_crf", "op8_language",
-        "op9_toxicity"}
-    assert len(QUERIES) == 10
+        "op9_toxicity", "op12_suffix_dedup"}
+    assert len(QUERIES) == 13
 
 
 def letters(text):
