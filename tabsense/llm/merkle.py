@@ -46,9 +46,12 @@ def leaf(values: list[Column]) -> Column:
     return F.sha2(F.encode(F.concat(*[field(v) for v in values]), "UTF-8"), 256)
 
 
-def in_order(df: DataFrame, tree: str, keys: list[str]) -> DataFrame:
+def in_order(df: DataFrame, tree: str, keys: list[str],
+             about: DataFrame | None = None) -> DataFrame:
     """``df`` with ``pos``, gapless from 0 within each ``tree`` by ``keys`` (nulls first).
 
+    ``about`` has a row of other columns for every ``tree``, which are added.
+
     The rows are dealt by ranges of (tree, keys), numbered where they lie and
     shifted by the counts of the ranges before: no task holds a whole tree.
     Rows equal in all of it are dealt by their place in the input, so a key
@@ -65,7 +68,10 @@ def in_order(df: DataFrame, tree: str, keys: list[str]) -> DataFrame:
                               .rowsBetween(Window.unboundedPreceding, -1))
     shift = parts.select(F.col(tree).alias("_tree"), F.col("_part").alias("_its"),
                          (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    # one row per (range, tree in it): ranges plus trees at most
+    if about is not None:
+        about = about.withColumnRenamed(tree, "_its_tree")
+        shift = shift.join(about, F.col("_tree").eqNullSafe(F.col("_its_tree"))).drop("_its_tree")
+    # one row per (range, tree in it), so a hot tree is no hot key
     return (flat.join(shift, (F.col("_part") == F.col("_its"))
                       & F.col(tree).eqNullSafe(F.col("_tree")))
             .withColumn("pos", F.col("_row") + F.col("_shift"))
@@ -165,13 +171,10 @@ def manifest(docs: DataFrame, changed: dict[str, Column] | None = None,
         leaf(list(q.values())).alias("leaf"),
         leaf([(changed or {}).get(c, q[c]) for c in columns]).alias("claimed")))
     sources = leaves.groupBy("source").agg(F.count("*").alias("n"))
-    placed = in_order(sources.withColumn("all", F.lit(0)), "all", ["source"]).select(
-        "source", "n", F.col("pos").alias("tree"))
-    placed = cut(placed)
-    numbered = in_order(leaves, "source", ["id", "leaf"])
-    whose = placed.withColumnRenamed("source", "_source")
-    numbered = cut(numbered.join(whose, F.col("source").eqNullSafe(F.col("_source")))
-                   .select("id", "leaf", "claimed", "tree", "n", "pos"))
+    placed = cut(in_order(sources.withColumn("all", F.lit(0)), "all", ["source"]).select(
+        "source", "n", F.col("pos").alias("tree")))
+    numbered = cut(in_order(leaves, "source", ["id", "leaf"], placed).select(
+        "id", "leaf", "claimed", "tree", "n", "pos"))
 
     levels, roots = forest(numbered.select("tree", "pos", "n", F.col("leaf").alias("node")))
     subroots = cut(roots.withColumnRenamed("root", "subroot"))

@@ -118,8 +118,12 @@ LEFT JOIN asked a ON a.conv_id = o.conv_id AND a.call_id = o.call_id
 LEFT JOIN found f ON f.conv_id = o.conv_id AND f.call_id = o.call_id
 """
 
+# What is not a blank of any kind, Unicode's White_Space (fixed values).
+_INK = (r"[^\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+        r"\x{202F}\x{205F}\x{3000}]+")
+
 # Runs along diagonals as gaps and islands instead of array scans.
-OP10 = """
+OP10 = f"""
 WITH doc AS (
   SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 key AS (
@@ -130,26 +134,35 @@ raw AS (
 ln AS (
   SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS pos,
          ('0x' || substr(md5(trim(line)), 1, 15))::BIGINT AS h,
-         len(string_split(trim(line), ' ')) >= 50 AS long
+         len(regexp_extract_all(trim(line), '{_INK}')) AS words
   FROM raw WHERE trim(line) <> ''),
 gram AS (
   SELECT k, pos, ('0x' || substr(md5(h || '|' || nxt), 1, 15))::BIGINT AS g,
-         max(pos) OVER (PARTITION BY k) AS top
-  FROM (SELECT *, lead(h) OVER (PARTITION BY k ORDER BY pos) AS nxt FROM ln)
+         max(pos) OVER (PARTITION BY k) AS top, in_two >= 50 AS long
+  FROM (SELECT *, lead(h) OVER (PARTITION BY k ORDER BY pos) AS nxt,
+               words + lead(words) OVER (PARTITION BY k ORDER BY pos) AS in_two FROM ln)
   WHERE nxt IS NOT NULL),
 win AS (
-  SELECT k, w, arg_min({'pos': pos, 'g': g}, {'g': g, 'at': -pos}) AS x
+  SELECT k, w, arg_min({{'pos': pos, 'g': g}}, {{'g': g, 'at': -pos}}) AS x
   FROM (SELECT *, unnest(range(greatest(pos - 1, 0),
                                greatest(least(pos, top - 1), 0) + 1)) AS w FROM gram)
   GROUP BY k, w),
 place AS (
   SELECT DISTINCT k, x.pos AS pos, 2 AS n, x.g AS fp FROM win
-  UNION ALL SELECT k, pos, 1, h FROM ln WHERE long),
+  UNION SELECT k, pos, 2, g FROM gram WHERE long
+  UNION ALL SELECT k, pos, 1, h FROM ln WHERE words >= 50),
+wide AS (
+  SELECT k, pos, n, fp, 0 AS side, 0 AS near FROM place
+  UNION ALL SELECT p.k, p.pos, n, fp, 1, l.h FROM place p JOIN ln l
+    ON l.k = p.k AND l.pos = p.pos - 1
+  UNION ALL SELECT p.k, p.pos, n, fp, 2, l.h FROM place p JOIN ln l
+    ON l.k = p.k AND l.pos = p.pos + p.n),
 fst AS (
-  SELECT n, fp, min({'k': k, 'pos': pos}) AS f FROM place GROUP BY n, fp HAVING count(*) > 1),
+  SELECT n, fp, side, near, min({{'k': k, 'pos': pos}}) AS f FROM wide
+  GROUP BY n, fp, side, near HAVING count(*) > 1),
 hit AS (
   SELECT DISTINCT p.k, p.pos, f.f.k AS k0, f.f.pos - p.pos AS shift
-  FROM place p JOIN fst f USING (n, fp) WHERE (p.k, p.pos) <> (f.f.k, f.f.pos)),
+  FROM wide p JOIN fst f USING (n, fp, side, near) WHERE (p.k, p.pos) <> (f.f.k, f.f.pos)),
 diag AS (
   SELECT DISTINCT k, k0, shift FROM hit),
 same AS (

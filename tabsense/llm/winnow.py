@@ -10,14 +10,18 @@ words in whole lines is found however it is broken into lines.  Words are what
 stands between blanks of any kind (tabs, non-breaking and other Unicode blanks).
 
 The corpus is ordered by (id, text hash) and line.  Each place of a
-fingerprint is joined with the fingerprint's first place, the match is
-extended line by line in both directions, and the later one of the two runs
-is deleted.  A line is only deleted for an equal earlier one, so the first
-copy of every line stays.
-
-Everything is DataFrame expressions.  Places are compared with the first
-place only, never with each other; a fingerprint found everywhere is folded
-before the shuffle, and its places are spread by the skew-join splitting.
+fingerprint is joined with the fingerprint's first place, with the first one
+that has the same line before it and with the first one that has the same line
+after it; the match is extended line by line in both directions, and the later
+one of the two runs is deleted.  An early copy of a part of a run so does not
+hide a later copy of the whole: every line of a run stands in a fingerprint of
+it or next to one.  A line is only deleted for an equal earlier one, so the
+first copy of every line stays.
+
+Everything is DataFrame expressions.  Places are compared with first places
+only, never with each other; a fingerprint found everywhere is folded before
+the shuffle, and the lines of a text that many others meet are copied so that
+no task gets all of these.
 
 Null texts stay null; texts without a repeated run stay as they are.  A row
 repeated with id and text is one document: both rows get the same result.
@@ -33,6 +37,7 @@ from tabsense.llm.common import cut, fresh_name
 
 WINDOW = 2
 LONG_WORDS = 50
+MEETINGS = 1000
 
 
 def _hash60(text: Column) -> Column:
@@ -58,7 +63,10 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def _fingerprints(arrays: DataFrame, window: int) -> DataFrame:
-    """(id, h, pos, n, fp): the winnowed grams, the long lines and the long grams of every text."""
+    """(id, h, pos, n, fp, before, after): winnowed grams, long lines and long grams of every text.
+
+    ``before`` and ``after`` are the lines next to it, null at the ends.
+    """
     grams = arrays.withColumn("gram", F.when(F.size("line") > 1, F.transform(
         F.sequence(F.lit(0), F.size("line") - 2),
         lambda i: _hash60(F.concat_ws("|", F.get("line", i).cast("string"),
@@ -83,29 +91,48 @@ def _fingerprints(arrays: DataFrame, window: int) -> DataFrame:
         lambda i: F.when(F.get("words", i) >= LONG_WORDS, F.struct(
             i.alias("pos"), F.lit(1).alias("n"), F.get("line", i).alias("fp")))),
         lambda s: s.isNotNull())
-    return grams.select("id", "h", F.explode(F.concat(
+    return grams.select("id", "h", "line", F.explode(F.concat(
         F.coalesce(chosen, F.filter(single, lambda s: F.lit(False))), single)).alias("x")
-    ).select("id", "h", "x.pos", "x.n", "x.fp")
+    ).select("id", "h", "x.pos", "x.n", "x.fp",
+             F.get("line", F.col("x.pos") - 1).alias("before"),
+             F.get("line", F.col("x.pos") + F.col("x.n")).alias("after"))
+
+
+def _with_first(places: DataFrame, key: list[str], here: Column) -> DataFrame:
+    """``places`` of the keys that occur more than once, with the ``first`` place of the key."""
+    first = (places.groupBy(*key)
+             .agg(F.count("*").alias("times"), F.min(here).alias("first"))
+             .where("times > 1").select(*key, "first"))
+    return places.join(first, key)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW) -> DataFrame:
     """(id, h, runs): ranges (lo, hi) of non-blank lines to delete, by document."""
     arrays = cut(_line_arrays(docs, id_col, text_col))
-    places = _fingerprints(arrays, window)
-    first = (places.groupBy("n", "fp")
-             .agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "pos")).alias("first"))
-             .where("times > 1").select("n", "fp", "first"))
-    links = (places.join(first, ["n", "fp"])
-             .where(F.struct("id", "h", "pos") != F.col("first"))
+    here = F.struct("id", "h", "pos")
+    known = cut(_with_first(_fingerprints(arrays, window), ["n", "fp"], here))
+    sides = known.select("id", "h", "pos", "n", "fp", F.posexplode(
+        F.array("before", "after")).alias("side", "line")).where("line is not null")
+    firsts = known.select("id", "h", "pos", "first").union(
+        _with_first(sides, ["n", "fp", "side", "line"], here).select("id", "h", "pos", "first"))
+    links = cut(firsts.where(here != F.col("first"))
              .select("id", "h", "pos", F.col("first.id").alias("id0"),
                      F.col("first.h").alias("h0"),
                      (F.col("first.pos") - F.col("pos")).alias("shift"))
              .groupBy("id", "h", "id0", "h0", "shift")
              .agg(F.collect_set("pos").alias("hits")))      # at most a text's lines
-    both = (links.join(arrays.select("id", "h", "line"), ["id", "h"])
-            .join(arrays.select(F.col("id").alias("id0"), F.col("h").alias("h0"),
-                                F.col("line").alias("line0")), ["id0", "h0"]))
+    # a text that very many others meet is copied, a copy for every MEETINGS links
+    heads = links.groupBy("id0", "h0").agg(
+        F.ceil(F.count("*") / MEETINGS).cast("long").alias("copies"))
+    met = (arrays.select(F.col("id").alias("id0"), F.col("h").alias("h0"),
+                         F.col("line").alias("line0")).join(heads, ["id0", "h0"])
+           .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                    F.col("copies") - 1))).drop("copies"))
+    both = (links.join(heads, ["id0", "h0"])
+            .withColumn("copy", F.pmod(F.xxhash64("id", "h"), F.col("copies")))
+            .join(arrays.select("id", "h", "line"), ["id", "h"])
+            .join(met, ["id0", "h0", "copy"]))
     # along the diagonal: the places where the two texts differ, and its two ends
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("line"), F.size("line0") - F.col("shift"))
@@ -133,7 +160,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     replaced.
     """
     out_col = out_col or text_col
-    key_id, key_h, runs = (fresh_name(docs, c) for c in ("key_id", "key_h", "runs"))
+    taken = docs.select("*", *[F.lit(0).alias(c) for c in (out_col, removed_col, lines_col)])
+    key_id, key_h, runs, places, cuts, gone, left = (
+        fresh_name(taken, c) for c in ("key_id", "key_h", "runs", "places", "cuts", "gone",
+                                       "left"))
     found = repeated_runs(docs, id_col, text_col, window).toDF(key_id, key_h, runs)
     keyed = docs.select("*", *[c.alias(k) for c, k in zip(_identity(id_col, text_col),
                                                           (key_id, key_h))])
@@ -141,21 +171,22 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # places of the non-blank lines among all lines
     filled = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)),
                       lambda i: i.isNotNull())
-    places, cuts = fresh_name(docs, "places"), fresh_name(docs, "cuts")
     # from numbers among the non-blank lines to numbers among all lines
     at = F.transform(F.col(runs), lambda r: F.struct(
         F.get(F.col(places), r["lo"]).alias("lo"), F.get(F.col(places), r["hi"]).alias("hi")))
 
-    def deleted(i: Column) -> Column:
-        return F.exists(F.col(cuts), lambda r: i.between(r["lo"], r["hi"]))
-
-    kept = F.array_join(F.filter(lines, lambda x, i: ~deleted(i)), "\n")
+    # numbers of the deleted lines, each once; set operations keep this linear
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.array_join(F.transform(F.col(left), lambda i: F.get(lines, i)), "\n")
     none = F.col(cuts).isNull()
     return (keyed.join(found, [key_id, key_h], "left")
             .withColumn(places, filled).withColumn(cuts, at)
+            .withColumn(gone, F.array_distinct(F.flatten(F.transform(
+                F.col(cuts), lambda r: F.sequence(r["lo"], r["hi"])))))
+            .withColumn(left, F.array_except(every, F.col(gone)))
             .withColumn(lines_col, F.when(F.col(places).isNull(), 0)
                         .otherwise(F.size(places)).cast("long"))
             .withColumn(removed_col, F.when(none, 0).otherwise(
-                F.size(F.filter(F.col(places), deleted))).cast("long"))
+                F.size(F.array_intersect(F.col(places), F.col(gone)))).cast("long"))
             .withColumn(out_col, F.when(none, F.col(text_col)).otherwise(kept))
-            .drop(key_id, key_h, runs, places, cuts))
+            .drop(key_id, key_h, runs, places, cuts, gone, left))
