@@ -3,9 +3,11 @@
 Statements are classified by walking the *unresolved* logical plan that
 Spark's own parser returns — nothing is executed to classify, and a write
 hidden inside a CTE is still seen.  The default is to deny: a statement is a
-read only if every node of its plan is a known query node and no expression
-calls into the JVM by reflection; whatever is not known is ``ddl``.  Writes
-and DDL run only with ``confirm_write=True``.
+read only if every node of its plan is a known query node and every expression
+of a known kind, none of them a call by reflection or of a function whose name
+is computed (``IDENTIFIER``); whatever is not known is ``ddl``.  A read that
+reaches reflection only once views are resolved is stopped before it runs.
+Writes and DDL run only with ``confirm_write=True``.
 
 Results are whole unless the caller asks for ``row_limit``: then a plain
 SELECT without its own ``LIMIT`` gets the cap as a plan node, so that
@@ -37,10 +39,20 @@ QUERY_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLi
                "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "OneRowRelation",
                "Generate", "Pivot", "Unpivot", "Window", "WithWindowDefinition", "Sample",
                "UnresolvedHint", "Repartition", "RepartitionByExpression", "LocalRelation",
-               "RelationTimeTravel", "UnresolvedTableValuedFunction",
+               "RelationTimeTravel", "UnresolvedTableValuedFunction", "PipeOperator",
                "UnresolvedTVFAliases", "UnresolvedTableValuedFunctionAliases"}
-# Functions that call arbitrary code.
+# What the parser leaves to be resolved in the expressions of a query; any other
+# kind makes a statement ddl.
+QUERY_NAMES = {"UnresolvedAttribute", "UnresolvedAlias", "UnresolvedFunction", "UnresolvedStar",
+               "UnresolvedStarExceptOrReplace", "UnresolvedStarWithColumns", "UnresolvedRegex",
+               "UnresolvedExtractValue", "UnresolvedGenerator", "UnresolvedOrdinal",
+               "UnresolvedSubqueryColumnAliases", "UnresolvedWindowExpression",
+               "PosParameter", "NamedParameter"}
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+# Functions that call arbitrary code, and what they are once resolved.
 REFLECTIVE = {"java_method", "reflect", "try_reflect"}
+REFLECTION_NODES = {"CallMethodViaReflection", "TryReflect"}
 # Commands that only read (listing, describing, explaining).
 READ_COMMAND_PREFIXES = ("Show", "Describe", "Explain")
 LIMIT_ROOTS = {"GlobalLimit", "LocalLimit", "Tail"}
@@ -123,14 +135,40 @@ def _items(seq) -> list:
     return out
 
 
-def _calls_reflection(node) -> bool:
+def _function_name(e) -> str | None:
+    name = _node_class(e)
+    if name == "UnresolvedFunction":
+        return str(_items(e.nameParts())[-1]).lower()
+    return str(e.name().funcName()).lower() if name == "UnresolvedGenerator" else None
+
+
+def _only_known(node) -> bool:
+    """Whether every expression of a parsed node is of a kind that queries are made of."""
     stack = _items(node.expressions())
     while stack:
         e = stack.pop()
-        if _node_class(e) == "UnresolvedFunction" and str(
-                _items(e.nameParts())[-1]).lower() in REFLECTIVE:
-            return True
+        known = e.getClass().getName().startswith(_EXPRESSIONS) or _node_class(e) in QUERY_NAMES
+        if not known or _function_name(e) in REFLECTIVE:
+            return False
         stack.extend(_items(e.children()))
+    return True
+
+
+def _reaches_reflection(plan) -> bool:
+    """Whether a resolved plan, views and subqueries included, calls by reflection."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        exprs = _items(node.expressions())
+        while exprs:
+            e = exprs.pop()
+            name = _node_class(e)
+            if name in REFLECTION_NODES:
+                return True
+            if name in _SUBQUERIES:
+                stack.append(e.plan())
+            exprs.extend(_items(e.children()))
+        stack.extend(_children(node))
     return False
 
 
@@ -150,7 +188,7 @@ def classify_plan(spark: SparkSession, plan) -> str:
         elif name not in QUERY_NODES and not (name.startswith("Unresolved")
                                               and worst != READ):
             return DDL
-        if _calls_reflection(node):
+        if name not in WRITE_NODES and not _only_known(node):
             return DDL
         stack.extend(_children(node))
     return worst
@@ -207,6 +245,8 @@ def guarded_sql(spark: SparkSession, sql: str, confirm_write: bool = False,
     text = split_statements(sql)[0]
     if sql_class == READ:
         df = spark.sql(text)
+        if not confirm_write and _reaches_reflection(df._jdf.queryExecution().analyzed()):
+            raise WriteBlocked(DDL, sql)
         limited = row_limit is not None and needs_limit(spark, sql)
         return GuardedResult(READ, limited, df.limit(row_limit) if limited else df)
     df = spark.sql(text)

@@ -38,6 +38,10 @@ READS = [
     "TABLE points",
     "SHOW VIEWS",
     "DESCRIBE customers",
+    "FROM points |> WHERE id > 1 |> SELECT id |> ORDER BY id",
+    "FROM points |> AGGREGATE sum(id) AS s GROUP BY id % 2 AS k |> EXTEND s + 1 AS t |> DROP k",
+    "SELECT id, CASE WHEN id IN (SELECT max(id) FROM points) THEN transform(array(id), x -> x + 1)"
+    " END AS y FROM points LATERAL VIEW explode(array(1, 2)) e AS z",
 ]
 WRITES = [
     "INSERT INTO points SELECT 9",
@@ -59,6 +63,9 @@ DDLS = [
     "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')",
     "SELECT id FROM points WHERE id IN (SELECT reflect('java.lang.Math', 'abs', -1))",
     "SELECT TRANSFORM(id) USING 'cat' AS x FROM points",
+    "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT id FROM points WHERE IDENTIFIER('refl' || 'ect')('java.lang.Math', 'abs', -1) > '0'",
+    "SELECT x FROM points LATERAL VIEW reflect('java.lang.Math', 'abs', -1) v AS x",
 ]
 
 
@@ -100,6 +107,23 @@ def test_reflection_does_not_run(spark):
     assert spark._jvm.java.lang.System.getProperty("guard") is None
 
 
+def test_computed_function_names_do_not_run(spark):
+    with pytest.raises(WriteBlocked):
+        G.guarded_sql(spark, "SELECT IDENTIFIER('java_method')"
+                             "('java.lang.System', 'setProperty', 'guard2', 'on')")
+    assert spark._jvm.java.lang.System.getProperty("guard2") is None
+
+
+def test_views_over_reflection_are_not_read(spark):
+    spark.sql("CREATE OR REPLACE TEMP VIEW hidden AS SELECT id, "
+              "reflect('java.lang.System', 'setProperty', 'guard3', 'on') AS x FROM points")
+    for sql in ("SELECT * FROM hidden", "SELECT id FROM points WHERE id IN (SELECT x FROM hidden)",
+                "SELECT (SELECT max(x) FROM hidden) AS x", "WITH h AS (TABLE hidden) TABLE h"):
+        with pytest.raises(WriteBlocked):
+            G.guarded_sql(spark, sql)
+    assert spark._jvm.java.lang.System.getProperty("guard3") is None
+
+
 def test_affected_count_of_an_insert(spark, tmp_path):
     spark.sql(f"CREATE TABLE guarded_t (id BIGINT) USING parquet LOCATION '{tmp_path}/t'")
     try:
