@@ -1,7 +1,7 @@
 """Structural profile of a table (PRF-1..12).
 
 All outputs are long DataFrames.  Heavy work: one stats aggregate, one
-value-count shuffle, one exact-quantile selection, one fingerprint shuffle
+value-count shuffle, two scans for exact quantiles, one fingerprint shuffle
 for duplicates; everything after that runs on per-column or per-bin rows.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from . import quantile as Q
 from . import stats as S
 from .stats import as_number, q
 
@@ -72,45 +73,46 @@ def numeric(df: DataFrame, exact: bool = True) -> DataFrame:
 
     Values rounded to 4 dp.  Outliers lie strictly outside
     ``[q1 - 1.5*iqr, q3 + 1.5*iqr]`` with linear-interpolated quartiles.
+    Exact figures take one scan with moments and sketches and one that counts
+    inside the brackets and beyond the fences (see ``quantile``).
     """
-    nums = [c for _, c, k, _ in S.columns_by_kind(df) if k == "numeric"]
-    spark = df.sparkSession
-    # one stats pass, kept as a small local table (one row per numeric column)
-    rows = (S.column_stats(df, distinct_for=[]).where(F.col("kind") == "numeric")
-            .select("ordinal", "column", "nonnull", "min_num", "max_num", "mean", "std")
-            .collect())
-    stats = S.local_frame(
-        spark, [tuple(r) for r in rows],
-        "ordinal int, column string, nonnull long, min_num double, max_num double, "
-        "mean double, std double")
-    bounds = {r["column"]: (r["nonnull"], r["min_num"], r["max_num"]) for r in rows}
-    qs = S.quantiles(df, nums, [0.25, 0.5, 0.75], exact=exact, bounds=bounds)
-    wide = (qs.groupBy("column")
-            .agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-                 F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
-                 F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3")))
-    bounds = wide.select("column", "q1", "q3", "median",
-                         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
-                         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
-    out = outliers(df, nums, bounds)
-    r4 = lambda c: F.round(c, 4)
-    return (stats.join(bounds, "column", "left").join(out, "column", "left")
-            .select("ordinal", "column", r4("mean").alias("mean"), r4("std").alias("std"),
-                    r4("min_num").alias("min"), r4("max_num").alias("max"),
-                    r4("median").alias("median"), r4("q1").alias("q1"), r4("q3").alias("q3"),
-                    F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers")))
-
-
-def outliers(df: DataFrame, nums: list[str], bounds: DataFrame) -> DataFrame:
-    """Count values outside per-column bounds (bounds: one row per column)."""
-    if not nums:
-        return df.sparkSession.createDataFrame([], "column string, outliers long")
-    structs = [F.struct(F.lit(c).alias("column"), as_number(q(c)).alias("v")) for c in nums]
-    vals = df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
-    return (vals.join(F.broadcast(bounds.select("column", "lower", "upper")), "column")
-            .groupBy("column")
-            .agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")),
-                              1).otherwise(0)).cast("long").alias("outliers")))
+    nums = [(i, c) for i, c, k, _ in S.columns_by_kind(df) if k == "numeric"]
+    names = [c for _, c in nums]
+    if exact:
+        found = Q.profile(df, names, [0.25, 0.5, 0.75], fences=True, moments=True)
+        rows = []
+        for k, ((i, c), f) in enumerate(zip(nums, found.facts)):
+            quarts = [found.quantile.get((k, p)) for p in (0.5, 0.25, 0.75)]
+            rows.append((i, c, f["mean"], f["std"], f["lo"], f["hi"], *quarts,
+                         found.outliers.get(k, 0)))
+    else:
+        rows = _approximate(df, nums)
+    out = S.local_frame(df.sparkSession, rows,
+                        "ordinal int, column string, mean double, std double, min double, "
+                        "max double, median double, q1 double, q3 double, outliers long")
+    figures = ["mean", "std", "min", "max", "median", "q1", "q3"]
+    return out.select("ordinal", "column", *[F.round(c, 4).alias(c) for c in figures], "outliers")
+
+
+def _approximate(df: DataFrame, nums: list[tuple[int, str]]) -> list[tuple]:
+    """Rows of :func:`numeric` with sketched quartiles and the outliers by them."""
+    names = [c for _, c in nums]
+    facts = {r["column"]: r for r in S.column_stats(df, distinct_for=[]).where(
+        F.col("kind") == "numeric").collect()}                # one row per column
+    quart: dict[str, dict] = {c: {} for c in names}
+    for r in S.approx_quantiles(df, names, [0.25, 0.5, 0.75]).collect():
+        quart[r["column"]][r["prob"]] = r["value"]
+    aggs = []
+    for k, c in enumerate(names):
+        low, high = (Q.fences_of(quart[c][0.25], quart[c][0.75]) if quart[c]
+                     else (None, None))
+        v = as_number(q(c))
+        aggs.append(F.coalesce(F.sum(F.when((v < F.lit(low)) | (v > F.lit(high)), 1)),
+                               F.lit(0)).alias(f"o{k}"))
+    beyond = df.agg(*aggs).first() if aggs else None
+    return [(i, c, facts[c]["mean"], facts[c]["std"], facts[c]["min_num"], facts[c]["max_num"],
+             quart[c].get(0.5), quart[c].get(0.25), quart[c].get(0.75), beyond[f"o{k}"])
+            for k, (i, c) in enumerate(nums)]
 
 
 # ------------------------------------------------------------------ PRF-5

@@ -1,4 +1,4 @@
-"""One-pass column statistics, value counts and exact distributed quantiles.
+"""One-pass column statistics, value counts and approximate quantiles.
 
 Everything here returns *long* DataFrames keyed by column ordinal, so wide
 tables never produce wide rows and later steps can join/rank per column.
@@ -11,20 +11,11 @@ Scale notes
   hash: one shuffle of partially aggregated rows of bounded width.  A hot
   value (a third of all rows) is folded by the map-side partial aggregate
   before the shuffle; whole texts are fetched for the top values only.
-* ``exact_quantiles`` never builds a value->count map in one task (what the
-  built-in ``percentile`` does).  It is a distributed selection: equal-width
-  buckets over the open value range are counted with a partially aggregated
-  ``groupBy``; the driver only sees bucket counts (``ranges x bins`` rows)
-  and narrows each wanted rank to one bucket; small buckets are finished
-  from their distinct values.  A value holding a third of all rows is one
-  bucket with ``min == max`` and resolves immediately.
+* exact quantiles are in ``quantile``.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -310,161 +301,18 @@ def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
                            "h1").drop("h1", "h2")
 
 
-def _stack_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    structs = [F.struct(F.lit(i).alias("k"), F.lit(name).alias("column"),
-                        as_number(q(name)).alias("v"))
-               for i, name in enumerate(columns)]
-    return (df.select(F.inline(F.array(*structs)))
-            .where(F.col("v").isNotNull()))
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    bins: int = 4096, final_size: int = 2_000_000,
-                    max_rounds: int = 8, direct_size: int = 50_000,
-                    bounds: dict[str, tuple[int, float, float]] | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles: ``(column, prob, value, ordinal)``.
-
-    Same definition as pandas ``quantile`` / SQL ``percentile_cont``: the
-    value at position ``h = (n-1)*p`` interpolated between the values of
-    rank ``floor(h)`` and ``ceil(h)``.
-
-    Distributed selection: each round splits every open value range into
-    ``bins`` equal-width buckets and counts them with a partially aggregated
-    ``groupBy`` (a hot value cannot overload one task); only the bucket
-    table (``ranges x bins`` rows at most) reaches the driver, which narrows
-    each wanted rank to one bucket.  A bucket holding one value resolves at
-    once; buckets of at most ``final_size`` rows are finished by counting
-    their distinct values and a cumulative sum over them.  A whole column
-    is finished directly only when it holds at most ``direct_size`` values:
-    otherwise one bucket round (parallel, partially aggregated) comes
-    first, so the finishing sort never holds a whole column in one task.
-    """
-    spark = df.sparkSession
-    out_schema = "column string, prob double, value double, ordinal int"
-    if not columns:
-        return spark.createDataFrame([], out_schema)
-    vals = _stack_numbers(df, columns).select("k", "v")
-    if bounds is not None:   # (non-null count, min, max) already known per column
-        base = {k: {"n": bounds[c][0], "lo": bounds[c][1], "hi": bounds[c][2]}
-                for k, c in enumerate(columns) if bounds[c][0]}
-    else:
-        base = {r["k"]: r for r in vals.groupBy("k").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-            F.max("v").alias("hi")).collect()}
-
-    def ranks(n: int, p: float) -> tuple[float, int, int]:
-        h = (n - 1) * p
-        return h, int(math.floor(h)), int(math.ceil(h))
-
-    found: dict[tuple[int, int], float] = {}
-    # open search per wanted rank: (lo, hi, rows below lo, rows in [lo, hi])
-    open_: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for k, r in base.items():
-        for p in probs:
-            _, lo_rank, hi_rank = ranks(r["n"], p)
-            for rank in (lo_rank, hi_rank):
-                open_[(k, rank)] = (r["lo"], r["hi"], 0, r["n"])
-    for round_no in range(max_rounds + 1):
-        for key, (lo, hi, _, _) in list(open_.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_[key]
-        if not open_:
-            break
-        ranges = sorted({(k, st[0], st[1]) for (k, _), st in open_.items()})
-        rid = {rg: i for i, rg in enumerate(ranges)}
-        if len({k for k, _, _ in ranges}) == len(ranges):
-            # one open range per column: bounds as literal arrays, no join
-            per_k = {k: (i, lo, hi) for (k, lo, hi), i in rid.items()}
-            arr = lambda j: F.array(*[F.lit(float(per_k[k][j]) if k in per_k else None)
-                                      .cast("double") if j else
-                                      F.lit(per_k[k][0] if k in per_k else None).cast("int")
-                                      for k in range(len(columns))])
-            at = lambda a: F.element_at(a, F.col("k") + 1)
-            inside = (vals.select("k", "v", at(arr(0)).alias("rid"), at(arr(1)).alias("lo"),
-                                  at(arr(2)).alias("hi"))
-                      .where(F.col("rid").isNotNull() & (F.col("v") >= F.col("lo")) &
-                             (F.col("v") <= F.col("hi"))))
-        else:
-            rdf = F.broadcast(local_frame(
-                spark, [(i, k, float(lo), float(hi)) for (k, lo, hi), i in rid.items()],
-                "rid int, k int, lo double, hi double"))
-            inside = (vals.join(rdf, "k")
-                      .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-        limit = final_size if round_no else direct_size
-        if round_no == max_rounds or all(st[3] <= limit for st in open_.values()):
-            _finish_by_distinct(inside, open_, rid, found)
-            break
-        pos = ((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-               * bins)
-        buckets = (inside.withColumn("b", F.least(F.floor(pos), F.lit(bins - 1)).cast("int"))
-                   .groupBy("rid", "b")
-                   .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
-                        F.max("v").alias("mx"))
-                   .select("rid", "b", "c", "mn", "mx")
-                   .collect())
-        # per range: buckets in order with the running count of rows before each
-        by_range: dict[int, list] = {}
-        for r_id, b, c, mn, mx in (tuple(row) for row in buckets):
-            by_range.setdefault(r_id, []).append((b, c, mn, mx))
-        cum: dict[int, tuple[list, list]] = {}
-        for r_id, lst in by_range.items():
-            lst.sort()
-            upto, run = [], 0
-            for _, c, _, _ in lst:
-                run += c
-                upto.append(run)
-            cum[r_id] = (lst, upto)
-        for key, (lo, hi, below, _) in list(open_.items()):
-            lst, upto = cum.get(rid[(key[0], lo, hi)], ([], []))
-            j = bisect.bisect_right(upto, key[1] - below)   # first bucket holding the rank
-            if j < len(lst):
-                _, c, mn, mx = lst[j]
-                open_[key] = (mn, mx, below + upto[j] - c, c)
-    rows = []
-    for k, r in sorted(base.items()):
-        for p in probs:
-            h, lo_rank, hi_rank = ranks(r["n"], p)
-            vlo, vhi = found[(k, lo_rank)], found[(k, hi_rank)]
-            rows.append((columns[k], float(p), vlo + (h - lo_rank) * (vhi - vlo), k))
-    return local_frame(spark, rows, out_schema)
-
-
-def _finish_by_distinct(inside: DataFrame, open_, rid, found) -> None:
-    """Resolve ranks inside small ranges from their distinct values."""
-    spark = inside.sparkSession
-    targets = F.broadcast(local_frame(
-        spark, [(rid[(k, st[0], st[1])], int(rank - st[2])) for (k, rank), st in open_.items()],
-        "rid int, local long"))
-    w = Window.partitionBy("rid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    dist = (inside.groupBy("rid", "v").agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("upto", F.sum("c").over(w))
-            .withColumn("start", F.col("upto") - F.col("c")))
-    hits = (dist.join(targets, "rid")
-            .where((F.col("local") >= F.col("start")) & (F.col("local") < F.col("upto")))
-            .select("rid", "local", "v").collect())
-    got = {(r["rid"], r["local"]): r["v"] for r in hits}
-    for (k, rank), st in list(open_.items()):
-        found[(k, rank)] = got[(rid[(k, st[0], st[1])], rank - st[2])]
-        del open_[(k, rank)]
-
-
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      accuracy: int = 10000) -> DataFrame:
-    """One-pass approximate quantiles (Greenwald-Khanna), same output shape."""
+    """One-pass approximate quantiles (Greenwald-Khanna): ``(column, prob, value, ordinal)``."""
     spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column string, prob double, value double")
+        return spark.createDataFrame([], "column string, prob double, value double, ordinal int")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    vals = _stack_numbers(df, columns)
+    vals = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k"), F.lit(name).alias("column"), as_number(q(name)).alias("v"))
+        for i, name in enumerate(columns)]))).where(F.col("v").isNotNull())
     return (vals.groupBy("k", "column")
             .agg(F.percentile_approx("v", arr, accuracy).alias("qs"))
             .select("column", F.posexplode("qs").alias("j", "value"), "k")
             .select("column", F.element_at(arr, F.col("j") + 1).alias("prob"), "value",
                     F.col("k").alias("ordinal")))
-
-
-def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              exact: bool = True, bounds: dict | None = None) -> DataFrame:
-    return (exact_quantiles(df, columns, probs, bounds=bounds) if exact
-            else approx_quantiles(df, columns, probs))

@@ -1,10 +1,12 @@
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabsense.operators import profile as P
+from tabsense.operators import quantile as Q
 from tabsense.operators import stats as S
 
 
@@ -51,40 +53,82 @@ def test_numeric_profile_matches_sorted_values(frame):
     assert row["outliers"] >= 1
 
 
-def test_exact_quantiles_with_hot_value(spark):
-    # a third of all rows share one value; ranks must still be exact
-    vals = [5.0] * 400 + [float(i) for i in range(800)]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = {r["prob"]: r["value"] for r in S.exact_quantiles(df, ["v"], [0.1, 0.5, 0.9],
-                                                              bins=16, final_size=50,
-                                                              direct_size=0).collect()}
-    srt, n = sorted(vals), len(vals)
-    for p in (0.1, 0.5, 0.9):
-        h = (n - 1) * p
-        lo = int(h)
-        exp = srt[lo] + (h - lo) * (srt[min(lo + 1, n - 1)] - srt[lo])
-        assert got[p] == pytest.approx(exp)
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-def test_exact_quantiles_bucket_rounds_match_numpy(spark):
-    # direct_size=0 forces bucket rounds (several open ranges per column,
-    # the broadcast range-table path) before the distinct-value finish
-    import random
+def expected(vals, p):
+    vals, h = sorted(vals), (len(vals) - 1) * p
+    lo, hi = vals[int(h)], vals[min(int(h) + 1, len(vals) - 1)]
+    return lo if lo == hi or h == int(h) else lo + (h - int(h)) * (hi - lo)
+
+
+def distributions():
     rnd = random.Random(7)
-    rows = [(rnd.gauss(0, 1) * 1e6, float(rnd.randint(0, 9)),
-             None if i % 7 == 0 else float(i % 97) ** 2) for i in range(3000)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["column"], r["prob"]): r["value"] for r in S.exact_quantiles(
-        df, ["a", "b", "c"], probs, bins=8, final_size=40, direct_size=0).collect()}
-    for j, col in enumerate("abc"):
-        vals = sorted(r[j] for r in rows if r[j] is not None)
-        n = len(vals)
-        for p in probs:
-            h = (n - 1) * p
-            lo = int(h)
-            exp = vals[lo] + (h - lo) * (vals[min(lo + 1, n - 1)] - vals[lo])
-            assert got[(col, p)] == pytest.approx(exp, rel=1e-12, abs=1e-9)
+    n = 6000
+    inf = float("inf")
+    return {
+        "hot": [5.0] * (n // 3) + [float(i) for i in range(n - n // 3)],
+        "log_uniform": [10 ** rnd.uniform(-300, 300) * rnd.choice([-1, 1]) for _ in range(n)],
+        "infinite": [rnd.choice([inf, -inf, rnd.gauss(0, 1)]) for _ in range(n)],
+        "steps": [float(rnd.randint(0, 9)) for _ in range(n)],
+        "normal": [rnd.gauss(0, 1e6) for _ in range(n)],
+        "holes": [None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i % 97) ** 2
+                  for i in range(n)],
+        "one": [3.5] + [None] * (n - 1),
+        "two": [3.5, -1.0] + [None] * (n - 2),
+        "none": [None] * n}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 300, 40])
+def test_quantiles_of_any_distribution_are_exact(spark, accuracy):
+    # small sketches force refined brackets: more scans, the same figures
+    cols = distributions()
+    df = spark.createDataFrame(list(zip(*cols.values())),
+                               ", ".join(f"{c} double" for c in cols)).repartition(5)
+    found = Q.profile(df, list(cols), PROBS, fences=True, accuracy=accuracy)
+    for k, (name, vals) in enumerate(cols.items()):
+        vals = [v for v in vals if v is not None and v == v]
+        if not vals:
+            assert not any(k == j for j, _ in found.quantile)
+            continue
+        for p in PROBS:
+            got, want = found.quantile[k, p], expected(vals, p)
+            assert got == want or math.isnan(got) and math.isnan(want), (name, p)
+        low, high = Q.fences_of(expected(vals, 0.25), expected(vals, 0.75))
+        assert found.outliers.get(k, 0) == sum(v < low or v > high for v in vals), name
+
+
+def test_a_sketch_beyond_its_bound_only_costs_a_scan(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    opened = Q._open
+
+    def astray(facts, probs, accuracy):
+        ranks = opened(facts, probs, accuracy)
+        for r in ranks:
+            r.lo, r.hi = 0.0, 1.0
+        return ranks
+    monkeypatch.setattr(Q, "_open", astray)
+    got = Q.profile(df, ["v"], [0.5, 0.9])
+    assert got.quantile == {(0, 0.5): 499.5, (0, 0.9): pytest.approx(899.1)}
+
+
+def test_quantiles_read_the_table_twice(spark, tmp_path, monkeypatch):
+    spark.range(5000).select((F.col("id") * 7 % 1009).alias("a"), F.rand(3).alias("b")
+                             ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    scans = []
+    for name in ("_first", "_refine", "_groups"):
+        def counted(*args, kept=getattr(Q, name), name=name):
+            scans.append(name)
+            return kept(*args)
+        monkeypatch.setattr(Q, name, counted)
+    P.numeric(df).collect()
+    assert scans == ["_first", "_groups"]
+    scans.clear()
+    Q.profile(df, ["a", "b"], [0.25, 0.5, 0.75], fences=True, accuracy=200)
+    assert scans == ["_first", "_refine", "_groups"]        # three at most
+    groups = Q._groups(df, [F.col("a"), F.col("b")], [[(1.0, 2.0)], []])
+    assert "Window" not in groups._jdf.queryExecution().executedPlan().toString()
 
 
 def test_top_values_and_identifiers(frame):
