@@ -58,15 +58,16 @@ def _margins(accuracy: int) -> list[float]:
     return [2.0 ** j / accuracy for j in range(1, int(math.log2(accuracy)) + 1)]
 
 
-def _sketch(v: Column, p: float, accuracy: int) -> Column:
-    """Quantiles around ``p`` at growing distances, below and above."""
-    return F.percentile_approx(v, _doubles(
-        [max(0.0, p - m) for m in _margins(accuracy)]
-        + [min(1.0, p + m) for m in _margins(accuracy)]), F.lit(accuracy))
+def _sketch(v: Column, probs: list[float], accuracy: int) -> Column:
+    """Quantiles around each of ``probs`` at growing distances, below and above."""
+    return F.percentile_approx(v, _doubles([x for p in probs for x in (
+        *(max(0.0, p - m) for m in _margins(accuracy)),
+        *(min(1.0, p + m) for m in _margins(accuracy)))]), F.lit(accuracy))
 
 
 def _doubles(values: list[float]) -> Column:
-    return F.expr("array(" + ", ".join(f"{x!r}D" for x in values) + ")")
+    return F.expr("array(" + ", ".join(
+        f"{x!r}D" if math.isfinite(x) else f"double('{x!r}')" for x in values) + ")")
 
 
 def _first(df: DataFrame, vals: list[Column], probs: list[float], accuracy: int,
@@ -75,14 +76,14 @@ def _first(df: DataFrame, vals: list[Column], probs: list[float], accuracy: int,
     aggs = []
     for k, v in enumerate(vals):
         aggs += [F.count(v).alias(f"n{k}"), F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}")]
-        aggs += [_sketch(v, p, accuracy).alias(f"s{k}_{i}") for i, p in enumerate(probs)]
+        aggs.append(_sketch(v, probs, accuracy).alias(f"s{k}"))
         if moments:
             aggs += [F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"d{k}")]
     row = df.agg(*aggs).first()
     return [{"n": row[f"n{k}"], "lo": row[f"lo{k}"], "hi": row[f"hi{k}"],
              "mean": row[f"m{k}"] if moments else None,
              "std": row[f"d{k}"] if moments else None,
-             "sketch": [row[f"s{k}_{i}"] for i in range(len(probs))]}
+             "sketch": row[f"s{k}"]}
             for k in range(len(vals))]
 
 
@@ -97,11 +98,11 @@ def _open(facts: list[dict], probs: list[float], accuracy: int) -> list[_Rank]:
             fits = [j for j, m in enumerate(margins) if m >= 2 / accuracy + 3 / f["n"]]
             lo, hi, most = f["lo"], f["hi"], float(f["n"])
             if fits:
-                j, m = fits[0], margins[fits[0]]
+                m, at = margins[fits[0]], 2 * len(margins) * i + fits[0]
                 if p - m > 0:
-                    lo = f["sketch"][i][j]
+                    lo = f["sketch"][at]
                 if p + m < 1:
-                    hi = f["sketch"][i][len(margins) + j]
+                    hi = f["sketch"][at + len(margins)]
                 most = (2 * m + 2 / accuracy) * f["n"]
             at = (f["n"] - 1) * p
             out += [_Rank(k, r, lo, hi, most) for r in sorted({math.floor(at), math.ceil(at)})]
@@ -152,15 +153,18 @@ def _groups(df: DataFrame, vals: list[Column], spans: list[list[tuple[float, flo
     ``zone`` counts the spans that begin at or below the value; a count
     without ``v`` is of the values after span number ``zone``.
     """
-    structs = []
-    for k, v in enumerate(vals):
-        zone, inside = F.lit(0), F.lit(False)
-        for lo, hi in spans[k]:
-            zone = zone + F.when(v >= lo, 1).otherwise(0)
-            inside = inside | ((v >= lo) & (v <= hi))
-        structs.append(F.struct(F.lit(k).alias("k"), v.isNotNull().alias("some"),
-                                zone.alias("zone"), F.when(inside, v).alias("v")))
-    return (df.select(F.inline(F.array(*structs))).where("some")
+    # the bounds of every column lie in arrays by k: the expression does not grow
+    # with the number of columns
+    row, v = F.col("k") + 1, F.col("v")
+    zone, inside = F.lit(0), F.lit(False)
+    for j in range(max(map(len, spans))):
+        lo, hi = (F.element_at(_doubles([x[j][side] if j < len(x) else math.nan
+                                         for x in spans]), row) for side in (0, 1))
+        zone = zone + (v >= lo).cast("int")
+        inside = inside | ((v >= lo) & (v <= hi))
+    stack = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("v"))
+                                         for k, x in enumerate(vals)]))).where(v.isNotNull())
+    return (stack.select("k", zone.alias("zone"), F.when(inside, v).alias("v"))
             .groupBy("k", "zone", "v").agg(F.count(F.lit(1)).alias("c")))
 
 
