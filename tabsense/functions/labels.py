@@ -127,8 +127,11 @@ def categories_word(count: Column, language: str = "en") -> Column:
 
 # ------------------------------------------------------------------ FMT-1..3
 def fmt_number(v: Column) -> Column:
-    """FMT-1: thousands separators, at most 2 decimals, trailing zeros cut, '—' for null."""
-    two = F.format_number(v.cast("double"), 2)
+    """FMT-1: thousands separators, at most 2 decimals, trailing zeros cut, '—' for null.
+
+    Whole numbers and decimals keep all their digits.
+    """
+    two = F.format_number(v, 2)
     return F.when(v.isNull(), F.lit("—")).otherwise(
         F.regexp_replace(F.regexp_replace(two, "0+$", ""), "\\.$", ""))
 
@@ -157,6 +160,14 @@ def py_number(v: Column, integral: bool | Column = False) -> Column:
     return F.when(v.isNull(), F.lit("None")).when(is_int, intg).otherwise(flt)
 
 
+def py_digits(v: Column, integral: bool | Column = False) -> Column:
+    """:func:`py_number` of a decimal, with all its digits; null stays null."""
+    is_int = F.lit(integral) if isinstance(integral, bool) else integral
+    two = F.regexp_replace(F.round(v, 2).cast("decimal(38,2)").cast("string"),
+                           "(\\.[0-9])0$", "$1")
+    return F.when(is_int, F.round(v, 0).cast("decimal(38,0)").cast("string")).otherwise(two)
+
+
 def clean_title(raw: Column, fallback: Column | str = "report") -> Column:
     """FMT-3: drop a file extension (with download suffix) and a copy number."""
     t = F.regexp_replace(strip_ws(raw), "(?i)\\.(csv|xlsx?|json)(-\\d+)?$", "")

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import words as W
+from . import exact_sum as X
 from .semantics import is_rate
 from .stats import q, top_k_per_group, try_number
 
@@ -28,7 +30,7 @@ def _round2(c: Column) -> Column:
 # ----------------------------------------------------------------- one pass
 def partials(df: DataFrame, date_col: str | None, measure: str | None,
              dims: list[str]) -> DataFrame:
-    """Everything a report needs from the base rows, in one scan and one shuffle.
+    """Everything a report needs from the base rows, in one scan.
 
     Each row is stacked once per block — grand total (``part`` 0), its day
     (``part`` 1, rows with a date) and each dimension label (``part`` 2,
@@ -36,8 +38,13 @@ def partials(df: DataFrame, date_col: str | None, measure: str | None,
     ``c`` rows, ``nn`` numeric measure values, ``s`` sum, ``x`` max,
     ``t0``/``t1`` first/last timestamp.  The result has 1 + days + groups
     rows; KPIs, trend, trend summary and breakdowns all derive from it.
+
+    Sums are exact and rounded once (see ``exact_sum``); ``acc`` and ``odd`` let
+    them be added further, ``digits`` has those of whole numbers and decimals.
     """
+    dtype = _type(df, measure)
     m = try_number(q(measure)) if measure else F.lit(None).cast("double")
+    t = X.term(q(measure) if measure else m, dtype)
     ts = q(date_col).cast("timestamp_ntz") if date_col else F.lit(None).cast("timestamp_ntz")
     null_i, null_s = F.lit(None).cast("int"), F.lit(None).cast("string")
 
@@ -51,48 +58,55 @@ def partials(df: DataFrame, date_col: str | None, measure: str | None,
                for j, d in enumerate(dims)]
     keep = ((F.col("part") == 0) | ((F.col("part") == 1) & F.col("day").isNotNull()) |
             ((F.col("part") == 2) & F.col("label").isNotNull()))
-    return (df.select(m.alias("m"), ts.alias("ts"), F.inline(F.array(*blocks))).where(keep)
-            .groupBy("part", "dim_order", "column", "label", "day")
-            .agg(F.count(F.lit(1)).alias("c"), F.count("m").alias("nn"),
-                 F.sum("m").alias("s"), F.max("m").alias("x"),
-                 F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+    whole = (q(measure).cast("decimal(38,6)") if X.is_whole(dtype)
+             else F.lit(None).cast("decimal(38,6)"))
+    stacked = df.select(m.alias("m"), t.alias("t"), whole.alias("whole"), ts.alias("ts"),
+                        F.inline(F.array(*blocks))).where(keep)
+    out = X.summed(stacked, ["part", "dim_order", "column", "label", "day"], "t", [
+        ("c", F.count(F.lit(1)), "sum"), ("nn", F.count("m"), "sum"), ("x", F.max("m"), "max"),
+        ("top", F.max("whole"), "max"),
+        ("t0", F.min("ts"), "min"), ("t1", F.max("ts"), "max")])
+    exact = (X.digits(F.col("acc"), dtype).cast("decimal(38,6)")
+             if X.is_whole(dtype) else F.lit(None).cast("decimal(38,6)"))
+    return (out.withColumn("s", X.value(F.col("acc"), F.col("odd"), dtype))
+            .withColumn("digits", exact))
+
+
+def _type(df: DataFrame, measure: str | None) -> T.DataType:
+    return df.schema[measure].dataType if measure else T.DoubleType()
 
 
 # --------------------------------------------------------------------- KPIs
-def kpis(df: DataFrame, measure: str | None, pre: DataFrame | None = None) -> DataFrame:
-    """KPI-1: ``(seq, key, value, column)``.
+def kpis(df: DataFrame, measure: str | None, pre: DataFrame | None = None,
+         exact: bool = False) -> DataFrame:
+    """KPI-1: ``(seq, key, value, column)``, with ``exact`` also ``digits``.
 
     ``records`` always; for the measure coerced to a number (null when it
     does not parse): ``total`` (not for rates), ``average``, ``highest`` —
-    only when at least one value parses.  Values rounded to 2 dp.
+    only when at least one value parses.  Values rounded to 2 dp; ``digits`` is
+    a decimal for totals and maxima of whole numbers and decimals, which may have
+    more digits than a double, and null elsewhere.
     """
-    if pre is not None:   # from ``partials``: the grand-total block
-        one = (pre.where(F.col("part") == 0)
-               .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                    F.coalesce(F.sum("nn"), F.lit(0)).alias("nn"),
-                    F.sum("s").alias("s"), F.max("x").alias("x"))
-               .withColumn("a", F.try_divide(F.col("s"), F.col("nn").cast("double"))))
-    if measure is None:
-        base = one if pre is not None else df.agg(F.count(F.lit(1)).alias("n"))
-        return base.select(
-            F.lit(0).alias("seq"), F.lit("records").alias("key"),
-            F.col("n").cast("double").alias("value"),
-            F.lit(None).cast("string").alias("column"))
     if pre is None:
-        m = try_number(q(measure))
-        one = df.agg(F.count(F.lit(1)).alias("n"), F.count(m).alias("nn"),
-                     F.sum(m).alias("s"), F.avg(m).alias("a"), F.max(m).alias("x"))
+        pre = partials(df, None, measure, [])
+    one = (pre.where(F.col("part") == 0)      # one row, or none for an empty table
+           .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+                F.coalesce(F.sum("nn"), F.lit(0)).alias("nn"),
+                F.max("s").alias("s"), F.max("x").alias("x"), F.max("digits").alias("digits"),
+                F.max("top").alias("top"))
+           .withColumn("a", F.try_divide(F.col("s"), F.col("nn").cast("double"))))
+    none, has = F.lit(None).cast("decimal(38,6)"), F.col("nn") > 0
     entries = [(0, "records", F.col("n").cast("double"), F.lit(None).cast("string"),
-                F.lit(True))]
-    has = F.col("nn") > 0
-    if not is_rate(measure):
-        entries.append((1, "total", _round2(F.col("s")), F.lit(measure), has))
-    entries += [(2, "average", _round2(F.col("a")), F.lit(measure), has),
-                (3, "highest", _round2(F.col("x")), F.lit(measure), has)]
+                none, F.lit(True))]
+    if measure is not None:
+        if not is_rate(measure):
+            entries.append((1, "total", _round2(F.col("s")), F.lit(measure), F.col("digits"), has))
+        entries += [(2, "average", _round2(F.col("a")), F.lit(measure), none, has),
+                    (3, "highest", _round2(F.col("x")), F.lit(measure), F.col("top"), has)]
     structs = [F.struct(F.lit(s).alias("seq"), F.lit(k).alias("key"),
                         v.cast("double").alias("value"), c.alias("column"),
-                        keep.alias("keep"))
-               for s, k, v, c, keep in entries]
+                        *([d.alias("digits")] if exact else []), keep.alias("keep"))
+               for s, k, v, c, d, keep in entries]
     return (one.select(F.inline(F.array(*structs)))
             .where("keep").drop("keep"))
 
@@ -101,15 +115,9 @@ def kpis(df: DataFrame, measure: str | None, pre: DataFrame | None = None) -> Da
 def _daily(df: DataFrame, date_col: str, measure: str | None,
            pre: DataFrame | None = None) -> DataFrame:
     """Per-day partial result: the only pass over base rows for a trend."""
-    if pre is not None:
-        return pre.where(F.col("part") == 1).select("day", "s", "c", "t0", "t1")
-    ts = q(date_col).cast("timestamp_ntz")
-    m = try_number(q(measure)) if measure else F.lit(None).cast("double")
-    return (df.select(ts.alias("ts"), m.alias("m"))
-            .where(F.col("ts").isNotNull())
-            .groupBy(F.to_date("ts").alias("day"))
-            .agg(F.sum("m").alias("s"), F.count(F.lit(1)).alias("c"),
-                 F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+    if pre is None:
+        pre = partials(df, date_col, measure, [])
+    return pre.where(F.col("part") == 1).select("day", "acc", "odd", "c", "t0", "t1")
 
 
 def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
@@ -139,10 +147,9 @@ def trend_bins(df: DataFrame, date_col: str, measure: str | None = None,
     spine = bounds.select("granularity", F.explode(F.when(month, months).otherwise(days))
                           .alias("bin"))
     binned = (daily.crossJoin(F.broadcast(bounds.select("granularity")))
-              .withColumn("bin", F.when(month, F.last_day("day")).otherwise(F.col("day")))
-              .groupBy("bin")
-              .agg(F.sum("s").alias("s"), F.sum("c").alias("c"),
-                   F.min("t0").alias("t0"), F.max("t1").alias("t1")))
+              .withColumn("bin", F.when(month, F.last_day("day")).otherwise(F.col("day"))))
+    binned = (X.merged(binned, ["bin"], [("c", "sum"), ("t0", "min"), ("t1", "max")])
+              .withColumn("s", X.value(F.col("acc"), F.col("odd"), _type(df, measure))))
     value = (F.coalesce(F.col("s"), F.lit(0.0)) if measure
              else F.coalesce(F.col("c"), F.lit(0)).cast("double"))
     bins = (spine.join(binned, "bin", "left")
@@ -228,23 +235,13 @@ def breakdowns(df: DataFrame, dims: list[str], measure: str | None = None,
     as an earlier one is removed.
     """
     kind = breakdown_kind(measure)
-    if pre is not None:   # from ``partials``: the dimension blocks and the grand total
-        grouped = (pre.where(F.col("part") == 2)
-                   .select("dim_order", "column", "label", "s", "c",
-                           F.try_divide(F.col("s"), F.col("nn").cast("double")).alias("a")))
-        rows_all = pre.where(F.col("part") == 0).agg(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("rows_all"))
-    else:
-        m = try_number(q(measure)) if measure else F.lit(None).cast("double")
-        structs = [F.struct(F.lit(j).alias("dim_order"), F.lit(d).alias("column"),
-                            q(d).cast("string").alias("label"))
-                   for j, d in enumerate(dims)]
-        stacked = (df.select(m.alias("m"), F.inline(F.array(*structs)))
-                   .where(F.col("label").isNotNull()))
-        grouped = (stacked.groupBy("dim_order", "column", "label")
-                   .agg(F.sum("m").alias("s"), F.avg("m").alias("a"),
-                        F.count(F.lit(1)).alias("c")))
-        rows_all = df.agg(F.count(F.lit(1)).alias("rows_all"))
+    if pre is None:
+        pre = partials(df, None, measure, dims)
+    grouped = (pre.where(F.col("part") == 2)
+               .select("dim_order", "column", "label", "s", "c", "acc", "odd",
+                       F.try_divide(F.col("s"), F.col("nn").cast("double")).alias("a")))
+    rows_all = pre.where(F.col("part") == 0).agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("rows_all"))
     raw = {"sum": F.coalesce(F.col("s"), F.lit(0.0)), "avg": F.col("a"),
            "count": F.col("c").cast("double")}[kind]
     per_dim_cov = grouped.groupBy("dim_order").agg(F.sum("c").alias("rows_dim"))
@@ -253,14 +250,23 @@ def breakdowns(df: DataFrame, dims: list[str], measure: str | None = None,
     wd = Window.partitionBy("dim_order")
     # categories and total by aggregation; ranking by a two-stage top-k, so a
     # high-cardinality (override) dimension is never sorted in one task
-    per_dim = g.groupBy("dim_order").agg(F.count(F.lit(1)).alias("categories"),
-                                         F.sum("raw").alias("total_raw"))
+    per_dim = g.groupBy("dim_order").agg(F.count(F.lit(1)).alias("categories"))
+    if kind == "sum":      # of the rows, not of the rounded sums
+        totals = X.merged(grouped, ["dim_order"])
+    else:
+        totals = X.summed(g.withColumn("t", X.term(F.col("raw"), T.DoubleType())),
+                          ["dim_order"], "t")
+    totals = totals.select("dim_order", F.coalesce(X.value(
+        F.col("acc"), F.col("odd"), _type(df, measure) if kind == "sum" else T.DoubleType()),
+        F.lit(0.0)).alias("total_raw"))
+    per_dim = per_dim.join(totals, "dim_order")
     ranked = top_k_per_group(g, ["dim_order"], [F.desc("raw"), F.asc("label")],
                              W.TOP_N + 1, "label")
     shown_n = F.when(F.col("categories") == W.TOP_N + 1, W.TOP_N + 1).otherwise(W.TOP_N)
     top = (ranked.join(F.broadcast(per_dim), "dim_order").where(F.col("rank") <= shown_n)
            .withColumn("value", F.round("raw", 2)))
-    top = (top.withColumn("shown_sum", F.sum("value").over(wd))
+    top = (top.withColumn("shown_sum", F.sum(
+        F.col("value").try_cast("decimal(38,2)")).over(wd).cast("double"))
            .withColumn("lead_raw", F.max(F.when(F.col("rank") == 1, F.col("raw"))).over(wd))
            .withColumn("leader", F.max(F.when(F.col("rank") == 1, F.col("label"))).over(wd)))
     others = F.round(F.col("total_raw") - F.col("shown_sum"), 2)

@@ -47,7 +47,7 @@ def analyze(df: DataFrame, overrides: dict | None = None,
         summary = B.trend_summary(df, choice.date, choice.measure, pre=pre)
     if choice.dimensions:
         bds = B.breakdowns(df, choice.dimensions, choice.measure, pre=pre)
-    return Analysis(roles, choice, B.kpis(df, choice.measure, pre=pre), trend, summary, bds)
+    return Analysis(roles, choice, B.kpis(df, choice.measure, pre=pre, exact=True), trend, summary, bds)
 
 
 def metrics_long(a: Analysis) -> DataFrame:

@@ -125,8 +125,8 @@ def facts(a: Analysis, schema, table: str | None = None, language: str = "en") -
             .when(F.col("key") == "total", template(w["total"], m=m))
             .when(F.col("key") == "average", template(w["average"], m=m))
             .otherwise(template(w["highest"], m=m)))
-    val = L.py_number(F.col("value"), (F.col("key") == "records") |
-                      ((F.col("key") != "average") & F.lit(int_m)))
+    whole = (F.col("key") == "records") | ((F.col("key") != "average") & F.lit(int_m))
+    val = F.coalesce(L.py_digits(F.col("digits"), whole), L.py_number(F.col("value"), whole))
     parts = [a.kpis.select(F.col("seq").cast("int").alias("seq"),
                            F.concat(F.lit(prefix), name, F.lit(" = "), val).alias("text"))]
     if a.trend_summary is not None:
