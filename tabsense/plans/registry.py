@@ -1343,3 +1343,6 @@ def data_dictionary(spark, sf_dir):
         "kind", F.round(100 * (F.col("rows") - F.col("nonnull")) /
                         F.greatest(F.col("rows"), F.lit(1)), 1).alias("nulls_pct"),
         F.col("distinct").alias("unique"), F.coalesce(rng, F.lit("")).alias("range"))
+
+
+from . import round_trips  # noqa: E402,F401  registers its queries

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..errors import NotFound, TabsenseError
 from ..operators.clean import clean_frame
 from ..operators.stats import q
+from .csv_blocks import read_csv_blocks
 
 
 # FIXED VALUES: words that stand for a missing value in uploaded files.
@@ -50,12 +51,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     """SRC-1: CSV with a header row; inferred types unless a schema is given.
 
     Doubled quotes inside quotes and quoted line breaks are read as the value
-    they stand for; with ``multi_line`` off a file can be split, but a quoted
-    line break then ends the row.
+    they stand for, in as many tasks as a file has blocks (see ``csv_blocks``);
+    with ``multi_line`` off a quoted line break ends the row.
     """
-    reader = _csv_words(spark.read.option("header", True).option("multiLine", multi_line))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    if multi_line:
+        df = read_csv_blocks(spark, path, schema)
+    else:
+        reader = _csv_words(spark.read.option("header", True))
+        df = (reader.schema(schema) if schema is not None
+              else reader.option("inferSchema", True)).csv(path)
     return clean_frame(df) if clean else df
 
 

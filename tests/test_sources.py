@@ -1,9 +1,11 @@
 import io
 import os
+import random
 import tempfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabsense.errors import TabsenseError
 from tabsense.operators import clean as CL
@@ -204,3 +206,58 @@ def test_one_bin_is_no_trend(spark):
     rows = [(dt.datetime(2025, 1, 1), 1.0), (dt.datetime(2025, 1, 1), 2.0)]
     a = analyze(spark.createDataFrame(rows, "day timestamp, amount double"))
     assert "trend" not in {r["metric"] for r in metrics_long(a).collect()}
+
+
+@pytest.fixture
+def small_blocks(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes",
+                                           "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "90")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_csv_in_blocks_equals_the_one_task_reader(spark, tmp_path, small_blocks, seed):
+    rnd = random.Random(seed)
+    end = "\r\n" if seed == 3 else "\n"
+
+    def value():
+        v = "".join(rnd.choice(["a", "bc", ",", "\"", "\n", " ", "é", "1", "\n\n"])
+                    for _ in range(rnd.randint(0, 12)))
+        if seed == 3:
+            v = v.replace("\n", " ")
+        return '"' + v.replace('"', '""') + '"' if set(v) & set(',"\n') else v
+    for f in range(3):
+        rows = ["id,text,more"] + [f"{f}{i:03d},{value()},{value()}" for i in range(60)]
+        if seed == 2:
+            rows[7:7] = ['8888,5" pipe,x', "", '9999,"two\n\nlines",""']
+        (tmp_path / f"part-{f}.csv").write_bytes((end.join(rows) + end).encode())
+    schema = "id int, text string, more string"
+    got = SF.read_csv(spark, str(tmp_path), schema, clean=False)
+    want = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').csv(str(tmp_path)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.rdd.getNumPartitions() <= 3
+    lines = spark.read.text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 12           # a block a task
+
+
+def test_csv_blocks_infer_types_and_take_odd_files(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text("\ufeffid,when,text\n" + "".join(
+        f'{i},2024-01-{i % 28 + 1:02d},"line\n{i}"\n' for i in range(50)))
+    df = SF.read_csv(spark, str(tmp_path / "a.csv"), clean=False)
+    assert df.dtypes == [("id", "int"), ("when", "date"), ("text", "string")]
+    assert df.count() == 50 and df.agg(F.sum("id")).first()[0] == sum(range(50))
+    (tmp_path / "h.csv").write_text("a,b\n")
+    assert SF.read_csv(spark, str(tmp_path / "h.csv"), clean=False).columns == ["a", "b"]
+    (tmp_path / "open.csv").write_text('a,b\n1,"never\nclosed\n2,x\n')
+    assert SF.read_csv(spark, str(tmp_path / "open.csv"), "a int, b string",
+                       clean=False).first()["a"] == 1
+    (tmp_path / "long.csv").write_text('a,b\n1,"' + 'x""\n' * 40_000 + '"\n2,' + "y" * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    got = {r["a"]: len(r["b"]) for r in SF.read_csv(
+        spark, str(tmp_path / "long.csv"), "a int, b string", clean=False).collect()}
+    assert got == {1: 3 * 40_000, 2: 200_000}
