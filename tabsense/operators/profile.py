@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from . import gram as G
 from . import quantile as Q
 from . import stats as S
 from .stats import as_number, q
@@ -159,65 +160,20 @@ def identifiers(stats: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ PRF-8
-PAIR_CHUNK = 128
-
-
 def correlations(df: DataFrame, cut: float = W.CORRELATION_CUT) -> DataFrame:
     """PRF-8: Pearson r of every numeric pair, pairwise complete, ``|r| >= cut``.
 
-    Two passes of plain sums (codegen-friendly, partially aggregated): the
-    first gives each column's mean and null count (one row to the driver);
-    the second sums products of values centred on those means, which keeps
-    the result numerically stable.  For a pair with nulls the sums run over
-    rows where both are present and are re-centred with the pair's own
-    means.  A constant column gives a null r (``try_divide``), never an error.
+    Two scans for any number of columns (see ``gram``).  A column that is
+    constant over a pair's rows, or infinite in one, gives no r.
     """
     nums = [c for _, c, k, _ in S.columns_by_kind(df) if k == "numeric"]
-    pairs = [(i, j) for i in range(len(nums)) for j in range(i + 1, len(nums))]
-    spark = df.sparkSession
-    if not pairs:
-        return spark.createDataFrame([], "a string, b string, r double")
-    vals = [as_number(q(c)) for c in nums]
-    first = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.avg(v).alias(f"m{i}") for i, v in enumerate(vals)],
-                   *[F.count(v).alias(f"c{i}") for i, v in enumerate(vals)]).first()
-    means = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(nums))]
-    full = [first[f"c{i}"] == first["n"] for i in range(len(nums))]
-    d = [(v - F.lit(float(m))) for v, m in zip(vals, means)]
-    per_pair = []   # (aggregates, full columns needing a square sum, output struct)
-    for i, j in pairs:
-        aggs = [F.sum(d[i] * d[j]).alias(f"x{i}_{j}")]
-        diag = []
-        if full[i] and full[j]:
-            diag = [i, j]
-            sxx, syy, sxy = F.col(f"s{i}_{i}"), F.col(f"s{j}_{j}"), F.col(f"x{i}_{j}")
-        else:
-            both = vals[i].isNotNull() & vals[j].isNotNull()
-            aggs += [F.sum(F.when(both, 1).otherwise(0)).alias(f"n{i}_{j}"),
-                     F.sum(F.when(both, d[i])).alias(f"a{i}_{j}"),
-                     F.sum(F.when(both, d[j])).alias(f"b{i}_{j}"),
-                     F.sum(F.when(both, d[i] * d[i])).alias(f"p{i}_{j}"),
-                     F.sum(F.when(both, d[j] * d[j])).alias(f"q{i}_{j}")]
-            nb = F.col(f"n{i}_{j}")
-            a, b = F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
-            sxy = F.col(f"x{i}_{j}") - F.try_divide(a * b, nb)
-            sxx = F.col(f"p{i}_{j}") - F.try_divide(a * a, nb)
-            syy = F.col(f"q{i}_{j}") - F.try_divide(b * b, nb)
-        per_pair.append((aggs, diag, F.struct(
-            F.lit(nums[i]).alias("a"), F.lit(nums[j]).alias("b"),
-            F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r"))))
-    # one aggregate per group of PAIR_CHUNK pairs (pairs grow quadratically;
-    # a huge aggregate loses codegen), each scan reading only its columns
-    out = None
-    for k in range(0, len(per_pair), PAIR_CHUNK):
-        chunk = per_pair[k:k + PAIR_CHUNK]
-        diag = sorted({i for _, dg, _ in chunk for i in dg})
-        one = df.agg(*[F.sum(d[i] * d[i]).alias(f"s{i}_{i}") for i in diag],
-                     *[a for aggs, _, _ in chunk for a in aggs])
-        part = one.select(F.inline(F.array(*[st for _, _, st in chunk])))
-        out = part if out is None else out.unionByName(part)
-    return (out.where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= cut))
-            .select("a", "b", F.round("r", 3).alias("r")))
+    if len(nums) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    names = F.expr("array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
+                                        for n in nums) + ")")
+    out = G.pearson(G.pair_sums(df, nums)).where(F.abs("r") >= cut)
+    return out.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"),
+                      F.round("r", 3).alias("r"))
 
 
 # ------------------------------------------------------------------ PRF-9

