@@ -74,45 +74,75 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-# All dependencies point back in the log here, so its order is the topological one.
+# Paths along dependencies, walked one by one; calls that reach a cycle have none.
 OP7 = """
-WITH call AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
-         len(string_split(text, ' ')) AS words, min(text) AS prompt
-  FROM conversations WHERE role = 'user' GROUP BY ALL),
-one AS (
-  SELECT conv_id, call_id, min({'t': turn, 'p': prompt, 'w': words}) AS c
-  FROM call GROUP BY conv_id, call_id),
+WITH RECURSIVE call AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text,
+         len(string_split(text, ' ')) AS w
+  FROM conversations WHERE role = 'user'),
 dep AS (
-  SELECT DISTINCT conv_id, call_id, dep FROM (
-    SELECT conv_id, call_id, unnest(CASE
-        WHEN c.t % 8 = 6 THEN [conv_id || ':' || (c.t - 2), conv_id || ':0']
-        WHEN c.t >= 2 THEN [conv_id || ':' || (c.t - 2)] ELSE [] END) AS dep FROM one)),
+  SELECT DISTINCT conv_id, call_id, turn, dep FROM (
+    SELECT conv_id, call_id, turn, unnest(CASE
+        WHEN w % 6 = 0 THEN [conv_id || ':' || (turn + 2)]
+        WHEN w % 6 = 1 THEN [CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END,
+                             CASE WHEN turn > 2 THEN conv_id || ':0' END]
+        WHEN w % 6 <= 3 THEN [CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END]
+        ELSE [] END) AS dep FROM call) WHERE dep IS NOT NULL),
+edge AS (
+  SELECT d.conv_id, d.call_id, d.dep, ((c.turn, c.call_id) >= (d.turn, d.call_id))::BIGINT AS back
+  FROM dep d JOIN call c ON c.conv_id = d.conv_id AND c.call_id = d.dep),
+reach AS (
+  SELECT conv_id, call_id, dep FROM edge
+  UNION
+  SELECT r.conv_id, r.call_id, e.dep FROM reach r
+  JOIN edge e ON e.conv_id = r.conv_id AND e.call_id = r.dep),
+stuck AS (
+  SELECT conv_id, call_id FROM reach WHERE call_id = dep
+  UNION
+  SELECT r.conv_id, r.call_id FROM reach r
+  JOIN reach c ON c.conv_id = r.conv_id AND c.call_id = r.dep AND c.dep = c.call_id),
+free AS (
+  SELECT c.* FROM call c ANTI JOIN stuck s ON s.conv_id = c.conv_id AND s.call_id = c.call_id),
+path AS (
+  SELECT conv_id, call_id, call_id AS at, 0::BIGINT AS steps, 0::BIGINT AS backs FROM free
+  UNION
+  SELECT p.conv_id, p.call_id, e.dep, p.steps + 1, p.backs + e.back FROM path p
+  JOIN edge e ON e.conv_id = p.conv_id AND e.call_id = p.at),
 lev AS (
-  SELECT conv_id, call_id,
-         row_number() OVER (PARTITION BY conv_id ORDER BY c.t, call_id) - 1 AS position FROM one),
+  SELECT f.conv_id, f.call_id, max(p.steps) AS level,
+         row_number() OVER (PARTITION BY f.conv_id
+                            ORDER BY max(p.backs), f.turn, f.call_id) - 1 AS position
+  FROM free f JOIN path p USING (conv_id, call_id) GROUP BY f.conv_id, f.call_id, f.turn),
 asked AS (SELECT conv_id, call_id, count(*) AS n FROM dep GROUP BY ALL),
-found AS (
-  SELECT d.conv_id, d.call_id, count(*) AS n FROM dep d
-  JOIN one o ON o.conv_id = d.conv_id AND o.call_id = d.dep GROUP BY ALL),
+found AS (SELECT conv_id, call_id, count(*) AS n FROM edge GROUP BY ALL),
 res AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min({'t': turn, 'x': text}) AS r,
          count(*) - 1 AS extra
   FROM conversations WHERE role = 'assistant' GROUP BY ALL)
 SELECT coalesce(o.conv_id, r.conv_id) AS conv_id, coalesce(o.call_id, r.call_id) AS call_id,
-       coalesce(o.c.t, r.r.t) AS turn, CASE WHEN o.c IS NOT NULL THEN 'answer' END AS name,
-       l.position::BIGINT AS position,
-       CASE WHEN o.c IS NOT NULL THEN coalesce(a.n, 0) - coalesce(f.n, 0) END AS dangling,
-       CASE WHEN o.c IS NULL THEN 'noCall' WHEN r.r IS NULL THEN 'noResult'
+       coalesce(o.turn, r.r.t) AS turn,
+       CASE WHEN o.w % 13 = 0 THEN 'lookup' WHEN o.w IS NOT NULL THEN 'answer' END AS name,
+       l.position::BIGINT AS position, l.level::BIGINT AS level,
+       CASE WHEN o.w IS NOT NULL THEN coalesce(a.n, 0) - coalesce(f.n, 0) END AS dangling,
+       CASE WHEN o.w IS NULL THEN 'noCall' WHEN r.r IS NULL THEN 'noResult'
             ELSE 'linked' END AS status,
        coalesce(r.extra, 0) AS extra_results,
-       CASE WHEN o.c IS NOT NULL THEN '' END AS errors,
-       CASE WHEN o.c IS NOT NULL THEN
-         '{"arguments":{"prompt":' || to_json(o.c.p) || ',"turn":' || o.c.t || ',"words":'
-         || o.c.w || '},"id":' || to_json(o.call_id) || ',"name":"answer","position":'
-         || l.position || coalesce(',"result":' || to_json(r.r.x), '') || '}'
+       CASE WHEN o.w % 13 = 0 THEN 'unknownTool' WHEN o.w IS NOT NULL THEN
+         array_to_string(list_filter([CASE WHEN o.w % 7 = 0 THEN 'missing:prompt' END,
+                                      CASE WHEN o.w % 5 = 0 THEN 'type:words' END,
+                                      CASE WHEN o.w % 11 = 0 THEN 'unknown:note' END],
+                                     lambda e: e IS NOT NULL), ',') END AS errors,
+       CASE WHEN o.w IS NOT NULL THEN
+         '{"arguments":{' || CASE WHEN o.w % 11 = 0 THEN '"note":"long",' ELSE '' END
+         || CASE WHEN o.w % 7 = 0 THEN '' ELSE '"prompt":' || to_json(o.text) || ',' END
+         || '"turn":' || o.turn || ',"words":'
+         || CASE WHEN o.w % 5 = 0 THEN '"' || o.w || '"' ELSE o.w::VARCHAR END
+         || '},"id":' || to_json(o.call_id) || ',"name":"'
+         || CASE WHEN o.w % 13 = 0 THEN 'lookup' ELSE 'answer' END || '"'
+         || coalesce(',"position":' || l.position, '')
+         || coalesce(',"result":' || to_json(r.r.x), '') || '}'
        END AS record
-FROM one o FULL JOIN res r ON o.conv_id = r.conv_id AND o.call_id = r.call_id
+FROM call o FULL JOIN res r ON o.conv_id = r.conv_id AND o.call_id = r.call_id
 LEFT JOIN lev l ON l.conv_id = o.conv_id AND l.call_id = o.call_id
 LEFT JOIN asked a ON a.conv_id = o.conv_id AND a.call_id = o.call_id
 LEFT JOIN found f ON f.conv_id = o.conv_id AND f.call_id = o.call_id

@@ -74,30 +74,39 @@ TOOLS = {"answer": {"prompt": ("string", True), "turn": ("integer", True),
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as calls of an ``answer`` tool, linked with what was answered.
-
-    Every user turn is a call; it depends on the user turn before, and every
-    fourth one on the conversation's first turn as well.  The turn after it,
-    when an assistant's, is its result.
+    """Conversations as calls of tools, linked with what was answered.
+
+    Every user turn is a call; the turn after it, when an assistant's, is its
+    result.  What a call depends on and what its arguments look like follows
+    from its number of words: some depend on the user turn after them (which
+    may depend on them in turn), some on the one before, some of these on the
+    first one as well; some arguments miss a field, have one of the wrong type
+    or one too many, and some calls name a tool that there is not.
     """
     turns = table(spark, sf_dir, "conversations")
 
     def call_id(turn):
         return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
 
-    turn = F.col("turn")
-    deps = F.when(turn % 8 == 6, F.array(call_id(turn - 2), call_id(F.lit(0)))).when(
-        turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>"))
+    turn, words = F.col("turn"), F.size(F.split("text", " ", -1))
+    kind, before = words % 6, F.when(turn >= 2, call_id(turn - 2))
+    deps = F.when(kind == 0, F.array(call_id(turn + 2))).when(
+        kind == 1, F.array(before, F.when(turn > 2, call_id(F.lit(0))))).when(
+        kind <= 3, F.array(before)).otherwise(F.array().cast("array<string>"))
+
+    def arguments(count):
+        return F.to_json(F.struct(
+            turn, F.when(words % 7 != 0, F.col("text")).alias("prompt"), count.alias("words"),
+            F.when(words % 11 == 0, F.lit("long")).alias("note")))
     calls = turns.where("role = 'user'").select(
-        "conv_id", "turn", call_id(turn).alias("call_id"), F.lit("answer").alias("name"),
-        F.to_json(F.struct("turn", F.col("text").alias("prompt"),
-                           F.size(F.split("text", " ", -1)).alias("words"))).alias("arguments"),
-        deps.alias("depends_on"))
+        "conv_id", "turn", call_id(turn).alias("call_id"),
+        F.when(words % 13 == 0, "lookup").otherwise("answer").alias("name"),
+        F.when(words % 5 == 0, arguments(words.cast("string"))).otherwise(arguments(words))
+        .alias("arguments"), F.filter(deps, lambda d: d.isNotNull()).alias("depends_on"))
     results = turns.where("role = 'assistant'").select(
         "conv_id", "turn", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
     linked = tool_calls.link(calls, results, TOOLS)
-    # the SQL of this query has the position only
-    return linked.drop("level").withColumn("errors", F.array_join("errors", ","))
+    return linked.withColumn("errors", F.array_join("errors", ","))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

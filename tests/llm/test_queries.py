@@ -130,3 +130,18 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF_DIR}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_tool_calls_of_the_query_need_the_topological_order(spark):
+    rows = [r for r in QUERIES["op7_tool_calls"](spark, "/root/testdata/sf0.01").collect()
+            if r["record"] is not None]
+    placed = collections.defaultdict(list)
+    for r in rows:
+        placed[r["conv_id"]].append(r)
+    moved = sum(r["position"] is not None and r["position"] != i for conv in placed.values()
+                for i, r in enumerate(sorted(conv, key=lambda r: r["turn"])))
+    assert moved > 20
+    assert sum(r["position"] is None for r in rows) > 5          # on or behind a cycle
+    assert max(r["level"] or 0 for r in rows) >= 2 and sum(r["errors"] != "" for r in rows) > 50
+    assert {e for r in rows for e in r["errors"].split(",")} >= {
+        "missing:prompt", "type:words", "unknown:note", "unknownTool"}
