@@ -70,22 +70,33 @@ def bounded_sample(keys: DataFrame, docs: DataFrame, id_col: str, per_label: int
     """``docs`` restricted to a sample of ``keys`` (id, label), with (sample_label, sample_h).
 
     At most ``per_label`` ids of each label, those with the smallest hash of
-    the id, so the choice does not depend on partitioning.  They are thinned
-    inside 64 slices first: no task sorts a whole label.  Only ids are
+    the id, so the choice does not depend on partitioning.  Labels are counted
+    first, and of a label of n ids only those whose hash lies in the lowest
+    (2 * per_label + 100) / n of its range are ranked: no task sorts a label,
+    and fewer than ``per_label`` are left with a chance below 1e-20.  Only ids are
     shuffled, and the chosen ones are few by the bound.
     """
     keys = (keys.where("label is not null and id is not null").distinct()
-            .withColumn("h", F.xxhash64(F.lit("sample"), "id"))
-            .withColumn("slice", F.pmod("h", F.lit(64))))
-    in_slice = F.row_number().over(Window.partitionBy("label", "slice").orderBy("h", "id"))
+            .withColumn("h", F.xxhash64(F.lit("sample"), "id")))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_label + 100) / F.col("n"))
+    bounds = keys.groupBy("label").agg(F.count("*").alias("n")).select("label", share.alias("share"))
+    low = keys.join(bounds, "label").where(
+        F.col("h") / 2.0 ** 64 + 0.5 <= F.col("share")).drop("share")
     in_label = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
-    chosen = (keys.withColumn("nth", in_slice).where(F.col("nth") <= per_label)
-              .withColumn("nth", in_label).where(F.col("nth") <= per_label)
+    chosen = (low.withColumn("nth", in_label).where(F.col("nth") <= per_label)
               .select(F.col("id").alias("sample_id"), F.col("label").alias("sample_label"),
                       F.col("h").alias("sample_h")))
     return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id")).drop("sample_id")
 
 
+def excerpt(text: Column, seed: Column, longest: int) -> Column:
+    """The text, or ``longest`` characters from a hashed place of a longer one."""
+    spare = F.char_length(text) - longest
+    start = F.pmod(F.xxhash64(F.lit("excerpt"), seed), F.greatest(spare, F.lit(0)) + 1)
+    return F.when(spare <= 0, text).otherwise(
+        F.substring(text, (start + 1).cast("int"), F.lit(longest)))
+
+
 # --- byte-level words (numpy, inside tasks) ---------------------------------
 
 _b = np.arange(256)

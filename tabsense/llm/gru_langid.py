@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import blocks, bounded_sample, text_bytes
+from tabsense.llm.common import blocks, bounded_sample, excerpt, text_bytes
 
 SPAN = 64
 UND = "und"
@@ -235,13 +235,17 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
         docs_per_label: int = 400, windows_per_doc: int = 12, longest: int = 20_000,
         span: int = SPAN, **options) -> Network | None:
-    """Train on a bounded sample of the labelled rows of ``docs``; None when there are none."""
-    keys = docs.where(F.octet_length(text_col) <= longest).select(
+    """Train on a bounded sample of the labelled rows of ``docs``; None when there are none.
+
+    Of a text longer than ``longest`` characters so many are read, from a hashed place.
+    """
+    keys = docs.where(F.char_length(text_col) > 0).select(
         F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     drawn = sorted((r[0], bytes(r[1])) for r in bounded_sample(
         keys, docs, id_col, docs_per_label)
-        .where(F.octet_length(text_col).between(1, longest))
-        .select("sample_label", F.encode(text_col, "UTF-8")).collect())
+        .where(F.char_length(text_col) > 0)
+        .select("sample_label", F.encode(excerpt(F.col(text_col), F.col("sample_h"), longest),
+                                         "UTF-8")).collect())
     if not drawn:
         return None
     labels = sorted({label for label, _ in drawn})

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import blocks, bounded_sample, hash_spans, mix64, spans_of, text_bytes
+from tabsense.llm.common import blocks, bounded_sample, excerpt, hash_spans, mix64, spans_of, text_bytes
 
 CONTENT, BOILERPLATE = 0, 1
 _b = np.arange(256)
@@ -140,7 +140,7 @@ def line_features(x: Lines) -> np.ndarray:
     ending = x.data[np.maximum(0, x.line_end - 1)] if len(size) else np.zeros(0, np.uint8)
     cols += [np.isin(ending, [ord(c) for c in ".!?"]), x.duplicate]
     raw = x.data.tobytes()
-    cols.append(np.array([any(w in raw[s:e].lower() for w in _LICENCE) if e - s < 400 else False
+    cols.append(np.array([any(w in raw[s:e].lower() for w in _LICENCE)
                           for s, e in zip(x.line_start.tolist(), x.line_end.tolist())], bool))
     return np.stack(cols, axis=1).astype(np.uint8)
 
@@ -246,15 +246,19 @@ def content_share(chain: Chain | None, x: Lines) -> np.ndarray:
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", docs_per_label: int = 1500,
         longest: int = 20_000) -> Chain | None:
-    """Fit the chain and the smallest share on a bounded sample of rated documents."""
-    short = docs.where(F.octet_length(text_col) <= longest)
-    keys = (short.select(F.col(id_col).alias("id")).distinct()
+    """Fit the chain and the smallest share on a bounded sample of rated documents.
+
+    Of a text longer than ``longest`` characters so many are read, from a hashed place.
+    """
+    some = docs.where(F.col(text_col).isNotNull())
+    keys = (some.select(F.col(id_col).alias("id")).distinct()
             .join(ratings.select(F.col(id_col).alias("id"),
                                  F.col(label_col).cast("int").alias("label")), "id")
             .where("label in (0, 1)"))
     rows = sorted((r[0], r[1], bytes(r[2])) for r in bounded_sample(
-        keys, short, id_col, docs_per_label)
-        .select("sample_label", "sample_h", F.encode(text_col, "UTF-8")).collect())
+        keys, some, id_col, docs_per_label)
+        .select("sample_label", "sample_h", F.encode(
+            excerpt(F.col(text_col), F.col("sample_h"), longest), "UTF-8")).collect())
     rating = np.array([r[0] for r in rows])
     if len(set(rating.tolist())) < 2:
         return None

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.llm.common import blocks, bounded_sample, hash_spans, mix64, spans_of, text_bytes
+from tabsense.llm.common import blocks, bounded_sample, excerpt, hash_spans, mix64, spans_of, text_bytes
 
 BITS = 18
 _b = np.arange(256)
@@ -120,15 +120,19 @@ def train(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, grades: int, bit
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         grade_col: str = "grade", grades: int = 3, docs_per_grade: int = 2500,
         longest: int = 20_000) -> Ordinal:
-    """Fit on a bounded sample of the rated documents; grades run from 0."""
-    short = docs.where(F.octet_length(text_col) <= longest)
-    keys = (short.select(F.col(id_col).alias("id")).distinct()
+    """Fit on a bounded sample of the rated documents; grades run from 0.
+
+    Of a text longer than ``longest`` characters so many are read, from a hashed place.
+    """
+    some = docs.where(F.col(text_col).isNotNull())
+    keys = (some.select(F.col(id_col).alias("id")).distinct()
             .join(ratings.select(F.col(id_col).alias("id"),
                                  F.col(grade_col).cast("int").alias("label")), "id")
             .where(F.col("label").between(0, grades - 1)))
     rows = sorted((r[0], r[1], bytes(r[2])) for r in bounded_sample(
-        keys, short, id_col, docs_per_grade)
-        .select("sample_label", "sample_h", F.encode(text_col, "UTF-8")).collect())
+        keys, some, id_col, docs_per_grade)
+        .select("sample_label", "sample_h", F.encode(
+            excerpt(F.col(text_col), F.col("sample_h"), longest), "UTF-8")).collect())
     grade = np.array([r[0] for r in rows], np.int64)
     if len(set(grade.tolist())) < 2:
         only = int(grade[0]) if len(grade) else 0

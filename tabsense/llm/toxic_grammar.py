@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import bounded_sample, cut, mix64, text_bytes
+from tabsense.llm.common import bounded_sample, excerpt, cut, mix64, text_bytes
 from tabsense.llm.prob_minhash import weighted_shingles
 
 # The general vocabulary of the grammar.
@@ -260,23 +260,29 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", docs_per_label: int = 3000, longest: int = 20_000) -> Model:
-    """Learn words and pattern weights from labelled documents (rows of ``labels``)."""
-    keys = (docs.where(F.octet_length(text_col) <= longest)
-            .select(F.col(id_col).alias("id")).distinct()
+        label_col: str = "toxic", docs_per_label: int = 3000, longest: int = 20_000,
+        candidates: int = 50_000) -> Model:
+    """Learn words and pattern weights from labelled documents (rows of ``labels``).
+
+    Of a text longer than ``longest`` characters so many are read, from a hashed
+    place; of the word beginnings in the sample the ``candidates`` that speak
+    most for a label are weighed.
+    """
+    some = docs.where(F.col(text_col).isNotNull())
+    keys = (some.select(F.col(id_col).alias("id")).distinct()
             .join(labels.select(F.col(id_col).alias("id"),
                                 F.col(label_col).cast("int").alias("label")), "id")
             .where("label in (0, 1)"))
-    drawn = cut(bounded_sample(keys, docs.where(F.octet_length(text_col) <= longest),
-                               id_col, docs_per_label)
-                .select(F.col(text_col).alias("text"), F.col("sample_label").alias("label"),
+    drawn = cut(bounded_sample(keys, some, id_col, docs_per_label)
+                .select(excerpt(F.col(text_col), F.col("sample_h"), longest).alias("text"), F.col("sample_label").alias("label"),
                         F.col("sample_h").alias("h"))
                 .mapInArrow(_sketched, "text string, label int, h long, marks array<long>"))
-    # copies of one document are one piece of evidence: of those that share a
-    # mark only the one with the smallest hash speaks
-    marks = drawn.select("h", F.explode("marks").alias("mark"))
-    first = marks.groupBy("mark").agg(F.min("h").alias("low"))
-    copies = marks.join(first, "mark").where("h > low").select("h").distinct()
+    # copies of one document are one piece of evidence: what shares six marks of
+    # eight with the document of smallest hash that has them does not speak
+    marks = drawn.select("h", F.posexplode("marks").alias("nth", "mark"))
+    first = marks.groupBy("nth", "mark").agg(F.min("h").alias("low"))
+    copies = (marks.join(first, ["nth", "mark"]).where("h > low").groupBy("h", "low").count()
+              .where("count >= 6").select("h").distinct())
     drawn = cut(drawn.join(copies, "h", "left_anti").drop("marks")
                 .withColumn("fold", F.pmod(F.shiftright("h", 8), F.lit(2))))
     sizes = {(r[0], r[1]): r[2] for r in drawn.groupBy("fold", "label").count().collect()}
@@ -295,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                   F.count_if((F.col("fold") == f) & (F.col("label") == k)).alias(f"n{f}{k}")
                   for f in (0, 1) for k in (0, 1)])
               .where("n01 + n11 >= 3 and (n01 + n11) * 4 >= n00 + n10")
-              .orderBy(F.desc(F.expr("n01 + n11 - (n00 + n10)")), "entry").limit(50_000)
+              .orderBy(F.desc(F.expr("n01 + n11 - (n00 + n10)")), "entry").limit(candidates)
               .collect())
 
     def lexicon(folds: tuple[int, ...]):
