@@ -847,6 +847,40 @@ def column_labels(spark, sf_dir):
                     L.humanize(F.col("name"), "ar").alias("label_ar"))
 
 
+# Names as a key-value feed spells them, made of what the rows hold.
+_FEED = ["event_type || '_id'", "'total_' || event_type || 'Amount'", "'user-' || event_type",
+         "'customer_' || key", "'order' || upper(substr(event_type, 1, 1)) || 'Date'"]
+_FEED_SQL = " UNION ALL ".join(
+    f"SELECT {e} AS name, value FROM (SELECT *, json_keys(props)[1] AS key FROM events)"
+    for e in _FEED)
+
+
+@register("row_labels", f"""
+WITH feed AS ({_FEED_SQL}),
+given AS (
+  SELECT event_type || '_id' AS name,
+         CASE WHEN count(*) % 2 = 0 THEN ' All ' || event_type ELSE '  ' END AS label
+  FROM events GROUP BY event_type),
+once AS (
+  SELECT f.name, count(*) AS rows, max(f.value) AS highest, nullif(trim(max(g.label)), '') AS own
+  FROM feed f LEFT JOIN given g ON f.name = g.name GROUP BY f.name)
+SELECT name, rows, highest, coalesce(own, {O.humanize('name', 'en')}) AS label_en,
+       coalesce(own, {O.humanize('name', 'ar')}) AS label_ar, own IS NOT NULL AS overridden
+FROM once""")
+def row_labels(spark, sf_dir):
+    """LBL-1..3 over names that the rows of a feed bear, user labels joined."""
+    from ..operators.labelling import labelled
+    events = load_table(spark, sf_dir, "events").withColumn(
+        "key", F.get(F.json_object_keys("props"), F.lit(0)))
+    feed = events.select("value", F.explode(F.array(*[F.expr(e) for e in _FEED])).alias("name"))
+    given = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat("event_type", F.lit("_id")).alias("name"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit(" All "), "event_type"))
+        .otherwise("  ").alias("label"))
+    return labelled(feed, "name", given, others=[F.count(F.lit(1)).alias("rows"),
+                                                 F.max("value").alias("highest")])
+
+
 @register("format_numbers", f"""
 SELECT o_orderkey, {O.fmt_number('o_totalprice')} AS plain,
        {O.fmt_compact('o_totalprice * 1000')} AS compact_k,

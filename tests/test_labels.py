@@ -48,3 +48,20 @@ def test_formats(spark, v, plain, compact):
 def test_clean_title(spark):
     assert apply(spark, L.clean_title, ["تقرير.XLSX-2", "sales (3).csv", " - .json"]) == [
         "تقرير", "sales", "report"]
+
+
+def test_labels_of_names_in_rows_with_user_labels(spark):
+    from tabsense.operators.labelling import labelled
+    names = spark.createDataFrame([("customer_id",)] * 3 + [("unitPrice",), (None,), ("",),
+                                  ("رقم المرجع",), ("odd name",)], "n string")
+    given = spark.createDataFrame([("customer_id", "  Buyer "), ("unitPrice", "   "),
+                                   ("nobody", "x")], "name string, label string")
+    out = {r["name"]: r for r in labelled(names, "n", given).collect()}
+    assert len(out) == 6 and out["customer_id"]["rows"] == 3
+    assert (out["customer_id"]["label_en"], out["customer_id"]["overridden"]) == ("Buyer", True)
+    assert out["unitPrice"]["label_en"] == "Unit price" and not out["unitPrice"]["overridden"]
+    assert out["رقم المرجع"]["label_en"] == "رقم المرجع"
+    assert out["odd name"]["label_en"] == "Odd name"
+    assert out[None]["label_en"] is None
+    auto = {r["name"]: r["label_en"] for r in labelled(names, "n").collect()}
+    assert auto["customer_id"] != "Buyer"
