@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import TabsenseError, WriteBlocked
 from ..functions import words as W
+from ..operators.oplog import StoredLog
 
 READ, WRITE, DDL = "read", "write", "ddl"
 
@@ -234,20 +235,31 @@ def _affected(df: DataFrame) -> int | None:
 
 
 def guarded_sql(spark: SparkSession, sql: str, confirm_write: bool = False,
-                row_limit: int | None = None) -> GuardedResult:
-    """SQL-3: classify, block unconfirmed writes, cap a SELECT where asked.
+                row_limit: int | None = None, log: StoredLog | None = None,
+                request: str = "", source: str = "editor") -> GuardedResult:
+    """SQL-3: classify, block unconfirmed writes, cap a SELECT where asked, keep a record.
 
-    A blocked statement raises ``WriteBlocked`` and is not executed.
+    A blocked statement raises ``WriteBlocked``, is not executed and leaves no
+    record in ``log``; a statement that fails leaves one that says so.
     """
     sql_class = classify(spark, sql)
     if sql_class != READ and not confirm_write:
         raise WriteBlocked(sql_class, sql)
     text = split_statements(sql)[0]
-    if sql_class == READ:
+    entry = {"request": request, "sql": text, "sql_class": sql_class, "source": source}
+    try:
         df = spark.sql(text)
+    except Exception:
+        if log is not None:
+            log.record(**entry, success=False)
+        raise
+    if sql_class != READ:
+        out = GuardedResult(sql_class, False, df, _affected(df))
+    else:
         if not confirm_write and _reaches_reflection(df._jdf.queryExecution().analyzed()):
             raise WriteBlocked(DDL, sql)
         limited = row_limit is not None and needs_limit(spark, sql)
-        return GuardedResult(READ, limited, df.limit(row_limit) if limited else df)
-    df = spark.sql(text)
-    return GuardedResult(sql_class, False, df, _affected(df))
+        out = GuardedResult(READ, limited, df.limit(row_limit) if limited else df)
+    if log is not None:
+        log.record(**entry, rows=out.affected)
+    return out

@@ -123,3 +123,44 @@ def test_overview_of_a_map_column(spark):
                    "UNION ALL SELECT map('a', 3)")
     row = profile.overview(df).first()
     assert row["rows"] == 3 and row["duplicate_rows"] == 1
+
+
+def test_stored_log_rewrites_one_part(spark, tmp_path):
+    import os
+    from tabsense.errors import NotFound, WriteBlocked
+    from tabsense.plans.guarded_sql import guarded_sql
+    log = LG.StoredLog(spark, str(tmp_path / "log"), per_part=10)
+    assert log.read().collect() == []
+    rows = [(i, "r", f"SELECT {i}", "read", "editor", None, i, True, "2024", i % 4 == 0)
+            for i in range(1, 26)]
+    log.append(spark.createDataFrame(rows, LG.LOG_SCHEMA))
+
+    def files():
+        return {f: os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path)
+                for f in fs if f.endswith(".parquet")}
+    before = files()
+    log.delete(12)
+    log.favorite(13)
+    after = files()
+    kept = set(before) & set(after)
+    assert kept and all(before[f] == after[f] for f in kept)
+    got = {r["id"]: r["favorite"] for r in log.read().collect()}
+    assert sorted(got) == [i for i in range(1, 26) if i != 12] and got[13] and not got[14]
+    for i in range(20, 26):                                  # a part without entries is gone
+        log.delete(i)
+    assert max(r["id"] for r in log.read().collect()) == 19
+    with pytest.raises(NotFound):
+        log.delete(12)
+    # runs: a blocked write leaves no record, a failure says so
+    with pytest.raises(WriteBlocked):
+        guarded_sql(spark, "DROP VIEW nothing", log=log)
+    with pytest.raises(Exception):
+        guarded_sql(spark, "SELECT * FROM no_such_table", log=log)
+    guarded_sql(spark, "SELECT 1 AS x", log=log, request="one")
+    new = {r["id"]: (r["request"], r["success"]) for r in log.read().where("id > 19").collect()}
+    assert new == {20: ("", False), 21: ("one", True)}
+
+
+def test_entries_without_an_id_stay(spark):
+    log = spark.createDataFrame([(1, False), (None, False)], "id long, favorite boolean")
+    assert [r["id"] for r in LG.delete_entry(log, 1).collect()] == [None]
