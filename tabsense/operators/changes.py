@@ -42,6 +42,15 @@ def insert_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
     return base.unionByName(cast, allowMissingColumns=True)
 
 
+def _is(op: str):
+    return F.col("op") == op
+
+
+def _sets(c: str):
+    """Whether a change is an update that sets column ``c``."""
+    return _is(UPDATE) & F.coalesce(F.array_contains("set_cols", F.lit(c)), F.lit(False))
+
+
 def fold_changes(changes: DataFrame, keys: list[str], value_cols: list[str]) -> DataFrame:
     """One row per key summarising an ordered change batch.
 
@@ -50,42 +59,59 @@ def fold_changes(changes: DataFrame, keys: list[str], value_cols: list[str]) ->
     sets; ignored for insert/delete).  Sequential semantics: the latest
     insert/delete is a reset; an update of column ``c`` counts only when it
     comes after the reset.
-    """
-    is_reset = F.col("op").isin(INSERT, DELETE)
-    reset_seq = F.when(is_reset, F.col("seq"))
-    aggs = [F.max(reset_seq).alias("_reset_seq"),
-            F.max_by("op", reset_seq).alias("_reset_op"),
-            F.count(F.lit(1)).alias("_changes")]
-    for c in value_cols:
-        sets_c = (F.col("op") == UPDATE) & F.coalesce(
-            F.array_contains("set_cols", F.lit(c)), F.lit(False))
-        aggs += [F.max_by(q(c), reset_seq).alias(f"_ins_{c}"),
-                 F.max(F.when(sets_c, F.col("seq"))).alias(f"_useq_{c}"),
-                 F.max_by(q(c), F.when(sets_c, F.col("seq"))).alias(f"_uval_{c}")]
-    return changes.groupBy(*[q(k) for k in keys]).agg(*aggs)
-
-
-def _touched_keys(base: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of the batch that exist in ``base`` (at most one row per batch key).
-
-    ``base`` is the streamed side of a left-semi join against the folded
-    batch: when the batch is small (AQE measures it after its aggregate)
-    this is a broadcast hash join and the base table is never shuffled.
-    """
-    return (base.select(*[q(k) for k in keys])
-            .join(folded.select(*[q(k) for k in keys]), keys, "left_semi")
-            .distinct().withColumn("_in_base", F.lit(True)))
 
-
-def _value(c: str, changes: DataFrame, base_value) -> object:
+    Columns: the keys, ``_reset`` (``seq``, ``op`` and the row ``ins`` of an
+    insert) and per column ``_upd_c`` (``seq``, ``val``); null where no change
+    of the kind came.  The aggregate sorts its rows, before and after the
+    shuffle, so a change is brought to these columns first: one null takes the
+    place of what it does not set.
+    """
+    ins = [F.when(_is(INSERT), F.struct(*[q(c) for c in value_cols])).alias("ins")
+           ] if value_cols else []
+    reset = F.when(F.col("op").isin(INSERT, DELETE), F.struct("seq", "op", *ins))
+    slim = changes.select(
+        *[q(k) for k in keys], reset.alias("_reset"),
+        *[F.when(_sets(c), F.struct("seq", q(c).alias("val"))).alias(f"_upd_{c}")
+          for c in value_cols])
+    latest = [F.max_by(q(n), q(n)["seq"]).alias(n)
+              for n in ["_reset"] + [f"_upd_{c}" for c in value_cols]]
+    return slim.groupBy(*[q(k) for k in keys]).agg(*latest)
+
+
+def _value(c: str, changes: DataFrame):
     """Value of column ``c`` after the batch (sequential semantics)."""
-    reset = F.col("_reset_op")
-    start = F.when(reset == INSERT, F.col(f"_ins_{c}") if c in changes.columns
-                   else F.lit(None)).otherwise(base_value)
+    reset = F.col("_reset")
+    start = F.when(reset["op"] == INSERT, reset["ins"][c] if c in changes.columns
+                   else F.lit(None)).otherwise(q(c))
     if c not in changes.columns:
         return start
-    later = F.col(f"_useq_{c}") > F.coalesce(F.col("_reset_seq"), F.lit(-(2 ** 62)))
-    return F.when(later, F.col(f"_uval_{c}")).otherwise(start)
+    upd = q(f"_upd_{c}")
+    later = upd["seq"] > F.coalesce(reset["seq"], F.lit(-(2 ** 62)))
+    return F.when(later, upd["val"]).otherwise(start)
+
+
+def _can_meet(base: DataFrame, changes: DataFrame, keys: list[str]):
+    """Whether a key of the batch can equal one of ``base``: no null, and a value of its type."""
+    ok = F.lit(True)
+    for k in keys:
+        kind = base.schema[k].dataType
+        ok = ok & (q(k).isNotNull() if changes.schema[k].dataType == kind
+                   else q(k).try_cast(kind) == q(k))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _new_keys(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that the batch inserts and ``base`` has not, one row each.
+
+    ``base`` is the streamed side of a left-semi join against the inserted
+    keys: when they are few (AQE measures them after their aggregate) this is
+    a broadcast hash join and the base table is never shuffled.
+    """
+    ks = [q(k) for k in keys]
+    inserted = (changes.where(_is(INSERT) & _can_meet(base, changes, keys))
+                .select(*ks).distinct())
+    touched = base.select(*ks).join(inserted, keys, "left_semi").distinct()
+    return inserted.join(touched, keys, "left_anti")
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,47 +120,69 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataF
     An update of a key that does not exist is a no-op; an insert of an
     existing key replaces the row; a delete of a missing key is a no-op.
 
-    Plan: rows of ``base`` meet the folded batch (one row per key) in a
-    left join — base streams past a broadcast batch when the batch is small,
-    a shuffled join otherwise — and new keys are the batch's inserts minus
-    the touched keys (a semi join that also streams ``base``).  No full
-    outer join, so a small batch never shuffles the base table.
+    Plan: the rows of ``base`` and an empty row for every new key meet the
+    folded batch (one row per key) in one left join — base streams past a
+    broadcast batch when the batch is small, a shuffled join otherwise, where
+    a task sorts its share of the rows and of the batch once.  No full outer
+    join, so a small batch never shuffles the base table.  Inserts whose key
+    no row of ``base`` can have (a null in it) need no join.
     """
     check_keys(keys, [k for k in keys if k in changes.columns])
     value_cols = [c for c in base.columns if c not in keys]
-    folded = fold_changes(changes, keys, [c for c in value_cols if c in changes.columns])
-    reset = F.col("_reset_op")
-    old = (base.join(folded, keys, "left")
-           .where(F.coalesce(reset != DELETE, F.lit(True)))
-           .select(*[q(c) if c in keys else
-                     _value(c, changes, q(c)).cast(base.schema[c].dataType).alias(c)
-                     for c in base.columns]))
-    new = (folded.where(reset == INSERT)
-           .join(_touched_keys(base, folded, keys), keys, "left_anti")
-           .select(*[q(c).cast(base.schema[c].dataType).alias(c) if c in keys else
-                     _value(c, changes, F.lit(None)).cast(base.schema[c].dataType).alias(c)
-                     for c in base.columns]))
-    return old.unionByName(new)
+    given = [c for c in value_cols if c in changes.columns]
+    kinds = {c: base.schema[c].dataType for c in base.columns}
+    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in value_cols]
+
+    def after(df):
+        return df.select(*[(q(c) if c in keys else _value(c, changes)).cast(kinds[c]).alias(c)
+                           for c in base.columns])
+
+    fresh = _new_keys(base, changes, keys).select(
+        *[q(k).cast(kinds[k]).alias(k) for k in keys], *empty, F.lit(True).alias("_fresh"))
+    reset_op = F.col("_reset")["op"]
+    stays = F.when(F.col("_fresh"), reset_op == INSERT).otherwise(
+        F.coalesce(reset_op != DELETE, F.lit(True)))
+    met = (base.withColumn("_fresh", F.lit(False)).unionByName(fresh)
+           .join(fold_changes(changes, keys, given), keys, "left").where(stays))
+    apart = (fold_changes(changes.where(~_can_meet(base, changes, keys)), keys, given)
+             .where(reset_op == INSERT).select("*", *empty))
+    return after(met).unionByName(after(apart))
 
 
 def change_counts(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Affected rows of a batch: ``inserted, updated, deleted``."""
-    value_cols = [c for c in base.columns if c not in keys and c in changes.columns]
-    folded = fold_changes(changes, keys, value_cols)
-    j = folded.join(_touched_keys(base, folded, keys), keys, "left")
-    exists_before = F.coalesce(F.col("_in_base"), F.lit(False))
-    any_update = F.lit(False)
-    for c in value_cols:
-        any_update = any_update | (F.col(f"_useq_{c}") >
-                                   F.coalesce(F.col("_reset_seq"), F.lit(-(2 ** 62))))
-    reset = F.col("_reset_op")
-    after = (F.when(reset == DELETE, F.lit(False))
-             .when(reset == INSERT, F.lit(True)).otherwise(exists_before))
-    return j.agg(
-        F.sum(F.when(~exists_before & after, 1).otherwise(0)).cast("long").alias("inserted"),
-        F.sum(F.when(exists_before & after & ((reset == INSERT) | any_update), 1)
-              .otherwise(0)).cast("long").alias("updated"),
-        F.sum(F.when(exists_before & ~after, 1).otherwise(0)).cast("long").alias("deleted"))
+    """Affected rows of a batch: ``inserted, updated, deleted``.
+
+    Keys inserted are all keys that end as an insert less those of them that
+    ``base`` has.  ``base`` streams past the folded keys, as in
+    ``apply_changes``; strings in the aggregates make them sort by key, and
+    the join and the aggregate after it go on with that order.
+    """
+    ks = [q(k) for k in keys]
+    sets_any = F.lit(False)
+    for c in base.columns:
+        if c not in keys and c in changes.columns:
+            sets_any = sets_any | _sets(c)
+    slim = changes.select(
+        *ks, F.when(F.col("op").isin(INSERT, DELETE), F.struct("seq", "op")).alias("_reset"),
+        F.when(sets_any, F.col("seq")).alias("_upd"))
+    folded = slim.groupBy(*ks).agg(F.max_by("_reset", F.col("_reset")["seq"]).alias("_reset"),
+                                   F.max("_upd").alias("_upd"))
+    reset = F.col("_reset")
+    updated = F.col("_upd") > F.coalesce(reset["seq"], F.lit(-(2 ** 62)))
+    folded = folded.select(*ks, F.coalesce(
+        reset["op"], F.when(updated, UPDATE), F.lit("")).alias("_end"))
+    found = base.select(*ks).join(folded, keys).groupBy(*ks).agg(F.max("_end").alias("_end"))
+    end = F.col("_end")
+
+    def n(cond, by=1):
+        return F.when(cond, by).otherwise(0)
+
+    parts = folded.select(n(end == INSERT).alias("i"), F.lit(0).alias("u"), F.lit(0).alias("d"))
+    parts = parts.unionAll(found.select(n(end == INSERT, -1), n(end.isin(INSERT, UPDATE)),
+                                        n(end == DELETE)))
+    return parts.agg(F.sum("i").cast("long").alias("inserted"),
+                     F.sum("u").cast("long").alias("updated"),
+                     F.sum("d").cast("long").alias("deleted"))
 
 
 def update_rows(base: DataFrame, keys: list[str], updates: DataFrame) -> DataFrame:

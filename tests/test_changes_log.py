@@ -40,6 +40,49 @@ def test_hot_key_batch(spark, base):
     assert got == {1: 3000.0, 2: 10.0, 3: 3.0}
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_batch_on_null_and_repeated_keys(spark, threshold):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        base = spark.createDataFrame(
+            [(1, "a", 1.0), (1, "a2", 1.5), (2, "b", 2.0), (2, "b", 2.0), (3, "c", 3.0),
+             (3, "c2", None), (None, "n", 0.0)], "id int, name string, price double")
+        batch = spark.createDataFrame([
+            (1, "update", ["price"], 1, None, 10.0),
+            (2, "insert", [], 2, "B", 20.0),           # replaces both rows
+            (3, "delete", [], 3, None, None),
+            (4, "insert", [], 4, "d", 4.0),
+            (5, "update", ["name"], 4, None, None),    # sets a null
+            (6, "insert", [], 5, "e", 5.0),
+            (7, "delete", [], 5, None, None),
+            (8, "update", ["name"], 5, "late", None),  # the key is gone
+            (9, "insert", [], None, "new", 9.0),       # a null key meets no row
+            (10, "update", ["price"], None, None, 90.0),
+            (None, "delete", [], 1, None, None),       # no place in the order
+            (11, "update", None, 1, "x", None),        # sets nothing
+        ], BATCH)
+        for keys in (base, base.withColumn("id", F.col("id").cast("long"))):
+            got = sorted(map(str, (tuple(r) for r in CH.apply_changes(
+                keys, batch, ["id"]).collect())))
+            assert got == sorted(map(str, [
+                (1, "a", 10.0), (1, "a2", 10.0), (2, "B", 20.0), (2, "B", 20.0),
+                (4, None, 4.0), (None, "n", 0.0), (None, "new", 90.0)]))
+            c = CH.change_counts(keys, batch, ["id"]).first()
+            assert (c["inserted"], c["updated"], c["deleted"]) == (2, 2, 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_inserted_keys_that_the_base_type_rounds(spark):
+    base = spark.createDataFrame([(1, "a")], "id long, name string")
+    batch = spark.createDataFrame([(1, "insert", [], 1.0, "A"), (2, "insert", [], 7.5, "b")],
+                                  "seq long, op string, set_cols array<string>, id double, "
+                                  "name string")
+    got = sorted(tuple(r) for r in CH.apply_changes(base, batch, ["id"]).collect())
+    assert got == [(1, "A"), (7, "b")]
+
+
 def test_insert_update_delete_helpers(spark, base):
     ins = CH.insert_rows(base, spark.createDataFrame([(7, "g")], "id long, name string"))
     assert ins.count() == 4

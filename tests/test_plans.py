@@ -95,6 +95,26 @@ def test_change_batch_plans_no_full_outer_join(spark, orders):
         assert "FullOuter" not in p
 
 
+def test_change_batch_is_folded_once_and_keeps_no_field_twice(spark):
+    import re
+    from tabsense.operators import changes as CH
+    base = spark.range(100).selectExpr("id", "id AS v", "CAST(id AS string) AS s")
+    batch = spark.range(60).selectExpr(
+        "id AS seq", "CASE id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS op",
+        "array('v') AS set_cols", "id * 2 AS id", "id AS v", "'x' AS s")
+    # sorted rows of one task: the base once, the batch once, one field a column and the reset
+    p = plan(CH.apply_changes(base, batch, ["id"]))
+    folds = [x for x in p.splitlines() if "partial_max_by(" in x]
+    assert len(folds) == 1 and folds[0].count("partial_max_by(") == 3
+    assert len(re.findall(r"Join .*LeftOuter", p)) == 1
+    # the semi join against base keys takes inserted keys only
+    assert re.search(r"Filter .*= insert\)", p)
+    # counts: one join, and no hash map beside the sorted rows
+    p = plan(CH.change_counts(base, batch, ["id"]))
+    assert len(re.findall(r"Join \[", p)) == 1
+    assert "HashAggregate(keys=[id" not in p
+
+
 def test_profile_shuffles_no_texts(spark):
     import re
     docs = spark.read.parquet(f"{SF}/documents.parquet")
