@@ -100,7 +100,7 @@ def test_change_batch_is_folded_once_and_keeps_no_field_twice(spark):
     from tabsense.operators import changes as CH
     base = spark.range(100).selectExpr("id", "id AS v", "CAST(id AS string) AS s")
     batch = spark.range(60).selectExpr(
-        "id AS seq", "CASE id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS op",
+        "id AS seq", "element_at(array('insert', 'update', 'delete'), int(id % 3) + 1) AS op",
         "array('v') AS set_cols", "id * 2 AS id", "id AS v", "'x' AS s")
     # sorted rows of one task: the base once, the batch once, one field a column and the reset
     p = plan(CH.apply_changes(base, batch, ["id"]))
