@@ -13,8 +13,8 @@ backward dependencies on any path to it; sorted by (round, turn, id) every
 call comes after all it depends on, which gives its position.  Levels and rounds
 come from the same walk: chains of single dependencies are folded by pointer
 doubling (a chain of n calls takes log n joins), and calls with several
-dependencies are resolved step by step once all theirs are, with a reliable
-checkpoint each.  Calls on or behind a cycle get no level and no position.
+dependencies are resolved step by step once all theirs are, with a stored
+table each.  Calls on or behind a cycle get no level and no position.
 Positions are gapless inside a conversation and counted in blocks of turns, so
 that a conversation of any length is spread over tasks.
 
@@ -28,12 +28,14 @@ of its own (noResult or noCall), without position.
 
 from __future__ import annotations
 
-import math
+import itertools
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import cut
+from tabsense.llm.common import cut, stored
+from tabsense.session import ensure_checkpoint_dir
 
 # Variant type names that satisfy a declared JSON type.
 _TYPES = {
@@ -99,53 +101,76 @@ def ordered(calls: DataFrame, block_turns: int = 1024) -> DataFrame:
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, round): the longest chain of dependencies behind a call and
-    the most backward ones on any; null on or behind a cycle."""
+    the most backward ones on any; null or left out on or behind a cycle.
+
+    Every round is stored as a table: the planner estimates a join by the product of its
+    sides and a checkpoint passes the estimate on, so that its digits would double each round.
+    The joins are merged, so that no table is collected into the driver however small its files.
+    """
     key = ["conv_id", "call_id"]
+    long = lambda n: F.lit(n).cast("long")
     found = edges.groupBy(*key).agg(F.count("*").alias("found"), F.min("dep").alias("dep"),
                                     F.min("back").alias("back"))
-    single = F.col("found") == 1
-    jump = cut(nodes.join(found, key, "left").select(
-        *key, F.coalesce("found", F.lit(0)).alias("found"),
-        F.when(single, F.col("dep")).otherwise(F.col("call_id")).alias("up"),
-        F.when(single, 1).otherwise(0).cast("long").alias("steps"),
-        F.when(single, F.col("back")).otherwise(0).cast("long").alias("backs")))
-    # doubling: after r rounds a pointer has walked 2**r single dependencies
-    chained = jump.where("found = 1").count()
-    for _ in range(math.ceil(math.log2(chained + 1)) + 1 if chained else 0):
+    counted = stored(nodes.join(found, key, "left")
+                     .select(*key, F.coalesce("found", long(0)).alias("found"), "dep", "back"))
+    heads = counted.where("found <> 1").select(*key, "found")
+    # doubling: after r rounds the pointers of fewer than 2**r single dependencies stand at
+    # their head and are closed; on a chain all lengths occur, so a round that closes none
+    # leaves only those on or behind cycles
+    jump = counted.where("found = 1").select(
+        *key, F.col("dep").alias("up"), long(1).alias("steps"), F.col("back").alias("backs"),
+        F.lit(True).alias("open"))
+    before, left = None, jump.count()
+    while left and left != before:
         far = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"),
-                          F.col("steps").alias("more"), F.col("backs").alias("more_backs"))
-        moved = cut(jump.join(far, ["conv_id", "up"]).select(
-            *key, "found", F.col("next").alias("up"),
-            (F.col("steps") + F.col("more")).alias("steps"),
-            (F.col("backs") + F.col("more_backs")).alias("backs"),
-            (F.col("more") > 0).alias("moved")))
-        jump = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    heads = jump.where("found <> 1")
-    none = F.lit(0).cast("long")
-    known = cut(heads.where("found = 0").select(
-        "conv_id", F.col("call_id").alias("up"), none.alias("base"), none.alias("base_backs")))
+                          F.col("steps").alias("more"), F.col("backs").alias("more_backs"),
+                          F.col("open").alias("goes_on"))
+        moved = jump.where("open").join(far.hint("merge"), ["conv_id", "up"], "left").select(
+            *key, F.coalesce("next", "up").alias("up"),
+            (F.col("steps") + F.coalesce("more", long(0))).alias("steps"),
+            (F.col("backs") + F.coalesce("more_backs", long(0))).alias("backs"),
+            F.coalesce("goes_on", F.lit(False)).alias("open"))
+        jump = stored(moved.unionByName(jump.where("not open")))
+        before, left = left, jump.where("open").count()
     # calls with several dependencies: resolved once all their chains' heads are
-    several = heads.where("found > 1").select(*key, "found")
-    chains = cut(edges.join(several, key)
-                 .join(jump.select("conv_id", F.col("call_id").alias("dep"), "up", "steps",
-                                   "backs"), ["conv_id", "dep"]))
+    several = heads.where("found > 1")
+    ends = jump.select("conv_id", F.col("call_id").alias("dep"), "up", "steps", "backs", "open")
+    chains = (edges.join(several.hint("merge"), key)
+              .join(ends.hint("merge"), ["conv_id", "dep"], "left").where("open is not true")
+              .select(*key, "found", F.coalesce("up", "dep").alias("up"),
+                      (F.coalesce("steps", long(0)) + 1).alias("steps"),
+                      (F.col("back") + F.coalesce("backs", long(0))).alias("backs")))
+    waits = several.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("waits"))
+    chains = stored(chains.join(waits.hint("merge"), ["conv_id", "up"], "left"))
+    waiting = chains.where("waits").drop("waits")
+    met = chains.where("waits is null").select(
+        *key, "found", long(1).alias("n"), F.col("steps").alias("base"),
+        F.col("backs").alias("base_backs"))
     # every chain is joined once, when its head is resolved; counts of the rest are carried
-    fresh, part = known, None
-    while not fresh.isEmpty():
-        met = chains.join(fresh, ["conv_id", "up"]).select(
-            *key, "found", F.lit(1).cast("long").alias("n"),
-            (F.col("steps") + F.col("base") + 1).alias("base"),
-            (F.col("back") + F.col("backs") + F.col("base_backs")).alias("base_backs"))
-        part = cut((met if part is None else part.where("n < found").union(met))
-                   .groupBy(*key, "found").agg(
-                       F.sum("n").alias("n"), F.max("base").alias("base"),
-                       F.max("base_backs").alias("base_backs")))
+    spark = nodes.sparkSession
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabsense-{uuid.uuid4().hex}"
+    for step in itertools.count():
+        part = met.groupBy(*key, "found").agg(
+            F.sum("n").alias("n"), F.max("base").alias("base"),
+            F.max("base_backs").alias("base_backs"))
+        part.write.parquet(f"{home}/step={step}")
+        table = spark.read.schema(part.schema)
+        part = table.parquet(f"{home}/step={step}")
         fresh = part.where("n = found").select("conv_id", F.col("call_id").alias("up"),
                                                "base", "base_backs")
-        known = known.union(fresh)               # what is never met depends on a cycle
-    return (jump.join(known, ["conv_id", "up"], "left")
+        if fresh.isEmpty():                      # what is never met depends on a cycle
+            break
+        met = part.where("n < found").union(
+            waiting.join(fresh.hint("merge"), ["conv_id", "up"]).select(
+                *key, "found", long(1).alias("n"), (F.col("steps") + F.col("base")).alias("base"),
+                (F.col("backs") + F.col("base_backs")).alias("base_backs")))
+    known = table.parquet(home).where("n = found").select(
+        "conv_id", F.col("call_id").alias("up"), "base", "base_backs").union(
+        heads.where("found = 0").select(*key, long(0), long(0)))
+    at_head = heads.select(*key, F.col("call_id").alias("up"), long(0).alias("steps"),
+                           long(0).alias("backs"))
+    return (at_head.unionByName(jump.where("not open").drop("open"))
+            .join(known.hint("merge"), ["conv_id", "up"], "left")
             .select(*key, (F.col("steps") + F.col("base")).alias("level"),
                     (F.col("backs") + F.col("base_backs")).alias("round")))
 

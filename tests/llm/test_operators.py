@@ -561,6 +561,31 @@ def test_levels_of_chains_diamonds_and_forward_dependencies(spark):
         (None, None), (None, None), (None, None), (0, 0)]
 
 
+def test_size_estimates_and_rounds_do_not_grow_with_the_calls(spark, monkeypatch):
+    rounds, cols = [], "conv_id int, call_id string, turn int, depends_on array<string>"
+    keep = tool_calls.stored
+    monkeypatch.setattr(tool_calls, "stored", lambda df: rounds.append(1) or keep(df))
+    # a chain, a ladder of several dependencies and a cycle with a chain behind it
+    rows = [(1, f"a{i:02d}", i, [f"a{i - 1:02d}"] if i else []) for i in range(60)]
+    rows += [(2, f"b{i}", i, [f"b{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(8)]
+    rows += [(3, f"c{i:02d}", i, [f"c{i - 1 if i else 2:02d}"]) for i in range(20)]
+    out = tool_calls.ordered(spark.createDataFrame(rows, cols))
+    bits = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert bits < 4096                 # of 88 calls it had 152,905 digits when it doubled
+    level = {(r["conv_id"], r["call_id"]): r["level"] for r in out.collect()}
+    assert len(level) == len(rows) and all(
+        level[c, i] == (None if c == 3 else t) for c, i, t, _ in rows)
+    assert len(rounds) <= 10           # 2 to the 7 exceeds the chain, one more sees the cycle
+    # short chains beside a cycle take few rounds, however many there are
+    rounds.clear()
+    rows = [(c, f"d{i}", i, [f"d{i - 1}"] if i else []) for c in range(300) for i in range(3)]
+    rows += [(300, "e", 0, ["f"]), (300, "f", 1, ["e"])]
+    level = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.ordered(
+        spark.createDataFrame(rows, cols)).collect()}
+    assert all(level[c, i] == (None if c == 300 else t) for c, i, t, _ in rows)
+    assert len(rounds) <= 6
+
+
 def test_calls_and_results_without_keys_stay_rows(spark):
     calls = spark.createDataFrame(
         [(None, 0, "c1", "ping", "{}", []), (None, 1, "c1", "ping", "{}", ["c1"]),
